@@ -89,8 +89,7 @@ NUMERIC_TEXT = r"^\s*[+-]?[0-9]+(\.[0-9]+)?\s*$"
 def parse_int_text(x) -> Column:
     """Text -> int, truncating a fraction; NULL when the text is not numeric."""
     s = c(x).cast("string")
-    return F.when(s.rlike(NUMERIC_TEXT),
-                  F.try_cast(F.trim(s), "double")).cast("double").cast("long")
+    return F.when(s.rlike(NUMERIC_TEXT), F.trim(s).try_cast("double")).cast("long")
 
 
 def blank(x) -> Column:
