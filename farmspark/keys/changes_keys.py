@@ -43,6 +43,11 @@ def _cols(cols, alias="", money=("price",)):
     return ", ".join(f"CAST({alias}{c} AS DOUBLE) AS {c}" if c in money else f"{alias}{c}" for c in cols)
 
 
+# per rule: the CTEs (feed + validated changes ``chk``) its SQL is built on;
+# the notice keys reuse them
+RULE_CTES: dict[str, dict[str, str]] = {}
+
+
 def register_pair(name: str, spark_fn, table_sql: str, chk_sql: str | None, feed: str,
                   extra: dict[str, str] | None = None) -> None:
     """Register ``name`` (new table) and ``name_rejects`` from one rule."""
@@ -50,6 +55,7 @@ def register_pair(name: str, spark_fn, table_sql: str, chk_sql: str | None, feed
     if chk_sql is not None:
         ctes["chk"] = chk_sql
     ctes.update(extra or {})
+    RULE_CTES[name] = ctes
     query(name, table_sql, extra=ctes)(lambda t: money_out(spark_fn(t).table))
     if chk_sql is not None:
         query(f"{name}_rejects", "SELECT seq, reason FROM chk WHERE reason IS NOT NULL", extra=ctes)(
