@@ -4,3 +4,5 @@ from farmspark.keys import reads_metrics  # noqa: F401
 from farmspark.keys import reports_keys  # noqa: F401
 from farmspark.keys import changes_keys  # noqa: F401
 from farmspark.keys import notices_keys  # noqa: F401
+from farmspark.keys import lookups_keys  # noqa: F401
+from farmspark.keys import streams_keys  # noqa: F401

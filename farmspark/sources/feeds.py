@@ -80,3 +80,41 @@ FEED_SQL = {
                  ELSE 'nobody ' || CAST(user_id AS VARCHAR) END AS handle
         FROM events""",
 }
+
+
+# --- stream inputs derived from events (sensor documents, ticks, acks) -----
+
+def sensor_docs(t: Tables) -> DataFrame:
+    """Device documents as JSON text: complete, missing ``tds`` (view
+    events) or malformed (error events, never closed)."""
+    e = _ev(t)
+    lvl = F.concat(F.lit('{"waterLevelInside": '), F.col("value").cast("string"))
+    temp = F.concat(F.lit(', "waterTemp": '), (20 + F.col("event_id") % 15).cast("string"))
+    tds = F.concat(F.lit(', "tds": '), F.get_json_object("props", "$.k"))
+    doc = (F.when(F.col("event_type") == "error", lvl)
+           .when(F.col("event_type") == "view", F.concat(lvl, temp, F.lit("}")))
+           .otherwise(F.concat(lvl, temp, tds, F.lit("}"))))
+    return e.select(doc.alias("doc"), F.col("ts").alias("arrived_at"))
+
+
+def feeding_acks(t: Tables) -> DataFrame:
+    """Acknowledgements: a click acknowledges feeding_ID = user_id % 25."""
+    return (_ev(t).where(F.col("event_type") == "click")
+            .select((F.col("user_id") % 25).alias("feeding_ID"), F.col("ts").alias("ack_ts")))
+
+
+FEED_SQL.update({
+    "sensor_docs": """
+        SELECT CASE WHEN event_type = 'error'
+                      THEN '{"waterLevelInside": ' || CAST(value AS VARCHAR)
+                    WHEN event_type = 'view'
+                      THEN '{"waterLevelInside": ' || CAST(value AS VARCHAR) || ', "waterTemp": '
+                           || CAST(20 + event_id % 15 AS VARCHAR) || '}'
+                    ELSE '{"waterLevelInside": ' || CAST(value AS VARCHAR) || ', "waterTemp": '
+                         || CAST(20 + event_id % 15 AS VARCHAR) || ', "tds": '
+                         || json_extract_string(props, '$.k') || '}' END AS doc,
+               ts AS arrived_at
+        FROM events""",
+    "feeding_acks": "SELECT user_id % 25 AS feeding_ID, ts AS ack_ts FROM events WHERE event_type = 'click'",
+    "ticks": "SELECT DISTINCT date_trunc('minute', ts) AS tick_ts FROM events",
+})
