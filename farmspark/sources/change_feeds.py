@@ -12,13 +12,18 @@ from pyspark.sql import functions as F
 
 from farmspark.sources.tables import Tables
 
-E, U, V, TS, TY = (F.col("event_id"), F.col("user_id"), F.col("value"), F.col("ts"), F.col("event_type"))
-NULL_S = F.lit(None).cast("string")
+
+
+def _cols():
+    """event_id, user_id, value, ts, event_type and a NULL string (built per
+    call: a Column needs an active session)."""
+    return (F.col("event_id"), F.col("user_id"), F.col("value"), F.col("ts"), F.col("event_type"),
+            F.lit(None).cast("string"))
 
 
 def _ev(t: Tables, *types: str) -> DataFrame:
     e = t.raw("events")
-    return e.where(TY.isin(*types)) if types else e
+    return e.where(F.col("event_type").isin(*types)) if types else e
 
 
 def _s(c) -> F.Column:
@@ -27,6 +32,7 @@ def _s(c) -> F.Column:
 
 def orders_form(t: Tables) -> DataFrame:
     """C-1 web order form."""
+    E, U, V, TS, TY, NULL_S = _cols()
     return _ev(t, "click", "view").select(
         E.alias("seq"),
         F.when(E % 11 == 0, F.lit(None).cast("long")).otherwise(U * 11).alias("customer_id"),
@@ -41,6 +47,7 @@ def orders_form(t: Tables) -> DataFrame:
 
 def app_orders(t: Tables) -> DataFrame:
     """C-2 customer-app orders with receipt file name."""
+    E, U, V, TS, TY, NULL_S = _cols()
     return _ev(t, "purchase").select(
         E.alias("seq"), (U * 11).alias("customer_id"),
         F.when(E % 9 == 0, NULL_S).otherwise("Tiger").alias("prawn_type"),
@@ -53,6 +60,7 @@ def app_orders(t: Tables) -> DataFrame:
 
 def purchase_form(t: Tables) -> DataFrame:
     """C-3 purchase orders to suppliers."""
+    E, U, V, TS, TY, NULL_S = _cols()
     return _ev(t, "view").select(
         E.alias("seq"),
         F.when(E % 19 == 0, F.lit(None).cast("long")).otherwise(U).alias("supplier_id"),
@@ -64,6 +72,7 @@ def purchase_form(t: Tables) -> DataFrame:
 
 def item_form(t: Tables) -> DataFrame:
     """C-4 new stock items with free-text quantity."""
+    E, U, V, TS, TY, NULL_S = _cols()
     return _ev(t, "error").select(
         E.alias("seq"),
         F.when(E % 23 == 0, NULL_S).otherwise(F.concat(F.lit("item "), _s(E % 50))).alias("name"),
@@ -74,6 +83,7 @@ def item_form(t: Tables) -> DataFrame:
 
 def task_form(t: Tables) -> DataFrame:
     """C-5 task assignments."""
+    E, U, V, TS, TY, NULL_S = _cols()
     return _ev(t, "signup").select(
         E.alias("seq"), F.concat(F.lit("Feed pond "), _s(U)).alias("title"),
         F.col("props").alias("description"), (U % 30).alias("worker_id"), TS.alias("created_date"))
@@ -81,6 +91,7 @@ def task_form(t: Tables) -> DataFrame:
 
 def stock_moves(t: Tables, kinds: tuple[str, ...] = ("issue", "receive")) -> DataFrame:
     """C-6 / C-7: purchases issue stock, sign-ups receive it (text fields)."""
+    E, U, V, TS, TY, NULL_S = _cols()
     f = _ev(t, "purchase", "signup").select(
         E.alias("seq"),
         F.when(TY == "purchase", "issue").otherwise("receive").alias("kind"),
@@ -95,6 +106,7 @@ def stock_moves(t: Tables, kinds: tuple[str, ...] = ("issue", "receive")) -> Dat
 
 def approvals(t: Tables) -> DataFrame:
     """C-8 approve / reject actions; several per order."""
+    E, U, V, TS, TY, NULL_S = _cols()
     return _ev(t).select(
         E.alias("seq"), ((E % 4999) * 4).alias("order_id"),
         F.when(TY == "click", "approved").when(TY == "view", "rejected").when(TY == "error", "Approved")
@@ -103,6 +115,7 @@ def approvals(t: Tables) -> DataFrame:
 
 def status_changes(t: Tables) -> DataFrame:
     """C-9 order status changes; several per order."""
+    E, U, V, TS, TY, NULL_S = _cols()
     return _ev(t).select(
         E.alias("seq"), ((E % 4999) * 3).alias("order_id"),
         F.when(TY == "click", "Processing").when(TY == "view", "Delivered").when(TY == "purchase", "Completed")
@@ -111,17 +124,20 @@ def status_changes(t: Tables) -> DataFrame:
 
 def assignments(t: Tables) -> DataFrame:
     """C-10 assigned-by changes."""
+    E, U, V, TS, TY, NULL_S = _cols()
     return _ev(t).select(
         E.alias("seq"), ((E % 4999) * 5).alias("order_id"),
         F.when(E % 6 == 0, "").otherwise(F.concat(F.lit("Worker "), _s(U % 25))).alias("assigned_by"))
 
 
 def _supply_key():
+    E = F.col("event_id")
     return (E % 15000) * 10 + (1 + E % 7)
 
 
 def supply_status(t: Tables) -> DataFrame:
     """C-11 supplier-app status changes by supply order id."""
+    E, U, V, TS, TY, NULL_S = _cols()
     return _ev(t).select(
         E.alias("seq"), _supply_key().alias("supply_order_id"),
         F.when(E % 9 == 0, NULL_S).when(TY == "click", "Accepted").when(TY == "view", "Shipped")
@@ -131,6 +147,7 @@ def supply_status(t: Tables) -> DataFrame:
 def supply_status_owned(t: Tables) -> DataFrame:
     """C-12 status changes naming a supplier: the owner, another supplier,
     or (for unknown orders) any supplier."""
+    E, U, V, TS, TY, NULL_S = _cols()
     owners = (t.supply_orders.groupBy("supply_order_id").agg(F.min("supplier_id").alias("_owner")))
     e = _ev(t).withColumn("supply_order_id", _supply_key())
     j = e.join(owners, "supply_order_id", "left")
@@ -143,6 +160,7 @@ def supply_status_owned(t: Tables) -> DataFrame:
 
 def worker_updates(t: Tables) -> DataFrame:
     """C-13 worker profile edits."""
+    E, U, V, TS, TY, NULL_S = _cols()
     return _ev(t, "click").select(
         E.alias("seq"), (U % 30).alias("id"),
         F.when(E % 7 == 0, "").otherwise(F.concat(F.lit("Worker "), _s(U))).alias("name"),
@@ -152,11 +170,13 @@ def worker_updates(t: Tables) -> DataFrame:
 
 def worker_deletes(t: Tables) -> DataFrame:
     """C-14 worker deletions (repeats and unknown ids)."""
+    E, U, V, TS, TY, NULL_S = _cols()
     return _ev(t, "error").select(E.alias("seq"), (20 + U % 20).alias("id"))
 
 
 def task_completions(t: Tables) -> DataFrame:
     """C-15 task completions by worker e-mail."""
+    E, U, V, TS, TY, NULL_S = _cols()
     widx = F.when(E % 10 == 0, 25 + U % 5).when(E % 3 == 0, (U + 1) % 25).otherwise(U % 25)
     return _ev(t, "view").select(
         E.alias("seq"), F.when(E % 50 == 0, F.lit(None).cast("long")).otherwise(E).alias("task_id"),
@@ -165,6 +185,7 @@ def task_completions(t: Tables) -> DataFrame:
 
 def signups(t: Tables) -> DataFrame:
     """C-16 sign-ups of all four account kinds (padded text, repeats)."""
+    E, U, V, TS, TY, NULL_S = _cols()
     return _ev(t, "signup").select(
         E.alias("seq"),
         F.when(E % 4 == 0, "customer").when(E % 4 == 1, "supplier").when(E % 4 == 2, "worker")
