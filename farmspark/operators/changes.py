@@ -24,17 +24,23 @@ so a new snapshot is ``base ⟕ reduced changes`` with ``when/otherwise``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
+from farmspark.plans.broadcast import KEYS_BROADCAST_ROWS, bounded_broadcast
 from farmspark.plans.ids import dense_ids
 from farmspark.sources import schemas
 from farmspark.sources.tables import Tables
 
 ITEM_ID_PREFIX = r"^\s*([+-]?[0-9]+)"  # JS parseInt: leading integer of the text
+# A batch's reduced changes (one row per touched key) are broadcast into the
+# snapshot rewrite up to this many keys.
+UPDATE_BROADCAST_ROWS = 2_000_000
 
 
 @dataclass
@@ -49,24 +55,48 @@ def first_failing(*rules: tuple[Column, str]) -> Column:
     return F.coalesce(*[F.when(cond, F.lit(reason)) for cond, reason in rules], F.lit(None).cast("string"))
 
 
+# Hook applied to every validated batch before it is split.  Identity by
+# default; batch jobs set it to a reliable ``checkpoint`` (see
+# :func:`materialized_batches`) so the snapshot, rejects and outbox share one
+# materialisation and the lineage is cut.
+_MATERIALIZE: list[Callable[[DataFrame], DataFrame]] = [lambda df: df]
+
+
+@contextmanager
+def materialized_batches(fn: Callable[[DataFrame], DataFrame] | None = None):
+    """Within the block, validated batches are materialised with ``fn``
+    (default: ``df.checkpoint(eager=True)`` into ``spark.checkpoint.dir``)."""
+    _MATERIALIZE.append(fn or (lambda df: df.checkpoint(eager=True)))
+    try:
+        yield
+    finally:
+        _MATERIALIZE.pop()
+
+
 def _split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
+    checked = _MATERIALIZE[-1](checked)
     rejects = checked.where(F.col("reason").isNotNull()).select("seq", "reason")
     accepted = checked.where(F.col("reason").isNull()).drop("reason")
     return accepted, rejects
 
 
-def _flag(table: DataFrame, keys: list[str], flag: str) -> DataFrame:
-    """Distinct keys of ``table`` with a true ``flag`` column (for a left join)."""
-    return table.select(*keys).distinct().withColumn(flag, F.lit(True))
-
-
 def _with_found(changes: DataFrame, table: DataFrame, keys: list[str], flag: str = "_found",
                 change_keys: list[str] | None = None) -> DataFrame:
+    """Left join ``flag`` = "the key of this change exists in ``table``".
+
+    The distinct requested keys are counted; when bounded they are broadcast
+    and the table is only scanned and probed (no shuffle of the base), and
+    the found keys (no more than the requested ones) are broadcast back.
+    Beyond the bound: distinct table keys, shuffle join."""
     ck = change_keys or keys
-    f = _flag(table, keys, flag)
-    if ck != keys:
-        f = f.select(*[F.col(k).alias(c) for k, c in zip(keys, ck)], flag)
-    return (changes.join(f, ck, "left")
+    req = changes.select(*[F.col(c).alias(k) for c, k in zip(ck, keys)]).distinct()
+    req_b, small = bounded_broadcast(req, KEYS_BROADCAST_ROWS)
+    if small:
+        found = F.broadcast(table.select(*keys).join(req_b, keys, "left_semi").distinct())
+    else:
+        found = table.select(*keys).distinct()
+    found = found.select(*[F.col(k).alias(c) for k, c in zip(keys, ck)]).withColumn(flag, F.lit(True))
+    return (changes.join(found, ck, "left")
             .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
 
 
@@ -78,9 +108,15 @@ def _last_by_seq(accepted: DataFrame, keys: list[str], values: list[str]) -> Dat
             .withColumn("_hit", F.lit(True)))
 
 
+def _small(reduced: DataFrame) -> DataFrame:
+    """Per-key reduced changes, broadcast when bounded so the base snapshot
+    streams through a hash join instead of being shuffled."""
+    return bounded_broadcast(reduced, UPDATE_BROADCAST_ROWS)[0]
+
+
 def _update(base: DataFrame, reduced: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
     cols = base.columns
-    j = base.join(reduced, keys, "left")
+    j = base.join(_small(reduced), keys, "left")
     return j.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
                       if c in values else F.col(c) for c in cols])
 
@@ -200,7 +236,7 @@ def stock_changes(t: Tables, changes: DataFrame) -> Applied:
                     F.max_by(F.try_to_date(F.col("date")), F.col("seq")).alias("_date"))
                .withColumn("_hit", F.lit(True)))
     base = t.inventory
-    j = base.join(reduced, "item_id", "left")
+    j = base.join(_small(reduced), "item_id", "left")
     table = j.select(
         "item_id", "name", "type",
         F.when(F.col("_hit"), (F.col("quantity") + F.col("_delta")).cast("int"))
@@ -294,7 +330,7 @@ def delete_workers(t: Tables, changes: DataFrame) -> Applied:
     checked = c.withColumn("reason", first_failing(
         (~F.col("_found") | (F.col("seq") != F.col("_first")), "Worker not found"))).drop("_found", "_first")
     accepted, rejects = _split(checked)
-    table = t.worker.join(accepted.select("id").distinct(), "id", "left_anti")
+    table = t.worker.join(_small(accepted.select("id").distinct()), "id", "left_anti")
     return Applied(table, rejects, accepted)
 
 
@@ -312,7 +348,7 @@ def complete_tasks(t: Tables, changes: DataFrame) -> Applied:
         (~F.col("_found"), "Task not found or not assigned to this worker"))).drop("_found")
     accepted, rejects = _split(checked)
     hits = accepted.select("task_id", "worker_id").distinct().withColumn("_hit", F.lit(True))
-    j = t.task.join(hits, ["task_id", "worker_id"], "left")
+    j = t.task.join(_small(hits), ["task_id", "worker_id"], "left")
     table = j.select(*[F.when(F.col("_hit"), F.lit("completed")).otherwise(F.col("status")).alias("status")
                        if c == "status" else F.col(c) for c in t.task.columns])
     return Applied(table, rejects, accepted)

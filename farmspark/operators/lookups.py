@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farmspark.plans.broadcast import small_keys
 from farmspark.sources.tables import Tables
 
 
@@ -27,7 +28,7 @@ def account_lookup(t: Tables, handles: DataFrame) -> DataFrame:
     """P-15 accounts whose name or e-mail equals the trimmed handle.  The
     reference keeps the first row of an unordered result; every match is
     returned here (order by id for the first)."""
-    h = handles.select(F.trim("handle").alias("handle")).distinct()
+    h = small_keys(handles.select(F.trim("handle").alias("handle")), ["handle"])
     a = accounts(t)
     by_name = h.join(a, h.handle == a.name, "inner")
     by_email = h.join(a, (h.handle == a.email) & ~F.coalesce(h.handle == a.name, F.lit(False)), "inner")
@@ -37,11 +38,10 @@ def account_lookup(t: Tables, handles: DataFrame) -> DataFrame:
 
 def find_by_email(t: Tables, emails: DataFrame) -> DataFrame:
     """P-16 account ids by exact e-mail (semi-join per account kind)."""
-    e = emails.select("email").distinct()
-    return accounts(t).join(e, "email", "left_semi").select("kind", "id", "email")
+    return accounts(t).join(small_keys(emails, ["email"]), "email", "left_semi").select("kind", "id", "email")
 
 
 def find_by_mobile(t: Tables, mobiles: DataFrame) -> DataFrame:
     """P-17 workers by mobile number."""
-    return (t.worker.join(mobiles.select("mobile_no").distinct(), "mobile_no", "left_semi")
+    return (t.worker.join(small_keys(mobiles, ["mobile_no"]), "mobile_no", "left_semi")
             .select("id", "name", "email", "mobile_no"))

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
+from farmspark.plans.broadcast import restrict_to_keys
 from farmspark.sources.tables import Tables
 
 
@@ -52,9 +53,9 @@ def _row(kind: str, ref: Column, recipient: Column, subject: Column, body: Colum
 
 def _with_customer_email(t: Tables, accepted: DataFrame) -> DataFrame:
     """accepted ⋈ order ⋈ customer, keeping only a usable e-mail (J-8)."""
-    oc = (t.customer_order.select("order_id", "customer_id")
-          .join(t.customer.select("customer_id", "email"), "customer_id", "inner"))
-    return accepted.join(oc, "order_id", "inner").where(~X.blank("email"))
+    o = restrict_to_keys(t.customer_order.select("order_id", "customer_id"), accepted, ["order_id"])
+    c = restrict_to_keys(t.customer.select("customer_id", "email"), o, ["customer_id"])
+    return accepted.join(o.join(c, "customer_id", "inner"), "order_id", "inner").where(~X.blank("email"))
 
 
 def order_status_notice(t: Tables, accepted: DataFrame) -> DataFrame:
@@ -77,8 +78,9 @@ def order_approval_notice(t: Tables, accepted: DataFrame) -> DataFrame:
 
 def purchase_order_notice(t: Tables, accepted: DataFrame) -> DataFrame:
     """N-3 new purchase order to its supplier (accepted C-3 rows with ids)."""
-    j = accepted.join(t.supplier.select("supplier_id", F.col("name").alias("_sname"),
-                                        F.col("email").alias("_semail")), "supplier_id", "inner")
+    s = restrict_to_keys(t.supplier, accepted, ["supplier_id"])
+    j = accepted.join(s.select("supplier_id", F.col("name").alias("_sname"), F.col("email").alias("_semail")),
+                      "supplier_id", "inner")
     return j.select(*_row(
         "purchase_order", F.col("supply_order_id"), F.col("_semail"), F.lit("New Purchase Order"),
         _lines("Hello ", _t("_sname"), ",\n\nA new purchase order has been created.\n\nOrder ID: ",
@@ -90,10 +92,12 @@ def supply_status_notice(t: Tables, accepted: DataFrame, cfg: NoticeConfig = DEF
     """N-4 owned supply status change to the manager.  The reference re-reads
     the order by id only and takes its first row; here the row with the
     lowest (supplier_id, item_id, order_date) is used, pre-aggregated per id."""
-    detail = (t.supply_orders
-              .join(t.inventory.select("item_id", F.col("name").alias("item_name")), "item_id", "left")
-              .join(t.supplier.select("supplier_id", F.col("name").alias("supplier_name")), "supplier_id", "left")
-              .join(accepted.select("supply_order_id").distinct(), "supply_order_id", "left_semi")
+    so = restrict_to_keys(t.supply_orders, accepted, ["supply_order_id"])
+    detail = (so
+              .join(restrict_to_keys(t.inventory, so, ["item_id"]).select("item_id", F.col("name").alias("item_name")),
+                    "item_id", "left")
+              .join(restrict_to_keys(t.supplier, so, ["supplier_id"])
+                    .select("supplier_id", F.col("name").alias("supplier_name")), "supplier_id", "left")
               .groupBy("supply_order_id")
               .agg(F.min_by(F.struct("item_name", "supplier_name", "order_date"),
                             F.struct("supplier_id", "item_id", "order_date")).alias("_r")))
@@ -109,7 +113,8 @@ def supply_status_notice(t: Tables, accepted: DataFrame, cfg: NoticeConfig = DEF
 
 def new_order_notice(t: Tables, accepted: DataFrame, cfg: NoticeConfig = DEFAULT) -> DataFrame:
     """N-5 order placed in the customer app, to the admin."""
-    j = accepted.join(t.customer.select("customer_id", "customer_name", "email"), "customer_id", "inner")
+    cu = restrict_to_keys(t.customer, accepted, ["customer_id"])
+    j = accepted.join(cu.select("customer_id", "customer_name", "email"), "customer_id", "inner")
     return j.select(*_row(
         "new_order", F.col("order_id"), F.lit(cfg.admin_email), F.lit("New Order Placed"),
         _lines("New order (ID: ", _t("order_id"), ") from ", _t("customer_name"), " (", _t("email"),

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
-from farmspark.plans.broadcast import bounded_broadcast
+from farmspark.plans.broadcast import bounded_broadcast, restrict_to_keys, small_keys
 from farmspark.sources.tables import Tables
 
 # The per-pond maxima are broadcast when at most this many ponds exist.
@@ -72,7 +72,7 @@ def approved_orders(t: Tables, ordered: bool = False) -> DataFrame:
 def order_items(t: Tables, order_ids: DataFrame) -> DataFrame:
     """P-7 item lines of the given orders with display text (T-19: NULL
     stays NULL instead of printing 'null Kg')."""
-    o = t.customer_order.join(order_ids.select("order_id").distinct(), "order_id", "left_semi")
+    o = restrict_to_keys(t.customer_order, order_ids, ["order_id"])
     return o.select("order_id",
                     F.col("prawn_type").alias("name"),
                     F.concat(F.col("quantity").cast("string"), F.lit(" Kg")).alias("quantity"),
@@ -81,26 +81,26 @@ def order_items(t: Tables, order_ids: DataFrame) -> DataFrame:
 
 def order_status(t: Tables, order_ids: DataFrame) -> DataFrame:
     """P-8 status of the given orders."""
-    return (t.customer_order.join(order_ids.select("order_id").distinct(), "order_id", "left_semi")
+    return (restrict_to_keys(t.customer_order, order_ids, ["order_id"])
             .select("order_id", "status"))
 
 
 def order_status_not_found(t: Tables, order_ids: DataFrame) -> DataFrame:
     """P-8 requested order ids that do not exist (404 list)."""
-    return (order_ids.select("order_id").distinct()
-            .join(t.customer_order.select("order_id"), "order_id", "left_anti"))
+    k = order_ids.select("order_id").distinct()
+    return k.join(restrict_to_keys(t.customer_order.select("order_id"), k, ["order_id"]), "order_id", "left_anti")
 
 
 def order_receipt_ref(t: Tables, order_ids: DataFrame) -> DataFrame:
     """P-9 receipt path; NULL or '' counts as not found."""
-    return (t.customer_order.join(order_ids.select("order_id").distinct(), "order_id", "left_semi")
+    return (restrict_to_keys(t.customer_order, order_ids, ["order_id"])
             .where(~X.blank("payment_receipt"))
             .select("order_id", "payment_receipt"))
 
 
 def customer_orders(t: Tables, customer_ids: DataFrame, ordered: bool = False) -> DataFrame:
     """P-10 orders of the given customers, newest first."""
-    o = (t.customer_order.join(customer_ids.select("customer_id").distinct(), "customer_id", "left_semi")
+    o = (restrict_to_keys(t.customer_order, customer_ids, ["customer_id"])
          .select("customer_id", "order_id", "prawn_type", "quantity", _money("price").alias("price"),
                  "status", "approved_or_rejected", "created_at", "updated_at"))
     return o.orderBy(F.desc("created_at")) if ordered else o
@@ -175,7 +175,7 @@ def sales_records(t: Tables, ordered: bool = False) -> DataFrame:
 
 def order_detail(t: Tables, order_ids: DataFrame) -> DataFrame:
     """J-3 order header; paid iff delivered."""
-    o = _order_customer(t).join(order_ids.select("order_id").distinct(), "order_id", "left_semi")
+    o = restrict_to_keys(_order_customer(t), order_ids, ["order_id"])
     return o.select(
         F.col("order_id").alias("orderId"), F.col("created_at").alias("orderDate"),
         F.when(F.col("status") == "Delivered", "Paid").otherwise("Pending").alias("paymentStatus"),
@@ -185,7 +185,7 @@ def order_detail(t: Tables, order_ids: DataFrame) -> DataFrame:
 
 def order_customer(t: Tables, order_ids: DataFrame) -> DataFrame:
     """J-4 contact of an order; the address comes from the order."""
-    o = _order_customer(t).join(order_ids.select("order_id").distinct(), "order_id", "left_semi")
+    o = restrict_to_keys(_order_customer(t), order_ids, ["order_id"])
     return o.select("order_id", F.col("customer_name").alias("name"), "address",
                     F.col("mobile_no").alias("phone"), "email")
 
@@ -211,7 +211,7 @@ def supply_order_detail(t: Tables) -> DataFrame:
 
 def supplier_orders(t: Tables, supplier_ids: DataFrame, ordered: bool = False) -> DataFrame:
     """J-7 orders of the given suppliers with item name, newest first."""
-    out = (t.supply_orders.join(supplier_ids.select("supplier_id").distinct(), "supplier_id", "left_semi")
+    out = (restrict_to_keys(t.supply_orders, supplier_ids, ["supplier_id"])
            .join(t.inventory.select("item_id", F.col("name").alias("item_name")), "item_id")
            .select(*SUPPLY_COLS, "item_name")
            .withColumn("price", _money("price")))
@@ -220,14 +220,14 @@ def supplier_orders(t: Tables, supplier_ids: DataFrame, ordered: bool = False) -
 
 def order_contact(t: Tables, order_ids: DataFrame) -> DataFrame:
     """J-8 customer e-mail of each given order; NULL/'' dropped."""
-    return (_order_customer(t).join(order_ids.select("order_id").distinct(), "order_id", "left_semi")
+    return (restrict_to_keys(_order_customer(t), order_ids, ["order_id"])
             .where(~X.blank("email"))
             .select("order_id", "email"))
 
 
 def order_message_rows(t: Tables, order_ids: DataFrame) -> DataFrame:
     """J-9 order + customer columns used by the update message (N-6)."""
-    return (_order_customer(t).join(order_ids.select("order_id").distinct(), "order_id", "left_semi")
+    return (restrict_to_keys(_order_customer(t), order_ids, ["order_id"])
             .select("order_id", "prawn_type", "quantity", _money("price").alias("price"), "status",
                     "approved_or_rejected", "created_at", "updated_at", "email", "customer_name"))
 
@@ -255,9 +255,9 @@ def latest_per_pond(t: Tables, broadcast_rows: int = LATEST_BROADCAST_ROWS,
 
 def worker_tasks(t: Tables, emails: DataFrame, ordered: bool = False) -> DataFrame:
     """J-11 tasks of the workers with the given e-mails, oldest first."""
-    w = (t.worker.join(emails.select("email").distinct(), "email", "left_semi")
+    w = (restrict_to_keys(t.worker, emails, ["email"])
          .select(F.col("id").alias("worker_id"), "email"))
-    out = (t.task.join(w, "worker_id", "inner")
+    out = (restrict_to_keys(t.task, w, ["worker_id"]).join(w, "worker_id", "inner")
            .select("email", "task_id", "title", "description", "worker_id", "status", "created_date"))
     return out.orderBy("created_date") if ordered else out
 
@@ -266,6 +266,6 @@ def exists_check(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """J-12 existence test of the reference ("query then test length") as a
     semi/anti pair: one row per distinct requested key with ``found``."""
     k = keys.select(key).distinct()
-    present = table.select(key)
+    present = restrict_to_keys(table.select(key), k, [key])
     return (k.join(present, key, "left_semi").withColumn("found", F.lit(True))
             .unionByName(k.join(present, key, "left_anti").withColumn("found", F.lit(False))))

@@ -23,3 +23,25 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
     if n <= max_rows:
         return F.broadcast(df), True
     return df, False
+
+
+# Request key sets (order ids, e-mails, handles …) are broadcast when at most
+# this many distinct keys are asked for at once: a few tens of MB of hashed
+# relation per executor.  Larger batches fall back to a shuffle join.
+KEYS_BROADCAST_ROWS = 1_000_000
+
+
+def small_keys(keys: DataFrame, cols: list[str], max_rows: int = KEYS_BROADCAST_ROWS) -> DataFrame:
+    """Distinct ``cols`` of ``keys``, broadcast-hinted when the count is
+    within ``max_rows``.  The distinct is a partial aggregate, so a key
+    repeated by a third of the requests is one row per task."""
+    k = keys.select(*cols).distinct()
+    return bounded_broadcast(k, max_rows)[0]
+
+
+def restrict_to_keys(big: DataFrame, keys: DataFrame, cols: list[str],
+                     max_rows: int = KEYS_BROADCAST_ROWS) -> DataFrame:
+    """``big LEFT SEMI JOIN distinct(keys)``.  For a bounded key set the big
+    table is only scanned and probed (no shuffle of it); beyond the bound
+    it is a shuffle semi-join."""
+    return big.join(small_keys(keys, cols, max_rows), cols, "left_semi")
