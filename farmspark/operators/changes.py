@@ -26,7 +26,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import contextmanager
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -43,11 +42,21 @@ ITEM_ID_PREFIX = r"^\s*([+-]?[0-9]+)"  # JS parseInt: leading integer of the tex
 UPDATE_BROADCAST_ROWS = 2_000_000
 
 
-@dataclass
 class Applied:
-    table: DataFrame      # new snapshot of the target table
-    rejects: DataFrame    # seq, reason
-    accepted: DataFrame   # accepted changes (with new ids for inserts)
+    """Result of one rule: ``table`` (new snapshot of the target table, built
+    on first use), ``rejects`` (seq, reason) and ``accepted`` (accepted
+    changes, with new ids for inserts)."""
+
+    def __init__(self, table: DataFrame | Callable[[], DataFrame], rejects: DataFrame, accepted: DataFrame):
+        self._table = table
+        self.rejects = rejects
+        self.accepted = accepted
+
+    @property
+    def table(self) -> DataFrame:
+        if callable(self._table):
+            self._table = self._table()
+        return self._table
 
 
 def first_failing(*rules: tuple[Column, str]) -> Column:
@@ -81,8 +90,10 @@ def _split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _with_found(changes: DataFrame, table: DataFrame, keys: list[str], flag: str = "_found",
-                change_keys: list[str] | None = None) -> DataFrame:
-    """Left join ``flag`` = "the key of this change exists in ``table``".
+                change_keys: list[str] | None = None) -> tuple[DataFrame, bool]:
+    """Left join ``flag`` = "the key of this change exists in ``table``";
+    also returns whether the requested key set was within the broadcast
+    bound (a per-key reduction of the accepted rows then has that bound too).
 
     The distinct requested keys are counted; when bounded they are broadcast
     and the table is only scanned and probed (no shuffle of the base), and
@@ -96,8 +107,9 @@ def _with_found(changes: DataFrame, table: DataFrame, keys: list[str], flag: str
     else:
         found = table.select(*keys).distinct()
     found = found.select(*[F.col(k).alias(c) for k, c in zip(keys, ck)]).withColumn(flag, F.lit(True))
-    return (changes.join(found, ck, "left")
-            .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
+    out = (changes.join(found, ck, "left")
+           .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
+    return out, small
 
 
 def _last_by_seq(accepted: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
@@ -108,15 +120,19 @@ def _last_by_seq(accepted: DataFrame, keys: list[str], values: list[str]) -> Dat
             .withColumn("_hit", F.lit(True)))
 
 
-def _small(reduced: DataFrame) -> DataFrame:
+def _small(reduced: DataFrame, known_bounded: bool = False) -> DataFrame:
     """Per-key reduced changes, broadcast when bounded so the base snapshot
-    streams through a hash join instead of being shuffled."""
+    streams through a hash join instead of being shuffled.  ``known_bounded``:
+    the keys are a subset of a key set already counted within the bound."""
+    if known_bounded:
+        return F.broadcast(reduced)
     return bounded_broadcast(reduced, UPDATE_BROADCAST_ROWS)[0]
 
 
-def _update(base: DataFrame, reduced: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+def _update(base: DataFrame, reduced: DataFrame, keys: list[str], values: list[str],
+            known_bounded: bool = False) -> DataFrame:
     cols = base.columns
-    j = base.join(_small(reduced), keys, "left")
+    j = base.join(_small(reduced, known_bounded), keys, "left")
     return j.select(*[F.when(F.col("_hit"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
                       if c in values else F.col(c) for c in cols])
 
@@ -148,7 +164,7 @@ def insert_orders(t: Tables, changes: DataFrame) -> Applied:
 def place_orders(t: Tables, changes: DataFrame) -> Applied:
     """C-2 customer app order: fields and receipt required, customer must
     exist; stored as status 'New', approval pending, receipt 'uploads/<f>'."""
-    c = _with_found(changes, t.customer, ["customer_id"])
+    c, _ = _with_found(changes, t.customer, ["customer_id"])
     checked = c.withColumn("reason", first_failing(
         (X.blank("prawn_type") | X.falsy_number("quantity") | X.falsy_number("price") | X.blank("location"),
          "Missing required fields"),
@@ -222,7 +238,7 @@ def stock_changes(t: Tables, changes: DataFrame) -> Applied:
     item = F.nullif(F.regexp_extract("item_id", ITEM_ID_PREFIX, 1), F.lit("")).try_cast("bigint")
     qty = X.parse_int_text("qty")
     c = changes.withColumn("_item", item).withColumn("_qty", qty)
-    c = _with_found(c, t.inventory, ["item_id"], change_keys=["_item"])
+    c, bounded = _with_found(c, t.inventory, ["item_id"], change_keys=["_item"])
     checked = c.withColumn("reason", first_failing(
         (F.col("_item").isNull(), "Valid item ID is required"),
         (X.blank("qty") | F.col("_qty").isNull() | (F.col("_qty") < 0),
@@ -236,7 +252,7 @@ def stock_changes(t: Tables, changes: DataFrame) -> Applied:
                     F.max_by(F.try_to_date(F.col("date")), F.col("seq")).alias("_date"))
                .withColumn("_hit", F.lit(True)))
     base = t.inventory
-    j = base.join(_small(reduced), "item_id", "left")
+    j = base.join(_small(reduced, bounded), "item_id", "left")
     table = j.select(
         "item_id", "name", "type",
         F.when(F.col("_hit"), (F.col("quantity") + F.col("_delta")).cast("int"))
@@ -250,41 +266,44 @@ def stock_changes(t: Tables, changes: DataFrame) -> Applied:
 
 def set_approval(t: Tables, changes: DataFrame) -> Applied:
     """C-8 action must be exactly 'approved' or 'rejected'; stored capitalised."""
-    c = _with_found(changes, t.customer_order, ["order_id"])
+    c, bounded = _with_found(changes, t.customer_order, ["order_id"])
     checked = c.withColumn("reason", first_failing(
         (F.col("action").isNull() | ~F.col("action").isin("approved", "rejected"), "Invalid action"),
         (~F.col("_found"), "Order not found"))).drop("_found")
     accepted, rejects = _split(checked)
     accepted = accepted.withColumn("approved_or_rejected", X.cap_first("action"))
     reduced = _last_by_seq(accepted, ["order_id"], ["approved_or_rejected"])
-    return Applied(_update(t.customer_order, reduced, ["order_id"], ["approved_or_rejected"]), rejects, accepted)
+    return Applied(lambda: _update(t.customer_order, reduced, ["order_id"], ["approved_or_rejected"], bounded),
+                   rejects, accepted)
 
 
 def set_order_status(t: Tables, changes: DataFrame, worker_app: bool = False) -> Applied:
     """C-9 web: non-empty status, order must exist.  Worker app: order id and
     status required, no existence check (an unknown id changes nothing)."""
+    bounded = False
     if worker_app:
         checked = changes.withColumn("reason", first_failing(
             (X.falsy_number("order_id") | X.blank("status"), "Order ID and status are required")))
     else:
-        c = _with_found(changes, t.customer_order, ["order_id"])
+        c, bounded = _with_found(changes, t.customer_order, ["order_id"])
         checked = c.withColumn("reason", first_failing(
             (X.blank("status"), "Status is required"),
             (~F.col("_found"), "Order not found"))).drop("_found")
     accepted, rejects = _split(checked)
     reduced = _last_by_seq(accepted, ["order_id"], ["status"])
-    return Applied(_update(t.customer_order, reduced, ["order_id"], ["status"]), rejects, accepted)
+    return Applied(lambda: _update(t.customer_order, reduced, ["order_id"], ["status"], bounded), rejects, accepted)
 
 
 def set_assigned_by(t: Tables, changes: DataFrame) -> Applied:
     """C-10 non-empty assigned_by; order must exist."""
-    c = _with_found(changes, t.customer_order, ["order_id"])
+    c, bounded = _with_found(changes, t.customer_order, ["order_id"])
     checked = c.withColumn("reason", first_failing(
         (X.blank("assigned_by"), "Assigned By field is required"),
         (~F.col("_found"), "Order not found"))).drop("_found")
     accepted, rejects = _split(checked)
     reduced = _last_by_seq(accepted, ["order_id"], ["assigned_by"])
-    return Applied(_update(t.customer_order, reduced, ["order_id"], ["assigned_by"]), rejects, accepted)
+    return Applied(lambda: _update(t.customer_order, reduced, ["order_id"], ["assigned_by"], bounded), rejects,
+                   accepted)
 
 
 def set_supply_status(t: Tables, changes: DataFrame) -> Applied:
@@ -293,44 +312,44 @@ def set_supply_status(t: Tables, changes: DataFrame) -> Applied:
         (X.falsy_number("supply_order_id") | X.blank("status"), "Order ID and status are required")))
     accepted, rejects = _split(checked)
     reduced = _last_by_seq(accepted, ["supply_order_id"], ["status"])
-    return Applied(_update(t.supply_orders, reduced, ["supply_order_id"], ["status"]), rejects, accepted)
+    return Applied(lambda: _update(t.supply_orders, reduced, ["supply_order_id"], ["status"]), rejects, accepted)
 
 
 def set_supply_status_owned(t: Tables, changes: DataFrame) -> Applied:
     """C-12 by (supply_order_id, supplier_id); a non-owner is rejected."""
     keys = ["supply_order_id", "supplier_id"]
-    c = _with_found(changes, t.supply_orders, keys)
+    c, bounded = _with_found(changes, t.supply_orders, keys)
     checked = c.withColumn("reason", first_failing(
         (X.falsy_number("supplier_id") | X.falsy_number("supply_order_id") | X.blank("status"),
          "Supplier ID, Order ID, and status are required"),
         (~F.col("_found"), "Order not found or not owned by this supplier"))).drop("_found")
     accepted, rejects = _split(checked)
     reduced = _last_by_seq(accepted, keys, ["status"])
-    return Applied(_update(t.supply_orders, reduced, keys, ["status"]), rejects, accepted)
+    return Applied(lambda: _update(t.supply_orders, reduced, keys, ["status"], bounded), rejects, accepted)
 
 
 def update_workers(t: Tables, changes: DataFrame) -> Applied:
     """C-13 name, email and mobile_no all required; worker must exist."""
-    c = _with_found(changes, t.worker, ["id"])
+    c, bounded = _with_found(changes, t.worker, ["id"])
     checked = c.withColumn("reason", first_failing(
         (X.blank("name") | X.blank("email") | X.blank("mobile_no"), "Name, email, and mobile_no are required"),
         (~F.col("_found"), "Worker not found"))).drop("_found")
     accepted, rejects = _split(checked)
     vals = ["name", "email", "mobile_no"]
     reduced = _last_by_seq(accepted, ["id"], vals)
-    return Applied(_update(t.worker, reduced, ["id"], vals), rejects, accepted)
+    return Applied(lambda: _update(t.worker, reduced, ["id"], vals, bounded), rejects, accepted)
 
 
 def delete_workers(t: Tables, changes: DataFrame) -> Applied:
     """C-14 delete by id.  An unknown id is rejected; so is a repeated delete
     of the same id later in the batch (the row is already gone)."""
-    c = _with_found(changes, t.worker, ["id"])
+    c, bounded = _with_found(changes, t.worker, ["id"])
     first = changes.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("seq").alias("_first"))
     c = c.join(first, "id", "left")
     checked = c.withColumn("reason", first_failing(
         (~F.col("_found") | (F.col("seq") != F.col("_first")), "Worker not found"))).drop("_found", "_first")
     accepted, rejects = _split(checked)
-    table = t.worker.join(_small(accepted.select("id").distinct()), "id", "left_anti")
+    table = t.worker.join(_small(accepted.select("id").distinct(), bounded), "id", "left_anti")
     return Applied(table, rejects, accepted)
 
 
@@ -341,14 +360,14 @@ def complete_tasks(t: Tables, changes: DataFrame) -> Applied:
     # deterministic choice
     w = t.worker.where(F.col("email").isNotNull()).groupBy("email").agg(F.min("id").alias("worker_id"))
     c = changes.join(w, "email", "left")
-    c = _with_found(c, t.task, ["task_id", "worker_id"])
+    c, bounded = _with_found(c, t.task, ["task_id", "worker_id"])
     checked = c.withColumn("reason", first_failing(
         (F.col("task_id").isNull(), "Task ID is required"),
         (F.col("worker_id").isNull(), "Worker not found"),
         (~F.col("_found"), "Task not found or not assigned to this worker"))).drop("_found")
     accepted, rejects = _split(checked)
     hits = accepted.select("task_id", "worker_id").distinct().withColumn("_hit", F.lit(True))
-    j = t.task.join(_small(hits), ["task_id", "worker_id"], "left")
+    j = t.task.join(_small(hits, bounded), ["task_id", "worker_id"], "left")
     table = j.select(*[F.when(F.col("_hit"), F.lit("completed")).otherwise(F.col("status")).alias("status")
                        if c == "status" else F.col(c) for c in t.task.columns])
     return Applied(table, rejects, accepted)
@@ -379,7 +398,7 @@ def register_accounts(t: Tables, changes: DataFrame) -> dict[str, Applied]:
                     id_col: str) -> Applied:
         k = c.where(F.col("kind") == kind)
         required = ~(X.blank("name") | X.blank("email") | X.blank("mobile_no"))
-        k = _with_found(k, table, [email_col], change_keys=["email"])
+        k, _ = _with_found(k, table, [email_col], change_keys=["email"])
         k = _first_writer(k, "email", required & ~F.col("_found"))
         checked = k.withColumn("reason", first_failing(
             (~required, "All fields are required"),
@@ -402,7 +421,7 @@ def register_accounts(t: Tables, changes: DataFrame) -> dict[str, Applied]:
     # users: serviceId (name field of the feed), email, phone
     u = c.where(F.col("kind") == "user")
     required = ~(X.blank("name") | X.blank("email") | X.blank("mobile_no"))
-    u = _with_found(u, t.users, ["email"])
+    u, _ = _with_found(u, t.users, ["email"])
     u = _first_writer(u, "email", required & ~F.col("_found"))
     checked = u.withColumn("reason", first_failing(
         (~required, "All fields are required"),
@@ -414,10 +433,10 @@ def register_accounts(t: Tables, changes: DataFrame) -> dict[str, Applied]:
 
     # workers: mobile number first, then the unique e-mail (insert failure)
     w = c.where(F.col("kind") == "worker")
-    w = _with_found(w, t.worker, ["mobile_no"], flag="_mob")
+    w, _ = _with_found(w, t.worker, ["mobile_no"], flag="_mob")
     w = _first_writer(w, "mobile_no", ~F.col("_mob"))
     mobile_ok = ~F.col("_mob") & (F.col("mobile_no").isNull() | (F.col("seq") == F.col("_first_mobile_no")))
-    w = _with_found(w, t.worker, ["email"], flag="_mail")
+    w, _ = _with_found(w, t.worker, ["email"], flag="_mail")
     w = _first_writer(w, "email", mobile_ok & ~F.col("_mail"))
     checked = w.withColumn("reason", first_failing(
         (~mobile_ok, "Mobile number already exists"),

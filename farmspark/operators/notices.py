@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
-from farmspark.plans.broadcast import restrict_to_keys
+from farmspark.plans.broadcast import restrict_to_keys, small_keys_flag
 from farmspark.sources.tables import Tables
 
 
@@ -53,8 +53,15 @@ def _row(kind: str, ref: Column, recipient: Column, subject: Column, body: Colum
 
 def _with_customer_email(t: Tables, accepted: DataFrame) -> DataFrame:
     """accepted ⋈ order ⋈ customer, keeping only a usable e-mail (J-8)."""
-    o = restrict_to_keys(t.customer_order.select("order_id", "customer_id"), accepted, ["order_id"])
-    c = restrict_to_keys(t.customer.select("customer_id", "email"), o, ["customer_id"])
+    k, bounded = small_keys_flag(accepted, ["order_id"])
+    o = t.customer_order.select("order_id", "customer_id").join(k, "order_id", "left_semi")
+    if bounded:
+        # order_id is the key of customer_order: at most one customer per
+        # requested order, so this key set has the same proven bound
+        c = t.customer.select("customer_id", "email").join(
+            F.broadcast(o.select("customer_id").distinct()), "customer_id", "left_semi")
+    else:
+        c = restrict_to_keys(t.customer.select("customer_id", "email"), o, ["customer_id"])
     return accepted.join(o.join(c, "customer_id", "inner"), "order_id", "inner").where(~X.blank("email"))
 
 

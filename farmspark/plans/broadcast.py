@@ -31,12 +31,18 @@ def bounded_broadcast(df: DataFrame, max_rows: int) -> tuple[DataFrame, bool]:
 KEYS_BROADCAST_ROWS = 1_000_000
 
 
-def small_keys(keys: DataFrame, cols: list[str], max_rows: int = KEYS_BROADCAST_ROWS) -> DataFrame:
+def small_keys_flag(keys: DataFrame, cols: list[str],
+                    max_rows: int = KEYS_BROADCAST_ROWS) -> tuple[DataFrame, bool]:
     """Distinct ``cols`` of ``keys``, broadcast-hinted when the count is
-    within ``max_rows``.  The distinct is a partial aggregate, so a key
-    repeated by a third of the requests is one row per task."""
+    within ``max_rows``; the flag tells whether the bound held.  The
+    distinct is a partial aggregate, so a key repeated by a third of the
+    requests is one row per task."""
     k = keys.select(*cols).distinct()
-    return bounded_broadcast(k, max_rows)[0]
+    return bounded_broadcast(k, max_rows)
+
+
+def small_keys(keys: DataFrame, cols: list[str], max_rows: int = KEYS_BROADCAST_ROWS) -> DataFrame:
+    return small_keys_flag(keys, cols, max_rows)[0]
 
 
 def restrict_to_keys(big: DataFrame, keys: DataFrame, cols: list[str],

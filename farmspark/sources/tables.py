@@ -16,7 +16,7 @@ the consuming query down to the scan.
 from __future__ import annotations
 
 import os
-from dataclasses import dataclass, field
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,19 +157,32 @@ def adapt_feeding_schedule(nation: DataFrame) -> DataFrame:
         ((k * 3540) % 86400).cast("int").alias("feeding_sec"))
 
 
-@dataclass
 class Tables:
-    """The business tables as DataFrames (lazy; nothing is read until used)."""
+    """The business tables as DataFrames.  Frames are built on first use,
+    so a query only lists and plans the tables it reads."""
 
-    spark: SparkSession
-    frames: dict[str, DataFrame] = field(default_factory=dict)
-    raw_dir: str | None = None
+    def __init__(self, spark: SparkSession, frames: dict[str, DataFrame | Callable[[], DataFrame]],
+                 raw_dir: str | None = None):
+        self.spark = spark
+        self._thunks = dict(frames)
+        self._built: dict[str, DataFrame] = {}
+        self.raw_dir = raw_dir
+
+    @property
+    def frames(self) -> dict[str, DataFrame]:
+        return {n: getattr(self, n) for n in self._thunks}
 
     def __getattr__(self, name: str) -> DataFrame:
-        frames = self.__dict__.get("frames", {})
-        if name in frames:
-            return frames[name]
-        raise AttributeError(name)
+        if name.startswith("_") or name in ("spark", "raw_dir"):
+            raise AttributeError(name)
+        built = self.__dict__["_built"]
+        if name not in built:
+            thunks = self.__dict__["_thunks"]
+            if name not in thunks:
+                raise AttributeError(name)
+            f = thunks[name]
+            built[name] = f() if callable(f) else f
+        return built[name]
 
     def raw(self, name: str) -> DataFrame:
         if self.raw_dir is None:
@@ -180,16 +193,16 @@ class Tables:
     def from_driver(cls, spark: SparkSession, sf_dir: str) -> "Tables":
         r = lambda n: read_raw(spark, sf_dir, n)
         frames = {
-            "customer_order": adapt_customer_order(r("orders"), r("lineitem")),
-            "customer": adapt_customer(r("customer")),
-            "supplier": adapt_supplier(r("supplier")),
-            "worker": adapt_worker(r("nation")),
-            "users": adapt_users(r("customer")),
-            "inventory": adapt_inventory(r("part")),
-            "supply_orders": adapt_supply_orders(r("lineitem")),
-            "sensors_data": adapt_sensors_data(r("events")),
-            "task": adapt_task(r("events")),
-            "feeding_schedule": adapt_feeding_schedule(r("nation")),
+            "customer_order": lambda: adapt_customer_order(r("orders"), r("lineitem")),
+            "customer": lambda: adapt_customer(r("customer")),
+            "supplier": lambda: adapt_supplier(r("supplier")),
+            "worker": lambda: adapt_worker(r("nation")),
+            "users": lambda: adapt_users(r("customer")),
+            "inventory": lambda: adapt_inventory(r("part")),
+            "supply_orders": lambda: adapt_supply_orders(r("lineitem")),
+            "sensors_data": lambda: adapt_sensors_data(r("events")),
+            "task": lambda: adapt_task(r("events")),
+            "feeding_schedule": lambda: adapt_feeding_schedule(r("nation")),
         }
         return cls(spark, frames, sf_dir)
 
@@ -200,11 +213,11 @@ class Tables:
         for name, schema in schemas.BUSINESS.items():
             path = os.path.join(root, name)
             if os.path.exists(path) or "://" in root:
-                frames[name] = spark.read.schema(schema).parquet(path)
+                frames[name] = (lambda p=path, sc=schema: spark.read.schema(sc).parquet(p))
         return cls(spark, frames, None)
 
     def with_table(self, name: str, df: DataFrame) -> "Tables":
-        frames = dict(self.frames)
+        frames = dict(self._thunks)
         frames[name] = df
         return Tables(self.spark, frames, self.raw_dir)
 
