@@ -158,3 +158,28 @@ def stamp_bounds(col, start: str, end: str) -> Column:
     00:00 (purchase report, T-6)."""
     x = c(col)
     return x.between(F.lit(start).cast("timestamp_ntz"), F.lit(end).cast("timestamp_ntz"))
+
+
+# --- partition pruning on our own snapshot layout ----------------------------
+# Snapshots written by farmspark.plans.jobs partition the time-series tables
+# by ``ym`` = year * 100 + month of their timestamp, so a date-bounded query
+# also prunes whole folders (PartitionFilters), not only row groups.
+PART_COL = "ym"
+PARTITIONED = {"customer_order": "created_at", "supply_orders": "order_date", "sensors_data": "Updated_at"}
+
+
+def ym_of(ts) -> Column:
+    x = c(ts)
+    return (F.year(x) * 100 + F.month(x)).cast("int")
+
+
+def _ym(day: str) -> int:
+    return int(day[0:4]) * 100 + int(day[5:7])
+
+
+def prune_months(df, first_day: str, last_day: str):
+    """Add ``ym BETWEEN`` for the months of [first_day, last_day] when the
+    frame comes from a partitioned snapshot; otherwise a no-op."""
+    if PART_COL not in df.columns:
+        return df
+    return df.where(F.col(PART_COL).between(_ym(first_day), _ym(last_day)))

@@ -158,7 +158,7 @@ def insert_orders(t: Tables, changes: DataFrame) -> Applied:
         *[F.lit(None).cast("string").alias(c) for c in ("approved_or_rejected", "payment_receipt",
                                                           "address", "assigned_by")],
         F.col("created_at").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    return Applied(base.unionByName(new_rows), rejects, accepted)
+    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted)
 
 
 def place_orders(t: Tables, changes: DataFrame) -> Applied:
@@ -180,7 +180,7 @@ def place_orders(t: Tables, changes: DataFrame) -> Applied:
         F.concat(F.lit("uploads/"), F.col("receipt")).alias("payment_receipt"),
         F.col("location").alias("address"), F.lit(None).cast("string").alias("assigned_by"),
         F.col("created_at").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    return Applied(base.unionByName(new_rows), rejects, accepted)
+    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted)
 
 
 def insert_supply_orders(t: Tables, changes: DataFrame) -> Applied:
@@ -196,7 +196,7 @@ def insert_supply_orders(t: Tables, changes: DataFrame) -> Applied:
         "supply_order_id", "supplier_id", "item_id", F.col("quantity").cast("int"),
         F.col("price").cast(schemas.MONEY), F.lit("New").alias("status"),
         F.col("order_date").cast("timestamp_ntz"))
-    return Applied(base.unionByName(new_rows), rejects, accepted)
+    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted)
 
 
 def insert_inventory(t: Tables, changes: DataFrame) -> Applied:
@@ -212,7 +212,7 @@ def insert_inventory(t: Tables, changes: DataFrame) -> Applied:
     new_rows = accepted.select("item_id", "name", "type", "quantity",
                                F.lit(None).cast("int").alias("threshold"),
                                F.lit(None).cast("date").alias("date"))
-    return Applied(base.unionByName(new_rows), rejects, accepted)
+    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted)
 
 
 def insert_tasks(t: Tables, changes: DataFrame) -> Applied:
@@ -223,7 +223,7 @@ def insert_tasks(t: Tables, changes: DataFrame) -> Applied:
                                F.lit("pending").alias("status"),
                                F.col("created_date").cast("timestamp_ntz"))
     rejects = changes.where(F.lit(False)).select("seq", F.lit(None).cast("string").alias("reason"))
-    return Applied(base.unionByName(new_rows), rejects, accepted)
+    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted)
 
 
 # ---------------------------------------------------------------- stock moves

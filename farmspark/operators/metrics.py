@@ -75,7 +75,8 @@ def sales_count_by_month_name(t: Tables, ordered: bool = False) -> DataFrame:
 
 def _recent(t: Tables, as_of_year: int) -> DataFrame:
     # T-5: the reference reads the server clock; here the year is a parameter
-    return t.customer_order.where(X.year_range("created_at", [as_of_year - 1, as_of_year]))
+    o = X.prune_months(t.customer_order, f"{as_of_year - 1}-01-01", f"{as_of_year}-12-31")
+    return o.where(X.year_range("created_at", [as_of_year - 1, as_of_year]))
 
 
 def qty_daily(t: Tables, as_of_year: int, ordered: bool = False) -> DataFrame:

@@ -28,7 +28,7 @@ def sales_report(t: Tables, start: str | None = None, end: str | None = None) ->
     """R-1 completed/delivered sales; date as 'Wednesday 5 January 2000'."""
     o = t.customer_order.where(F.col("status").isin(*X.SALE_STATUSES))
     if _both(start, end):
-        o = o.where(X.day_bounds("created_at", start, end))
+        o = X.prune_months(o, start, end).where(X.day_bounds("created_at", start, end))
     return (o.join(t.customer, "customer_id", "inner")
             .select(F.col("order_id").alias("Order ID"), F.col("customer_name").alias("Customer"),
                     X.fmt("created_at", X.LONG_DATE).alias("Date"), F.col("status").alias("Status"),
@@ -40,7 +40,7 @@ def purchase_report(t: Tables, start: str | None = None, end: str | None = None)
     """R-2 supply orders with supplier and item names; end day cut at 00:00."""
     so = t.supply_orders
     if _both(start, end):
-        so = so.where(X.stamp_bounds("order_date", start, end))
+        so = X.prune_months(so, start, end).where(X.stamp_bounds("order_date", start, end))
     return (so.join(t.supplier.select("supplier_id", F.col("name").alias("supplier_name")), "supplier_id")
             .join(t.inventory.select("item_id", "name"), "item_id")
             .select(F.col("supply_order_id").alias("Order ID"), F.col("supplier_name").alias("Supplier Name"),
@@ -53,7 +53,7 @@ def water_report(t: Tables, start: str | None = None, end: str | None = None) ->
     """R-3 readings; TDS is labelled 'Salinity level'."""
     s = t.sensors_data
     if _both(start, end):
-        s = s.where(X.day_bounds("Updated_at", start, end))
+        s = X.prune_months(s, start, end).where(X.day_bounds("Updated_at", start, end))
     return s.select(F.col("Pond_ID").alias("Pond ID"), X.fmt("Updated_at", X.WATER_DATE).alias("Date"),
                     X.hour_text("Updated_at").alias("Time"), F.col("Water_Level").alias("Water level"),
                     F.col("pH").alias("pH level"), F.col("TDS").alias("Salinity level"),

@@ -65,7 +65,7 @@ def apply_batch(spark: SparkSession, snapshot_in: str, changes_path: str, rule:
         res = r.apply(t, changes)
     out = {"table": os.path.join(out_root, r.table), "rejects": os.path.join(out_root, "_rejects", rule)}
     res.rejects.write.mode("overwrite").parquet(out["rejects"])
-    res.table.write.mode("overwrite").parquet(out["table"])
+    write_table(res.table, out_root, r.table)
     if r.notice is not None and outbox_path:
         append_outbox(r.notice(t, res.accepted), outbox_path)
         out["outbox"] = outbox_path
@@ -85,7 +85,7 @@ def register_batch(spark: SparkSession, snapshot_in: str, changes_path: str, out
     rejects = None
     for kind, table in names.items():
         p = os.path.join(out_root, table)
-        res[kind].table.write.mode("overwrite").parquet(p)
+        write_table(res[kind].table, out_root, table)
         out[table] = p
         rejects = res[kind].rejects if rejects is None else rejects.unionByName(res[kind].rejects)
     out["rejects"] = os.path.join(out_root, "_rejects", "register_accounts")
@@ -111,16 +111,28 @@ def report(spark: SparkSession, snapshot: str, name: str, out: str, start: str |
     write_report(df, out, fmt=fmt)
 
 
+def write_table(df: DataFrame, root: str, name: str) -> str:
+    """Write one business table with its declared schema to ``root/name``;
+    time-series tables are partitioned by month (``ym``) of their timestamp."""
+    from farmspark.functions.exprs import PART_COL, PARTITIONED, ym_of
+    from farmspark.sources import schemas
+    schema = schemas.BUSINESS[name]
+    out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
+    path = os.path.join(root, name)
+    w = out.write.mode("overwrite")
+    if name in PARTITIONED:
+        w = out.withColumn(PART_COL, ym_of(PARTITIONED[name])).write.mode("overwrite").partitionBy(PART_COL)
+    w.parquet(path)
+    return path
+
+
 def write_snapshot(t: Tables, root: str, names: list[str] | None = None) -> None:
     """Write business tables (e.g. built from the driver data) as a snapshot
     that :meth:`Tables.from_snapshot` reads back with the declared schemas."""
     from farmspark.sources import schemas
     for name in names or list(schemas.BUSINESS):
-        if name in t.frames:
-            df = t.frames[name]
-            schema = schemas.BUSINESS[name]
-            df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields]) \
-              .write.mode("overwrite").parquet(os.path.join(root, name))
+        if name in t._thunks:
+            write_table(getattr(t, name), root, name)
 
 
-__all__ = ["RULES", "apply_batch", "register_batch", "report", "write_snapshot"]
+__all__ = ["RULES", "apply_batch", "register_batch", "report", "write_snapshot", "write_table"]

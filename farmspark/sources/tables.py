@@ -20,6 +20,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from farmspark.sources import schemas
 
@@ -209,9 +210,13 @@ class Tables:
     @classmethod
     def from_snapshot(cls, spark: SparkSession, root: str) -> "Tables":
         """Read business tables written by :func:`farmspark.plans.jobs.write_snapshot`."""
+        from farmspark.functions.exprs import PART_COL, PARTITIONED
         frames = {}
         for name, schema in schemas.BUSINESS.items():
             path = os.path.join(root, name)
+            if name in PARTITIONED:
+                # the month partition column rides along so date filters can prune
+                schema = T.StructType(schema.fields + [T.StructField(PART_COL, T.IntegerType(), True)])
             if os.path.exists(path) or "://" in root:
                 frames[name] = (lambda p=path, sc=schema: spark.read.schema(sc).parquet(p))
         return cls(spark, frames, None)

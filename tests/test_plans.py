@@ -37,6 +37,8 @@ def test_report_range_reaches_scan(snapshot):
     pushed = [ln for ln in plan.splitlines() if "PushedFilters" in ln and "created_at" in ln]
     assert pushed and "GreaterThanOrEqual(created_at" in pushed[0] and "LessThan(created_at" in pushed[0]
     assert "In(status" in plan or "In(status," in plan
+    parts = [ln for ln in plan.splitlines() if "PartitionFilters" in ln and "ym" in ln]
+    assert parts and "200001" in parts[0] and "200003" in parts[0]  # month folders pruned
 
 
 def test_year_filter_reaches_scan(snapshot):
