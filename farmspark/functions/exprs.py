@@ -183,3 +183,28 @@ def prune_months(df, first_day: str, last_day: str):
     if PART_COL not in df.columns:
         return df
     return df.where(F.col(PART_COL).between(_ym(first_day), _ym(last_day)))
+
+
+# --- naive-timestamp arithmetic, independent of the session time zone --------
+# Casting TIMESTAMP_NTZ to TIMESTAMP (and date_trunc / timestamp_diff on NTZ)
+# goes through the session zone and moves wall-clock times that fall in a
+# DST gap.  These helpers only use the date and clock fields.
+DAY_MS = 86_400_000
+
+
+def ntz_millis(ts) -> Column:
+    """Milliseconds since 1970-01-01 00:00 of a naive timestamp."""
+    x = c(ts)
+    return (F.unix_date(F.to_date(x)).cast("long") * DAY_MS
+            + (F.hour(x) * 3600 + F.minute(x) * 60).cast("long") * 1000
+            + F.floor(F.extract(F.lit("SECOND"), x) * 1000).cast("long"))
+
+
+def ntz_from_millis(ms) -> Column:
+    return F.timestamp_add("MILLISECOND", c(ms), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def ntz_minute(ts) -> Column:
+    """Naive timestamp truncated to the minute."""
+    x = c(ts)
+    return F.make_timestamp_ntz(F.year(x), F.month(x), F.dayofmonth(x), F.hour(x), F.minute(x), F.lit(0))

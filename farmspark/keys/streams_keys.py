@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from farmspark.functions import exprs as X
 from farmspark.registry import query
 from farmspark.session import scratch_path
 from farmspark.sources import feeds
@@ -112,7 +113,7 @@ def _reminder_fire(t):
     src = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
     q = (RM.reminder_stream(src.select(*RM.STREAM_EVENT_COLS).where(F.col("kind") == RM.DUE),
                             src.where(F.col("kind") == RM.ACK)
-                            .select("feeding_ID", F.timestamp_millis("seq").cast("timestamp_ntz").alias("ack_ts")))
+                            .select("feeding_ID", X.ntz_from_millis("seq").alias("ack_ts")))
          .writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt")
          .trigger(availableNow=True).start(f"{base}/out"))
     q.awaitTermination()

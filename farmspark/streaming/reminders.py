@@ -43,8 +43,8 @@ REMINDER_SCHEMA = ("feeding_ID long, pond_ID int, reminder_time string, message
 
 
 def to_ms(ts) -> Column:
-    """TIMESTAMP_NTZ → epoch milliseconds (session time zone is UTC)."""
-    return F.unix_millis(X.c(ts).cast("timestamp"))
+    """TIMESTAMP_NTZ → epoch milliseconds, whatever the session time zone."""
+    return X.ntz_millis(ts)
 
 
 def schedule_minutes(schedule: DataFrame) -> DataFrame:
@@ -59,8 +59,7 @@ def schedule_minutes(schedule: DataFrame) -> DataFrame:
 
 def minute_ticks(ts_frame: DataFrame, ts_col: str = "ts") -> DataFrame:
     """Distinct whole-minute ticks covering the timestamps of a frame."""
-    return (ts_frame.select(F.date_trunc("minute", F.col(ts_col)).cast("timestamp_ntz").alias("tick_ts"))
-            .distinct())
+    return ts_frame.select(X.ntz_minute(ts_col).alias("tick_ts")).distinct()
 
 
 def due_events(schedule: DataFrame, ticks: DataFrame) -> DataFrame:

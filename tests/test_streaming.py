@@ -7,6 +7,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
+from farmspark.functions import exprs as X
 from farmspark.streaming import alerts as AL
 from farmspark.streaming import reminders as RM
 from farmspark.streaming import sensor_ingest as SI
@@ -73,14 +74,14 @@ def test_reminder_stream_matches_batch_across_restart(spark, tmp_path):
     ev = RM.stream_events(dues, acks)
     schema = ev.schema
     src, out, ck = (str(tmp_path / n) for n in ("src", "out", "ck"))
-    first = ev.where(F.col("seq") < F.unix_millis(F.lit("2024-01-01 00:03:30").cast("timestamp")))
+    first = ev.where(F.col("seq") < RM.to_ms(F.lit("2024-01-01 00:03:30").cast("timestamp_ntz")))
     second = ev.subtract(first)
 
     def run():
         s = spark.readStream.schema(schema).parquet(src)
         q = (RM.reminder_stream(s.where(F.col("kind") == RM.DUE),
                                 s.where(F.col("kind") == RM.ACK)
-                                .select("feeding_ID", F.timestamp_millis("seq").cast("timestamp_ntz").alias("ack_ts")))
+                                .select("feeding_ID", X.ntz_from_millis("seq").alias("ack_ts")))
              .writeStream.format("parquet").option("checkpointLocation", ck)
              .trigger(availableNow=True).start(out))
         q.awaitTermination()
@@ -108,3 +109,20 @@ def test_dues_plan_is_equi_join(spark, n):
     dues, _ = _reminder_inputs(spark)
     plan = explain_text(dues)
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_naive_time_helpers_ignore_session_zone(spark):
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame([("2024-03-10 02:30:15.123",)], "x string").select(
+            F.col("x").cast("timestamp_ntz").alias("t"))
+        r = df.select(X.ntz_millis("t").alias("ms"), X.ntz_minute("t").alias("m"),
+                      X.ntz_from_millis(X.ntz_millis("t")).alias("back")).first()
+        assert r.ms == 1710037815123  # 2024-03-10T02:30:15.123 as naive UTC-less arithmetic
+        assert r.m == dt.datetime(2024, 3, 10, 2, 30) and r.back == dt.datetime(2024, 3, 10, 2, 30, 15, 123000)
+        dues, acks = _reminder_inputs(spark)
+        got = sorted(x.reminder_time for x in RM.reminder_batch(dues, acks).collect())
+        assert got == ["00:00:00", "00:04:00"]
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)
