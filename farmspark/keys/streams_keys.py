@@ -96,6 +96,12 @@ query("reminder_open", f"""
       feeds=("ticks", "feeding_acks"), extra=_EV)(
     lambda t: RM.reminder_open(_dues(t), feeds.feeding_acks(t)))
 
+query("reminder_ack", """
+    SELECT feeding_ID, date_trunc('minute', epoch_ms(seq)) AS ack_minute,
+           'Reminder ' || CAST(feeding_ID AS VARCHAR) || ' acknowledged' AS message
+    FROM lagged WHERE kind = 'ack' AND prev = 'due'""", feeds=("ticks", "feeding_acks"), extra=_EV)(
+    lambda t: RM.reminder_ack(_dues(t), feeds.feeding_acks(t)))
+
 
 def _reminder_fire(t):
     """ST-2b/c through Structured Streaming: the due and ack events are

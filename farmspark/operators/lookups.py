@@ -24,14 +24,24 @@ def accounts(t: Tables) -> DataFrame:
                                            "name", "email")))
 
 
-def account_lookup(t: Tables, handles: DataFrame) -> DataFrame:
+def _coll(c, collation: str | None):
+    return F.collate(c, collation) if collation else c
+
+
+def account_lookup(t: Tables, handles: DataFrame, collation: str | None = None) -> DataFrame:
     """P-15 accounts whose name or e-mail equals the trimmed handle.  The
     reference keeps the first row of an unordered result; every match is
-    returned here (order by id for the first)."""
+    returned here (order by id for the first).
+
+    Comparison is binary by default; ``collation`` (e.g. ``"UTF8_LCASE"`` or
+    ``"UNICODE_CI_AI"``) gives the case-insensitive match of a MySQL default
+    collation.  Collated keys still plan as hash joins."""
     h = small_keys(handles.select(F.trim("handle").alias("handle")), ["handle"])
-    a = accounts(t)
-    by_name = h.join(a, h.handle == a.name, "inner")
-    by_email = h.join(a, (h.handle == a.email) & ~F.coalesce(h.handle == a.name, F.lit(False)), "inner")
+    h = h.select(F.col("handle"), _coll(F.col("handle"), collation).alias("_h"))
+    a = accounts(t).select("kind", "id", "name", "email", _coll(F.col("name"), collation).alias("_n"),
+                           _coll(F.col("email"), collation).alias("_e"))
+    by_name = h.join(a, h._h == a._n, "inner")
+    by_email = h.join(a, (h._h == a._e) & ~F.coalesce(h._h == a._n, F.lit(False)), "inner")
     cols = [h.handle, a.kind, a.id, a.name, a.email]
     return by_name.select(*cols).unionByName(by_email.select(*cols))
 

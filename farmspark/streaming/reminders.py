@@ -128,6 +128,19 @@ def reminder_open(dues: DataFrame, acks: DataFrame) -> DataFrame:
     return reminder_fields(latest_fire.join(last.where(F.col("_last") == DUE), "feeding_ID", "left_semi"))
 
 
+def reminder_ack(dues: DataFrame, acks: DataFrame) -> DataFrame:
+    """ST-2c acknowledgements that removed an open reminder (the previous
+    event of the key is a due), one row per key and minute of the ack, with
+    the reference's reply text.  An ack of a key with nothing open changes
+    nothing and is not listed."""
+    ev = _with_prev_kind(_events(dues, acks))
+    closing = ev.where((F.col("kind") == ACK) & (F.col("prev") == DUE))
+    return closing.select(
+        F.col("feeding_ID"),
+        X.ntz_minute(X.ntz_from_millis("seq")).alias("ack_minute"),
+        F.concat(F.lit("Reminder "), F.col("feeding_ID").cast("string"), F.lit(" acknowledged")).alias("message"))
+
+
 # ------------------------------------------------------------------ streaming
 STATE_SCHEMA = "open boolean"
 STREAM_EVENT_COLS = ["feeding_ID", "seq", "k", "kind", "tick_ts", "Pond_ID", "feeding_time"]

@@ -53,3 +53,13 @@ def test_account_lookup_plan_has_no_nested_loop(tables, spark):
     h = spark.createDataFrame([("ann",)], "handle string")
     plan = explain_text(LK.account_lookup(t, h))
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_account_lookup_case_insensitive_collation(tables, spark):
+    t = _accounts(tables)
+    h = spark.createDataFrame([("ANN",), ("Wes@X",)], "handle string")
+    assert LK.account_lookup(t, h).count() == 0  # binary by default
+    got = sorted((r.handle, r.kind, r.id) for r in LK.account_lookup(t, h, collation="UTF8_LCASE").collect())
+    assert got == [("ANN", "customer", 1), ("ANN", "customer", 2), ("ANN", "customer", 3), ("Wes@X", "worker", 1)]
+    plan = explain_text(LK.account_lookup(t, h, collation="UTF8_LCASE"))
+    assert "NestedLoop" not in plan and "Cartesian" not in plan

@@ -126,3 +126,10 @@ def test_naive_time_helpers_ignore_session_zone(spark):
         assert got == ["00:00:00", "00:04:00"]
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_reminder_ack_lists_closing_acks_only(spark):
+    dues, acks = _reminder_inputs(spark)
+    got = [(r.feeding_ID, r.ack_minute, r.message) for r in RM.reminder_ack(dues, acks).collect()]
+    # the ack of key 9 finds nothing open and is not listed
+    assert got == [(7, dt.datetime(2024, 1, 1, 0, 3), "Reminder 7 acknowledged")]
