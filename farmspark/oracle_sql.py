@@ -49,15 +49,15 @@ ADAPTERS = {
                lpad(CAST(s_suppkey AS VARCHAR), 10, '0') AS mobile_no
         FROM supplier""",
     "wk": """
-        SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name,
-               lower(n_name) || '@farm.example' AS email,
-               '07' || lpad(CAST(n_nationkey AS VARCHAR), 8, '0') AS mobile_no
-        FROM nation""",
+        SELECT s_suppkey AS id, replace(s_name, 'Supplier', 'Worker') AS name,
+               lower(replace(s_name, 'Supplier', 'Worker')) || '@farm.example' AS email,
+               '07' || lpad(CAST(s_suppkey AS VARCHAR), 8, '0') AS mobile_no
+        FROM supplier""",
     "us": """
         SELECT 'S' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') AS serviceId,
                lower(c_name) || '@example.com' AS email,
                lpad(CAST(c_custkey AS VARCHAR), 10, '0') AS phone
-        FROM customer WHERE c_custkey % 3 = 0""",
+        FROM customer""",
     "inv": """
         SELECT p_partkey AS item_id, p_name AS name,
                CASE WHEN p_type = 'ECONOMY' THEN 'prawns' ELSE lower(p_type) END AS type,
@@ -86,15 +86,15 @@ ADAPTERS = {
         FROM events""",
     "tk": """
         SELECT event_id AS task_id, event_type AS title, props AS description,
-               user_id % 25 AS worker_id,
+               user_id % 120 AS worker_id,
                CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'pending' END AS status,
                ts AS created_date
         FROM events""",
     "fd": """
-        SELECT CAST(n_nationkey AS BIGINT) AS feeding_ID,
-               n_regionkey + 1 AS Pond_ID,
-               CAST((n_nationkey * 3540) % 86400 AS INTEGER) AS feeding_sec
-        FROM nation""",
+        SELECT s_suppkey AS feeding_ID,
+               s_nationkey + 1 AS Pond_ID,
+               CAST((s_suppkey * 3540) % 86400 AS INTEGER) AS feeding_sec
+        FROM supplier""",
 }
 
 # Order matters only for readability; DuckDB drops unused CTEs.

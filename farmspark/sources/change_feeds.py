@@ -162,7 +162,7 @@ def worker_updates(t: Tables) -> DataFrame:
     """C-13 worker profile edits."""
     E, U, V, TS, TY, NULL_S = _cols()
     return _ev(t, "click").select(
-        E.alias("seq"), (U % 30).alias("id"),
+        E.alias("seq"), (U % 120).alias("id"),
         F.when(E % 7 == 0, "").otherwise(F.concat(F.lit("Worker "), _s(U))).alias("name"),
         F.concat(F.lit("w"), _s(U), F.lit("@farm.example")).alias("email"),
         F.concat(F.lit("07"), F.lpad(_s(U), 8, "0")).alias("mobile_no"))
@@ -171,16 +171,16 @@ def worker_updates(t: Tables) -> DataFrame:
 def worker_deletes(t: Tables) -> DataFrame:
     """C-14 worker deletions (repeats and unknown ids)."""
     E, U, V, TS, TY, NULL_S = _cols()
-    return _ev(t, "error").select(E.alias("seq"), (20 + U % 20).alias("id"))
+    return _ev(t, "error").select(E.alias("seq"), (80 + U % 60).alias("id"))
 
 
 def task_completions(t: Tables) -> DataFrame:
     """C-15 task completions by worker e-mail."""
     E, U, V, TS, TY, NULL_S = _cols()
-    widx = F.when(E % 10 == 0, 25 + U % 5).when(E % 3 == 0, (U + 1) % 25).otherwise(U % 25)
+    widx = F.when(E % 10 == 0, 1_000_000 + U).when(E % 3 == 0, (U + 1) % 120).otherwise(U % 120)
     return _ev(t, "view").select(
         E.alias("seq"), F.when(E % 50 == 0, F.lit(None).cast("long")).otherwise(E).alias("task_id"),
-        F.concat(F.lit("nation_"), _s(widx), F.lit("@farm.example")).alias("email"))
+        F.concat(F.lit("worker#"), F.lpad(_s(widx), 9, "0"), F.lit("@farm.example")).alias("email"))
 
 
 def signups(t: Tables) -> DataFrame:
@@ -193,10 +193,10 @@ def signups(t: Tables) -> DataFrame:
         F.when(E % 9 == 0, "  ").otherwise(F.concat(F.lit("  New "), _s(U), F.lit(" "))).alias("name"),
         F.when(E % 5 == 0, NULL_S)
          .when(E % 5 == 1, F.concat(F.lit(" customer#"), F.lpad(_s(U * 11), 9, "0"), F.lit("@example.com")))
-         .when(E % 5 == 2, F.concat(F.lit("nation_"), _s(U % 30), F.lit("@farm.example")))
+         .when(E % 5 == 2, F.concat(F.lit("worker#"), F.lpad(_s(U % 120), 9, "0"), F.lit("@farm.example")))
          .when(E % 5 == 3, F.concat(F.lit("supplier#"), F.lpad(_s(U), 9, "0"), F.lit("@example.com")))
          .otherwise(F.concat(F.lit("new"), _s(U), F.lit("@example.com "))).alias("email"),
-        F.when(E % 6 == 0, F.concat(F.lit("07"), F.lpad(_s(U % 30), 8, "0")))
+        F.when(E % 6 == 0, F.concat(F.lit("07"), F.lpad(_s(U % 120), 8, "0")))
          .otherwise(F.concat(F.lit("09"), F.lpad(_s(U), 8, "0"))).alias("mobile_no"))
 
 
@@ -278,17 +278,17 @@ CHANGE_SQL = {
         LEFT JOIN (SELECT supply_order_id, min(supplier_id) AS owner FROM so GROUP BY supply_order_id) o
           ON o.supply_order_id = e.k""",
     "worker_updates": """
-        SELECT event_id AS seq, user_id % 30 AS id,
+        SELECT event_id AS seq, user_id % 120 AS id,
                CASE WHEN event_id % 7 = 0 THEN '' ELSE 'Worker ' || CAST(user_id AS VARCHAR) END AS name,
                'w' || CAST(user_id AS VARCHAR) || '@farm.example' AS email,
                '07' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS mobile_no
         FROM events WHERE event_type = 'click'""",
-    "worker_deletes": "SELECT event_id AS seq, 20 + user_id % 20 AS id FROM events WHERE event_type = 'error'",
+    "worker_deletes": "SELECT event_id AS seq, 80 + user_id % 60 AS id FROM events WHERE event_type = 'error'",
     "task_completions": """
         SELECT event_id AS seq, CASE WHEN event_id % 50 = 0 THEN NULL ELSE event_id END AS task_id,
-               'nation_' || CAST(CASE WHEN event_id % 10 = 0 THEN 25 + user_id % 5
-                                      WHEN event_id % 3 = 0 THEN (user_id + 1) % 25
-                                      ELSE user_id % 25 END AS VARCHAR) || '@farm.example' AS email
+               'worker#' || lpad(CAST(CASE WHEN event_id % 10 = 0 THEN 1000000 + user_id
+                                           WHEN event_id % 3 = 0 THEN (user_id + 1) % 120
+                                           ELSE user_id % 120 END AS VARCHAR), 9, '0') || '@farm.example' AS email
         FROM events WHERE event_type = 'view'""",
     "signups": """
         SELECT event_id AS seq,
@@ -297,10 +297,10 @@ CHANGE_SQL = {
                CASE WHEN event_id % 9 = 0 THEN '  ' ELSE '  New ' || CAST(user_id AS VARCHAR) || ' ' END AS name,
                CASE event_id % 5 WHEN 0 THEN NULL
                     WHEN 1 THEN ' customer#' || lpad(CAST(user_id * 11 AS VARCHAR), 9, '0') || '@example.com'
-                    WHEN 2 THEN 'nation_' || CAST(user_id % 30 AS VARCHAR) || '@farm.example'
+                    WHEN 2 THEN 'worker#' || lpad(CAST(user_id % 120 AS VARCHAR), 9, '0') || '@farm.example'
                     WHEN 3 THEN 'supplier#' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '@example.com'
                     ELSE 'new' || CAST(user_id AS VARCHAR) || '@example.com ' END AS email,
-               CASE WHEN event_id % 6 = 0 THEN '07' || lpad(CAST(user_id % 30 AS VARCHAR), 8, '0')
+               CASE WHEN event_id % 6 = 0 THEN '07' || lpad(CAST(user_id % 120 AS VARCHAR), 8, '0')
                     ELSE '09' || lpad(CAST(user_id AS VARCHAR), 8, '0') END AS mobile_no
         FROM events WHERE event_type = 'signup'""",
 }

@@ -85,20 +85,23 @@ def adapt_supplier(supplier: DataFrame) -> DataFrame:
         F.lpad(F.col("s_suppkey").cast("string"), 10, "0").alias("mobile_no"))
 
 
-def adapt_worker(nation: DataFrame) -> DataFrame:
-    return nation.select(
-        F.col("n_nationkey").cast("long").alias("id"),
-        F.col("n_name").alias("name"),
-        F.concat(F.lower("n_name"), F.lit("@farm.example")).alias("email"),
-        F.concat(F.lit("07"), F.lpad(F.col("n_nationkey").cast("string"), 8, "0")).alias("mobile_no"))
+def adapt_worker(supplier: DataFrame) -> DataFrame:
+    """Workers: one per supplier row of the driver data (scales with it)."""
+    k = F.col("s_suppkey")
+    name = F.regexp_replace(F.col("s_name"), "Supplier", "Worker")
+    return supplier.select(
+        k.alias("id"),
+        name.alias("name"),
+        F.concat(F.lower(name), F.lit("@farm.example")).alias("email"),
+        F.concat(F.lit("07"), F.lpad(k.cast("string"), 8, "0")).alias("mobile_no"))
 
 
 def adapt_users(customer: DataFrame) -> DataFrame:
     k = F.col("c_custkey")
-    return (customer.where(k % 3 == 0).select(
+    return customer.select(
         F.concat(F.lit("S"), F.lpad(k.cast("string"), 6, "0")).alias("serviceId"),
         F.concat(F.lower("c_name"), F.lit("@example.com")).alias("email"),
-        F.lpad(k.cast("string"), 10, "0").alias("phone")))
+        F.lpad(k.cast("string"), 10, "0").alias("phone"))
 
 
 def adapt_inventory(part: DataFrame) -> DataFrame:
@@ -145,16 +148,17 @@ def adapt_task(events: DataFrame) -> DataFrame:
         F.col("event_id").alias("task_id"),
         F.col("event_type").alias("title"),
         F.col("props").alias("description"),
-        (F.col("user_id") % 25).alias("worker_id"),
+        (F.col("user_id") % 120).alias("worker_id"),
         F.when(F.col("event_type") == "purchase", "completed").otherwise("pending").alias("status"),
         F.col("ts").alias("created_date"))
 
 
-def adapt_feeding_schedule(nation: DataFrame) -> DataFrame:
-    k = F.col("n_nationkey")
-    return nation.select(
-        k.cast("long").alias("feeding_ID"),
-        (F.col("n_regionkey") + 1).alias("Pond_ID"),
+def adapt_feeding_schedule(supplier: DataFrame) -> DataFrame:
+    """One feeding slot per supplier row of the driver data (scales with it)."""
+    k = F.col("s_suppkey")
+    return supplier.select(
+        k.alias("feeding_ID"),
+        (F.col("s_nationkey") + 1).alias("Pond_ID"),
         ((k * 3540) % 86400).cast("int").alias("feeding_sec"))
 
 
@@ -197,13 +201,13 @@ class Tables:
             "customer_order": lambda: adapt_customer_order(r("orders"), r("lineitem")),
             "customer": lambda: adapt_customer(r("customer")),
             "supplier": lambda: adapt_supplier(r("supplier")),
-            "worker": lambda: adapt_worker(r("nation")),
+            "worker": lambda: adapt_worker(r("supplier")),
             "users": lambda: adapt_users(r("customer")),
             "inventory": lambda: adapt_inventory(r("part")),
             "supply_orders": lambda: adapt_supply_orders(r("lineitem")),
             "sensors_data": lambda: adapt_sensors_data(r("events")),
             "task": lambda: adapt_task(r("events")),
-            "feeding_schedule": lambda: adapt_feeding_schedule(r("nation")),
+            "feeding_schedule": lambda: adapt_feeding_schedule(r("supplier")),
         }
         return cls(spark, frames, sf_dir)
 
