@@ -10,7 +10,6 @@ from farmspark.functions import exprs as X
 from farmspark.registry import query
 from farmspark.session import scratch_path
 from farmspark.sources import feeds
-from farmspark.sources.feeds import FEED_SQL
 from farmspark.streaming import alerts as AL
 from farmspark.streaming import reminders as RM
 from farmspark.streaming import sensor_ingest as SI

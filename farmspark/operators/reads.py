@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
-from farmspark.plans.broadcast import bounded_broadcast, restrict_to_keys, small_keys
+from farmspark.plans.broadcast import bounded_broadcast, restrict_to_keys
 from farmspark.sources.tables import Tables
 
 # The per-pond maxima are broadcast when at most this many ponds exist.

@@ -14,7 +14,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
-from farmspark.operators import reads
 from farmspark.sources.tables import Tables
 
 SORT_KEY = "_sort_ts"
@@ -80,4 +79,4 @@ def rows(df: DataFrame) -> DataFrame:
 
 
 __all__ = ["sales_report", "purchase_report", "water_report", "inventory_report",
-           "sort_report", "rows", "reads"]
+           "sort_report", "rows"]
