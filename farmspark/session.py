@@ -25,6 +25,9 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "4",
     "spark.sql.adaptive.localShuffleReader.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
+    # on a large cluster coalesce to the advisory size, not to the default
+    # parallelism (which would leave thousands of tiny reduce tasks)
+    "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false",
     "spark.sql.files.maxPartitionBytes": "128m",
     "spark.sql.parquet.filterPushdown": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
@@ -46,6 +49,10 @@ def get_session(master: str | None = None, app: str = "farmspark",
         b = b.config("spark.ui.enabled", "false")
     for k, v in DEFAULT_CONF.items():
         b = b.config(k, v)
+    if master:
+        # one machine: small data, keep every core busy rather than making
+        # 128 MB partitions
+        b = b.config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "true")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     for k, v in (extra or {}).items():
