@@ -112,3 +112,23 @@ def test_monthly_weekly_daily_totals_agree(spark):
 def test_day_bounds(tables, start, end, n):
     t = tables(customer_order=_orders(), customer=[(1, "Ann", "0000000001", "ann@x")])
     assert RP.rows(RP.sales_report(t, start, end)).count() == n
+
+
+def test_month_groups_merge_years_and_null_first(tables):
+    """T-3: months of different years merge; a NULL date is its own group, first."""
+    rows = _orders()
+    extra = list(rows[0])
+    extra[0], extra[10] = 99, None  # order without a date
+    extra2 = list(rows[0])
+    extra2[0], extra2[10] = 98, dt.datetime(2001, 1, 5)
+    t = tables(customer_order=rows + [tuple(extra), tuple(extra2)])
+    got = [(r.month, r.revenue) for r in M.sales_count_by_month_name(t, ordered=True).collect()]
+    assert got == [(None, 1), ("January", 5), ("February", 1)]
+
+
+def test_low_stock_null_threshold_never_counts(tables):
+    """T-13: quantity < threshold + 25; a NULL threshold never counts."""
+    inv = [(1, "a", "prawns", 10, None, dt.date(2024, 1, 1)),
+           (2, "b", "prawns", 30, 10, dt.date(2024, 1, 1)),
+           (3, "c", "prawns", 40, 10, dt.date(2024, 1, 1))]
+    assert M.low_stock_count(tables(inventory=inv)).first().lowStockItems == 1
