@@ -99,14 +99,21 @@ def _events(dues: DataFrame, acks: DataFrame) -> DataFrame:
 
 def _with_prev_kind(ev: DataFrame) -> DataFrame:
     """``prev`` = kind of the previous event of the key, computed per
-    (key, day) with the previous active day's last event carried in."""
-    last = (ev.groupBy("feeding_ID", "day")
-            .agg(F.max_by("kind", F.struct("seq", "k")).alias("_last")))
-    carry = last.select("feeding_ID", "day",
-                        F.lag("_last").over(Window.partitionBy("feeding_ID").orderBy("day")).alias("_carry"))
+    (key, day) with the previous active day's last event carried in.
+
+    The events are shuffled once, by (key, day): the in-day ``lag`` and the
+    day's last event come from windows over that partitioning, the per-day
+    summary is aggregated without another exchange, and only that summary
+    (one row per key and active day) is re-partitioned for the carry."""
     w = Window.partitionBy("feeding_ID", "day").orderBy("seq", "k")
-    return (ev.join(carry, ["feeding_ID", "day"], "inner")
-            .withColumn("prev", F.coalesce(F.lag("kind").over(w), F.col("_carry"))))
+    whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ev2 = (ev.withColumn("_prev", F.lag("kind").over(w))
+           .withColumn("_day_last", F.last("kind").over(whole)))
+    days = ev2.groupBy("feeding_ID", "day").agg(F.first("_day_last").alias("_last"))
+    carry = days.select("feeding_ID", "day",
+                        F.lag("_last").over(Window.partitionBy("feeding_ID").orderBy("day")).alias("_carry"))
+    return (ev2.join(carry, ["feeding_ID", "day"], "inner")
+            .withColumn("prev", F.coalesce(F.col("_prev"), F.col("_carry"))))
 
 
 def reminder_batch(dues: DataFrame, acks: DataFrame) -> DataFrame:
