@@ -66,7 +66,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     The cluster names a shared (HDFS / object store) folder there; we only set
-    one ourselves when it is unset, which happens in local tests.
+    one ourselves when it is unset in a local run (tests).  On a cluster an
+    unset folder is an error rather than a machine-local fallback.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -74,6 +75,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not sc.master.startswith("local"):
+            # a machine-local folder would not survive the loss of an executor
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         configured = tempfile.mkdtemp(prefix="farmspark-ckpt-")
         spark.conf.set("spark.checkpoint.dir", configured)
     sc.setCheckpointDir(configured)
