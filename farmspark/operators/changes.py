@@ -16,10 +16,15 @@ per-request effect:
 
 All per-key reductions are ``groupBy().agg()`` so Spark pre-aggregates on the
 map side: a key that holds a third of the changes is one row per task before
-the shuffle.  Existence checks join against the (unique-keyed) table; AQE
-splits a skewed change partition.  UPDATE touches *every* base row with the
-key (the base is never de-duplicated, T-20/(g)).  Plain Parquet has no MERGE,
-so a new snapshot is ``base ⟕ reduced changes`` with ``when/otherwise``.
+the shuffle.  Existence checks count the distinct requested keys; under the
+bound they are broadcast and the base table is only scanned and probed, above
+it the check is a shuffle join (AQE splits a skewed change partition).
+UPDATE touches *every* base row with the key (the base is never
+de-duplicated, SURVEY §7 (g)).  Plain Parquet has no MERGE, so a new snapshot
+is ``base ⟕ reduced changes`` with ``when/otherwise``; the reduced changes
+are broadcast when bounded, so the base streams through a hash join.  New
+snapshots are built lazily (``Applied.table``) and batch jobs checkpoint the
+validated batch once (:func:`materialized_batches`).
 """
 
 from __future__ import annotations

@@ -2,9 +2,12 @@
 
 Point lookups of the reference (``WHERE id = ?``) take a DataFrame of keys and
 become semi-joins or equi-joins, so a batch of a million lookups is one join,
-not a loop.  Joins are declared without hints: Catalyst broadcasts the
-dimension side when its Parquet size is under the threshold and falls back to
-a sort-merge join otherwise; AQE splits skewed partitions at run time.
+not a loop.  The distinct requested keys are counted and broadcast when under
+a bound (:func:`~farmspark.plans.broadcast.restrict_to_keys`), so the big
+table is scanned and probed but not shuffled; beyond the bound it is a shuffle
+semi-join.  Dimension joins carry no hints: Catalyst broadcasts a dimension
+whose Parquet size is under the threshold and falls back to a sort-merge join
+otherwise; AQE splits skewed partitions at run time.
 """
 
 from __future__ import annotations
