@@ -40,3 +40,24 @@ def test_apply_changes_and_report_mains(spark, tmp_path, capsys):
     lines = sum(len(open(f).read().splitlines()) - 1 for f in glob.glob(os.path.join(rep, "part-*.csv")))
     from farmspark.operators import reports as RP
     assert lines == RP.rows(RP.water_report(Tables.from_snapshot(spark, snap), "2024-01-05", "2024-01-10")).count()
+
+
+def test_reminders_main_replay_equals_batch(spark, tmp_path, capsys):
+    import datetime as dt
+    from farmspark.streaming import reminders as RM
+    snap = str(tmp_path / "snap")
+    sched = spark.createDataFrame([(7, 3, 600), (8, 4, 1200)], "feeding_ID long, Pond_ID int, feeding_sec int")
+    jobs.write_table(sched, snap, "feeding_schedule")
+    ticks = [dt.datetime(2024, 1, 1, 0, m) for m in range(0, 20)]
+    acks = [(7, dt.datetime(2024, 1, 1, 0, 3, 10)), (8, dt.datetime(2024, 1, 1, 0, 9, 1))]
+    tdir, adir = str(tmp_path / "ticks"), str(tmp_path / "acks")
+    spark.createDataFrame([(x,) for x in ticks], "tick_ts timestamp_ntz").write.json(tdir)
+    spark.createDataFrame(acks, "feeding_ID long, ack_ts timestamp_ntz").write.json(adir)
+    out = str(tmp_path / "out")
+    _run("reminders.py", ["--snapshot", snap, "--acks", adir, "--out", out, "--checkpoint",
+                          str(tmp_path / "ck"), "--ticks", tdir, "--available-now"], capsys)
+    got = sorted((r.feeding_ID, r.reminder_time) for r in spark.read.parquet(out).collect())
+    tick_df = spark.createDataFrame([(x,) for x in ticks], "tick_ts timestamp_ntz")
+    want = sorted((r.feeding_ID, r.reminder_time) for r in RM.reminder_batch(
+        RM.due_events(sched, tick_df), spark.createDataFrame(acks, "feeding_ID long, ack_ts timestamp_ntz")).collect())
+    assert got == want and len(got) >= 3
