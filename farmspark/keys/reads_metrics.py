@@ -1,4 +1,4 @@
-"""Keys for P-1 … P-14, J-1 … J-12 and A-1 … A-16."""
+"""Keys for P-1 … P-14, J-1 … J-12 and A-1 … A-17."""
 
 from __future__ import annotations
 
@@ -68,6 +68,7 @@ query("inventory_table",
       "SELECT item_id, name, type, quantity, threshold, date FROM inv")(R.inventory_table)
 query("supplier_list", "SELECT supplier_id, name FROM su")(R.supplier_list)
 query("worker_list", "SELECT id, name FROM wk")(R.worker_list)
+query("worker_recipients", "SELECT email FROM wk")(R.worker_recipients)
 query("registered_workers",
       "SELECT id, name, email, mobile_no AS workerDetails FROM wk")(R.registered_workers)
 query("approved_orders",

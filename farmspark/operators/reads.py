@@ -65,6 +65,14 @@ def registered_workers(t: Tables) -> DataFrame:
     return t.worker.select("id", "name", "email", F.col("mobile_no").alias("workerDetails"))
 
 
+def worker_recipients(t: Tables) -> DataFrame:
+    """A-17 (dormant alert job) the worker e-mail list, one row per worker.
+    The reference joins the list into one ``', '``-separated header in the
+    mail transport; that join is left to delivery (not built), so no single
+    row has to hold every address."""
+    return t.worker.select("email")
+
+
 def approved_orders(t: Tables, ordered: bool = False) -> DataFrame:
     """P-6 approved orders, newest first."""
     out = _orders_view(t.customer_order.where(F.col("approved_or_rejected") == "Approved")
