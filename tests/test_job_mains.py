@@ -61,3 +61,13 @@ def test_reminders_main_replay_equals_batch(spark, tmp_path, capsys):
     want = sorted((r.feeding_ID, r.reminder_time) for r in RM.reminder_batch(
         RM.due_events(sched, tick_df), spark.createDataFrame(acks, "feeding_ID long, ack_ts timestamp_ntz")).collect())
     assert got == want and len(got) >= 3
+
+
+def test_sensor_ingest_main(spark, tmp_path, capsys):
+    src = tmp_path / "docs"
+    src.mkdir()
+    (src / "a.json").write_text('{"waterLevelInside": 3.5, "waterTemp": 21, "tds": 40}\n{"waterLevelInside"\n')
+    out = str(tmp_path / "sensors_data")
+    _run("sensor_ingest.py", ["--src", str(src), "--out", out, "--checkpoint", str(tmp_path / "ck")], capsys)
+    rows = spark.read.parquet(out).collect()
+    assert [(r.Pond_ID, r.Water_Level, r.WaterTemp, r.TDS) for r in rows] == [(1, 3.5, 21.0, 40.0)]
