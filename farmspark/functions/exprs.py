@@ -128,11 +128,6 @@ def minute_text(ts) -> Column:
     return F.date_format(c(ts), "HH:mm':00'")
 
 
-def sec_of_day(ts) -> Column:
-    x = c(ts)
-    return F.hour(x) * 3600 + F.minute(x) * 60 + F.floor(F.second(x)).cast("int")
-
-
 def year_range(col, years: list[int]) -> Column:
     """O-2: ``YEAR(x) IN (y1, y2)`` rewritten as ranges the Parquet scan can
     use (a function of the column is not pushed down)."""

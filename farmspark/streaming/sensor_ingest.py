@@ -62,6 +62,18 @@ def readings_stream(spark: SparkSession, src_dir: str, max_files_per_trigger: in
     return docs_to_readings(docs)
 
 
+def kafka_readings_stream(spark: SparkSession, servers: str, topic: str) -> DataFrame:
+    """SRC-2 from a Kafka topic whose values are the device documents; the
+    record timestamp is the arrival time.  Needs the spark-sql-kafka
+    connector on the cluster (not present in the local test image, so this
+    path is not exercised by the tests; the transform is the same one)."""
+    docs = (spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers)
+            .option("subscribe", topic).load()
+            .select(F.col("value").cast("string").alias("doc"),
+                    F.col("timestamp").cast("timestamp_ntz").alias("arrived_at")))
+    return docs_to_readings(docs)
+
+
 def start_ingest(spark: SparkSession, src_dir: str, out_dir: str, checkpoint: str,
                  available_now: bool = True, processing_time: str = "6 hours") -> StreamingQuery:
     """SNK-3 append readings to the ``sensors_data`` Parquet folder.  The
