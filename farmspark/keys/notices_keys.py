@@ -141,11 +141,13 @@ N8 = " UNION ALL ".join([
 
 # ------------------------------------------------------------------ spark side
 def n1(t):
-    return N.order_status_notice(t, C.set_order_status(t, CF.status_changes(t)).accepted)
+    res = C.set_order_status(t, CF.status_changes(t))
+    return N.order_status_notice(t, res.accepted, res.keys_bounded)
 
 
 def n2(t):
-    return N.order_approval_notice(t, C.set_approval(t, CF.approvals(t)).accepted)
+    res = C.set_approval(t, CF.approvals(t))
+    return N.order_approval_notice(t, res.accepted, res.keys_bounded)
 
 
 def n3(t):

@@ -52,10 +52,14 @@ class Applied:
     on first use), ``rejects`` (seq, reason) and ``accepted`` (accepted
     changes, with new ids for inserts)."""
 
-    def __init__(self, table: DataFrame | Callable[[], DataFrame], rejects: DataFrame, accepted: DataFrame):
+    def __init__(self, table: DataFrame | Callable[[], DataFrame], rejects: DataFrame, accepted: DataFrame,
+                 keys_bounded: bool = False):
         self._table = table
         self.rejects = rejects
         self.accepted = accepted
+        # the distinct keys of the batch were counted within the broadcast
+        # bound by the existence check: joins keyed on them need no new count
+        self.keys_bounded = keys_bounded
 
     @property
     def table(self) -> DataFrame:
@@ -279,7 +283,7 @@ def set_approval(t: Tables, changes: DataFrame) -> Applied:
     accepted = accepted.withColumn("approved_or_rejected", X.cap_first("action"))
     reduced = _last_by_seq(accepted, ["order_id"], ["approved_or_rejected"])
     return Applied(lambda: _update(t.customer_order, reduced, ["order_id"], ["approved_or_rejected"], bounded),
-                   rejects, accepted)
+                   rejects, accepted, bounded)
 
 
 def set_order_status(t: Tables, changes: DataFrame, worker_app: bool = False) -> Applied:
@@ -296,7 +300,8 @@ def set_order_status(t: Tables, changes: DataFrame, worker_app: bool = False) ->
             (~F.col("_found"), "Order not found"))).drop("_found")
     accepted, rejects = _split(checked)
     reduced = _last_by_seq(accepted, ["order_id"], ["status"])
-    return Applied(lambda: _update(t.customer_order, reduced, ["order_id"], ["status"], bounded), rejects, accepted)
+    return Applied(lambda: _update(t.customer_order, reduced, ["order_id"], ["status"], bounded), rejects, accepted,
+                   bounded)
 
 
 def set_assigned_by(t: Tables, changes: DataFrame) -> Applied:
@@ -330,7 +335,7 @@ def set_supply_status_owned(t: Tables, changes: DataFrame) -> Applied:
         (~F.col("_found"), "Order not found or not owned by this supplier"))).drop("_found")
     accepted, rejects = _split(checked)
     reduced = _last_by_seq(accepted, keys, ["status"])
-    return Applied(lambda: _update(t.supply_orders, reduced, keys, ["status"], bounded), rejects, accepted)
+    return Applied(lambda: _update(t.supply_orders, reduced, keys, ["status"], bounded), rejects, accepted, bounded)
 
 
 def update_workers(t: Tables, changes: DataFrame) -> Applied:

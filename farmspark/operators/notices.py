@@ -51,9 +51,14 @@ def _row(kind: str, ref: Column, recipient: Column, subject: Column, body: Colum
             subject.alias("subject"), body.alias("body")]
 
 
-def _with_customer_email(t: Tables, accepted: DataFrame) -> DataFrame:
-    """accepted ⋈ order ⋈ customer, keeping only a usable e-mail (J-8)."""
-    k, bounded = small_keys_flag(accepted, ["order_id"])
+def _with_customer_email(t: Tables, accepted: DataFrame, keys_bounded: bool = False) -> DataFrame:
+    """accepted ⋈ order ⋈ customer, keeping only a usable e-mail (J-8).
+    ``keys_bounded``: the accepted order ids are already known to be within
+    the broadcast bound (from the rule's existence check)."""
+    if keys_bounded:
+        k, bounded = F.broadcast(accepted.select("order_id").distinct()), True
+    else:
+        k, bounded = small_keys_flag(accepted, ["order_id"])
     o = t.customer_order.select("order_id", "customer_id").join(k, "order_id", "left_semi")
     if bounded:
         # order_id is the key of customer_order: at most one customer per
@@ -65,18 +70,18 @@ def _with_customer_email(t: Tables, accepted: DataFrame) -> DataFrame:
     return accepted.join(o.join(c, "customer_id", "inner"), "order_id", "inner").where(~X.blank("email"))
 
 
-def order_status_notice(t: Tables, accepted: DataFrame) -> DataFrame:
+def order_status_notice(t: Tables, accepted: DataFrame, keys_bounded: bool = False) -> DataFrame:
     """N-1 one message per accepted status change to the order's customer."""
-    j = _with_customer_email(t, accepted)
+    j = _with_customer_email(t, accepted, keys_bounded)
     return j.select(*_row(
         "order_status", F.col("order_id"), F.col("email"), F.lit("Order Status Update"),
         _lines("Your order #", _t("order_id"), " status has been updated to: ", _t("status"),
                ". Thank you for your business!")))
 
 
-def order_approval_notice(t: Tables, accepted: DataFrame) -> DataFrame:
+def order_approval_notice(t: Tables, accepted: DataFrame, keys_bounded: bool = False) -> DataFrame:
     """N-2 one message per accepted approval / rejection."""
-    j = _with_customer_email(t, accepted)
+    j = _with_customer_email(t, accepted, keys_bounded)
     return j.select(*_row(
         "order_approval", F.col("order_id"), F.col("email"), F.lit("Order Approval Update"),
         _lines("Your order #", _t("order_id"), " has been ", F.lower("action"),

@@ -67,7 +67,7 @@ def apply_batch(spark: SparkSession, snapshot_in: str, changes_path: str, rule:
     res.rejects.write.mode("overwrite").parquet(out["rejects"])
     write_table(res.table, out_root, r.table)
     if r.notice is not None and outbox_path:
-        append_outbox(r.notice(t, res.accepted), outbox_path)
+        append_outbox(r.notice(t, res.accepted), outbox_path)  # notices count their own key sets
         out["outbox"] = outbox_path
     return out
 
