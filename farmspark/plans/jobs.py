@@ -32,6 +32,7 @@ class Rule:
     apply: Callable[[Tables, DataFrame], C.Applied]
     table: str
     notice: Callable[[Tables, DataFrame], DataFrame] | None = None
+    notice_uses_bound: bool = False  # the notice takes the rule's proven key bound
 
 
 RULES: dict[str, Rule] = {
@@ -41,8 +42,8 @@ RULES: dict[str, Rule] = {
     "insert_inventory": Rule(C.insert_inventory, "inventory"),
     "insert_tasks": Rule(C.insert_tasks, "task"),
     "stock_changes": Rule(C.stock_changes, "inventory"),
-    "set_approval": Rule(C.set_approval, "customer_order", N.order_approval_notice),
-    "set_order_status": Rule(C.set_order_status, "customer_order", N.order_status_notice),
+    "set_approval": Rule(C.set_approval, "customer_order", N.order_approval_notice, True),
+    "set_order_status": Rule(C.set_order_status, "customer_order", N.order_status_notice, True),
     "set_order_status_worker": Rule(lambda t, ch: C.set_order_status(t, ch, worker_app=True), "customer_order",
                                     lambda t, acc: N.worker_order_notice(acc)),
     "set_assigned_by": Rule(C.set_assigned_by, "customer_order"),
@@ -67,7 +68,8 @@ def apply_batch(spark: SparkSession, snapshot_in: str, changes_path: str, rule:
     res.rejects.write.mode("overwrite").parquet(out["rejects"])
     write_table(res.table, out_root, r.table)
     if r.notice is not None and outbox_path:
-        append_outbox(r.notice(t, res.accepted), outbox_path)  # notices count their own key sets
+        msgs = r.notice(t, res.accepted, res.keys_bounded) if r.notice_uses_bound else r.notice(t, res.accepted)
+        append_outbox(msgs, outbox_path)
         out["outbox"] = outbox_path
     return out
 
