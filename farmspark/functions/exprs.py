@@ -37,12 +37,33 @@ def c(x) -> Column:
 
 def month_name(ts) -> Column:
     """F-1 ``DATE_FORMAT(x, '%M')``."""
-    return F.date_format(c(ts), MONTH_NAME)
+    return F.date_format(F.to_date(c(ts)), MONTH_NAME)
+
+
+_TIME_LETTERS = set("HhKkmsSaA")
 
 
 def fmt(ts, pattern: str) -> Column:
-    """F-2 … F-4 date text."""
-    return F.date_format(c(ts), pattern)
+    """F-2 … F-4 date text.  Date-only patterns format the DATE of the naive
+    timestamp, so the session time zone never enters (formatting a
+    TIMESTAMP_NTZ directly moves wall-clock times inside a DST gap)."""
+    if pattern == STAMP:
+        return stamp_text(ts)
+    if _TIME_LETTERS & set(pattern.replace("'", "")):
+        raise ValueError(f"time fields in {pattern!r}: build them from the clock fields")
+    return F.date_format(F.to_date(c(ts)), pattern)
+
+
+def _two(x: Column) -> Column:
+    return F.lpad(x.cast("string"), 2, "0")
+
+
+def stamp_text(ts) -> Column:
+    """'yyyy-MM-dd HH:mm:ss' of a naive timestamp from its date and clock
+    fields (independent of the session time zone)."""
+    x = c(ts)
+    return F.concat(F.date_format(F.to_date(x), "yyyy-MM-dd"), F.lit(" "), _two(F.hour(x)), F.lit(":"),
+                    _two(F.minute(x)), F.lit(":"), _two(F.floor(F.second(x))))
 
 
 def mysql_week0(ts) -> Column:
@@ -124,8 +145,9 @@ def sec_to_time_text(sec) -> Column:
 
 
 def minute_text(ts) -> Column:
-    """F-18 reminder clock text ``HH:mm:00``."""
-    return F.date_format(c(ts), "HH:mm':00'")
+    """F-18 reminder clock text ``HH:mm:00`` (from the clock fields)."""
+    x = c(ts)
+    return F.concat(_two(F.hour(x)), F.lit(":"), _two(F.minute(x)), F.lit(":00"))
 
 
 def year_range(col, years: list[int]) -> Column:

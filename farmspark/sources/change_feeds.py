@@ -100,7 +100,7 @@ def stock_moves(t: Tables, kinds: tuple[str, ...] = ("issue", "receive")) -> Dat
          .otherwise(_s(E % 3000)).alias("item_id"),
         F.when(E % 97 == 0, "").when(E % 89 == 0, "abc").when(E % 83 == 0, "-1").when(E % 79 == 0, "3.7")
          .when(E % 73 == 0, NULL_S).otherwise(_s(1 + E % 5)).alias("qty"),
-        F.when(E % 71 == 0, NULL_S).otherwise(F.date_format(TS, "yyyy-MM-dd")).alias("date"))
+        F.when(E % 71 == 0, NULL_S).otherwise(F.date_format(F.to_date(TS), "yyyy-MM-dd")).alias("date"))
     return f.where(F.col("kind").isin(*kinds))
 
 
