@@ -21,10 +21,10 @@ from __future__ import annotations
 import math
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farmspark.llm.shared import SPACE, doc_text, saved, shuffle_partitions
+from farmspark.llm.shared import SPACE, doc_text, row_key, saved, shuffle_partitions, stay
 
 #: keys of one shard, on average
 SHARD_KEYS = 200_000
@@ -249,7 +249,8 @@ def shard_count(n: int) -> int:
 
 
 def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, digest (binary), keep_id, group_size, kept.
+    """One row per row of ``docs``: doc_id, row_key, digest (binary), keep_id,
+    group_size, kept.
 
     Of equal texts (null counts as empty) the row with the smallest id stays,
     null ids last; of rows that share text and id exactly one stays.  An empty
@@ -257,24 +258,16 @@ def dedup_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     spark = docs.sparkSession
     rows = saved(docs.select(F.col(id_col).cast("long").alias("doc_id"), digest_column(text_col).alias("digest"),
-                             F.monotonically_increasing_id().alias("row")), "digests")
+                             row_key(id_col, text_col).alias("row_key"), F.monotonically_increasing_id().alias("row")),
+                 "digests")
     shards = max(shard_count(rows.count()), shuffle_partitions(spark))
     index = DigestIndex.empty(spark, shards).insert(rows)
     content = index.content.select("digest", F.col("best_id").alias("keep_id"), "best_row",
                                    F.col("n").alias("group_size"))
     return (rows.join(content, "digest")
-            .select("doc_id", "digest", "keep_id", "group_size", (F.col("row") == F.col("best_row")).alias("kept")))
+            .select("doc_id", "row_key", "digest", "keep_id", "group_size", (F.col("row") == F.col("best_row")).alias("kept")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with their columns as they were."""
-    def key(digest, doc_id):
-        return F.concat_ws(":", F.hex(digest), F.coalesce(doc_id.cast("string"), F.lit("-")))
-
-    stay = (dedup_rows(docs, id_col, text_col).where("kept")
-            .select(key(F.col("digest"), F.col("doc_id")).alias("_key")))
-    marked = docs.withColumn("_key", key(digest_column(text_col), F.col(id_col).cast("long")))
-    # rows that repeat id and text share a key, and the join has brought them together
-    first = F.row_number().over(Window.partitionBy("_key").orderBy("_key"))
-    return (marked.join(stay, "_key", "left_semi").withColumn("_n", first).where("_n = 1")
-            .select(*docs.columns))
+    return stay(docs, dedup_rows(docs, id_col, text_col).where("kept"), id_col, text_col)

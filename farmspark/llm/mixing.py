@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from farmspark.llm.shared import WORD, doc_text, saved, shuffle_partitions
+from farmspark.llm.shared import WORD, doc_text, fresh, same, saved, shuffle_partitions
 
 #: no source is repeated more often than this
 MAX_RATE = 3
@@ -93,9 +93,10 @@ def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, max_rate: int = MAX_RAT
     """The mix itself: every row of ``docs`` as often as its copies say."""
     sizes = docs.select(F.col(source_col).cast("string").alias("source"), sized(docs, text_col).alias("size"))
     aims = saved(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_rate), "targets")
-    aims = aims.select(F.col("source").alias("_of"), F.col("rate").alias("_rate"))
-    whole = F.floor("_rate")
-    copies = (whole + (chance(id_col, seed) < F.col("_rate") - whole).cast("long")).cast("int")
-    return (docs.join(aims, F.col(source_col).cast("string").eqNullSafe(F.col("_of"))).withColumn("_copies", copies)
-            .where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-            .select(*[F.col(f"`{c}`") for c in docs.columns]))
+    of, rate, copies, copy = (fresh(docs, c) for c in ("_of", "_rate", "_copies", "_copy"))
+    aims = aims.select(F.col("source").alias(of), F.col("rate").alias(rate))
+    whole = F.floor(rate)
+    number = (whole + (chance(id_col, seed) < F.col(rate) - whole).cast("long")).cast("int")
+    return (docs.join(aims, F.col(source_col).cast("string").eqNullSafe(F.col(of))).withColumn(copies, number)
+            .where(F.col(copies) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies))))
+            .select(*same(docs)))

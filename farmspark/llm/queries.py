@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farmspark.llm import exact_dedup, mixing, packing
+from farmspark.llm import embedding_dedup, exact_dedup, mixing, packing, quality, simhash, toxicity
 from farmspark.llm.shared import table
 
 
@@ -32,12 +32,33 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op3_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and component of every vector at cosine 0.95."""
+    return embedding_dedup.near_dedup_vectors(table(spark, sf_dir, "embeddings"), threshold=0.95)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document by a factorization machine."""
+    return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document (3-word shingles, 3 bits)."""
+    rows = simhash.near_dedup_rows(table(spark, sf_dir, "documents"), words_per_shingle=3, max_distance=3)
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, targets of sources and words taken from every document."""
     rows = mixing.mix_counts(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document by a byte-level convolutional network."""
+    return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
@@ -71,7 +92,11 @@ FROM c
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_embedding_near_dedup": op3_embedding_near_dedup,
+    "op4_toxicity": op4_toxicity,
+    "op6_simhash_near_dedup": op6_simhash_near_dedup,
     "op8_mix_sources": op8_mix_sources,
+    "op9_quality": op9_quality,
 }
 
 _SQL = {"op1_exact_dedup": OP1_SQL, "op8_mix_sources": OP8_SQL}

@@ -70,25 +70,31 @@ class Poly:
 FIRST = Poly(11)
 SECOND = Poly(29)
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A"):ord("Z") + 1] += 32
 
 
+#: everything but ASCII letters and digits and the bytes of other characters
+NOT_TERM = np.ones(256, bool)
+NOT_TERM[128:] = False
+NOT_TERM[[*range(48, 58), *range(65, 91), *range(97, 123)]] = False
+
+
 class Words:
     """The white-space separated words of a batch of UTF-8 texts.
 
     ``starts`` / ``ends``: byte range of each word; ``first``: index of each
     document's first word (one more entry than documents); ``doc``: document
-    index of each word.
+    index of each word.  ``breaks``: which bytes are not part of a word.
     """
 
-    def __init__(self, texts: list[bytes], lower: bool = False):
+    def __init__(self, texts: list[bytes], lower: bool = False, breaks: np.ndarray = IS_SPACE):
         self.buf = np.frombuffer(b"\n".join([*texts, b""]) if texts else b"", np.uint8)
         if lower:
             self.buf = _LOWER[self.buf]
-        space = _IS_SPACE[self.buf]
+        space = breaks[self.buf]
         edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
         self.starts, self.ends = edge[0::2], edge[1::2]
         lengths = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
