@@ -9,7 +9,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from farmspark.llm import embedding_dedup, exact_dedup, mixing, packing, quality, simhash, toxicity
+from farmspark.llm import (
+    embedding_dedup,
+    exact_dedup,
+    lm,
+    mixing,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 from farmspark.llm.shared import table
 
 
@@ -42,12 +53,64 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document; owners are sources."""
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce("text", '') AS t,
+         coalesce(source, '') AS owner, coalesce(lang, '') AS repo FROM documents),
+k(kind, rank, pattern, grp, least) AS (VALUES
+  ('assign', 0, '((?i:password|passwd|secret|token|api_?key))["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
+  ('access', 1, 'AKIA[A-Z0-9]+', 0, 20),
+  ('hex', 2, '[0-9a-f]{24,}', 0, 24),
+  ('owned', 3, '[A-Za-z0-9+/_=-]{16,}', 0, 16)),
+hit AS (
+  SELECT r, owner, repo, kind, rank, least, regexp_extract_all(t, pattern, 0) AS whole,
+         regexp_extract_all(t, pattern, grp) AS val,
+         list_transform(regexp_split_to_array(t, pattern), lambda x: length(x)) AS gap
+  FROM d, k WHERE regexp_matches(t, pattern)),
+m AS (
+  SELECT r, owner, repo, kind, rank, least, unnest(generate_series(1, len(whole))) AS n,
+         unnest(whole) AS whole, unnest(val) AS val, unnest(gap[1:len(whole)]) AS gap FROM hit),
+s AS (
+  SELECT *, sum(gap + length(whole)) OVER (PARTITION BY r, kind ORDER BY n) AS e FROM m),
+c AS (
+  SELECT r, owner, repo, kind, rank, e - length(whole) AS b, e, val FROM s
+  WHERE length(val) >= least AND (kind <> 'owned' OR regexp_matches(val, '[A-Za-z]') AND regexp_matches(val, '[0-9]'))),
+f AS (SELECT val, count(DISTINCT owner) AS n_owners FROM c GROUP BY val),
+o AS (SELECT c.*, n_owners FROM c JOIN f USING (val)),
+kept AS (
+  SELECT o.* FROM o WHERE kind <> 'owned' OR n_owners = 1 AND NOT EXISTS (
+    SELECT 1 FROM o p WHERE p.r = o.r AND p.kind <> 'owned' AND p.b < o.e AND p.e > o.b)),
+g AS (
+  SELECT r, string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, rank) AS spans,
+         string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, rank)
+           FILTER (WHERE kind <> 'owned') AS base,
+         count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
+         count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE n_owners = 1) AS n_live,
+         count(*) FILTER (WHERE n_owners >= 3) AS n_example
+  FROM kept GROUP BY r)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN g USING (r)
+"""
+
+
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document (3-word shingles, 3 bits)."""
     rows = simhash.near_dedup_rows(table(spark, sf_dir, "documents"), words_per_shingle=3, max_distance=3)
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document, and those in repeated windows of 35 words."""
+    return substring_dedup.dedup_substrings(table(spark, sf_dir, "documents"), window=35)
+
+
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes, targets of sources and words taken from every document."""
     rows = mixing.mix_counts(table(spark, sf_dir, "documents"))
@@ -59,6 +122,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.3)
 
 
+def op10_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and interpolated log probability of every document."""
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 OP8_SQL = r"""
 WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce("text", ''), '[^\x20\x09-\x0D]+')) AS size FROM documents),
@@ -94,12 +162,15 @@ _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_embedding_near_dedup": op3_embedding_near_dedup,
     "op4_toxicity": op4_toxicity,
+    "op5_secret_scan": op5_secret_scan,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
+    "op7_substring_dedup": op7_substring_dedup,
     "op8_mix_sources": op8_mix_sources,
     "op9_quality": op9_quality,
+    "op10_lm_scores": op10_lm_scores,
 }
 
-_SQL = {"op1_exact_dedup": OP1_SQL, "op8_mix_sources": OP8_SQL}
+_SQL = {"op1_exact_dedup": OP1_SQL, "op5_secret_scan": OP5_SQL, "op8_mix_sources": OP8_SQL}
 
 
 def spark_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
