@@ -4,16 +4,17 @@ and, for the headline keys, at sf0.01."""
 import pytest
 
 import __spark_entry__ as E
+from farmspark.registry import oracle_queries, spark_queries
 from tests.conftest import SF_ORACLE, SF_SMALL
 from tools.check_oracle import compare
 
-KEYS = sorted(E.queries())
+KEYS = sorted(spark_queries())
 HEADLINE = ["qty_monthly", "sales_report", "purchased_items", "pond_averages", "stock_issue", "order_status_notice",
             "reminder_batch", "register_accounts_rejects", "outbox"]
 
 
 def test_every_key_has_oracle():
-    missing = set(E.queries()) - set(E.oracle_sql())
+    missing = set(spark_queries()) - set(oracle_queries())
     assert not missing, missing
 
 
