@@ -224,6 +224,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     seen = (X.rejoin(chunks, answers, _observe(kept_tokens), "cell long, n long")
             .groupBy("cell").agg(F.sum("n").alias("n")).orderBy("cell").toPandas())
     weights = learn_weights(seen["cell"].to_numpy(), seen["n"].to_numpy(dtype=float), types)
+    if not tokens:
+        weights[:] = (0, 0, 1)
     rows = X.rejoin(chunks, answers, _score(tokens, types, weights),
                     "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double")
     return rows.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens", "n_known",

@@ -113,7 +113,9 @@ class ByteCnn:
         doc = np.repeat(np.arange(len(halves)), halves)
         d_feat = g[:, None] * p["out"][None, :]
         d_chunk = (d_feat[:, :FILTERS] / halves[:, None])[doc]
-        d_chunk += np.where(chunk == top[doc], d_feat[doc, FILTERS:], 0)
+        # chunks that share the maximum share its gradient
+        peak = chunk == top[doc]
+        d_chunk += np.where(peak, (d_feat[:, FILTERS:] / np.add.reduceat(peak, first, dtype=np.int32))[doc], 0)
         # to the half chunk that gave the chunk's maximum
         d_half = d_chunk.copy()
         at = np.flatnonzero(inner)
