@@ -77,11 +77,6 @@ def mysql_week0(ts) -> Column:
     return F.floor((F.dayofyear(x) + 7 - F.dayofweek(x)) / 7).cast("int")
 
 
-def to_day(ts) -> Column:
-    """F-7 ``DATE(x)``."""
-    return F.to_date(c(ts))
-
-
 def hour_text(ts) -> Column:
     """F-8 ``CONCAT(LPAD(HOUR(x),2,'0'),'.00')``."""
     return F.concat(F.lpad(F.hour(c(ts)).cast("string"), 2, "0"), F.lit(".00"))
@@ -108,9 +103,32 @@ NUMERIC_TEXT = r"^\s*[+-]?[0-9]+(\.[0-9]+)?\s*$"
 
 
 def parse_int_text(x) -> Column:
-    """Text -> int, truncating a fraction; NULL when the text is not numeric."""
+    """Numeric text with its fraction cut off, as a double (exact to 2**53; a
+    longer number stays large instead of failing); NULL when not numeric."""
     s = c(x).cast("string")
-    return F.when(s.rlike(NUMERIC_TEXT), F.trim(s).try_cast("double")).cast("long")
+    v = F.when(s.rlike(NUMERIC_TEXT), F.trim(s).try_cast("double"))
+    return v - v % 1
+
+
+# The INT columns of the business tables: a value beyond them fails its own
+# request in the database.
+INT_MAX = 2_147_483_647
+
+
+def beyond_int(x) -> Column:
+    """A number that an INT column cannot hold."""
+    return F.abs(c(x).cast("double")) > F.lit(float(INT_MAX))
+
+
+def beyond_money(x) -> Column:
+    """A number that a DECIMAL(12,2) column cannot hold."""
+    return c(x).isNotNull() & c(x).cast("double").isNotNull() & c(x).try_cast("decimal(12,2)").isNull()
+
+
+def price_text(x) -> Column:
+    """A price as a JS template prints the request's number: 100.00 -> 100, 12.50 -> 12.5."""
+    s = money_text(x)
+    return F.when(s.contains("."), F.regexp_replace(s, r"\.?0+$", "")).otherwise(s)
 
 
 def blank(x) -> Column:

@@ -31,7 +31,11 @@ NUM = r"'^\s*[+-]?[0-9]+(\.[0-9]+)?\s*$'"
 
 
 def parsed(c: str) -> str:
-    return f"CASE WHEN regexp_matches({c}, {NUM}) THEN CAST(trunc(TRY_CAST(trim({c}) AS DOUBLE)) AS BIGINT) END"
+    return f"CASE WHEN regexp_matches({c}, {NUM}) THEN trunc(TRY_CAST(trim({c}) AS DOUBLE)) END"
+
+
+def too_big(qty: str = "quantity", price: str = "price") -> str:
+    return f"(abs(CAST({qty} AS DOUBLE)) > 2147483647 OR {price} IS NOT NULL AND TRY_CAST({price} AS DECIMAL(12,2)) IS NULL)"
 
 
 CO_COLS = ["order_id", "customer_id", "prawn_type", "quantity", "price", "status", "approved_or_rejected",
@@ -70,36 +74,39 @@ def _new_id(table: str, col: str) -> str:
 register_pair(
     "insert_orders", lambda t: C.insert_orders(t, CF.orders_form(t)),
     f"""SELECT {_cols(CO_COLS)} FROM co UNION ALL
-        SELECT {_new_id('co', 'order_id')}, customer_id, prawn_type, quantity, CAST(price AS DOUBLE),
+        SELECT {_new_id('co', 'order_id')}, customer_id, prawn_type, CAST(quantity AS INTEGER), CAST(price AS DOUBLE),
                coalesce(nullif(status, ''), 'Processing'), NULL, NULL, NULL, NULL, created_at, NULL
         FROM chk WHERE reason IS NULL""",
     f"""SELECT *, CASE WHEN {falsy('customer_id')} OR {blank('prawn_type')} OR {falsy('quantity')}
-                          OR {falsy('price')} THEN 'Missing required fields' END AS reason
+                          OR {falsy('price')} THEN 'Missing required fields'
+                        WHEN {too_big()} THEN 'Error adding order' END AS reason
         FROM orders_form""", "orders_form")
 
 # C-2 --------------------------------------------------------------------------
 register_pair(
     "place_orders", lambda t: C.place_orders(t, CF.app_orders(t)),
     f"""SELECT {_cols(CO_COLS)} FROM co UNION ALL
-        SELECT {_new_id('co', 'order_id')}, customer_id, prawn_type, quantity, CAST(price AS DOUBLE), 'New',
+        SELECT {_new_id('co', 'order_id')}, customer_id, prawn_type, CAST(quantity AS INTEGER), CAST(price AS DOUBLE), 'New',
                NULL, 'uploads/' || receipt, location, NULL, created_at, NULL
         FROM chk WHERE reason IS NULL""",
     f"""SELECT c.*, CASE WHEN {blank('prawn_type')} OR {falsy('quantity')} OR {falsy('price')} OR {blank('location')}
                            THEN 'Missing required fields'
                          WHEN {blank('receipt')} THEN 'Payment receipt is required'
                          WHEN NOT EXISTS (SELECT 1 FROM cu WHERE cu.customer_id = c.customer_id)
-                           THEN 'Customer not found' END AS reason
+                           THEN 'Customer not found'
+                         WHEN {too_big()} THEN 'Error adding order' END AS reason
         FROM app_orders c""", "app_orders")
 
 # C-3 --------------------------------------------------------------------------
 register_pair(
     "insert_supply_orders", lambda t: C.insert_supply_orders(t, CF.purchase_form(t)),
     f"""SELECT {_cols(SO_COLS)} FROM so UNION ALL
-        SELECT {_new_id('so', 'supply_order_id')}, supplier_id, item_id, quantity, CAST(price AS DOUBLE), 'New',
+        SELECT {_new_id('so', 'supply_order_id')}, supplier_id, item_id, CAST(quantity AS INTEGER), CAST(price AS DOUBLE), 'New',
                order_date
         FROM chk WHERE reason IS NULL""",
     f"""SELECT *, CASE WHEN {falsy('supplier_id')} OR {falsy('item_id')} OR {falsy('quantity')} OR {falsy('price')}
-                       THEN 'Missing required fields' END AS reason
+                       THEN 'Missing required fields'
+                       WHEN {too_big()} THEN 'Error adding purchase item' END AS reason
         FROM purchase_form""", "purchase_form")
 
 # C-4 --------------------------------------------------------------------------
@@ -109,7 +116,8 @@ register_pair(
         SELECT {_new_id('inv', 'item_id')}, name, type, CAST(q AS INTEGER), NULL, NULL
         FROM chk WHERE reason IS NULL""",
     f"""SELECT *, CASE WHEN {blank('name')} OR {blank('type')} OR {blank('qty')} THEN 'All fields are required'
-                       WHEN q IS NULL OR q < 0 THEN 'Quantity must be a positive number' END AS reason
+                       WHEN q IS NULL OR q < 0 THEN 'Quantity must be a positive number'
+                       WHEN q > 2147483647 THEN 'Database error occurred while adding item' END AS reason
         FROM (SELECT *, {parsed('qty')} AS q FROM item_form)""", "item_form")
 
 # C-5 --------------------------------------------------------------------------
@@ -128,6 +136,8 @@ def _stock_sql(kinds: tuple[str, ...]) -> tuple[str, str]:
                          WHEN {blank('qty')} OR q IS NULL OR q < 0
                            THEN 'Valid quantity is required (must be a positive number)'
                          WHEN {blank('date')} THEN 'Date is required'
+                         WHEN q > 2147483647 OR TRY_CAST(date AS DATE) IS NULL
+                           THEN 'Database error occurred while updating item'
                          WHEN NOT EXISTS (SELECT 1 FROM inv WHERE inv.item_id = c.it) THEN 'Item not found' END AS reason
         FROM (SELECT *, TRY_CAST(nullif(regexp_extract(item_id, '^\\s*([+-]?[0-9]+)', 1), '') AS BIGINT) AS it,
                      {parsed('qty')} AS q
@@ -139,7 +149,7 @@ def _stock_sql(kinds: tuple[str, ...]) -> tuple[str, str]:
                i.threshold,
                CASE WHEN r.item_id IS NOT NULL THEN r.d ELSE i.date END AS date
         FROM inv i LEFT JOIN (
-            SELECT it AS item_id, sum(CASE WHEN kind = 'issue' THEN -q ELSE q END) AS delta,
+            SELECT it AS item_id, sum(CAST(CASE WHEN kind = 'issue' THEN -q ELSE q END AS BIGINT)) AS delta,
                    arg_max(TRY_CAST(date AS DATE), seq) AS d
             FROM chk WHERE reason IS NULL GROUP BY it) r ON i.item_id = r.item_id"""
     return table, chk

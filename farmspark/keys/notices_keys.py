@@ -40,6 +40,11 @@ def money(c: str) -> str:
     return f"CAST(CAST({c} AS DECIMAL(38,2)) AS VARCHAR)"
 
 
+def price(c: str) -> str:
+    """The number as given: no trailing zeros."""
+    return f"rtrim(rtrim({money(c)}, '0'), '.')"
+
+
 def stamp(c: str) -> str:
     return f"strftime({c}, '%Y-%m-%d %H:%M:%S')"
 
@@ -67,7 +72,7 @@ N2 = row("order_approval", "c.order_id", "cu.email", "'Order Approval Update'",
 N3 = row("purchase_order", "a.supply_order_id", "su.email", "'New Purchase Order'",
          tpl(L("Hello "), "su.name", L(",\n\nA new purchase order has been created.\n\nOrder ID: "),
              "a.supply_order_id", L("\nItem ID: "), "a.item_id", L("\nQuantity: "), "a.quantity",
-             L("\nPrice: "), money("a.price"), L("\nStatus: New\n\nThank you."))) + """
+             L("\nPrice: "), price("a.price"), L("\nStatus: New\n\nThank you."))) + """
     FROM (SELECT (SELECT max(supply_order_id) FROM so) + row_number() OVER (ORDER BY seq) AS supply_order_id,
                  supplier_id, item_id, quantity, price
           FROM chk WHERE reason IS NULL) a JOIN su ON su.supplier_id = a.supplier_id"""
@@ -96,7 +101,7 @@ N4 = row("supply_status", "a.supply_order_id", _lit(CFG.manager_email),
 N5 = row("new_order", "a.order_id", _lit(CFG.admin_email), "'New Order Placed'",
          tpl(L("New order (ID: "), "a.order_id", L(") from "), "cu.customer_name", L(" ("), "cu.email",
              L("):\nProduct: "), "a.prawn_type", L("\nQuantity: "), "a.quantity", L("\nPrice: "),
-             money("a.price"), L("\nLocation: "), "a.location",
+             price("a.price"), L("\nLocation: "), "a.location",
              L("\nStatus: New\nApproved/Rejected: Pending\nReceipt filename: "), "a.receipt")) + """
     FROM (SELECT (SELECT max(order_id) FROM co) + row_number() OVER (ORDER BY seq) AS order_id, *
           FROM chk WHERE reason IS NULL) a JOIN cu ON cu.customer_id = a.customer_id"""
@@ -115,6 +120,7 @@ N7_ORDER = row("worker_order", "c.order_id", _lit(CFG.manager_email), "'Order St
 N7_TASK = row("worker_task", "c.task_id", _lit(CFG.manager_email), "'Task Status Updated'",
               tpl(L("Task ID: "), "c.task_id", L("\nStatus: completed"))) + " FROM chk c WHERE c.reason IS NULL"
 _B = CFG.brand
+_I = " " * 20  # indents of the text in the reference's source
 N8 = " UNION ALL ".join([
     row("welcome_customer", "a.id", "a.email", _lit(f"Welcome to {_B}!"),
         tpl(L("Hello "), "a.name", L(f",\n\nWelcome to {_B}! Your account has been created successfully.\n\n"
@@ -131,9 +137,9 @@ N8 = " UNION ALL ".join([
     + " FROM (SELECT (SELECT max(supplier_id) FROM su) + row_number() OVER (ORDER BY seq) AS id, * "
       "FROM schk WHERE reason IS NULL) a",
     row("welcome_worker", "a.id", "a.email", "'Your Worker Account Details'",
-        tpl(L("Hello "), "a.name", L(",\n\nYour account has been created successfully.\n\nUsername: "), "a.name",
-            L("\nUser ID: "), "'PF' || CAST(a.id AS VARCHAR)",
-            L("\n\nPlease login using this credentials and dont forget these things.")))
+        tpl(L("Hello "), "a.name", L(f",\n\n{_I}Your account has been created successfully.\n\n{_I}Username: "), "a.name",
+            L(f"\n{_I}User ID: "), "'PF' || CAST(a.id AS VARCHAR)",
+            L(f"\n\n{_I}Please login using this credentials and dont forget these things.\n{_I}")))
     + " FROM (SELECT (SELECT max(id) FROM wk) + row_number() OVER (ORDER BY seq) AS id, * "
       "FROM wchk WHERE reason IS NULL) a",
 ])

@@ -32,7 +32,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
@@ -41,6 +41,8 @@ from farmspark.plans.ids import dense_ids
 from farmspark.sources import schemas
 from farmspark.sources.tables import Tables
 
+# The reject reasons of every rule below are the reference's texts.
+STOCK_FAILED = "Database error occurred while updating item"
 ITEM_ID_PREFIX = r"^\s*([+-]?[0-9]+)"  # JS parseInt: leading integer of the text
 # A batch's reduced changes (one row per touched key) are broadcast into the
 # snapshot rewrite up to this many keys.
@@ -53,8 +55,13 @@ class Applied:
     changes, with new ids for inserts)."""
 
     def __init__(self, table: DataFrame | Callable[[], DataFrame], rejects: DataFrame, accepted: DataFrame,
-                 keys_bounded: bool = False):
+                 keys_bounded: bool = False, inserted: DataFrame | None = None,
+                 update_keys: list[str] | None = None):
         self._table = table
+        # an insert only adds these rows; an update or delete only touches rows
+        # that share these columns with an accepted change
+        self.inserted = inserted
+        self.update_keys = update_keys
         self.rejects = rejects
         self.accepted = accepted
         # the distinct keys of the batch were counted within the broadcast
@@ -157,7 +164,8 @@ def insert_orders(t: Tables, changes: DataFrame) -> Applied:
     (JS falsy: NULL, '' or 0); status defaults to 'Processing'."""
     checked = changes.withColumn("reason", first_failing(
         (X.falsy_number("customer_id") | X.blank("prawn_type") | X.falsy_number("quantity")
-         | X.falsy_number("price"), "Missing required fields")))
+         | X.falsy_number("price"), "Missing required fields"),
+        (X.beyond_int("quantity") | X.beyond_money("price"), "Error adding order")))
     accepted, rejects = _split(checked)
     base = t.customer_order
     accepted = dense_ids(accepted, _next_id(base, "order_id"), "order_id")
@@ -167,7 +175,7 @@ def insert_orders(t: Tables, changes: DataFrame) -> Applied:
         *[F.lit(None).cast("string").alias(c) for c in ("approved_or_rejected", "payment_receipt",
                                                           "address", "assigned_by")],
         F.col("created_at").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted)
+    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted, inserted=new_rows)
 
 
 def place_orders(t: Tables, changes: DataFrame) -> Applied:
@@ -178,7 +186,8 @@ def place_orders(t: Tables, changes: DataFrame) -> Applied:
         (X.blank("prawn_type") | X.falsy_number("quantity") | X.falsy_number("price") | X.blank("location"),
          "Missing required fields"),
         (X.blank("receipt"), "Payment receipt is required"),
-        (~F.col("_found"), "Customer not found"))).drop("_found")
+        (~F.col("_found"), "Customer not found"),
+        (X.beyond_int("quantity") | X.beyond_money("price"), "Error adding order"))).drop("_found")
     accepted, rejects = _split(checked)
     base = t.customer_order
     accepted = dense_ids(accepted, _next_id(base, "order_id"), "order_id")
@@ -189,7 +198,7 @@ def place_orders(t: Tables, changes: DataFrame) -> Applied:
         F.concat(F.lit("uploads/"), F.col("receipt")).alias("payment_receipt"),
         F.col("location").alias("address"), F.lit(None).cast("string").alias("assigned_by"),
         F.col("created_at").cast("timestamp_ntz"), F.lit(None).cast("timestamp_ntz").alias("updated_at"))
-    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted)
+    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted, inserted=new_rows)
 
 
 def insert_supply_orders(t: Tables, changes: DataFrame) -> Applied:
@@ -197,7 +206,8 @@ def insert_supply_orders(t: Tables, changes: DataFrame) -> Applied:
     status is always 'New'."""
     checked = changes.withColumn("reason", first_failing(
         (X.falsy_number("supplier_id") | X.falsy_number("item_id") | X.falsy_number("quantity")
-         | X.falsy_number("price"), "Missing required fields")))
+         | X.falsy_number("price"), "Missing required fields"),
+        (X.beyond_int("quantity") | X.beyond_money("price"), "Error adding purchase item")))
     accepted, rejects = _split(checked)
     base = t.supply_orders
     accepted = dense_ids(accepted, _next_id(base, "supply_order_id"), "supply_order_id")
@@ -205,7 +215,7 @@ def insert_supply_orders(t: Tables, changes: DataFrame) -> Applied:
         "supply_order_id", "supplier_id", "item_id", F.col("quantity").cast("int"),
         F.col("price").cast(schemas.MONEY), F.lit("New").alias("status"),
         F.col("order_date").cast("timestamp_ntz"))
-    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted)
+    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted, inserted=new_rows)
 
 
 def insert_inventory(t: Tables, changes: DataFrame) -> Applied:
@@ -213,7 +223,8 @@ def insert_inventory(t: Tables, changes: DataFrame) -> Applied:
     qty = X.parse_int_text("qty")
     checked = changes.withColumn("reason", first_failing(
         (X.blank("name") | X.blank("type") | X.blank("qty"), "All fields are required"),
-        (qty.isNull() | (qty < 0), "Quantity must be a positive number")))
+        (qty.isNull() | (qty < 0), "Quantity must be a positive number"),
+        (X.beyond_int(qty), "Database error occurred while adding item")))
     accepted, rejects = _split(checked)
     base = t.inventory
     accepted = dense_ids(accepted.withColumn("quantity", qty.cast("int")),
@@ -221,7 +232,7 @@ def insert_inventory(t: Tables, changes: DataFrame) -> Applied:
     new_rows = accepted.select("item_id", "name", "type", "quantity",
                                F.lit(None).cast("int").alias("threshold"),
                                F.lit(None).cast("date").alias("date"))
-    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted)
+    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted, inserted=new_rows)
 
 
 def insert_tasks(t: Tables, changes: DataFrame) -> Applied:
@@ -232,7 +243,7 @@ def insert_tasks(t: Tables, changes: DataFrame) -> Applied:
                                F.lit("pending").alias("status"),
                                F.col("created_date").cast("timestamp_ntz"))
     rejects = changes.where(F.lit(False)).select("seq", F.lit(None).cast("string").alias("reason"))
-    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted)
+    return Applied(base.unionByName(new_rows, allowMissingColumns=True), rejects, accepted, inserted=new_rows)
 
 
 # ---------------------------------------------------------------- stock moves
@@ -253,14 +264,16 @@ def stock_changes(t: Tables, changes: DataFrame) -> Applied:
         (X.blank("qty") | F.col("_qty").isNull() | (F.col("_qty") < 0),
          "Valid quantity is required (must be a positive number)"),
         (X.blank("date"), "Date is required"),
+        (X.beyond_int("_qty") | F.try_to_date(F.col("date")).isNull(), STOCK_FAILED),
         (~F.col("_found"), "Item not found"))).drop("_found")
+    delta = F.when(F.col("kind") == "issue", -F.col("_qty")).otherwise(F.col("_qty")).cast("long")
+    base = t.inventory
+    checked = _no_overflow(_MATERIALIZE[-1](checked.withColumn("_delta", F.when(F.col("reason").isNull(), delta))), base)
     accepted, rejects = _split(checked)
-    delta = F.when(F.col("kind") == "issue", -F.col("_qty")).otherwise(F.col("_qty"))
     reduced = (accepted.groupBy(F.col("_item").alias("item_id"))
-               .agg(F.sum(delta).alias("_delta"),
+               .agg(F.sum("_delta").alias("_delta"),
                     F.max_by(F.try_to_date(F.col("date")), F.col("seq")).alias("_date"))
                .withColumn("_hit", F.lit(True)))
-    base = t.inventory
     j = base.join(_small(reduced, bounded), "item_id", "left")
     table = j.select(
         "item_id", "name", "type",
@@ -268,7 +281,27 @@ def stock_changes(t: Tables, changes: DataFrame) -> Applied:
          .otherwise(F.col("quantity")).alias("quantity"),
         "threshold",
         F.when(F.col("_hit"), F.col("_date")).otherwise(F.col("date")).alias("date"))
-    return Applied(table, rejects, accepted)
+    return Applied(table, rejects, accepted.drop("_delta"), update_keys=["item_id"])
+
+
+def _no_overflow(checked: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Rejects stock moves whose running total leaves the INT column.
+
+    Only items whose moves of the batch could add up to that are looked at one
+    by one, in order of seq: a move at which the total of the stock and of all
+    valid moves so far is out of range fails, as it would in the database."""
+    moves = checked.where(F.col("_delta").isNotNull())
+    sums = moves.groupBy("_item").agg(F.sum(F.abs("_delta")).alias("_moved"))
+    risky = (inventory.select(F.col("item_id").alias("_item"), F.col("quantity").cast("long").alias("_q"))
+             .join(sums, "_item").where(F.abs("_q") + F.col("_moved") > X.INT_MAX)
+             .groupBy("_item").agg(F.max("_q").alias("_high"), F.min("_q").alias("_low")))
+    if risky.isEmpty():
+        return checked
+    so_far = F.sum("_delta").over(Window.partitionBy("_item").orderBy("seq"))
+    out = (F.col("_high") + F.col("_total") > X.INT_MAX) | (F.col("_low") + F.col("_total") < -X.INT_MAX - 1)
+    failed = (moves.join(risky, "_item").withColumn("_total", so_far)
+              .where(out).select("seq", F.lit(STOCK_FAILED).alias("_over")))
+    return (checked.join(failed, "seq", "left").withColumn("reason", F.coalesce("reason", "_over")).drop("_over"))
 
 
 # ------------------------------------------------------------------- updates
@@ -283,7 +316,7 @@ def set_approval(t: Tables, changes: DataFrame) -> Applied:
     accepted = accepted.withColumn("approved_or_rejected", X.cap_first("action"))
     reduced = _last_by_seq(accepted, ["order_id"], ["approved_or_rejected"])
     return Applied(lambda: _update(t.customer_order, reduced, ["order_id"], ["approved_or_rejected"], bounded),
-                   rejects, accepted, bounded)
+                   rejects, accepted, bounded, update_keys=["order_id"])
 
 
 def set_order_status(t: Tables, changes: DataFrame, worker_app: bool = False) -> Applied:
@@ -301,7 +334,7 @@ def set_order_status(t: Tables, changes: DataFrame, worker_app: bool = False) ->
     accepted, rejects = _split(checked)
     reduced = _last_by_seq(accepted, ["order_id"], ["status"])
     return Applied(lambda: _update(t.customer_order, reduced, ["order_id"], ["status"], bounded), rejects, accepted,
-                   bounded)
+                   bounded, update_keys=["order_id"])
 
 
 def set_assigned_by(t: Tables, changes: DataFrame) -> Applied:
@@ -313,7 +346,7 @@ def set_assigned_by(t: Tables, changes: DataFrame) -> Applied:
     accepted, rejects = _split(checked)
     reduced = _last_by_seq(accepted, ["order_id"], ["assigned_by"])
     return Applied(lambda: _update(t.customer_order, reduced, ["order_id"], ["assigned_by"], bounded), rejects,
-                   accepted)
+                   accepted, update_keys=["order_id"])
 
 
 def set_supply_status(t: Tables, changes: DataFrame) -> Applied:
@@ -322,7 +355,8 @@ def set_supply_status(t: Tables, changes: DataFrame) -> Applied:
         (X.falsy_number("supply_order_id") | X.blank("status"), "Order ID and status are required")))
     accepted, rejects = _split(checked)
     reduced = _last_by_seq(accepted, ["supply_order_id"], ["status"])
-    return Applied(lambda: _update(t.supply_orders, reduced, ["supply_order_id"], ["status"]), rejects, accepted)
+    return Applied(lambda: _update(t.supply_orders, reduced, ["supply_order_id"], ["status"]), rejects, accepted,
+                   update_keys=["supply_order_id"])
 
 
 def set_supply_status_owned(t: Tables, changes: DataFrame) -> Applied:
@@ -335,7 +369,8 @@ def set_supply_status_owned(t: Tables, changes: DataFrame) -> Applied:
         (~F.col("_found"), "Order not found or not owned by this supplier"))).drop("_found")
     accepted, rejects = _split(checked)
     reduced = _last_by_seq(accepted, keys, ["status"])
-    return Applied(lambda: _update(t.supply_orders, reduced, keys, ["status"], bounded), rejects, accepted, bounded)
+    return Applied(lambda: _update(t.supply_orders, reduced, keys, ["status"], bounded), rejects, accepted, bounded,
+                   update_keys=keys)
 
 
 def update_workers(t: Tables, changes: DataFrame) -> Applied:
@@ -417,7 +452,7 @@ def register_accounts(t: Tables, changes: DataFrame) -> dict[str, Applied]:
         accepted, rejects = _split(checked)
         accepted = dense_ids(accepted, _next_id(table, id_col), id_col)
         new_rows = accepted.select(*[v.alias(n) for n, v in cols_from.items()])
-        return Applied(table.unionByName(new_rows), rejects, accepted)
+        return Applied(table.unionByName(new_rows), rejects, accepted, inserted=new_rows)
 
     out["customer"] = _email_kind(
         "customer", t.customer, "email",
@@ -439,7 +474,7 @@ def register_accounts(t: Tables, changes: DataFrame) -> dict[str, Applied]:
     ).drop("_found", "_first_email")
     accepted, rejects = _split(checked)
     new_rows = accepted.select(F.col("name").alias("serviceId"), "email", F.col("mobile_no").alias("phone"))
-    out["user"] = Applied(t.users.unionByName(new_rows), rejects, accepted)
+    out["user"] = Applied(t.users.unionByName(new_rows), rejects, accepted, inserted=new_rows)
 
     # workers: mobile number first, then the unique e-mail (insert failure)
     w = c.where(F.col("kind") == "worker")
@@ -457,5 +492,5 @@ def register_accounts(t: Tables, changes: DataFrame) -> dict[str, Applied]:
     accepted = dense_ids(accepted, _next_id(t.worker, "id"), "id")
     accepted = accepted.withColumn("worker_code", F.concat(F.lit("PF"), F.col("id").cast("string")))
     new_rows = accepted.select("id", "name", "email", "mobile_no")
-    out["worker"] = Applied(t.worker.unionByName(new_rows), rejects, accepted)
+    out["worker"] = Applied(t.worker.unionByName(new_rows), rejects, accepted, inserted=new_rows)
     return out

@@ -32,6 +32,9 @@ class NoticeConfig:
 
 DEFAULT = NoticeConfig()
 
+# Subjects and bodies below are the reference's message texts.
+INDENT = " " * 20
+
 
 def _t(x) -> Column:
     """Template slot: text of the value, 'null' for NULL."""
@@ -97,7 +100,7 @@ def purchase_order_notice(t: Tables, accepted: DataFrame) -> DataFrame:
         "purchase_order", F.col("supply_order_id"), F.col("_semail"), F.lit("New Purchase Order"),
         _lines("Hello ", _t("_sname"), ",\n\nA new purchase order has been created.\n\nOrder ID: ",
                _t("supply_order_id"), "\nItem ID: ", _t("item_id"), "\nQuantity: ", _t("quantity"),
-               "\nPrice: ", _t(X.money_text("price")), "\nStatus: New\n\nThank you.")))
+               "\nPrice: ", _t(X.price_text("price")), "\nStatus: New\n\nThank you.")))
 
 
 def supply_status_notice(t: Tables, accepted: DataFrame, cfg: NoticeConfig = DEFAULT) -> DataFrame:
@@ -131,7 +134,7 @@ def new_order_notice(t: Tables, accepted: DataFrame, cfg: NoticeConfig = DEFAULT
         "new_order", F.col("order_id"), F.lit(cfg.admin_email), F.lit("New Order Placed"),
         _lines("New order (ID: ", _t("order_id"), ") from ", _t("customer_name"), " (", _t("email"),
                "):\nProduct: ", _t("prawn_type"), "\nQuantity: ", _t("quantity"), "\nPrice: ",
-               _t(X.money_text("price")), "\nLocation: ", _t("location"),
+               _t(X.price_text("price")), "\nLocation: ", _t("location"),
                "\nStatus: New\nApproved/Rejected: Pending\nReceipt filename: ", _t("receipt"))))
 
 
@@ -183,7 +186,8 @@ def welcome_notice(customers: DataFrame, suppliers: DataFrame, workers: DataFram
                f"Keep your credentials safe.\n\nBest regards,\n{b} Team")))
     work = workers.select(*_row(
         "welcome_worker", F.col("id"), F.col("email"), F.lit("Your Worker Account Details"),
-        _lines("Hello ", _t("name"), ",\n\nYour account has been created successfully.\n\nUsername: ",
-               _t("name"), "\nUser ID: ", _t("worker_code"),
-               "\n\nPlease login using this credentials and dont forget these things.")))
+        # the mail of the reference carries the indents of its source text
+        _lines("Hello ", _t("name"), f",\n\n{INDENT}Your account has been created successfully.\n\n{INDENT}Username: ",
+               _t("name"), f"\n{INDENT}User ID: ", _t("worker_code"),
+               f"\n\n{INDENT}Please login using this credentials and dont forget these things.\n{INDENT}")))
     return cust.unionByName(supp).unionByName(work)

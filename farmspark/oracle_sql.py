@@ -29,7 +29,8 @@ ADAPTERS = {
                     ELSE 'uploads/receipt_' || CAST(o.o_orderkey AS VARCHAR) || '.jpg' END AS payment_receipt,
                'Pond Road ' || CAST(o.o_custkey % 97 AS VARCHAR) AS address,
                CAST(NULL AS VARCHAR) AS assigned_by,
-               o.o_orderdate + (o.o_orderkey % 1440) * INTERVAL 1 MINUTE AS created_at,
+               CASE WHEN o.o_orderkey % 211 = 7 THEN NULL
+                    ELSE o.o_orderdate + (o.o_orderkey % 1440) * INTERVAL 1 MINUTE END AS created_at,
                CASE WHEN o.o_orderkey % 5 = 0 THEN NULL
                     ELSE o.o_orderdate + (o.o_orderkey % 1440) * INTERVAL 1 MINUTE + INTERVAL 1 DAY END AS updated_at
         FROM orders o
@@ -82,11 +83,12 @@ ADAPTERS = {
                CAST(20 + event_id % 15 AS DOUBLE) AS WaterTemp,
                CAST(json_extract_string(props, '$.k') AS DOUBLE) AS TDS,
                CASE WHEN event_type = 'signup' AND event_id % 5 = 0 THEN NULL
-                    ELSE CAST(CAST(ts AS DATE) AS TIMESTAMP) END AS Updated_at
+                    ELSE CAST(CAST(ts AS DATE) AS TIMESTAMP)
+                         + (extract('hour' FROM ts) - extract('hour' FROM ts) % 6) * INTERVAL 1 HOUR END AS Updated_at
         FROM events""",
     "tk": """
         SELECT event_id AS task_id, event_type AS title, props AS description,
-               user_id % 120 AS worker_id,
+               event_id % (SELECT max(s_suppkey) + 1 FROM supplier) AS worker_id,
                CASE WHEN event_type = 'purchase' THEN 'completed' ELSE 'pending' END AS status,
                ts AS created_date
         FROM events""",
@@ -107,10 +109,3 @@ def with_adapters(body: str, extra: dict[str, str] | None = None) -> str:
     for n, q in (extra or {}).items():
         parts.append(f"{n} AS ({q})")
     return "WITH " + ",\n".join(parts) + "\n" + body
-
-
-QUERIES: dict[str, str] = {}
-
-
-def register(name: str, body: str, extra: dict[str, str] | None = None) -> None:
-    QUERIES[name] = with_adapters(body, extra)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farmspark.operators.reports import SORT_KEY
+from farmspark.operators.reports import sort_report
 from farmspark.sources import schemas
 
 
@@ -25,9 +25,7 @@ def write_report(df: DataFrame, path: str, fmt: str = "csv", mode: str = "overwr
     The global ORDER BY of the reference becomes a range-partitioned sort, so
     part files are in report order and no single task holds the report.
     """
-    if SORT_KEY in df.columns:
-        df = df.orderBy(F.col(SORT_KEY).desc()).drop(SORT_KEY)
-    w = df.write.mode(mode)
+    w = sort_report(df).write.mode(mode)
     if fmt == "csv":
         w.option("header", True).csv(path)
     else:
@@ -44,6 +42,9 @@ def outbox(*frames: DataFrame) -> DataFrame:
     return out
 
 
-def append_outbox(df: DataFrame, path: str) -> None:
-    """Append message rows to the outbox table (delivery is not built)."""
-    df.write.mode("append").partitionBy("kind").parquet(path)
+def append_outbox(df: DataFrame, path: str, batch: str) -> None:
+    """Add the messages of one batch to the outbox (delivery is not built).
+
+    Messages live under ``batch=<id>``; writing a batch again replaces its own
+    folder, so a retried job sends nothing twice."""
+    df.write.mode("overwrite").partitionBy("kind").parquet(f"{path.rstrip('/')}/batch={batch}")

@@ -2,7 +2,8 @@
 
 Everything here is plain Spark configuration.  On a cluster the settings come
 from ``spark-defaults`` / ``spark-submit``; :func:`get_session` only fills in
-what is unset, so it never overrides the cluster's choices.
+what is unset, so it never overrides the cluster's choices.  The session time
+zone is the cluster's own, too: naive timestamps do not depend on it.
 """
 
 from __future__ import annotations
@@ -10,15 +11,14 @@ from __future__ import annotations
 import os
 import tempfile
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import SparkSession
 
 # Settings every job of this package relies on.  AQE re-plans joins from
 # runtime sizes (broadcast only when the materialised side is small, fall back
 # to sort-merge otherwise), coalesces tiny shuffle partitions and splits skewed
-# ones.  Timestamps are naive (TIMESTAMP_NTZ) throughout; UTC keeps any
-# session-zone conversion an identity.
+# ones.
 DEFAULT_CONF = {
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
@@ -42,21 +42,29 @@ def get_session(master: str | None = None, app: str = "farmspark",
     ``master`` and ``shuffle_partitions`` are only meant for local runs and
     tests; on a cluster leave them ``None``.
     """
-    b = SparkSession.builder.appName(app)
-    if master:
-        b = b.master(master)
-        # a local run has no UI to look at and must not open a port for one
-        b = b.config("spark.ui.enabled", "false")
-    for k, v in DEFAULT_CONF.items():
-        b = b.config(k, v)
+    active = SparkSession.getActiveSession()
+    if active is not None:
+        ensure_checkpoint_dir(active)
+        return active
+    # what spark-defaults and spark-submit have set stays.  A local run starts
+    # its JVM with the settings below (driver memory among them), so there the
+    # JVM's own settings cannot be asked first.
+    if not master:
+        SparkContext._ensure_initialized()
+    given = SparkConf()
+    conf = dict(DEFAULT_CONF)
     if master:
-        # one machine: small data, keep every core busy rather than making
-        # 128 MB partitions
-        b = b.config("spark.sql.adaptive.coalescePartitions.parallelismFirst", "true")
+        # one machine: no web page (it would open a port), small data, every
+        # core busy rather than 128 MB partitions, and times shown in UTC
+        conf |= {"spark.master": master, "spark.ui.enabled": "false", "spark.sql.session.timeZone": "UTC",
+                 "spark.sql.adaptive.coalescePartitions.parallelismFirst": "true"}
     if shuffle_partitions:
-        b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-    for k, v in (extra or {}).items():
-        b = b.config(k, v)
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    conf |= extra or {}
+    b = SparkSession.builder.appName(app)
+    for k, v in conf.items():
+        if not given.contains(k) or k in (extra or {}):
+            b = b.config(k, v)
     spark = b.getOrCreate()
     ensure_checkpoint_dir(spark)
     return spark

@@ -4,7 +4,9 @@ The reference answers one HTTP request at a time (``WHERE id = ?``, one
 ``UPDATE`` per call).  Here a batch of requests is a DataFrame: lookup keys
 for the point reads and change logs (one row per request, ``seq`` = arrival
 order) for the write rules.  For the test driver they are derived from the
-``events`` / ``lineitem`` tables, so they grow with the data; in production
+``events`` / ``lineitem`` tables and name keys of the whole range of their
+target table (an event id times a fixed factor, modulo the number of keys), so
+they grow with the data; in production
 they come from the request log.  The DuckDB text of each feed is in
 :data:`FEED_SQL` and must stay in step with the Spark definition.
 """
@@ -14,7 +16,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farmspark.sources.tables import Tables
+from farmspark.sources.tables import Tables, top
+
+#: spreads consecutive event ids over a key range
+SPREAD = 48271
+WORKERS_SQL = "(SELECT max(s_suppkey) + 1 FROM supplier)"
+
+
+def workers(t: Tables):
+    return top(t.worker, "id")
 
 
 def _ev(t: Tables) -> DataFrame:
@@ -35,7 +45,7 @@ def supplier_keys(t: Tables) -> DataFrame:
 
 
 def worker_emails(t: Tables) -> DataFrame:
-    return _ev(t).select(F.concat(F.lit("worker#"), F.lpad((F.col("user_id") % 120).cast("string"), 9, "0"),
+    return _ev(t).select(F.concat(F.lit("worker#"), F.lpad((F.col("event_id") % workers(t)).cast("string"), 9, "0"),
                                   F.lit("@farm.example")).alias("email"))
 
 
@@ -45,7 +55,7 @@ def customer_emails(t: Tables) -> DataFrame:
 
 
 def worker_mobiles(t: Tables) -> DataFrame:
-    return _ev(t).select(F.concat(F.lit("07"), F.lpad((F.col("user_id") % 120).cast("string"), 8, "0"))
+    return _ev(t).select(F.concat(F.lit("07"), F.lpad((F.col("event_id") % workers(t)).cast("string"), 8, "0"))
                          .alias("mobile_no"))
 
 
@@ -58,7 +68,7 @@ def login_handles(t: Tables) -> DataFrame:
         F.when(k == 0, F.concat(F.lit("Customer#"), F.lpad((uid * 11).cast("string"), 9, "0")))
          .when(k == 1, F.concat(F.lit("  customer#"), F.lpad((uid * 11).cast("string"), 9, "0"),
                                 F.lit("@example.com ")))
-         .when(k == 2, F.concat(F.lit("Worker#"), F.lpad((uid % 120).cast("string"), 9, "0")))
+         .when(k == 2, F.concat(F.lit("Worker#"), F.lpad((F.col("event_id") % workers(t)).cast("string"), 9, "0")))
          .when(k == 3, F.concat(F.lit("supplier#"), F.lpad(uid.cast("string"), 9, "0"), F.lit("@example.com")))
          .otherwise(F.concat(F.lit("nobody "), uid.cast("string"))).alias("handle"))
 
@@ -67,16 +77,16 @@ FEED_SQL = {
     "order_keys": "SELECT event_id * 2 AS order_id FROM events",
     "customer_keys": "SELECT user_id * 11 AS customer_id FROM events",
     "supplier_keys": "SELECT user_id AS supplier_id FROM events",
-    "worker_emails": ("SELECT 'worker#' || lpad(CAST(user_id % 120 AS VARCHAR), 9, '0') || '@farm.example' "
+    "worker_emails": (f"SELECT 'worker#' || lpad(CAST(event_id % {WORKERS_SQL} AS VARCHAR), 9, '0') || '@farm.example' "
                       "AS email FROM events"),
     "customer_emails": ("SELECT 'customer#' || lpad(CAST(user_id * 11 AS VARCHAR), 9, '0') || '@example.com' "
                         "AS email FROM events"),
-    "worker_mobiles": "SELECT '07' || lpad(CAST(user_id % 120 AS VARCHAR), 8, '0') AS mobile_no FROM events",
-    "login_handles": """
+    "worker_mobiles": f"SELECT '07' || lpad(CAST(event_id % {WORKERS_SQL} AS VARCHAR), 8, '0') AS mobile_no FROM events",
+    "login_handles": f"""
         SELECT CASE event_id % 5
                  WHEN 0 THEN 'Customer#' || lpad(CAST(user_id * 11 AS VARCHAR), 9, '0')
                  WHEN 1 THEN '  customer#' || lpad(CAST(user_id * 11 AS VARCHAR), 9, '0') || '@example.com '
-                 WHEN 2 THEN 'Worker#' || lpad(CAST(user_id % 120 AS VARCHAR), 9, '0')
+                 WHEN 2 THEN 'Worker#' || lpad(CAST(event_id % {WORKERS_SQL} AS VARCHAR), 9, '0')
                  WHEN 3 THEN 'supplier#' || lpad(CAST(user_id AS VARCHAR), 9, '0') || '@example.com'
                  ELSE 'nobody ' || CAST(user_id AS VARCHAR) END AS handle
         FROM events""",
@@ -99,9 +109,8 @@ def sensor_docs(t: Tables) -> DataFrame:
 
 
 def feeding_acks(t: Tables) -> DataFrame:
-    """Acknowledgements: a click acknowledges feeding_ID = user_id."""
-    return (_ev(t).where(F.col("event_type") == "click")
-            .select(F.col("user_id").alias("feeding_ID"), F.col("ts").alias("ack_ts")))
+    """Acknowledgements of feeding_ID = user_id."""
+    return _ev(t).select(F.col("user_id").alias("feeding_ID"), F.col("ts").alias("ack_ts"))
 
 
 FEED_SQL.update({
@@ -116,6 +125,6 @@ FEED_SQL.update({
                          || json_extract_string(props, '$.k') || '}' END AS doc,
                ts AS arrived_at
         FROM events""",
-    "feeding_acks": "SELECT user_id AS feeding_ID, ts AS ack_ts FROM events WHERE event_type = 'click'",
+    "feeding_acks": "SELECT user_id AS feeding_ID, ts AS ack_ts FROM events",
     "ticks": "SELECT DISTINCT date_trunc('minute', ts) AS tick_ts FROM events",
 })

@@ -60,7 +60,7 @@ def adapt_customer_order(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
                  .alias("payment_receipt"),
                 F.concat(F.lit("Pond Road "), (F.col("o_custkey") % 97).cast("string")).alias("address"),
                 F.lit(None).cast("string").alias("assigned_by"),
-                created.alias("created_at"),
+                F.when(key % 211 == 7, F.lit(None).cast("timestamp_ntz")).otherwise(created).alias("created_at"),
                 F.when(key % 5 == 0, F.lit(None).cast("timestamp_ntz"))
                  .otherwise(created + F.make_dt_interval(days=F.lit(1))).alias("updated_at"),
             ))
@@ -140,15 +140,22 @@ def adapt_sensors_data(events: DataFrame) -> DataFrame:
         (20 + eid % 15).cast("double").alias("WaterTemp"),
         F.get_json_object("props", "$.k").cast("double").alias("TDS"),
         F.when((F.col("event_type") == "signup") & (eid % 5 == 0), F.lit(None).cast("timestamp_ntz"))
-         .otherwise(F.to_date("ts").cast("timestamp_ntz")).alias("Updated_at"))
+         .otherwise(F.to_date("ts").cast("timestamp_ntz") + F.make_dt_interval(hours=F.hour("ts") - F.hour("ts") % 6))
+         .alias("Updated_at"))
 
 
-def adapt_task(events: DataFrame) -> DataFrame:
+def top(df: DataFrame, key: str) -> Column:
+    """Number of keys 0 … max of a table, as a scalar subquery."""
+    return df.agg(F.max(key) + 1).scalar()
+
+
+def adapt_task(events: DataFrame, supplier: DataFrame) -> DataFrame:
+    """Tasks are spread over all workers (one per supplier row)."""
     return events.select(
         F.col("event_id").alias("task_id"),
         F.col("event_type").alias("title"),
         F.col("props").alias("description"),
-        (F.col("user_id") % 120).alias("worker_id"),
+        (F.col("event_id") % top(supplier, "s_suppkey")).alias("worker_id"),
         F.when(F.col("event_type") == "purchase", "completed").otherwise("pending").alias("status"),
         F.col("ts").alias("created_date"))
 
@@ -206,7 +213,7 @@ class Tables:
             "inventory": lambda: adapt_inventory(r("part")),
             "supply_orders": lambda: adapt_supply_orders(r("lineitem")),
             "sensors_data": lambda: adapt_sensors_data(r("events")),
-            "task": lambda: adapt_task(r("events")),
+            "task": lambda: adapt_task(r("events"), r("supplier")),
             "feeding_schedule": lambda: adapt_feeding_schedule(r("supplier")),
         }
         return cls(spark, frames, sf_dir)
