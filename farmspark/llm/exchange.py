@@ -23,7 +23,7 @@ from farmspark.llm.shared import scratch, shuffle_partitions
 #: rows of a chunk, as a power of two
 CHUNK_BITS = 11
 #: keys of one bucket, on average
-BUCKET_KEYS = 4_000_000
+BUCKET_KEYS = 2_000_000
 
 
 def chunk_table(docs: DataFrame, *columns) -> DataFrame:
@@ -58,6 +58,17 @@ def unpack(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(planes.T).reshape(-1).view(dtype)
 
 
+def pack_counts(a: np.ndarray) -> bytes:
+    """:func:`pack` in the narrowest unsigned type that holds every count."""
+    top = int(a.max()) if len(a) else 0
+    size = next(n for n in (1, 2, 4, 8) if top < 1 << 8 * n)
+    return bytes([size]) + pack(a.astype(f"<u{size}"))
+
+
+def unpack_counts(data: bytes) -> np.ndarray:
+    return unpack(data[1:], f"<u{data[0]}").astype("<i8")
+
+
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     """Bucket of each 64-bit key, from its upper half."""
     return ((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int32)

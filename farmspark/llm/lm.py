@@ -30,7 +30,7 @@ from farmspark.llm.shared import crc_fold, doc_text, saved
 FOLDS = 7
 #: fold that is never learned from, and the training fold deleted for the weights
 HELD_OUT, DELETED = 2, 3
-SLAB = 4 << 20
+SLAB = (1 << 20) - 4096
 #: buckets of the context frequency: 0, 1, 2-3, 4-7, ..., 2**(n-2) and more
 CONTEXTS = 24
 #: step of the logarithmic histogram of estimates, and its bins
@@ -72,9 +72,10 @@ def _ask(buckets: int):
         tokens, counts = _tokens(utf8(rows.column("text")))
         fold = _folds(rows, counts)
         unique, at = np.unique(np.concatenate(_keys(tokens)), return_inverse=True)
-        sums = [np.bincount(at[np.concatenate([on, on])], minlength=len(unique)).astype("<i4")
+        sums = [np.bincount(at[np.concatenate([on, on])], minlength=len(unique))
                 for on in ((fold != HELD_OUT) & (fold != DELETED), fold == DELETED)]
-        out = [(b, X.pack(unique[s]), X.pack(sums[0][s]), X.pack(sums[1][s])) for b, s in X.by_bucket(unique, buckets)]
+        out = [(b, X.pack(unique[s]), X.pack_counts(sums[0][s]), X.pack_counts(sums[1][s]))
+               for b, s in X.by_bucket(unique, buckets)]
         chunk = rows.column("chunk")[0].as_py()
         kinds = [pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
         columns = list(zip(*((b, chunk, k, x, y) for b, k, x, y in out))) or [()] * 5
@@ -90,7 +91,7 @@ def _sum(rows):
     unique, at = np.unique(np.concatenate(keys), return_inverse=True)
     totals = []
     for name in ("kept", "deleted"):
-        own = np.concatenate([X.unpack(d, "<i4") for d in rows.column(name).to_pylist()])
+        own = np.concatenate([X.unpack_counts(d) for d in rows.column(name).to_pylist()])
         totals.append(np.bincount(at, own, len(unique)).astype("<i8"))
     bucket = rows.column("bucket")[0].as_py()
     one = unique & U(1) == 0
@@ -99,7 +100,7 @@ def _sum(rows):
     cuts = np.cumsum([0, *map(len, keys)])
     for i, chunk in enumerate(rows.column("chunk").to_pylist()):
         own = at[cuts[i]:cuts[i + 1]]
-        out.append((chunk, bucket, X.pack(totals[0][own]), X.pack(totals[1][own]), None, None, None))
+        out.append((chunk, bucket, X.pack_counts(totals[0][own]), X.pack_counts(totals[1][own]), None, None, None))
     kinds = [pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
     names = ["chunk", "bucket", "kept", "deleted", "types", "kept_tokens", "tokens"]
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
@@ -112,8 +113,8 @@ def _counts(rows, replies):
     unique, at = np.unique(np.concatenate(_keys(tokens)), return_inverse=True)
     # buckets are ranges of the key: the answers in order of bucket match the keys
     order = np.argsort(replies.column("bucket").to_numpy())
-    kept = np.concatenate([X.unpack(replies.column("kept")[i].as_py(), "<i8") for i in order.tolist()])
-    deleted = np.concatenate([X.unpack(replies.column("deleted")[i].as_py(), "<i8") for i in order.tolist()])
+    kept, deleted = (np.concatenate([X.unpack_counts(replies.column(name)[i].as_py()) for i in order.tolist()])
+                     for name in ("kept", "deleted"))
     n = len(tokens)
     end = np.searchsorted(unique, _mix(np.array([_END])) & ~U(1))
 

@@ -25,7 +25,7 @@ from farmspark.llm.rolling import FIRST, SECOND, U, Words, slabs, utf8
 from farmspark.llm.shared import doc_text, saved
 
 WINDOW = 35
-SLAB = 4 << 20
+SLAB = (1 << 20) - 4096
 #: flags below a sent key: seen twice in the chunk, seen as a reference block
 _MANY, _BLOCK = 2, 1
 _SENT = "bucket int, chunk long, data binary"

@@ -34,7 +34,7 @@ TERMS = 256
 FACTORS = 8
 #: a place needs this many training documents
 MIN_DOCS = 5
-SLAB = 4 << 20
+SLAB = (1 << 20) - 4096
 
 
 def term_places(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
