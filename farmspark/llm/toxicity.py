@@ -91,8 +91,11 @@ def fit(texts: list[bytes], labels: list[int], weights: dict[int, float], defaul
         return FactorizationMachine(np.zeros(0, np.int32), 0.0, np.zeros(0), np.zeros((0, FACTORS)),
                                     float(y[0]) if len(y) else default)
     n = len(texts)
-    doc, place = term_places(texts)
-    pair = np.unique(doc * (1 << HASH_BITS) + place)
+    pairs = []
+    for a, b in slabs([len(t) for t in texts], SLAB):
+        doc, place = term_places(texts[a:b])
+        pairs.append(np.unique((doc + a << HASH_BITS) + place))
+    pair = np.concatenate(pairs)
     doc, place = pair >> HASH_BITS, pair & (1 << HASH_BITS) - 1
     ones = np.bincount(place, y[doc], 1 << HASH_BITS)
     both = np.bincount(place, minlength=1 << HASH_BITS)
