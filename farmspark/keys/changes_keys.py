@@ -272,17 +272,22 @@ def _email_kind_ctes(kind: str, table: str, email_col: str, p: str) -> dict[str,
 
 
 _WORKER = {
-    "w0": """SELECT s.*, EXISTS (SELECT 1 FROM wk WHERE wk.mobile_no = s.mobile_no) AS mob
+    "w0": """SELECT s.*, EXISTS (SELECT 1 FROM wk WHERE wk.mobile_no = s.mobile_no) AS mob,
+                    EXISTS (SELECT 1 FROM wk WHERE wk.email = s.email) AS mail
              FROM sg s WHERE kind = 'worker'""",
-    "wfm": "SELECT mobile_no, min(seq) AS first_m FROM w0 WHERE NOT mob AND mobile_no IS NOT NULL GROUP BY mobile_no",
-    "w1": """SELECT a.*, (NOT a.mob AND (a.mobile_no IS NULL OR a.seq = b.first_m)) AS mobile_ok,
-                    EXISTS (SELECT 1 FROM wk WHERE wk.email = a.email) AS mail
-             FROM w0 a LEFT JOIN wfm b ON a.mobile_no = b.mobile_no""",
-    "wfe": "SELECT email, min(seq) AS first_e FROM w1 WHERE mobile_ok AND NOT mail AND email IS NOT NULL GROUP BY email",
-    "wchk": """SELECT a.*, CASE WHEN NOT mobile_ok THEN 'Mobile number already exists'
-                                WHEN mail OR (a.email IS NOT NULL AND a.seq <> b.first_e)
+    # one sign-up after the other: taken mobile numbers, taken e-mails, accepted seqs
+    "wacc": """SELECT unnest(list_reduce(
+                   list({'m': CASE WHEN mobile_no IS NULL THEN []::VARCHAR[] ELSE [mobile_no] END,
+                         'e': CASE WHEN email IS NULL THEN []::VARCHAR[] ELSE [email] END, 's': [seq]} ORDER BY seq),
+                   lambda a, r: CASE WHEN list_has_any(a.m, r.m) OR list_has_any(a.e, r.e) THEN a
+                                     ELSE {'m': a.m || r.m, 'e': a.e || r.e, 's': a.s || r.s} END).s) AS seq
+               FROM w0 WHERE NOT mob AND NOT mail""",
+    "wchk": """SELECT a.*, CASE WHEN mob OR EXISTS (SELECT 1 FROM w0 b JOIN wacc USING (seq)
+                                                    WHERE b.mobile_no = a.mobile_no AND b.seq < a.seq)
+                                  THEN 'Mobile number already exists'
+                                WHEN a.seq NOT IN (SELECT seq FROM wacc)
                                   THEN 'Email already registered as a user' END AS reason
-               FROM w1 a LEFT JOIN wfe b ON a.email = b.email""",
+               FROM w0 a""",
 }
 _ALL_SIGNUP = {"signups": CHANGE_SQL["signups"], **_SIGN,
                **_email_kind_ctes("customer", "cu", "email", "c"),
@@ -291,26 +296,26 @@ _ALL_SIGNUP = {"signups": CHANGE_SQL["signups"], **_SIGN,
                **_WORKER}
 
 
-def _signup(t):
-    return C.register_accounts(t, CF.signups(t))
+def _signup(t, *kinds):
+    return C.register_accounts(t, CF.signups(t), kinds or C.ACCOUNT_KINDS)
 
 
 query("register_customers", f"""
     SELECT customer_id, customer_name, mobile_no, email FROM cu UNION ALL
     SELECT {_new_id('cu', 'customer_id')}, name, mobile_no, email FROM cchk WHERE reason IS NULL""",
-      extra=_ALL_SIGNUP)(lambda t: _signup(t)["customer"].table)
+      extra=_ALL_SIGNUP)(lambda t: _signup(t, "customer")["customer"].table)
 query("register_suppliers", f"""
     SELECT supplier_id, name, email, mobile_no FROM su UNION ALL
     SELECT {_new_id('su', 'supplier_id')}, name, email, mobile_no FROM schk WHERE reason IS NULL""",
-      extra=_ALL_SIGNUP)(lambda t: _signup(t)["supplier"].table)
+      extra=_ALL_SIGNUP)(lambda t: _signup(t, "supplier")["supplier"].table)
 query("register_users", """
     SELECT serviceId, email, phone FROM us UNION ALL
     SELECT name, email, mobile_no FROM uchk WHERE reason IS NULL""",
-      extra=_ALL_SIGNUP)(lambda t: _signup(t)["user"].table)
+      extra=_ALL_SIGNUP)(lambda t: _signup(t, "user")["user"].table)
 query("register_workers", f"""
     SELECT id, name, email, mobile_no FROM wk UNION ALL
     SELECT {_new_id('wk', 'id')}, name, email, mobile_no FROM wchk WHERE reason IS NULL""",
-      extra=_ALL_SIGNUP)(lambda t: _signup(t)["worker"].table)
+      extra=_ALL_SIGNUP)(lambda t: _signup(t, "worker")["worker"].table)
 
 
 def _all_rejects(t):

@@ -178,7 +178,7 @@ def n7(t):
 
 
 def n8(t):
-    r = C.register_accounts(t, CF.signups(t))
+    r = C.register_accounts(t, CF.signups(t), ("customer", "supplier", "worker"))
     return N.welcome_notice(r["customer"].accepted, r["supplier"].accepted, r["worker"].accepted)
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from farmspark.functions import exprs as X
 from farmspark.registry import query
 from farmspark.session import scratch_path
-from farmspark.sources import feeds
+from farmspark.sources import feeds, schemas
 from farmspark.streaming import alerts as AL
 from farmspark.streaming import reminders as RM
 from farmspark.streaming import sensor_ingest as SI
@@ -21,16 +21,21 @@ _TABLES = {"customer_order": "co", "customer": "cu", "supplier": "su", "worker":
 
 
 def _load_tables(t):
+    """Rows and filled-in values of every table: reads all columns."""
     out = None
     for name in _TABLES:
-        c = t.frames[name].agg(F.count(F.lit(1)).alias("row_count")).select(
-            F.lit(name).alias("table_name"), "row_count")
+        df = t.frames[name]
+        filled = sum((F.col(c).isNotNull().cast("long") for c in df.columns), F.lit(0).cast("long"))
+        c = df.agg(F.count(F.lit(1)).alias("row_count"), F.coalesce(F.sum(filled), F.lit(0)).cast("long").alias("n_values"))
+        c = c.select(F.lit(name).alias("table_name"), "row_count", "n_values")
         out = c if out is None else out.unionByName(c)
     return out
 
 
 query("load_tables", " UNION ALL ".join(
-    f"SELECT '{n}' AS table_name, CAST(count(*) AS BIGINT) AS row_count FROM {a}" for n, a in _TABLES.items()))(
+    f"SELECT '{n}' AS table_name, CAST(count(*) AS BIGINT) AS row_count, CAST(coalesce(sum("
+    + " + ".join(f"CAST({f.name} IS NOT NULL AS BIGINT)" for f in schemas.BUSINESS[n].fields)
+    + f"), 0) AS BIGINT) AS n_values FROM {a}" for n, a in _TABLES.items()))(
     _load_tables)
 
 # SRC-2 / ST-1 / C-17 -----------------------------------------------------------
@@ -41,15 +46,19 @@ _READINGS = """
            CAST(json_extract(doc, '$.waterTemp') AS DOUBLE) AS WaterTemp,
            CAST(json_extract(doc, '$.tds') AS DOUBLE) AS TDS,
            arrived_at AS Updated_at
-    FROM sensor_docs WHERE json_valid(doc)"""
+    FROM sensor_docs WHERE CASE WHEN json_valid(doc) THEN json_type(doc) = 'OBJECT' ELSE FALSE END"""
 query("sensor_source", """
     SELECT CAST(json_extract(doc, '$.waterLevelInside') AS DOUBLE) AS waterLevelInside,
            CAST(json_extract(doc, '$.waterTemp') AS DOUBLE) AS waterTemp,
            CAST(json_extract(doc, '$.tds') AS DOUBLE) AS tds, arrived_at
-    FROM sensor_docs WHERE json_valid(doc)""", feeds=("sensor_docs",))(
+    FROM sensor_docs WHERE CASE WHEN json_valid(doc) THEN json_type(doc) = 'OBJECT' ELSE FALSE END""", feeds=("sensor_docs",))(
     lambda t: SI.docs_to_source_rows(feeds.sensor_docs(t)))
 query("sensor_ingest", _READINGS, feeds=("sensor_docs",))(
     lambda t: SI.docs_to_readings(feeds.sensor_docs(t)))
+query("sensor_ingest_rejects", """
+    SELECT doc, arrived_at, CASE WHEN json_valid(doc) THEN 'not an object' ELSE 'not JSON' END AS reason
+    FROM sensor_docs WHERE CASE WHEN json_valid(doc) THEN json_type(doc) <> 'OBJECT' ELSE TRUE END""", feeds=("sensor_docs",))(
+    lambda t: SI.rejected_docs(feeds.sensor_docs(t)))
 query("append_readings", "SELECT Pond_ID, Water_Level, pH, WaterTemp, TDS, Updated_at FROM sd UNION ALL "
       "SELECT * FROM readings", feeds=("sensor_docs",), extra={"readings": _READINGS})(
     lambda t: SI.append_readings(t.sensors_data, SI.docs_to_readings(feeds.sensor_docs(t))))

@@ -32,7 +32,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
@@ -284,12 +284,28 @@ def stock_changes(t: Tables, changes: DataFrame) -> Applied:
     return Applied(table, rejects, accepted.drop("_delta"), update_keys=["item_id"])
 
 
+def _fails_in_turn(batches):
+    """seq of the moves that leave the INT column, from moves sorted by item and
+    seq: a failed move does not count for the ones after it."""
+    import pyarrow as pa
+    item = high = low = None
+    for batch in batches:
+        failed = []
+        for i, seq, d, h, lo in zip(*(c.to_pylist() for c in batch.columns)):
+            if i != item:
+                item, high, low = i, h, lo
+            if high + d > X.INT_MAX or low + d < -X.INT_MAX - 1:
+                failed.append(seq)
+            else:
+                high, low = high + d, low + d
+        yield pa.record_batch([pa.array(failed, pa.int64())], ["seq"])
+
+
 def _no_overflow(checked: DataFrame, inventory: DataFrame) -> DataFrame:
     """Rejects stock moves whose running total leaves the INT column.
 
-    Only items whose moves of the batch could add up to that are looked at one
-    by one, in order of seq: a move at which the total of the stock and of all
-    valid moves so far is out of range fails, as it would in the database."""
+    Only items whose moves of the batch could add up to that are looked at move
+    by move, as a stream sorted by item and seq; without any, nothing is done."""
     moves = checked.where(F.col("_delta").isNotNull())
     sums = moves.groupBy("_item").agg(F.sum(F.abs("_delta")).alias("_moved"))
     risky = (inventory.select(F.col("item_id").alias("_item"), F.col("quantity").cast("long").alias("_q"))
@@ -297,11 +313,10 @@ def _no_overflow(checked: DataFrame, inventory: DataFrame) -> DataFrame:
              .groupBy("_item").agg(F.max("_q").alias("_high"), F.min("_q").alias("_low")))
     if risky.isEmpty():
         return checked
-    so_far = F.sum("_delta").over(Window.partitionBy("_item").orderBy("seq"))
-    out = (F.col("_high") + F.col("_total") > X.INT_MAX) | (F.col("_low") + F.col("_total") < -X.INT_MAX - 1)
-    failed = (moves.join(risky, "_item").withColumn("_total", so_far)
-              .where(out).select("seq", F.lit(STOCK_FAILED).alias("_over")))
-    return (checked.join(failed, "seq", "left").withColumn("reason", F.coalesce("reason", "_over")).drop("_over"))
+    failed = (moves.join(risky, "_item").select("_item", "seq", "_delta", "_high", "_low")
+              .repartition("_item").sortWithinPartitions("_item", "seq").mapInArrow(_fails_in_turn, "seq long")
+              .withColumn("_over", F.lit(STOCK_FAILED)))
+    return checked.join(failed, "seq", "left").withColumn("reason", F.coalesce("reason", "_over")).drop("_over")
 
 
 # ------------------------------------------------------------------- updates
@@ -427,70 +442,91 @@ def _first_writer(c: DataFrame, key: str, ok: Column) -> DataFrame:
     return c.join(first, key, "left")
 
 
-def register_accounts(t: Tables, changes: DataFrame) -> dict[str, Applied]:
-    """C-16 sign-ups of customers, suppliers, workers and users.
+def _settle_workers(w: DataFrame) -> DataFrame:
+    """Accepted worker sign-ups (seq, mobile_no), one after the other by seq.
+
+    A request is accepted if neither its mobile number nor its e-mail belongs to
+    a request accepted before it.  Each round accepts every open request that is
+    the earliest open one for both, and drops those it makes duplicates of;
+    what is left waits for the next round.  The rounds end when none is open.
+    ``w``: open requests (seq, mobile_no, email); the rounds go through the
+    shared checkpoint folder.
+    """
+    opened = w.select("seq", "mobile_no", "email").checkpoint(eager=True)
+    done = None
+    while not opened.isEmpty():
+        mine = opened
+        for key in ("mobile_no", "email"):
+            first = (opened.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("_first"))
+                     .select(F.col(key), "_first"))
+            mine = (mine.join(first, key, "left")
+                    .where(F.col(key).isNull() | (F.col("seq") == F.col("_first"))).drop("_first"))
+        won = mine.select("seq", "mobile_no", "email").checkpoint(eager=True)
+        done = won if done is None else done.unionByName(won)
+        opened = opened.join(won.select("seq"), "seq", "left_anti")
+        for key in ("mobile_no", "email"):
+            opened = opened.join(won.where(F.col(key).isNotNull()).select(key), key, "left_anti")
+        opened = opened.select("seq", "mobile_no", "email").checkpoint(eager=True)
+    return (w if done is None else done).select("seq", "mobile_no")
+
+
+ACCOUNT_KINDS = ("customer", "supplier", "user", "worker")
+
+
+def register_accounts(t: Tables, changes: DataFrame, kinds: tuple[str, ...] = ACCOUNT_KINDS) -> dict[str, Applied]:
+    """C-16 sign-ups of customers, suppliers, workers and users; only the
+    ``kinds`` asked for are built.
 
     Inputs are trimmed (T-23: everywhere, a documented deviation for
-    workers).  An e-mail (mobile for workers) already stored, or taken by an
-    earlier change of the batch, is rejected.  Worker ids are shown as
-    ``PF<id>``.  ``changes``: seq, kind, name, email, mobile_no.
+    workers).  An e-mail (for workers the mobile number, then the e-mail)
+    already stored, or taken by an earlier accepted change of the batch, is
+    rejected.  Worker ids are shown as ``PF<id>``.  ``changes``: seq, kind,
+    name, email, mobile_no.
     """
     c = changes.select("seq", "kind", F.trim("name").alias("name"), F.trim("email").alias("email"),
                        F.trim("mobile_no").alias("mobile_no"))
-    out: dict[str, Applied] = {}
 
-    def _email_kind(kind: str, table: DataFrame, email_col: str, cols_from: dict[str, Column],
-                    id_col: str) -> Applied:
+    def by_email(kind: str, table: DataFrame, id_col: str | None, columns: dict[str, str]) -> Applied:
         k = c.where(F.col("kind") == kind)
         required = ~(X.blank("name") | X.blank("email") | X.blank("mobile_no"))
-        k, _ = _with_found(k, table, [email_col], change_keys=["email"])
+        k, _ = _with_found(k, table, ["email"])
         k = _first_writer(k, "email", required & ~F.col("_found"))
         checked = k.withColumn("reason", first_failing(
             (~required, "All fields are required"),
             (F.col("_found") | (F.col("seq") != F.col("_first_email")), "Email already exists"))
         ).drop("_found", "_first_email")
         accepted, rejects = _split(checked)
-        accepted = dense_ids(accepted, _next_id(table, id_col), id_col)
-        new_rows = accepted.select(*[v.alias(n) for n, v in cols_from.items()])
+        if id_col:
+            accepted = dense_ids(accepted, _next_id(table, id_col), id_col)
+        new_rows = accepted.select(*[F.col(v).alias(n) for n, v in columns.items()])
         return Applied(table.unionByName(new_rows), rejects, accepted, inserted=new_rows)
 
-    out["customer"] = _email_kind(
-        "customer", t.customer, "email",
-        {"customer_id": F.col("customer_id"), "customer_name": F.col("name"),
-         "mobile_no": F.col("mobile_no"), "email": F.col("email")}, "customer_id")
-    out["supplier"] = _email_kind(
-        "supplier", t.supplier, "email",
-        {"supplier_id": F.col("supplier_id"), "name": F.col("name"), "email": F.col("email"),
-         "mobile_no": F.col("mobile_no")}, "supplier_id")
-
-    # users: serviceId (name field of the feed), email, phone
-    u = c.where(F.col("kind") == "user")
-    required = ~(X.blank("name") | X.blank("email") | X.blank("mobile_no"))
-    u, _ = _with_found(u, t.users, ["email"])
-    u = _first_writer(u, "email", required & ~F.col("_found"))
-    checked = u.withColumn("reason", first_failing(
-        (~required, "All fields are required"),
-        (F.col("_found") | (F.col("seq") != F.col("_first_email")), "Email already exists"))
-    ).drop("_found", "_first_email")
-    accepted, rejects = _split(checked)
-    new_rows = accepted.select(F.col("name").alias("serviceId"), "email", F.col("mobile_no").alias("phone"))
-    out["user"] = Applied(t.users.unionByName(new_rows), rejects, accepted, inserted=new_rows)
-
-    # workers: mobile number first, then the unique e-mail (insert failure)
-    w = c.where(F.col("kind") == "worker")
-    w, _ = _with_found(w, t.worker, ["mobile_no"], flag="_mob")
-    w = _first_writer(w, "mobile_no", ~F.col("_mob"))
-    mobile_ok = ~F.col("_mob") & (F.col("mobile_no").isNull() | (F.col("seq") == F.col("_first_mobile_no")))
-    w, _ = _with_found(w, t.worker, ["email"], flag="_mail")
-    w = _first_writer(w, "email", mobile_ok & ~F.col("_mail"))
-    checked = w.withColumn("reason", first_failing(
-        (~mobile_ok, "Mobile number already exists"),
-        (F.col("_mail") | (F.col("email").isNotNull() & (F.col("seq") != F.col("_first_email"))),
-         "Email already registered as a user"))
-    ).drop("_mob", "_mail", "_first_mobile_no", "_first_email")
-    accepted, rejects = _split(checked)
-    accepted = dense_ids(accepted, _next_id(t.worker, "id"), "id")
-    accepted = accepted.withColumn("worker_code", F.concat(F.lit("PF"), F.col("id").cast("string")))
-    new_rows = accepted.select("id", "name", "email", "mobile_no")
-    out["worker"] = Applied(t.worker.unionByName(new_rows), rejects, accepted, inserted=new_rows)
-    return out
+    def workers() -> Applied:
+        w = c.where(F.col("kind") == "worker")
+        w, _ = _with_found(w, t.worker, ["mobile_no"], flag="_mob")
+        w, _ = _with_found(w, t.worker, ["email"], flag="_mail")
+        w = _MATERIALIZE[-1](w)
+        won = _settle_workers(w.where(~F.col("_mob") & ~F.col("_mail")))
+        # accepted mobile numbers are distinct: one row per key
+        taken = won.where("mobile_no is not null").select("mobile_no", F.col("seq").alias("_by"))
+        w = (w.join(taken, "mobile_no", "left")
+             .join(won.select("seq", F.lit(True).alias("_won")), "seq", "left"))
+        checked = w.withColumn("reason", first_failing(
+            (F.col("_mob") | (F.col("_by") < F.col("seq")), "Mobile number already exists"),
+            (F.col("_won").isNull(), "Email already registered as a user"))).drop("_mob", "_mail", "_by", "_won")
+        accepted, rejects = _split(checked)
+        accepted = dense_ids(accepted, _next_id(t.worker, "id"), "id")
+        accepted = accepted.withColumn("worker_code", F.concat(F.lit("PF"), F.col("id").cast("string")))
+        new_rows = accepted.select("id", "name", "email", "mobile_no")
+        return Applied(t.worker.unionByName(new_rows), rejects, accepted, inserted=new_rows)
+
+    build = {
+        "customer": lambda: by_email("customer", t.customer, "customer_id", {
+            "customer_id": "customer_id", "customer_name": "name", "mobile_no": "mobile_no", "email": "email"}),
+        "supplier": lambda: by_email("supplier", t.supplier, "supplier_id", {
+            "supplier_id": "supplier_id", "name": "name", "email": "email", "mobile_no": "mobile_no"}),
+        # users: serviceId is the name field of the feed
+        "user": lambda: by_email("user", t.users, None, {"serviceId": "name", "email": "email", "phone": "mobile_no"}),
+        "worker": workers,
+    }
+    return {kind: build[kind]() for kind in kinds}

@@ -5,9 +5,11 @@ A change batch is validated once and the validated batch is *checkpointed*
 new snapshot, the rejects and the outbox all read it, the lineage is cut,
 and a lost executor does not send the job back to the raw request log.
 
-The new snapshot of the target table is written to a new folder; the
-caller publishes it (e.g. by passing the new root to the next run), so a
-reader never sees a table that is being overwritten (T-21).
+The new version of the snapshot is published in one step when all its parts
+are written (:mod:`farmspark.plans.snapshots`), so a reader never sees a table
+that is being overwritten (T-21) and the next batch starts from a whole
+snapshot.  Inserts write their own rows only, updates of tables laid out by
+month only the months they touch.
 """
 
 from __future__ import annotations
@@ -17,13 +19,15 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
+from farmspark.functions.exprs import PARTITIONED
 from farmspark.operators import changes as C
 from farmspark.operators import notices as N
 from farmspark.operators import reports as RP
+from farmspark.plans import snapshots as S
 from farmspark.plans.sinks import append_outbox, write_report
 from farmspark.session import ensure_checkpoint_dir
+from farmspark.sources import schemas
 from farmspark.sources.tables import Tables
 
 
@@ -55,46 +59,85 @@ RULES: dict[str, Rule] = {
 }
 
 
+def _batch_id(changes_path: str) -> str:
+    """A batch is named by the folder it came in: applying it again replaces
+    its own messages and rejects."""
+    return changes_path.rstrip("/").rsplit("/", 1)[-1]
+
+
+def _new_parts(res: C.Applied, t: Tables, name: str, root: str, old: list[dict] | None) -> list[dict]:
+    """The parts of a table after a rule, given those before it (None: a plain folder)."""
+    base = getattr(t, name)
+    if old is not None and res.inserted is not None:
+        return old + [S.write_part(res.inserted, root, name)]
+    if old is not None and res.update_keys and name in PARTITIONED:
+        months = S.touched_months(base, res.accepted, res.update_keys)
+        if not months:
+            return old
+        return S.without_months(old, months) + [S.write_part(res.table.where(S._in_months(months)), root, name)]
+    return [S.write_part(res.table, root, name)]
+
+
+def _publish(spark: SparkSession, snapshot_in: str, out_root: str, after: int, changed: dict[str, list[dict]],
+             parts: dict[str, list[dict]]) -> None:
+    """Publish ``changed`` over the tables of ``snapshot_in`` as the version behind
+    ``after`` of ``out_root``; fails if another job has published that one."""
+    tables = dict(parts)
+    if not tables:  # plain folders become parts by reference
+        for name in schemas.BUSINESS:
+            path = os.path.join(snapshot_in, name)
+            if S.exists(spark, path):
+                tables[name] = [S.adopt(spark, path, name)]
+    S.publish(spark, out_root, after, {**tables, **changed})
+
+
 def apply_batch(spark: SparkSession, snapshot_in: str, changes_path: str, rule: str, out_root: str,
                 outbox_path: str | None = None) -> dict[str, str]:
-    """Apply one change batch; returns the paths written."""
+    """Apply one change batch and publish the new version in ``out_root`` (which
+    may be ``snapshot_in``); returns the paths written."""
     ensure_checkpoint_dir(spark)
     r = RULES[rule]
+    batch = _batch_id(changes_path)
+    after, (_, parts) = S.latest(spark, out_root)[0], S.latest(spark, snapshot_in)
     t = Tables.from_snapshot(spark, snapshot_in)
     changes = spark.read.parquet(changes_path)
     with C.materialized_batches():
         res = r.apply(t, changes)
-    out = {"table": os.path.join(out_root, r.table), "rejects": os.path.join(out_root, "_rejects", rule)}
+    out = {"rejects": os.path.join(out_root, "_rejects", rule, f"batch={batch}")}
     res.rejects.write.mode("overwrite").parquet(out["rejects"])
-    write_table(res.table, out_root, r.table)
+    new = _new_parts(res, t, r.table, out_root, parts.get(r.table))
+    out["table"] = new[-1]["path"]
     if r.notice is not None and outbox_path:
         msgs = r.notice(t, res.accepted, res.keys_bounded) if r.notice_uses_bound else r.notice(t, res.accepted)
-        append_outbox(msgs, outbox_path)
+        append_outbox(msgs, outbox_path, f"{rule}-{batch}")
         out["outbox"] = outbox_path
+    _publish(spark, snapshot_in, out_root, after, {r.table: new}, parts)
     return out
 
 
 def register_batch(spark: SparkSession, snapshot_in: str, changes_path: str, out_root: str,
                    outbox_path: str | None = None) -> dict[str, str]:
-    """C-16 sign-ups of every kind; writes customer, supplier, worker and
-    users snapshots, the rejects and the welcome notices."""
+    """C-16 sign-ups of every kind; publishes customer, supplier, worker and
+    users, the rejects and the welcome notices."""
     ensure_checkpoint_dir(spark)
+    batch = _batch_id(changes_path)
+    after, (_, parts) = S.latest(spark, out_root)[0], S.latest(spark, snapshot_in)
     t = Tables.from_snapshot(spark, snapshot_in)
     with C.materialized_batches():
         res = C.register_accounts(t, spark.read.parquet(changes_path))
     names = {"customer": "customer", "supplier": "supplier", "worker": "worker", "user": "users"}
-    out = {}
+    out, changed = {}, {}
     rejects = None
     for kind, table in names.items():
-        p = os.path.join(out_root, table)
-        write_table(res[kind].table, out_root, table)
-        out[table] = p
+        changed[table] = _new_parts(res[kind], t, table, out_root, parts.get(table))
+        out[table] = changed[table][-1]["path"]
         rejects = res[kind].rejects if rejects is None else rejects.unionByName(res[kind].rejects)
-    out["rejects"] = os.path.join(out_root, "_rejects", "register_accounts")
+    out["rejects"] = os.path.join(out_root, "_rejects", "register_accounts", f"batch={batch}")
     rejects.write.mode("overwrite").parquet(out["rejects"])
     if outbox_path:
         append_outbox(N.welcome_notice(res["customer"].accepted, res["supplier"].accepted,
-                                       res["worker"].accepted), outbox_path)
+                                       res["worker"].accepted), outbox_path, f"register_accounts-{batch}")
+    _publish(spark, snapshot_in, out_root, after, changed, parts)
     return out
 
 
@@ -114,27 +157,36 @@ def report(spark: SparkSession, snapshot: str, name: str, out: str, start: str |
 
 
 def write_table(df: DataFrame, root: str, name: str) -> str:
-    """Write one business table with its declared schema to ``root/name``;
-    time-series tables are partitioned by month (``ym``) of their timestamp."""
-    from farmspark.functions.exprs import PART_COL, PARTITIONED, ym_of
-    from farmspark.sources import schemas
-    schema = schemas.BUSINESS[name]
-    out = df.select(*[F.col(f.name).cast(f.dataType) for f in schema.fields])
-    path = os.path.join(root, name)
-    w = out.write.mode("overwrite")
-    if name in PARTITIONED:
-        w = out.withColumn(PART_COL, ym_of(PARTITIONED[name])).write.mode("overwrite").partitionBy(PART_COL)
-    w.parquet(path)
-    return path
+    """Publish ``df`` as the whole of one table of the snapshot ``root``."""
+    spark = df.sparkSession
+    version, parts = S.latest(spark, root)
+    part = S.write_part(df, root, name)
+    S.publish(spark, root, version, {**parts, name: [part]})
+    return part["path"]
+
+
+def append_rows(df: DataFrame, root: str, name: str, part: str) -> None:
+    """Add rows to a table of the snapshot ``root`` as the part ``part``; adding
+    the same part again (a retried batch) changes nothing."""
+    spark = df.sparkSession
+    new = S.write_part(df, root, name, part)
+    version, parts = S.latest(spark, root)
+    old = [p for p in parts.get(name, []) if p["path"] != new["path"]]
+    S.publish(spark, root, version, {**parts, name: old + [new]})
+
+
+def compact(spark: SparkSession, root: str, name: str) -> str:
+    """Rewrite a table that many batches have added parts to as one part."""
+    return write_table(getattr(Tables.from_snapshot(spark, root), name), root, name)
 
 
 def write_snapshot(t: Tables, root: str, names: list[str] | None = None) -> None:
-    """Write business tables (e.g. built from the driver data) as a snapshot
+    """Write business tables (e.g. built from the driver data) as one version
     that :meth:`Tables.from_snapshot` reads back with the declared schemas."""
-    from farmspark.sources import schemas
-    for name in names or list(schemas.BUSINESS):
-        if name in t._thunks:
-            write_table(getattr(t, name), root, name)
+    version, parts = S.latest(t.spark, root)
+    new = {name: [S.write_part(getattr(t, name), root, name)] for name in names or list(schemas.BUSINESS)
+           if name in t._thunks}
+    S.publish(t.spark, root, version, {**parts, **new})
 
 
-__all__ = ["RULES", "apply_batch", "register_batch", "report", "write_snapshot", "write_table"]
+__all__ = ["RULES", "append_rows", "apply_batch", "compact", "register_batch", "report", "write_snapshot", "write_table"]

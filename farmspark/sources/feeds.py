@@ -97,12 +97,13 @@ FEED_SQL = {
 
 def sensor_docs(t: Tables) -> DataFrame:
     """Device documents as JSON text: complete, missing ``tds`` (view
-    events) or malformed (error events, never closed)."""
+    events), malformed (error events, never closed), or bare values."""
     e = _ev(t)
     lvl = F.concat(F.lit('{"waterLevelInside": '), F.col("value").cast("string"))
     temp = F.concat(F.lit(', "waterTemp": '), (20 + F.col("event_id") % 15).cast("string"))
     tds = F.concat(F.lit(', "tds": '), F.get_json_object("props", "$.k"))
-    doc = (F.when(F.col("event_type") == "error", lvl)
+    doc = (F.when(F.col("event_id") % 41 == 0, "null").when(F.col("event_id") % 43 == 0, "5")
+           .when(F.col("event_type") == "error", lvl)
            .when(F.col("event_type") == "view", F.concat(lvl, temp, F.lit("}")))
            .otherwise(F.concat(lvl, temp, tds, F.lit("}"))))
     return e.select(doc.alias("doc"), F.col("ts").alias("arrived_at"))
@@ -115,7 +116,8 @@ def feeding_acks(t: Tables) -> DataFrame:
 
 FEED_SQL.update({
     "sensor_docs": """
-        SELECT CASE WHEN event_type = 'error'
+        SELECT CASE WHEN event_id % 41 = 0 THEN 'null' WHEN event_id % 43 = 0 THEN '5'
+                    WHEN event_type = 'error'
                       THEN '{"waterLevelInside": ' || CAST(value AS VARCHAR)
                     WHEN event_type = 'view'
                       THEN '{"waterLevelInside": ' || CAST(value AS VARCHAR) || ', "waterTemp": '

@@ -20,7 +20,6 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from farmspark.sources import schemas
 
@@ -220,16 +219,15 @@ class Tables:
 
     @classmethod
     def from_snapshot(cls, spark: SparkSession, root: str) -> "Tables":
-        """Read business tables written by :func:`farmspark.plans.jobs.write_snapshot`."""
-        from farmspark.functions.exprs import PART_COL, PARTITIONED
-        frames = {}
-        for name, schema in schemas.BUSINESS.items():
-            path = os.path.join(root, name)
-            if name in PARTITIONED:
-                # the month partition column rides along so date filters can prune
-                schema = T.StructType(schema.fields + [T.StructField(PART_COL, T.IntegerType(), True)])
-            if os.path.exists(path) or "://" in root:
-                frames[name] = (lambda p=path, sc=schema: spark.read.schema(sc).parquet(p))
+        """The newest version of a snapshot (:mod:`farmspark.plans.snapshots`), or
+        plain table folders below ``root`` where nothing was published."""
+        from farmspark.plans import snapshots as S
+        version, parts = S.latest(spark, root)
+        if version:
+            frames = {n: (lambda n=n, p=p: S.read_table(spark, n, p)) for n, p in parts.items()}
+        else:
+            frames = {n: (lambda p=os.path.join(root, n), n=n: spark.read.schema(S.table_schema(n)).parquet(p))
+                      for n in schemas.BUSINESS if S.exists(spark, os.path.join(root, n))}
         return cls(spark, frames, None)
 
     def with_table(self, name: str, df: DataFrame) -> "Tables":

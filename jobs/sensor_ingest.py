@@ -1,7 +1,7 @@
-"""spark-submit jobs/sensor_ingest.py --src DOCS_DIR --out SENSORS_DATA_DIR --checkpoint DIR
+"""spark-submit jobs/sensor_ingest.py --src DOCS_DIR --out SNAPSHOT_ROOT --checkpoint DIR
 
 ST-1: run by an outside scheduler every 6 h (availableNow) in place of the
-in-process cron; appends the new readings exactly once.
+in-process cron; appends the new readings to sensors_data of the snapshot, once.
 """
 
 import argparse

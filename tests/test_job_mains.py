@@ -67,7 +67,7 @@ def test_sensor_ingest_main(spark, tmp_path, capsys):
     src = tmp_path / "docs"
     src.mkdir()
     (src / "a.json").write_text('{"waterLevelInside": 3.5, "waterTemp": 21, "tds": 40}\n{"waterLevelInside"\n')
-    out = str(tmp_path / "sensors_data")
+    out = str(tmp_path / "snap")
     _run("sensor_ingest.py", ["--src", str(src), "--out", out, "--checkpoint", str(tmp_path / "ck")], capsys)
-    rows = spark.read.parquet(out).collect()
+    rows = Tables.from_snapshot(spark, out).sensors_data.collect()
     assert [(r.Pond_ID, r.Water_Level, r.WaterTemp, r.TDS) for r in rows] == [(1, 3.5, 21.0, 40.0)]

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
+from farmspark.sources.tables import Tables
 from farmspark.streaming import alerts as AL
 from farmspark.streaming import reminders as RM
 from farmspark.streaming import sensor_ingest as SI
@@ -34,10 +35,10 @@ def test_sensor_stream_two_batches(spark, tmp_path):
 
     drop("a.json", [json.dumps({"waterLevelInside": 1.0, "waterTemp": 20.0, "tds": 5.0}), "{broken"])
     SI.start_ingest(spark, src, out, ck).awaitTermination()
-    assert spark.read.parquet(out).count() == 1
+    assert Tables.from_snapshot(spark, out).sensors_data.count() == 1
     drop("b.json", [json.dumps({"waterLevelInside": 2.0, "waterTemp": 21.0})])
     SI.start_ingest(spark, src, out, ck).awaitTermination()  # restart from the checkpoint
-    rows = spark.read.parquet(out).orderBy("Water_Level").collect()
+    rows = Tables.from_snapshot(spark, out).sensors_data.orderBy("Water_Level").collect()
     assert [(r.Water_Level, r.TDS) for r in rows] == [(1.0, 5.0), (2.0, None)]
 
 
