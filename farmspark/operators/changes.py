@@ -16,9 +16,10 @@ per-request effect:
 
 All per-key reductions are ``groupBy().agg()`` so Spark pre-aggregates on the
 map side: a key that holds a third of the changes is one row per task before
-the shuffle.  Existence checks count the distinct requested keys; under the
+the shuffle.  Existence checks write the distinct requested keys once; under the
 bound they are broadcast and the base table is only scanned and probed, above
-it the check is a shuffle join (AQE splits a skewed change partition).
+it the found keys are written, too, and joined by a shuffle whose skewed
+partitions AQE can split (an aggregate below a join could not be).
 UPDATE touches *every* base row with the key (the base is never
 de-duplicated, SURVEY §7 (g)).  Plain Parquet has no MERGE, so a new snapshot
 is ``base ⟕ reduced changes`` with ``when/otherwise``; the reduced changes
@@ -36,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
-from farmspark.plans.broadcast import KEYS_BROADCAST_ROWS, bounded_broadcast
+from farmspark.plans import broadcast as B
 from farmspark.plans.ids import dense_ids
 from farmspark.sources import schemas
 from farmspark.sources.tables import Tables
@@ -44,9 +45,6 @@ from farmspark.sources.tables import Tables
 # The reject reasons of every rule below are the reference's texts.
 STOCK_FAILED = "Database error occurred while updating item"
 ITEM_ID_PREFIX = r"^\s*([+-]?[0-9]+)"  # JS parseInt: leading integer of the text
-# A batch's reduced changes (one row per touched key) are broadcast into the
-# snapshot rewrite up to this many keys.
-UPDATE_BROADCAST_ROWS = 2_000_000
 
 
 class Applied:
@@ -111,17 +109,19 @@ def _with_found(changes: DataFrame, table: DataFrame, keys: list[str], flag: str
     also returns whether the requested key set was within the broadcast
     bound (a per-key reduction of the accepted rows then has that bound too).
 
-    The distinct requested keys are counted; when bounded they are broadcast
+    The distinct requested keys are written; when bounded they are broadcast
     and the table is only scanned and probed (no shuffle of the base), and
     the found keys (no more than the requested ones) are broadcast back.
-    Beyond the bound: distinct table keys, shuffle join."""
+    Beyond the bound: the found keys, written, and a shuffle join."""
     ck = change_keys or keys
     req = changes.select(*[F.col(c).alias(k) for c, k in zip(ck, keys)]).distinct()
-    req_b, small = bounded_broadcast(req, KEYS_BROADCAST_ROWS)
+    req_b, small = B.bounded_broadcast(req, B.KEYS_BROADCAST_BYTES)
     if small:
         found = F.broadcast(table.select(*keys).join(req_b, keys, "left_semi").distinct())
     else:
-        found = table.select(*keys).distinct()
+        # written first: a plain shuffle on both sides of the join with the
+        # requests lets AQE split a key that holds a third of them
+        found, _ = B.materialized(table.select(*keys).join(req_b, keys, "left_semi").distinct())
     found = found.select(*[F.col(k).alias(c) for k, c in zip(keys, ck)]).withColumn(flag, F.lit(True))
     out = (changes.join(found, ck, "left")
            .withColumn(flag, F.coalesce(F.col(flag), F.lit(False))))
@@ -142,7 +142,7 @@ def _small(reduced: DataFrame, known_bounded: bool = False) -> DataFrame:
     the keys are a subset of a key set already counted within the bound."""
     if known_bounded:
         return F.broadcast(reduced)
-    return bounded_broadcast(reduced, UPDATE_BROADCAST_ROWS)[0]
+    return B.bounded_broadcast(reduced, B.UPDATE_BROADCAST_BYTES)[0]
 
 
 def _update(base: DataFrame, reduced: DataFrame, keys: list[str], values: list[str],
@@ -405,7 +405,7 @@ def delete_workers(t: Tables, changes: DataFrame) -> Applied:
     of the same id later in the batch (the row is already gone)."""
     c, bounded = _with_found(changes, t.worker, ["id"])
     first = changes.where(F.col("id").isNotNull()).groupBy("id").agg(F.min("seq").alias("_first"))
-    c = c.join(first, "id", "left")
+    c = c.join(B.bounded_broadcast(first, B.KEYS_BROADCAST_BYTES)[0], "id", "left")
     checked = c.withColumn("reason", first_failing(
         (~F.col("_found") | (F.col("seq") != F.col("_first")), "Worker not found"))).drop("_found", "_first")
     accepted, rejects = _split(checked)
@@ -439,7 +439,7 @@ def _first_writer(c: DataFrame, key: str, ok: Column) -> DataFrame:
     """Adds ``_first``: min seq among the changes with this key that pass
     ``ok`` (earlier checks); a later change with the key is a duplicate."""
     first = c.where(ok & F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias(f"_first_{key}"))
-    return c.join(first, key, "left")
+    return c.join(B.bounded_broadcast(first, B.KEYS_BROADCAST_BYTES)[0], key, "left")
 
 
 def _settle_workers(w: DataFrame) -> DataFrame:

@@ -38,12 +38,10 @@ def account_lookup(t: Tables, handles: DataFrame, collation: str | None = None)
     collation.  Collated keys still plan as hash joins."""
     h = small_keys(handles.select(F.trim("handle").alias("handle")), ["handle"])
     h = h.select(F.col("handle"), _coll(F.col("handle"), collation).alias("_h"))
-    a = accounts(t).select("kind", "id", "name", "email", _coll(F.col("name"), collation).alias("_n"),
-                           _coll(F.col("email"), collation).alias("_e"))
-    by_name = h.join(a, h._h == a._n, "inner")
-    by_email = h.join(a, (h._h == a._e) & ~F.coalesce(h._h == a._n, F.lit(False)), "inner")
-    cols = [h.handle, a.kind, a.id, a.name, a.email]
-    return by_name.select(*cols).unionByName(by_email.select(*cols))
+    # one row per account and distinct text it answers to: one scan, one join
+    keys = F.array_distinct(F.array(_coll(F.col("name"), collation), _coll(F.col("email"), collation)))
+    a = accounts(t).select("kind", "id", "name", "email", F.explode(keys).alias("_k"))
+    return h.join(a, h._h == a._k, "inner").select(h.handle, a.kind, a.id, a.name, a.email)
 
 
 def find_by_email(t: Tables, emails: DataFrame) -> DataFrame:

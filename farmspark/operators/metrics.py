@@ -108,10 +108,10 @@ def max_time_per_pond(t: Tables) -> DataFrame:
     return t.sensors_data.groupBy("Pond_ID").agg(F.max("Updated_at").alias("latest_time"))
 
 
-def pond_averages(t: Tables, broadcast_rows: int = reads.LATEST_BROADCAST_ROWS) -> DataFrame:
+def pond_averages(t: Tables, broadcast_bytes: int = reads.LATEST_BROADCAST_BYTES) -> DataFrame:
     """A-12 … A-15 in one pass: averages over the latest reading(s) of each
     pond (ties weigh more than once, T-8), NULLs ignored, rounded to 2."""
-    latest = reads.latest_per_pond(t, broadcast_rows=broadcast_rows)
+    latest = reads.latest_per_pond(t, broadcast_bytes=broadcast_bytes)
     return latest.agg(
         X.round2(F.avg("Water_Level")).alias("average_water_level"),
         X.round2(F.avg("pH")).alias("average_pH"),

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
-from farmspark.plans.broadcast import restrict_to_keys, small_keys_flag
+from farmspark.plans.broadcast import UPDATE_BROADCAST_BYTES, bounded_broadcast, restrict_to_keys, small_keys_flag
 from farmspark.sources.tables import Tables
 
 
@@ -108,14 +108,21 @@ def supply_status_notice(t: Tables, accepted: DataFrame, cfg: NoticeConfig = DEF
     the order by id only and takes its first row; here the row with the
     lowest (supplier_id, item_id, order_date) is used, pre-aggregated per id."""
     so = restrict_to_keys(t.supply_orders, accepted, ["supply_order_id"])
-    detail = (so
-              .join(restrict_to_keys(t.inventory, so, ["item_id"]).select("item_id", F.col("name").alias("item_name")),
-                    "item_id", "left")
-              .join(restrict_to_keys(t.supplier, so, ["supplier_id"])
-                    .select("supplier_id", F.col("name").alias("supplier_name")), "supplier_id", "left")
-              .groupBy("supply_order_id")
-              .agg(F.min_by(F.struct("item_name", "supplier_name", "order_date"),
-                            F.struct("supplier_id", "item_id", "order_date")).alias("_r")))
+    # one row per order first, then the names of that row's item and supplier
+    best, small = bounded_broadcast(
+        so.groupBy("supply_order_id").agg(F.min(F.struct("supplier_id", "item_id", "order_date")).alias("_b"))
+        .select("supply_order_id", "_b.*"), UPDATE_BROADCAST_BYTES)
+
+    def names(table: DataFrame, key: str, out: str) -> DataFrame:
+        # no more rows than ``best``, of whose keys they are
+        wanted = best.select(key).distinct()
+        found = table.join(F.broadcast(wanted) if small else wanted, key, "left_semi")
+        found = found.select(key, F.col("name").alias(out))
+        return F.broadcast(found) if small else found
+
+    detail = (best.join(names(t.inventory, "item_id", "item_name"), "item_id", "left")
+              .join(names(t.supplier, "supplier_id", "supplier_name"), "supplier_id", "left")
+              .select("supply_order_id", F.struct("item_name", "supplier_name", "order_date").alias("_r")))
     j = accepted.select("supply_order_id", "status").join(detail, "supply_order_id", "left")
     na = lambda c: F.when(F.col("_r").isNull(), F.lit("N/A")).otherwise(c)
     return j.select(*_row(

@@ -16,11 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
-from farmspark.plans.broadcast import bounded_broadcast, restrict_to_keys
+from farmspark.plans.broadcast import KEYS_BROADCAST_BYTES, bounded_broadcast, restrict_to_keys, small_keys
 from farmspark.sources.tables import Tables
 
 # The per-pond maxima are broadcast when at most this many ponds exist.
-LATEST_BROADCAST_ROWS = 2_000_000
+LATEST_BROADCAST_BYTES = 32 << 20
 
 ORDER_COLS = ["order_id", "customer_id", "prawn_type", "quantity", "price", "status",
               "approved_or_rejected", "payment_receipt", "address", "assigned_by",
@@ -243,14 +243,14 @@ def order_message_rows(t: Tables, order_ids: DataFrame) -> DataFrame:
                     "approved_or_rejected", "created_at", "updated_at", "email", "customer_name"))
 
 
-def latest_per_pond(t: Tables, broadcast_rows: int = LATEST_BROADCAST_ROWS,
+def latest_per_pond(t: Tables, broadcast_bytes: int = LATEST_BROADCAST_BYTES,
                     readings: DataFrame | None = None) -> DataFrame:
     """J-10 the latest reading(s) of each pond.
 
     Aggregate + equi-join back, as the reference does: ties are all kept
     (T-8), a NULL pond or a pond whose times are all NULL drops out (T-9).
     The per-pond maxima are pre-aggregated map-side, then broadcast when
-    their count is under ``broadcast_rows`` so the readings are never
+    their size is under ``broadcast_bytes`` so the readings are never
     shuffled; beyond it the join is a sort-merge on (pond, time), which also
     spreads one hot pond across many partitions.
     """
@@ -258,7 +258,7 @@ def latest_per_pond(t: Tables, broadcast_rows: int = LATEST_BROADCAST_ROWS,
     latest = (s.where(F.col("Pond_ID").isNotNull() & F.col("Updated_at").isNotNull())
               .groupBy(F.col("Pond_ID").alias("_pond"))
               .agg(F.max("Updated_at").alias("_latest")))
-    latest, _ = bounded_broadcast(latest, broadcast_rows)
+    latest, _ = bounded_broadcast(latest, broadcast_bytes)
     j = s.join(latest, (F.col("Pond_ID") == F.col("_pond")) & (F.col("Updated_at") == F.col("_latest")),
                "inner")
     return j.select("Pond_ID", "Water_Level", "pH", "WaterTemp", "TDS")
@@ -268,7 +268,8 @@ def worker_tasks(t: Tables, emails: DataFrame, ordered: bool = False) -> DataFra
     """J-11 tasks of the workers with the given e-mails, oldest first."""
     w = (restrict_to_keys(t.worker, emails, ["email"])
          .select(F.col("id").alias("worker_id"), "email"))
-    out = (restrict_to_keys(t.task, w, ["worker_id"]).join(w, "worker_id", "inner")
+    w, _ = bounded_broadcast(w, KEYS_BROADCAST_BYTES)
+    out = (t.task.join(w, "worker_id", "inner")
            .select("email", "task_id", "title", "description", "worker_id", "status", "created_date"))
     return out.orderBy("created_date") if ordered else out
 
@@ -276,7 +277,7 @@ def worker_tasks(t: Tables, emails: DataFrame, ordered: bool = False) -> DataFra
 def exists_check(keys: DataFrame, table: DataFrame, key: str) -> DataFrame:
     """J-12 existence test of the reference ("query then test length") as a
     semi/anti pair: one row per distinct requested key with ``found``."""
-    k = keys.select(key).distinct()
-    present = restrict_to_keys(table.select(key), k, [key])
-    return (k.join(present, key, "left_semi").withColumn("found", F.lit(True))
-            .unionByName(k.join(present, key, "left_anti").withColumn("found", F.lit(False))))
+    k = small_keys(keys, [key])
+    # the found keys are no more than the requested ones
+    present = table.select(key).join(k, key, "left_semi").distinct().withColumn("found", F.lit(True))
+    return k.join(present, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))

@@ -4,11 +4,11 @@ filters on stored timestamp columns, partial aggregation before shuffles."""
 
 import pytest
 
-import __spark_entry__ as E
 from farmspark.operators import changes as C
 from farmspark.operators import metrics as M
 from farmspark.operators import reports as RP
 from farmspark.plans import jobs
+from farmspark.registry import spark_queries
 from farmspark.sources.tables import Tables
 from tests.conftest import SF_SMALL
 from tests.plan_util import explain_text
@@ -17,9 +17,9 @@ PY_NODES = ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas", "MapI
 STREAM_KEYS = {"reminder_fire"}  # its result is read back from the stream's sink
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(spark_queries()))
 def test_no_cartesian_or_python(spark, name):
-    plan = explain_text(E.queries()[name](spark, SF_SMALL))
+    plan = explain_text(spark_queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan, name
     if name not in STREAM_KEYS:
         assert not any(n in plan for n in PY_NODES), name

@@ -34,7 +34,7 @@ def test_latest_per_pond_ties_and_nulls(tables):
 
 def test_latest_per_pond_without_broadcast(tables):
     t = tables(sensors_data=_readings())
-    got = sorted((r.Pond_ID, r.Water_Level) for r in R.latest_per_pond(t, broadcast_rows=0).collect())
+    got = sorted((r.Pond_ID, r.Water_Level) for r in R.latest_per_pond(t, broadcast_bytes=0).collect())
     assert got == [(1, 10.0), (1, 20.0), (3, 8.0)]
 
 
