@@ -26,18 +26,18 @@ CHUNK_BITS = 11
 BUCKET_KEYS = 2_000_000
 
 
-def chunk_table(docs: DataFrame, *columns) -> DataFrame:
+def chunk_table(docs: DataFrame, *columns, bits: int = CHUNK_BITS) -> DataFrame:
     """The given columns of ``docs`` with ``chunk``, written bucketed by chunk.
 
-    A chunk holds at most 2**CHUNK_BITS rows of one input partition.  On large
-    input partitions a larger CHUNK_BITS keeps the number of files down.
+    A chunk holds at most 2**bits rows of one input partition.  On large input
+    partitions more bits keep the number of files down, fewer a task's memory.
     """
     spark = docs.sparkSession
     row = F.monotonically_increasing_id()
     # groups of chunks of about 8,000 documents, so the tasks of a pass are alike
     buckets = max(shuffle_partitions(spark), math.ceil(docs.count() / 8192))
     name = f"llm_chunks_{uuid.uuid4().hex}"
-    (docs.select(*columns, F.shiftright(row, CHUNK_BITS).alias("chunk"))
+    (docs.select(*columns, F.shiftright(row, bits).alias("chunk"))
      .write.format("parquet").bucketBy(buckets, "chunk").option("path", scratch(spark, "chunks")).saveAsTable(name))
     return spark.table(name)
 

@@ -31,6 +31,8 @@ FOLDS = 7
 #: fold that is never learned from, and the training fold deleted for the weights
 HELD_OUT, DELETED = 2, 3
 SLAB = (1 << 20) - 4096
+#: rows of a chunk, as a power of two: its counts are held at once
+CHUNK_BITS = 10
 #: buckets of the context frequency: 0, 1, 2-3, 4-7, ..., 2**(n-2) and more
 CONTEXTS = 24
 #: step of the logarithmic histogram of estimates, and its bins
@@ -212,7 +214,7 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     spark = docs.sparkSession
     chunks = X.chunk_table(docs, F.col(id_col).cast("long").alias("doc_id"), doc_text(text_col).alias("text"),
-                           crc_fold(id_col, FOLDS).alias("fold"))
+                           crc_fold(id_col, FOLDS).alias("fold"), bits=CHUNK_BITS)
     # about one distinct unigram or bigram of a chunk per six bytes
     bytes_ = chunks.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = X.bucket_count(spark, bytes_ // 6)
