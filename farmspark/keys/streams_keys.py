@@ -77,7 +77,8 @@ _EV = {
     "ev": """SELECT feeding_ID, epoch_ms(tick_ts) AS seq, 0 AS k, 'due' AS kind, tick_ts, Pond_ID, feeding_time
              FROM dues
              UNION ALL
-             SELECT feeding_ID, epoch_ms(ack_ts), 1, 'ack', NULL, NULL, NULL FROM feeding_acks""",
+             SELECT feeding_ID, epoch_ms(ack_ts), 1, 'ack', NULL, NULL, NULL FROM feeding_acks
+             WHERE feeding_ID <> 0""",
     "lagged": "SELECT *, lag(kind) OVER (PARTITION BY feeding_ID ORDER BY seq, k) AS prev FROM ev",
     "fired": "SELECT * FROM lagged WHERE kind = 'due' AND (prev IS NULL OR prev = 'ack')",
 }
@@ -105,33 +106,36 @@ query("reminder_open", f"""
     lambda t: RM.reminder_open(_dues(t), feeds.feeding_acks(t)))
 
 query("reminder_ack", """
-    SELECT feeding_ID, date_trunc('minute', epoch_ms(seq)) AS ack_minute,
-           'Reminder ' || CAST(feeding_ID AS VARCHAR) || ' acknowledged' AS message
-    FROM lagged WHERE kind = 'ack' AND prev = 'due'""", feeds=("ticks", "feeding_acks"), extra=_EV)(
-    lambda t: RM.reminder_ack(_dues(t), feeds.feeding_acks(t)))
+    SELECT feeding_ID, ack_ts, 'Reminder ' || CAST(feeding_ID AS VARCHAR) || ' acknowledged' AS message
+    FROM feeding_acks WHERE feeding_ID <> 0""", feeds=("feeding_acks",))(
+    lambda t: RM.reminder_ack(feeds.feeding_acks(t)))
+query("reminder_ack_rejects", """
+    SELECT ack_ts, 'feeding_ID is required' AS reason FROM feeding_acks
+    WHERE feeding_ID IS NULL OR feeding_ID = 0""",
+      feeds=("feeding_acks",))(lambda t: RM.reminder_ack_rejects(feeds.feeding_acks(t)))
 
 
 def _reminder_fire(t):
-    """ST-2b/c through Structured Streaming: the due and ack events are
-    written to a scratch folder under ``spark.checkpoint.dir`` and replayed
-    by the stateful stream (availableNow, checkpointed); the appended
-    reminders are read back.  Acks are reduced per key and minute first,
-    as in the batch twin, which bounds every key's group."""
+    """ST-2b/c through Structured Streaming, as the job runs it: dues and raw
+    acks arrive in a scratch folder under ``spark.checkpoint.dir`` in three
+    parts by time, and the stateful stream is run after each (availableNow), so
+    its state goes through restarts; the appended reminders are read back."""
     spark = t.spark
     base = scratch_path(spark, f"reminder_fire/{uuid.uuid4().hex}")
-    ev = RM.stream_events(_dues(t), feeds.feeding_acks(t))
-    ev = (ev.groupBy("feeding_ID", "k", "kind", "tick_ts", "Pond_ID", "feeding_time",
-                     F.floor(F.col("seq") / RM.MINUTE_MS).alias("_min"))
-          .agg(F.max("seq").alias("seq")).drop("_min"))
-    ev.write.parquet(f"{base}/in")
-    src = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
-    q = (RM.reminder_stream(src.select(*RM.STREAM_EVENT_COLS).where(F.col("kind") == RM.DUE),
-                            src.where(F.col("kind") == RM.ACK)
-                            .select("feeding_ID", X.ntz_from_millis("seq").alias("ack_ts")))
-         .writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt")
-         .trigger(availableNow=True).start(f"{base}/out"))
-    q.awaitTermination()
-    return spark.read.parquet(f"{base}/out")
+    RM.stream_events(_dues(t), feeds.feeding_acks(t)).write.parquet(f"{base}/all")
+    ev = spark.read.parquet(f"{base}/all")
+    low, high = ev.agg(F.min("seq"), F.max("seq")).first()
+    third = ((high or 0) - (low or 0)) // 3 + 1
+    for k in range(3):
+        part = F.floor((F.col("seq") - (low or 0)) / third) == k
+        ev.where(part).write.mode("append").parquet(f"{base}/in")
+        src = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
+        fired = RM.reminder_stream(src.select(*RM.STREAM_EVENT_COLS).where(F.col("kind") == RM.DUE),
+                                   src.where(F.col("kind") == RM.ACK)
+                                   .select("feeding_ID", X.ntz_from_millis("seq").alias("ack_ts")))
+        (fired.writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt")
+         .trigger(availableNow=True).start(f"{base}/out").awaitTermination())
+    return spark.read.schema(RM.REMINDER_SCHEMA).parquet(f"{base}/out")
 
 
 query("reminder_fire", f"SELECT {_REMINDER_COLS} FROM fired", feeds=("ticks", "feeding_acks"), extra=_EV)(

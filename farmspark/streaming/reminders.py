@@ -88,7 +88,8 @@ def _events(dues: DataFrame, acks: DataFrame) -> DataFrame:
     same instant."""
     d = dues.select("feeding_ID", to_ms("tick_ts").alias("seq"), F.lit(DUE).alias("kind"), F.lit(0).alias("k"),
                     "tick_ts", "Pond_ID", "feeding_time")
-    a = (acks.select(F.col("feeding_ID").cast("long").alias("feeding_ID"), to_ms("ack_ts").alias("_ms"))
+    a = (acks.where(~X.falsy_number("feeding_ID"))
+         .select(F.col("feeding_ID").cast("long").alias("feeding_ID"), to_ms("ack_ts").alias("_ms"))
          .groupBy("feeding_ID", F.floor(F.col("_ms") / MINUTE_MS).alias("_min"))
          .agg(F.max("_ms").alias("seq"))
          .select("feeding_ID", "seq", F.lit(ACK).alias("kind"), F.lit(1).alias("k"),
@@ -135,19 +136,21 @@ def reminder_open(dues: DataFrame, acks: DataFrame) -> DataFrame:
     return reminder_fields(latest_fire.join(last.where(F.col("_last") == DUE), "feeding_ID", "left_semi"))
 
 
-def reminder_ack(dues: DataFrame, acks: DataFrame) -> DataFrame:
-    """ST-2c acknowledgements that removed an open reminder (the previous
-    event of the key is a due), one row per key and minute of the ack, with
-    the reference's reply text.  An ack of a key with nothing open changes
-    nothing and is not listed."""
-    ev = _with_prev_kind(_events(dues, acks))
-    closing = ev.where((F.col("kind") == ACK) & (F.col("prev") == DUE))
-    return closing.select(
-        F.col("feeding_ID"),
-        X.ntz_minute(X.ntz_from_millis("seq")).alias("ack_minute"),
+def reminder_ack(acks: DataFrame) -> DataFrame:
+    """ST-2c the reply to every acknowledgement that names a reminder, whether
+    or not one was open (what an acknowledgement closes shows in
+    :func:`reminder_open`)."""
+    return acks.where(~X.falsy_number("feeding_ID")).select(
+        F.col("feeding_ID").cast("long").alias("feeding_ID"), F.col("ack_ts").cast("timestamp_ntz").alias("ack_ts"),
         F.concat(F.lit("Reminder "), F.col("feeding_ID").cast("string"), F.lit(" acknowledged")).alias("message"))
 
 
+def reminder_ack_rejects(acks: DataFrame) -> DataFrame:
+    """ST-2c acknowledgements without a feeding_ID (0 counts as none)."""
+    return acks.where(X.falsy_number("feeding_ID")).select(
+        F.col("ack_ts").cast("timestamp_ntz").alias("ack_ts"), F.lit("feeding_ID is required").alias("reason"))
+
+
 # ------------------------------------------------------------------ streaming
 STATE_SCHEMA = "open boolean"
 STREAM_EVENT_COLS = ["feeding_ID", "seq", "k", "kind", "tick_ts", "Pond_ID", "feeding_time"]
@@ -157,33 +160,45 @@ def stream_events(dues: DataFrame, acks: DataFrame) -> DataFrame:
     """Union of the due stream and the ack stream in one event shape."""
     d = dues.select(F.col("feeding_ID").cast("long").alias("feeding_ID"), to_ms("tick_ts").alias("seq"),
                     F.lit(0).alias("k"), F.lit(DUE).alias("kind"), "tick_ts", "Pond_ID", "feeding_time")
-    a = acks.select(F.col("feeding_ID").cast("long").alias("feeding_ID"), to_ms("ack_ts").alias("seq"),
+    a = acks.where(~X.falsy_number("feeding_ID")).select(
+                    F.col("feeding_ID").cast("long").alias("feeding_ID"), to_ms("ack_ts").alias("seq"),
                     F.lit(1).alias("k"), F.lit(ACK).alias("kind"),
                     F.lit(None).cast("timestamp_ntz").alias("tick_ts"), F.lit(None).cast("int").alias("Pond_ID"),
                     F.lit(None).cast("string").alias("feeding_time"))
     return d.unionByName(a)
 
 
+def _last_ack_per_minute(events: pd.DataFrame) -> pd.DataFrame:
+    """Dues sit on whole minutes, so of the acks within one minute only the last
+    can matter."""
+    acks = events[events["kind"] == ACK]
+    if len(acks) < 2:
+        return events
+    last = acks.groupby(acks["seq"] // MINUTE_MS)["seq"].idxmax()
+    return pd.concat([events[events["kind"] == DUE], acks.loc[last]])
+
+
 def reminder_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """ST-2b/c per key: fire a due when nothing is open; an ack closes.  The
-    state is one boolean and is removed when closed, so it stays bounded."""
+    """ST-2b/c per key: fire a due when nothing is open; an ack closes.  A
+    reminder is open exactly after a due, so a due fires unless the event before
+    it is one.  The state is one boolean and is removed when closed.  Chunks of
+    a micro-batch are reduced before they are joined: at most one ack a minute
+    is held of a key, however many arrive."""
     is_open = bool(state.get[0]) if state.exists else False
-    batch = pd.concat(list(pdfs), ignore_index=True).sort_values(["seq", "k"], kind="stable")
-    out = []
-    for row in batch.itertuples(index=False):
-        if row.kind == DUE:
-            if not is_open:
-                out.append(row)
-                is_open = True
-        else:
-            is_open = False
-    if is_open:
+    batch = None
+    for chunk in pdfs:
+        chunk = chunk.reset_index(drop=True)
+        batch = chunk if batch is None else pd.concat([batch, chunk], ignore_index=True)
+        batch = _last_ack_per_minute(batch).reset_index(drop=True)
+    batch = batch.sort_values(["seq", "k"], kind="stable")
+    before = batch["kind"].shift(fill_value=DUE if is_open else ACK)
+    f = batch[(batch["kind"] == DUE) & (before != DUE)].reset_index(drop=True)
+    if batch["kind"].iloc[-1] == DUE:
         state.update((True,))
     elif state.exists:
         state.remove()
-    if not out:
+    if f.empty:
         return
-    f = pd.DataFrame(out, columns=batch.columns)
     t = pd.to_datetime(f["tick_ts"])
     yield pd.DataFrame({
         "feeding_ID": f["feeding_ID"].astype("int64"),

@@ -113,8 +113,12 @@ def test_insert_ids_are_dense_after_max(tables, spark):
 def test_dense_ids_across_buckets(spark):
     from farmspark.plans.ids import dense_ids
     df = spark.range(0, 50).select((F.col("id") * 7 + 3).alias("seq"))
-    got = dense_ids(df, F.lit(100), "nid", bucket=16).orderBy("seq").collect()
+    got = dense_ids(df, F.lit(100), "nid", parts=5).orderBy("seq").collect()
     assert [r.nid for r in got] == list(range(101, 151))
+    # clock-like numbers, far apart
+    df = spark.range(0, 300).select((F.col("id") * 3_000_000_017 + 5).alias("seq"))
+    out = dense_ids(df, F.lit(None).cast("long"), "nid", parts=5)
+    assert [r.nid for r in out.orderBy("seq").collect()] == list(range(1, 301))
 
 
 def test_delete_and_registration_first_writer(tables, spark):

@@ -129,8 +129,37 @@ def test_naive_time_helpers_ignore_session_zone(spark):
         spark.conf.set("spark.sql.session.timeZone", old)
 
 
-def test_reminder_ack_lists_closing_acks_only(spark):
-    dues, acks = _reminder_inputs(spark)
-    got = [(r.feeding_ID, r.ack_minute, r.message) for r in RM.reminder_ack(dues, acks).collect()]
-    # the ack of key 9 finds nothing open and is not listed
-    assert got == [(7, dt.datetime(2024, 1, 1, 0, 3), "Reminder 7 acknowledged")]
+def test_every_ack_is_answered_and_one_without_id_rejected(spark):
+    acks = spark.createDataFrame([(7, dt.datetime(2024, 1, 1, 0, 3, 10)), (9, dt.datetime(2024, 1, 1, 0, 4)),
+                                  (None, dt.datetime(2024, 1, 1, 0, 5)), (0, dt.datetime(2024, 1, 1, 0, 6))],
+                                 "feeding_ID long, ack_ts timestamp_ntz")
+    got = [(r.feeding_ID, r.ack_ts, r.message) for r in RM.reminder_ack(acks).collect()]
+    assert got == [(7, dt.datetime(2024, 1, 1, 0, 3, 10), "Reminder 7 acknowledged"),
+                   (9, dt.datetime(2024, 1, 1, 0, 4), "Reminder 9 acknowledged")]
+    assert {r.reason for r in RM.reminder_ack_rejects(acks).collect()} == {"feeding_ID is required"}
+    assert RM.reminder_ack_rejects(acks).count() == 2
+
+
+def test_state_function_reduces_chunks_and_matches_the_batch(spark, tmp_path):
+    import random
+    rnd = random.Random(5)
+    day = dt.datetime(2024, 1, 1)
+    dues = [(day + dt.timedelta(minutes=m), k, 3, 600, "00:10:00") for k in (1, 2) for m in rnd.sample(range(1440), 200)]
+    acks = [(1 if i % 3 else 2, day + dt.timedelta(seconds=rnd.randrange(86_400))) for i in range(3000)]
+    due_df = spark.createDataFrame(dues, "tick_ts timestamp_ntz, feeding_ID long, Pond_ID int, feeding_sec int, "
+                                         "feeding_time string")
+    ack_df = spark.createDataFrame(acks, "feeding_ID long, ack_ts timestamp_ntz")
+    src, out = str(tmp_path / "src"), str(tmp_path / "out")
+    ev = RM.stream_events(due_df, ack_df)
+    ev.repartition(4).write.parquet(src)
+    s = spark.readStream.schema(ev.schema).parquet(src)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "50")
+    try:
+        (RM.reminder_stream(s.where(F.col("kind") == RM.DUE),
+                            s.where(F.col("kind") == RM.ACK).select("feeding_ID", X.ntz_from_millis("seq").alias("ack_ts")))
+         .writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "ck"))
+         .trigger(availableNow=True).start(out).awaitTermination())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = sorted((r.feeding_ID, r.tick_ts) for r in spark.read.parquet(out).collect())
+    assert got == sorted((r.feeding_ID, r.tick_ts) for r in RM.reminder_batch(due_df, ack_df).collect())
