@@ -268,13 +268,24 @@ def stock_changes(t: Tables, changes: DataFrame) -> Applied:
         (~F.col("_found"), "Item not found"))).drop("_found")
     delta = F.when(F.col("kind") == "issue", -F.col("_qty")).otherwise(F.col("_qty")).cast("long")
     base = t.inventory
-    checked = _no_overflow(_MATERIALIZE[-1](checked.withColumn("_delta", F.when(F.col("reason").isNull(), delta))), base)
-    accepted, rejects = _split(checked)
-    reduced = (accepted.groupBy(F.col("_item").alias("item_id"))
-               .agg(F.sum("_delta").alias("_delta"),
-                    F.max_by(F.try_to_date(F.col("date")), F.col("seq")).alias("_date"))
-               .withColumn("_hit", F.lit(True)))
-    j = base.join(_small(reduced, bounded), "item_id", "left")
+
+    def reduce(accepted: DataFrame) -> DataFrame:
+        moves = accepted.groupBy(F.col("_item").alias("item_id")).agg(
+            F.sum("_delta").alias("_delta"), F.sum(F.abs("_delta")).alias("_moved"),
+            F.max_by(F.try_to_date(F.col("date")), F.col("seq")).alias("_date"))
+        return B.bounded_broadcast(moves.withColumn("_hit", F.lit(True)), B.UPDATE_BROADCAST_BYTES)[0]
+
+    # only accepted quantities fit a long
+    accepted, rejects = _split(checked.withColumn("_delta", F.when(F.col("reason").isNull(), delta)))
+    reduced = reduce(accepted)
+    risky = _could_overflow(reduced, base)
+    if not risky.isEmpty():
+        failed = _fail_in_turn(accepted, risky)
+        rejects = rejects.unionByName(failed)
+        accepted = accepted.join(failed.select("seq"), "seq", "left_anti")
+        reduced = reduce(accepted)
+    reduced = reduced.drop("_moved")
+    j = base.join(reduced, "item_id", "left")
     table = j.select(
         "item_id", "name", "type",
         F.when(F.col("_hit"), (F.col("quantity") + F.col("_delta")).cast("int"))
@@ -301,22 +312,20 @@ def _fails_in_turn(batches):
         yield pa.record_batch([pa.array(failed, pa.int64())], ["seq"])
 
 
-def _no_overflow(checked: DataFrame, inventory: DataFrame) -> DataFrame:
-    """Rejects stock moves whose running total leaves the INT column.
-
-    Only items whose moves of the batch could add up to that are looked at move
-    by move, as a stream sorted by item and seq; without any, nothing is done."""
-    moves = checked.where(F.col("_delta").isNotNull())
-    sums = moves.groupBy("_item").agg(F.sum(F.abs("_delta")).alias("_moved"))
-    risky = (inventory.select(F.col("item_id").alias("_item"), F.col("quantity").cast("long").alias("_q"))
-             .join(sums, "_item").where(F.abs("_q") + F.col("_moved") > X.INT_MAX)
-             .groupBy("_item").agg(F.max("_q").alias("_high"), F.min("_q").alias("_low")))
-    if risky.isEmpty():
-        return checked
-    failed = (moves.join(risky, "_item").select("_item", "seq", "_delta", "_high", "_low")
-              .repartition("_item").sortWithinPartitions("_item", "seq").mapInArrow(_fails_in_turn, "seq long")
-              .withColumn("_over", F.lit(STOCK_FAILED)))
-    return checked.join(failed, "seq", "left").withColumn("reason", F.coalesce("reason", "_over")).drop("_over")
+def _could_overflow(reduced: DataFrame, inventory: DataFrame) -> DataFrame:
+    """Items (with their stock) whose moves could add up beyond the INT column."""
+    return (inventory.select("item_id", F.col("quantity").cast("long").alias("_q"))
+            .join(reduced.select("item_id", "_moved"), "item_id")
+            .where(F.abs("_q") + F.col("_moved") > X.INT_MAX)
+            .groupBy(F.col("item_id").alias("_item")).agg(F.max("_q").alias("_high"), F.min("_q").alias("_low")))
+
+
+def _fail_in_turn(moves: DataFrame, risky: DataFrame) -> DataFrame:
+    """(seq, reason) of the moves of risky items that leave the INT column, each
+    item's moves looked at one by one as a stream sorted by item and seq."""
+    return (moves.join(risky, "_item").select("_item", "seq", "_delta", "_high", "_low")
+            .repartition("_item").sortWithinPartitions("_item", "seq").mapInArrow(_fails_in_turn, "seq long")
+            .withColumn("reason", F.lit(STOCK_FAILED)))
 
 
 # ------------------------------------------------------------------- updates
