@@ -6,7 +6,7 @@ one of 2**18 places.  The machine scores
 
     w0 + sum_i w_i + sum_{i<j} <v_i, v_j>
 
-over the places present: the last sum learns pairs of terms, such as an insult
+over the places present that the training sample has as well: the last sum learns pairs of terms, such as an insult
 with a group mention, that say more together than their weights add up to.
 """
 
@@ -29,11 +29,10 @@ STEMS = (4, 5, 6)
 #: rows of each class to learn from, and the longest text among them
 PER_CLASS = 2000
 MAX_BYTES = 1 << 16
-#: places with a weight: those that tell the classes apart best
-TERMS = 256
 FACTORS = 8
-#: a place needs this many training documents
-MIN_DOCS = 5
+#: documents of a step of the fit, and least number of steps
+BATCH = 64
+STEPS = 960
 SLAB = (1 << 20) - 4096
 
 
@@ -80,9 +79,18 @@ class FactorizationMachine:
 
 
 def fit(texts: list[bytes], labels: list[int], weights: dict[int, float], default: float = 0.0,
-        epochs: int = 40, batch: int = 128, rate: float = 0.05, decay: float = 2e-4,
+        sparse: float = 0.5, ridge: float = 0.3, pair_ridge: float = 1.0, rare_ridge: float = 3000.0,
         seed: int = 3) -> FactorizationMachine:
-    """Fit by Adam on the weighted log loss; the same input gives the same machine.
+    """Fit on the weighted log loss; the same input gives the same machine.
+
+    Every place of the sample has a weight and factors, none is left out before
+    the fit.  Steps are AdaGrad's and touch only the places of their documents;
+    each place bears its penalties in proportion to its documents there.  A
+    weight is penalised by its size times ``sparse`` noise levels of its gradient
+    (a root of its documents) and by ``ridge``.  Factors are penalised by their
+    squares, as much as the places of the middle document (a longer one pulls no more
+    than that, so that no single document makes a pair), and more for rare places.  The weights go first for a fifth of the
+    time, the factors then learn from what they leave over.
 
     With one class only the score is that class, without rows it is ``default``.
     """
@@ -91,50 +99,67 @@ def fit(texts: list[bytes], labels: list[int], weights: dict[int, float], defaul
         return FactorizationMachine(np.zeros(0, np.int32), 0.0, np.zeros(0), np.zeros((0, FACTORS)),
                                     float(y[0]) if len(y) else default)
     n = len(texts)
-    pairs = []
+    places, sizes = [], []
     for a, b in slabs([len(t) for t in texts], SLAB):
         doc, place = term_places(texts[a:b])
-        pairs.append(np.unique((doc + a << HASH_BITS) + place))
-    pair = np.concatenate(pairs)
-    doc, place = pair >> HASH_BITS, pair & (1 << HASH_BITS) - 1
-    ones = np.bincount(place, y[doc], 1 << HASH_BITS)
-    both = np.bincount(place, minlength=1 << HASH_BITS)
-    # difference of the classes' document shares, in standard errors
-    n1, n0 = y.sum(), n - y.sum()
-    share = both / n
-    error = np.sqrt(np.maximum(share * (1 - share), 1e-9) * (1 / n1 + 1 / n0))
-    z = np.abs(ones / n1 - (both - ones) / n0) / error
-    z[both < MIN_DOCS] = -1
-    chosen = np.sort(np.argsort(-z, kind="stable")[:TERMS])
-    chosen = chosen[z[chosen] >= 0]
+        pair = np.unique((doc << HASH_BITS) + place)
+        places.append((pair & (1 << HASH_BITS) - 1).astype(np.int32))
+        sizes.append(np.bincount(pair >> HASH_BITS, minlength=b - a))
+    size, place = np.concatenate(sizes), np.concatenate(places)
+    start = np.cumsum(size) - size
+    seen = np.bincount(place, minlength=1 << HASH_BITS)
+    used = np.flatnonzero(seen)
     row = np.full(1 << HASH_BITS, -1, np.int32)
-    row[chosen] = np.arange(len(chosen))
-    x = np.zeros((n, len(chosen)), np.float32)
-    on = row[place] >= 0
-    x[doc[on], row[place[on]]] = 1
+    row[used] = np.arange(len(used))
+    rows, seen = row[place], seen[used].astype(np.float64)
     weight = np.array([weights[v] for v in labels])
     rng = np.random.default_rng(seed)
     base = float(np.average(y, weights=weight))
-    model = [np.array([np.log(base / (1 - base))]), np.zeros(len(chosen)),
-             rng.normal(0, 0.01, (len(chosen), FACTORS))]
-    first, second = [np.zeros_like(p) for p in model], [np.zeros_like(p) for p in model]
-    step = 0
-    for _ in range(epochs):
-        order = rng.permutation(n)
-        for at in range(0, n, batch):
-            pick = order[at:at + batch]
-            xb = x[pick].astype(np.float64)
-            summed = xb @ model[2]
-            z = model[0] + xb @ model[1] + 0.5 * ((summed ** 2).sum(1) - (xb @ model[2] ** 2).sum(1))
-            g = weight[pick] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[pick]) / len(pick)
-            grads = [np.array([g.sum()]), xb.T @ g + decay * model[1],
-                     xb.T @ (g[:, None] * summed) - (xb.T @ g)[:, None] * model[2] + decay * model[2]]
-            step += 1
-            for k, grad in enumerate(grads):
-                first[k] += 0.1 * (grad - first[k])
-                second[k] += 0.001 * (grad * grad - second[k])
-                model[k] -= rate * (first[k] / (1 - 0.9 ** step)) / (np.sqrt(second[k] / (1 - 0.999 ** step)) + 1e-8)
-    return FactorizationMachine(row, float(model[0][0]), model[1], model[2])
+    bias, bias_sum = np.log(base / (1 - base)), 1.0
+    linear, factors = np.zeros(len(used)), rng.normal(0, 0.01, (len(used), FACTORS))
+    # penalties per document of the place
+    shrink = sparse * np.sqrt(base * (1 - base) / seen) + ridge / seen
+    decay = ridge / seen
+    middle = max(1.0, float(np.median(size)))
+    pair_decay = (pair_ridge * middle + rare_ridge / seen) / seen
+    pull = np.minimum(1, middle / np.maximum(size, 1))
+    linear_sum, pair_sum = 10 + (0.1 * seen) ** 2, np.full(len(used), 10.0)
+    at_row = np.zeros(len(used), np.int64)
+    epochs = max(10, -(-STEPS * BATCH // n))
+    for epoch in range(epochs):
+        order, pairs, left = rng.permutation(n), epoch >= epochs // 5, 1 - epoch / epochs
+        for at in range(0, n, BATCH):
+            pick = order[at:at + BATCH]
+            r = np.concatenate([rows[start[d]:start[d] + size[d]] for d in pick])
+            doc = np.repeat(np.arange(len(pick)), size[pick])
+            hit = np.zeros(len(used), bool)
+            hit[r] = True
+            u = np.flatnonzero(hit)
+            at_row[u] = np.arange(len(u))
+            own = at_row[r]
+            count = np.bincount(own, minlength=len(u))
+            z = bias + np.bincount(doc, linear[r], len(pick))
+            if pairs:
+                v = factors[u]
+                summed = np.stack([np.bincount(doc, v[own, f], len(pick)) for f in range(FACTORS)], 1)
+                z += 0.5 * ((summed ** 2).sum(1) - np.bincount(doc, (v * v).sum(1)[own], len(pick)))
+            g = weight[pick] * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - y[pick])
+            grad = np.bincount(own, g[doc], len(u))
+            linear_sum[u] += grad * grad
+            rate = left / np.sqrt(linear_sum[u])
+            w = linear[u] - rate * grad
+            linear[u] = np.sign(w) * np.maximum(np.abs(w) - rate * shrink[u] * count, 0) / (1 + rate * decay[u] * count)
+            if pairs:
+                gp = g * pull[pick]
+                gs = gp[:, None] * summed
+                move = np.stack([np.bincount(own, gs[doc, f], len(u)) for f in range(FACTORS)], 1)
+                move -= np.bincount(own, gp[doc], len(u))[:, None] * v
+                pair_sum[u] += (move * move).mean(1)
+                rate = 0.2 * left / np.sqrt(pair_sum[u])
+                factors[u] = (v - rate[:, None] * move) / (1 + rate * pair_decay[u] * count)[:, None]
+            bias_sum += g.sum() ** 2
+            bias -= left * g.sum() / np.sqrt(bias_sum)
+    return FactorizationMachine(row, float(bias), linear, factors)
 
 
 def learn(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id",

@@ -26,6 +26,35 @@ def test_pairs_are_learned_that_no_sum_of_weights_separates():
     assert min(score[:2]) > 0.9 and max(score[2:]) < 0.1
 
 
+def test_pairs_are_learned_among_thousands_of_filler_words():
+    rng = random.Random(4)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    filler = ["".join(rng.choices(letters, k=8)) for _ in range(3000)]
+    texts, labels = [], []
+    for i in range(1600):
+        # each word alone is as frequent in both classes
+        a, b = i % 4 in (1, 3), i % 4 in (2, 3)
+        words = rng.sample(filler, 20) + ["insult"] * a + ["group"] * b
+        rng.shuffle(words)
+        texts.append(" ".join(words).encode())
+        labels.append(int(a != b))
+    model = toxicity.fit(texts[:1200], labels[:1200], {0: 1.0, 1: 1.0})
+    assert ((model.score(texts[1200:]) >= 0.5) == np.array(labels[1200:])).mean() > 0.95
+
+
+def test_hundreds_of_insults_are_known():
+    rng = random.Random(1)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    insults, filler = (["".join(rng.choices(letters, k=8)) for _ in range(n)] for n in (400, 4000))
+    texts = []
+    for i in range(3200):
+        texts.append(" ".join(rng.sample(filler, 12) + insults[i // 2 % 400:][:i % 2]).encode())
+    model = toxicity.fit(texts, [i % 2 for i in range(3200)], {0: 1.0, 1: 1.0})
+    bad = model.score([" ".join(rng.sample(filler, 12) + [w]).encode() for w in insults])
+    good = model.score([" ".join(rng.sample(filler, 12)).encode() for _ in insults])
+    assert (bad >= 0.5).mean() > 0.8 and (good < 0.5).mean() > 0.8
+
+
 def test_scores_do_not_depend_on_the_batch(monkeypatch):
     texts = [f"bad{i % 3} word {i % 50} text".encode() for i in range(300)]
     model = toxicity.fit(texts, [int(i % 3 == 0) for i in range(300)], {0: 1.0, 1: 1.0})
