@@ -24,6 +24,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from farmspark.llm.rolling import sparing
 from farmspark.llm.shared import SPACE, doc_text, row_key, saved, shuffle_partitions, stay
 
 #: keys of one shard, on average
@@ -215,13 +216,13 @@ class DigestIndex:
 
     def insert(self, rows: DataFrame) -> "DigestIndex":
         """``rows``: digest (binary), doc_id, row."""
-        fresh = rows.mapInArrow(_local, _ENTRY).select(self._shard(), "*")
+        fresh = rows.mapInArrow(sparing(_local), _ENTRY).select(self._shard(), "*")
         return self._merged(self.content.unionByName(fresh))
 
     def _merged(self, entries: DataFrame) -> "DigestIndex":
         parts = min(self.shards, 4 * shuffle_partitions(entries.sparkSession))
         dealt = entries.repartition(parts, "shard").sortWithinPartitions("shard")
-        merged = dealt.mapInArrow(_merge, _ENTRY).select(self._shard(), "*")
+        merged = dealt.mapInArrow(sparing(_merge), _ENTRY).select(self._shard(), "*")
         return DigestIndex(saved(merged, "digest_index"), self.shards)
 
     def delete(self, digests: DataFrame) -> "DigestIndex":

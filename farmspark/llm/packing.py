@@ -16,9 +16,9 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from farmspark.llm.rolling import utf8
+from farmspark.llm.rolling import slices, sparing, utf8
 from farmspark.llm.shared import doc_text, saved
-from farmspark.llm.wordpieces import TextIds
+from farmspark.llm.wordpieces import encoder
 
 #: open bins of a packing task
 OPEN_BINS = 4096
@@ -84,9 +84,9 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, separator: in
     """
     def cut(batches):
         import pyarrow as pa
-        encoder = TextIds(tokenizer_path)
-        for batch in batches:
-            ids, bounds = encoder.ids(utf8(batch.column(1)))
+        text_ids = encoder(tokenizer_path)
+        for batch in (part for whole in batches for part in slices(whole, 1)):
+            ids, bounds = text_ids.ids(utf8(batch.column(1)))
             # every document gets its separator behind it
             bounds = bounds + np.arange(len(bounds))
             own = np.full(bounds[-1], separator, "<u4")
@@ -111,7 +111,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, size: int = 2048, separator: in
             yield pa.record_batch(arrays, names)
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), doc_text(text_col).alias("text"))
-            .mapInArrow(cut, _PIECES + (", ids array<int>" if with_ids else "")))
+            .mapInArrow(sparing(cut), _PIECES + (", ids array<int>" if with_ids else "")))
 
 
 def pack_pieces(rows: DataFrame, size: int = 2048, open_bins: int = OPEN_BINS) -> DataFrame:
@@ -132,7 +132,7 @@ def pack_pieces(rows: DataFrame, size: int = 2048, open_bins: int = OPEN_BINS) -
     tasks = max(1, math.ceil(rows.count() / TASK_PIECES))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema) + ", sequence_id long, offset long"
     return (rows.repartition(tasks, F.xxhash64("doc_id", "piece"))
-            .sortWithinPartitions(F.desc("length"), "doc_id", "piece").mapInArrow(place, schema))
+            .sortWithinPartitions(F.desc("length"), "doc_id", "piece").mapInArrow(sparing(place), schema))
 
 
 def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, separator: int = 0,

@@ -12,7 +12,10 @@ from __future__ import annotations
 import numpy as np
 
 U = np.uint64
-_LEN_STEP = 1 << 16
+#: bytes or words whose prefix sums and powers are held at once
+_BLOCK = (1 << 20) - 1
+#: bytes of text that an operator takes out of a batch at a time
+SLICE = 4 << 20
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -50,7 +53,17 @@ class Poly:
         return self.up[:n], self.down[:n]
 
     def ranges(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Hash of every byte range [start, end)."""
+        """Hash of every byte range [start, end); starts and ends ascend."""
+        out = np.empty(len(starts), U)
+        a = 0
+        while a < len(starts):
+            low = starts[a]
+            b = max(a + 1, int(np.searchsorted(ends, low + _BLOCK, "right")))
+            out[a:b] = self._ranges(buf[low:ends[b - 1]], starts[a:b] - low, ends[a:b] - low)
+            a = b
+        return out
+
+    def _ranges(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         up, down = self.powers(len(buf) + 1)
         total = np.zeros(len(buf) + 1, U)
         np.cumsum(self.bytes_of[buf] * up[:-1], out=total[1:])
@@ -59,12 +72,16 @@ class Poly:
 
     def windows(self, hashes: np.ndarray, n: int) -> np.ndarray:
         """Hash of every run of ``n`` consecutive entries (across documents)."""
-        if len(hashes) < n:
-            return np.zeros(0, U)
-        up, down = self.powers(len(hashes) + 1)
-        total = np.zeros(len(hashes) + 1, U)
-        np.cumsum(hashes * up[:-1], out=total[1:])
-        return _mix((total[n:] - total[:-n]) * down[:len(hashes) - n + 1])
+        count = max(0, len(hashes) - n + 1)
+        out = np.empty(count, U)
+        step = max(1, _BLOCK - n)
+        for a in range(0, count, step):
+            part = hashes[a:a + step + n - 1]
+            up, down = self.powers(len(part) + 1)
+            total = np.zeros(len(part) + 1, U)
+            np.cumsum(part * up[:-1], out=total[1:])
+            out[a:a + step] = _mix((total[n:] - total[:-n]) * down[:len(part) - n + 1])
+        return out
 
 
 FIRST = Poly(11)
@@ -135,3 +152,32 @@ def utf8(column) -> list[bytes]:
     """Bytes of an Arrow string column; null is empty."""
     import pyarrow as pa
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
+def slices(batch, column: int):
+    """Parts of an Arrow batch with at most SLICE bytes of text (one row at least)."""
+    import pyarrow.compute as pc
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    for a, b in slabs(sizes, SLICE):
+        yield batch.slice(a, b - a)
+
+
+def give_back() -> None:
+    """Return unused memory to the system: a Python worker lives on, and keeps
+    its high-water mark beside the workers of later operators."""
+    import ctypes
+
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
+def sparing(f):
+    """``f`` over the batches of a partition, giving memory back at its end."""
+    def run(batches):
+        yield from f(batches)
+        give_back()
+    return run

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from farmspark.llm.blocks import GROUP, chunk_pairs, whole_groups
 from farmspark.llm.components import components
-from farmspark.llm.rolling import U, _mix, utf8
+from farmspark.llm.rolling import U, _mix, slices, sparing, utf8
 from farmspark.llm.shared import doc_text, row_key, saved, stay
 
 BITS = 64
@@ -55,14 +55,14 @@ def fingerprints(docs: DataFrame, words_per_shingle: int = 3, id_col: str = "doc
     """doc_id, row_key and fingerprint (long) of every row; null text is empty."""
     def hashed(batches):
         import pyarrow as pa
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, 2)):
             own = np.array([fingerprint(t, words_per_shingle) for t in utf8(batch.column(2))], np.uint64)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(own.view(np.int64))],
                                   ["doc_id", "row_key", "fingerprint"])
 
     return (docs.select(F.col(id_col).cast("long").alias("doc_id"), row_key(id_col, text_col).alias("row_key"),
                         doc_text(text_col).alias("text"))
-            .mapInArrow(hashed, "doc_id long, row_key string, fingerprint long"))
+            .mapInArrow(sparing(hashed), "doc_id long, row_key string, fingerprint long"))
 
 
 def block_widths(max_distance: int) -> list[int]:
@@ -164,11 +164,11 @@ def _compare(max_distance: int):
 def links(prints: DataFrame, max_distance: int = 3) -> DataFrame:
     """Edges (a, b) that connect what fingerprints at most ``max_distance`` apart
     connect; ``prints`` holds distinct fingerprints (one long column)."""
-    at = prints.mapInArrow(_replicate(max_distance), "bucket long, fingerprint long, home boolean")
+    at = prints.mapInArrow(sparing(_replicate(max_distance)), "bucket long, fingerprint long, home boolean")
     sizes = saved(at.groupBy("bucket").agg(F.count("*").alias("n"), F.max("home").alias("any"))
                   .where("n > 1 and any").select("bucket", "n"), "anchors")
     dealt = chunk_pairs(at, sizes, "fingerprint", GROUP_ROWS).select(*GROUP, "fingerprint", "home")
-    return dealt.mapInArrow(_compare(max_distance), "a long, b long")
+    return dealt.mapInArrow(sparing(_compare(max_distance)), "a long, b long")
 
 
 def near_dedup_rows(docs: DataFrame, words_per_shingle: int = 3, max_distance: int = 3,

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from farmspark.llm.labelled import held_out, labelled_sample
-from farmspark.llm.rolling import FIRST, NOT_TERM, Words, slabs, utf8
+from farmspark.llm.rolling import FIRST, NOT_TERM, Words, slabs, slices, sparing, utf8
 from farmspark.llm.shared import doc_text, fresh, same
 
 HASH_BITS = 18
@@ -171,7 +171,7 @@ def _scored(model, text_at: int, name: str):
     import pyarrow as pa
 
     def score(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, text_at)):
             own = pa.array(model.score(utf8(batch.column(text_at))), pa.float64())
             yield pa.RecordBatch.from_arrays([*batch.columns, own], [*batch.schema.names, name])
     return score
@@ -181,7 +181,7 @@ def with_score(docs: DataFrame, model, name: str, text_col: str = "text") -> Dat
     """``docs`` with the score of every whole text (null: empty) in column ``name``."""
     schema = T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())])
     at = [c.lower() for c in docs.columns].index(text_col.lower())
-    return docs.mapInArrow(_scored(model, at, name), schema)
+    return docs.mapInArrow(sparing(_scored(model, at, name)), schema)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
