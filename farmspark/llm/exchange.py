@@ -1,7 +1,7 @@
 """Corpus-wide facts about hashed keys, asked and answered in packed rows.
 
-Documents are written once as *chunks* (a few thousand rows, bucketed by chunk
-so that later passes read them without a shuffle).  A pass over the chunks
+Documents are written once as *chunks* (up to a few thousand rows, bounded in
+bytes, bucketed by chunk so that later passes read them without a shuffle).  A pass over the chunks
 sends, per chunk and key bucket, one row with the chunk's distinct keys as a
 packed array; a reducer sees all rows of one bucket and answers each of them;
 the answers return to their chunk.  The shuffles carry packed arrays instead of
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,26 +21,53 @@ from pyspark.sql import functions as F
 
 from farmspark.llm.shared import scratch, shuffle_partitions
 
-#: rows of a chunk, as a power of two
+#: rows of a chunk, as a power of two, and the longest text of which so many fit
 CHUNK_BITS = 11
+CHUNK_TEXT = 16 << 10
 #: keys of one bucket, on average
 BUCKET_KEYS = 2_000_000
 
 
-def chunk_table(docs: DataFrame, *columns, bits: int = CHUNK_BITS) -> DataFrame:
-    """The given columns of ``docs`` with ``chunk``, written bucketed by chunk.
+def chunk_of(row, size, bits: int):
+    """Chunk of a row number for a text of ``size`` bytes.
 
-    A chunk holds at most 2**bits rows of one input partition.  On large input
-    partitions more bits keep the number of files down, fewer a task's memory.
+    Texts of up to CHUNK_TEXT bytes share a chunk with 2**bits rows; for every
+    factor of eight in length an eighth as many do, down to one, so a chunk holds
+    at most 2**bits * CHUNK_TEXT bytes or a single text.
+    """
+    kind = F.lit(0)
+    for k in range(bits // 3 + 1):
+        kind = kind + (size > CHUNK_TEXT << 3 * k).cast("int")
+    chunk = F.shiftright(row, bits)
+    for k in range(1, bits // 3 + 2):
+        chunk = F.when(kind == k, F.shiftright(row, max(bits - 3 * k, 0))).otherwise(chunk)
+    return chunk * 16 + kind
+
+
+def chunk_table(docs: DataFrame, *columns, bits: int = CHUNK_BITS) -> tuple[DataFrame, Callable[[], None]]:
+    """The given columns of ``docs`` (``text`` among them) with ``chunk``, written
+    bucketed by chunk, and a function that drops the table and its files.
+
+    On large input partitions more bits keep the number of files down, fewer a
+    task's memory.
     """
     spark = docs.sparkSession
     row = F.monotonically_increasing_id()
-    # groups of chunks of about 8,000 documents, so the tasks of a pass are alike
-    buckets = max(shuffle_partitions(spark), math.ceil(docs.count() / 8192))
+    # groups of chunks of about 8,000 documents, so the tasks of a pass are alike;
+    # beyond Spark's own bound a bucket holds more chunks, which pass one by one
+    most = int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets"))
+    buckets = min(max(shuffle_partitions(spark), math.ceil(docs.count() / 8192)), most)
     name = f"llm_chunks_{uuid.uuid4().hex}"
-    (docs.select(*columns, F.shiftright(row, bits).alias("chunk"))
-     .write.format("parquet").bucketBy(buckets, "chunk").option("path", scratch(spark, "chunks")).saveAsTable(name))
-    return spark.table(name)
+    path = scratch(spark, "chunks")
+    (docs.select(*columns).withColumn("chunk", chunk_of(row, F.octet_length("text"), bits))
+     .write.format("parquet").bucketBy(buckets, "chunk").option("path", path).saveAsTable(name))
+
+    def drop() -> None:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+    return spark.table(name), drop
 
 
 def bucket_count(spark, keys: int) -> int:

@@ -213,8 +213,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     one unknown token.  Empty tables give no rows, other columns are ignored.
     """
     spark = docs.sparkSession
-    chunks = X.chunk_table(docs, F.col(id_col).cast("long").alias("doc_id"), doc_text(text_col).alias("text"),
-                           crc_fold(id_col, FOLDS).alias("fold"), bits=CHUNK_BITS)
+    chunks, drop = X.chunk_table(docs, F.col(id_col).cast("long").alias("doc_id"), doc_text(text_col).alias("text"),
+                                 crc_fold(id_col, FOLDS).alias("fold"), bits=CHUNK_BITS)
     # about one distinct unigram or bigram of a chunk per six bytes
     bytes_ = chunks.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = X.bucket_count(spark, bytes_ // 6)
@@ -229,7 +229,8 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = learn_weights(seen["cell"].to_numpy(), seen["n"].to_numpy(dtype=float), types)
     if not tokens:
         weights[:] = (0, 0, 1)
-    rows = X.rejoin(chunks, answers, _score(tokens, types, weights),
-                    "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double")
+    rows = saved(X.rejoin(chunks, answers, _score(tokens, types, weights),
+                          "doc_id long, fold int, n_tokens long, n_known long, base_score double, score double"), "scores")
+    drop()
     return rows.select("doc_id", (F.col("fold") == HELD_OUT).alias("held_out"), "n_tokens", "n_known",
                        F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -90,7 +90,11 @@ def mix_counts(docs: DataFrame, seed: int = 0, weights=WEIGHTS, max_rate: int =
 
 def mix(docs: DataFrame, seed: int = 0, weights=WEIGHTS, max_rate: int = MAX_RATE,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: every row of ``docs`` as often as its copies say."""
+    """The mix itself: every row of ``docs`` as often as its copies say.
+
+    Nulls count as in :func:`mix_counts`; a repeated row is copied as often as
+    its twin, an empty table stays empty.
+    """
     sizes = docs.select(F.col(source_col).cast("string").alias("source"), sized(docs, text_col).alias("size"))
     aims = saved(targets(sizes.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_rate), "targets")
     of, rate, copies, copy = (fresh(docs, c) for c in ("_of", "_rate", "_copies", "_copy"))

@@ -139,7 +139,9 @@ def pack(docs: DataFrame, tokenizer_path: str | None = None, size: int = 2048, s
          id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and offset.
 
-    An empty table gives no rows; an empty text is one piece of the separator.
+    An empty table gives no rows; null and empty texts are one piece of the
+    separator.  Repeated rows and ids give their pieces again, ties in length go
+    by id and piece; other columns, whatever their names, are ignored.
     """
     cut = saved(pieces(docs, tokenizer_path or word_path(), size, separator, id_col, text_col, with_ids), "pieces")
     return pack_pieces(cut, size)

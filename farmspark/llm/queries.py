@@ -57,48 +57,52 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spans of secrets in every document; owners are sources."""
+    """Spans of secrets in every document; owners are sources, documents repositories."""
     return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
 
 
 OP5_SQL = r"""
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, coalesce("text", '') AS t,
-         coalesce(source, '') AS owner, coalesce(lang, '') AS repo FROM documents),
+         coalesce(source, '') AS owner FROM documents),
 k(kind, rank, pattern, grp, least) AS (VALUES
   ('assign', 0, '((?i:password|passwd|secret|token|api_?key))["'']? *[:=] *["'']?([A-Za-z0-9+/_.=-]+)', 2, 6),
   ('access', 1, 'AKIA[A-Z0-9]+', 0, 20),
   ('hex', 2, '[0-9a-f]{24,}', 0, 24),
   ('owned', 3, '[A-Za-z0-9+/_=-]{16,}', 0, 16)),
 hit AS (
-  SELECT r, owner, repo, kind, rank, least, regexp_extract_all(t, pattern, 0) AS whole,
+  SELECT r, owner, kind, rank, least, regexp_extract_all(t, pattern, 0) AS whole,
          regexp_extract_all(t, pattern, grp) AS val,
          list_transform(regexp_split_to_array(t, pattern), lambda x: length(x)) AS gap
   FROM d, k WHERE regexp_matches(t, pattern)),
 m AS (
-  SELECT r, owner, repo, kind, rank, least, unnest(generate_series(1, len(whole))) AS n,
+  SELECT r, owner, kind, rank, least, unnest(generate_series(1, len(whole))) AS n,
          unnest(whole) AS whole, unnest(val) AS val, unnest(gap[1:len(whole)]) AS gap FROM hit),
 s AS (
   SELECT *, sum(gap + length(whole)) OVER (PARTITION BY r, kind ORDER BY n) AS e FROM m),
 c AS (
-  SELECT r, owner, repo, kind, rank, e - length(whole) AS b, e, val FROM s
+  SELECT r, owner, kind, rank, e - length(whole) AS b, e, val FROM s
   WHERE length(val) >= least AND (kind <> 'owned' OR regexp_matches(val, '[A-Za-z]') AND regexp_matches(val, '[0-9]'))),
-f AS (SELECT val, count(DISTINCT owner) AS n_owners FROM c GROUP BY val),
-o AS (SELECT c.*, n_owners FROM c JOIN f USING (val)),
+f AS (
+  SELECT val, count(DISTINCT owner) AS n_owners, count(DISTINCT r) AS n_repos,
+         count(DISTINCT owner) >= 3 OR count(DISTINCT r) >= 10 AS example FROM c GROUP BY val),
+o AS (SELECT c.*, n_repos, example, n_owners = 1 AND NOT example AS live FROM c JOIN f USING (val)),
 kept AS (
-  SELECT o.* FROM o WHERE kind <> 'owned' OR n_owners = 1 AND NOT EXISTS (
+  SELECT o.* FROM o WHERE kind <> 'owned' OR live AND NOT EXISTS (
     SELECT 1 FROM o p WHERE p.r = o.r AND p.kind <> 'owned' AND p.b < o.e AND p.e > o.b)),
 g AS (
   SELECT r, string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, rank) AS spans,
          string_agg(kind || ':' || CAST(b AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY b, rank)
            FILTER (WHERE kind <> 'owned') AS base,
          count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
-         count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE n_owners = 1) AS n_live,
-         count(*) FILTER (WHERE n_owners >= 3) AS n_example
+         count(*) FILTER (WHERE kind = 'hex') AS n_hex, count(*) FILTER (WHERE live) AS n_live,
+         count(*) FILTER (WHERE example) AS n_example, count(*) FILTER (WHERE NOT live AND NOT example) AS n_shared,
+         max(n_repos) AS max_repositories
   FROM kept GROUP BY r)
 SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans,
-       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+       coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(n_shared, 0) AS n_shared,
+       coalesce(max_repositories, 0) AS max_repositories
 FROM d LEFT JOIN g USING (r)
 """
 

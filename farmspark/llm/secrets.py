@@ -3,9 +3,14 @@
 Three patterns give the base spans; a fourth takes every long run of letters,
 digits and key signs as a candidate.  The hash of each candidate's value is
 counted over the whole corpus by the distinct repositories and owners that hold
-it: values that many owners hold are copied examples, values of a single owner
-look like live credentials.  Candidates of the fourth pattern that only one
-owner holds are added to the base spans; base spans always stay.
+it.  A value is
+
+* an example, if three owners or ten repositories hold it: it is widely copied;
+* live, if one owner holds it, in fewer repositories than that;
+* shared otherwise (two owners, few repositories).
+
+Live candidates of the fourth pattern are added to the base spans; base spans
+always stay.
 
 Only DataFrame functions: one scan takes matches and the lengths of the gaps
 between them, everything after that works on rows of matches.
@@ -30,8 +35,8 @@ KINDS = {
     "owned": (rf"(?<![{_KEY}])(?=[A-Za-z+/_=-]*+[0-9])[{_KEY}]{{16,}}+", 0, 16),
 }
 BASE = ("assign", "access", "hex")
-#: owners from which on a value counts as a copied example
-EXAMPLE_OWNERS = 3
+#: owners and repositories from which on a value counts as a copied example
+EXAMPLE_OWNERS, EXAMPLE_REPOSITORIES = 3, 10
 
 
 def _found(text: Column, kind: str) -> Column:
@@ -45,11 +50,13 @@ def _found(text: Column, kind: str) -> Column:
     return F.when(text.rlike(pattern), F.slice(both, F.lit(1), F.size(whole)))
 
 
-def matches(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository: Column) -> DataFrame:
-    """One row per row of ``docs``: row, doc_id, owner, repository and the
-    matches of every kind (null for none)."""
+def matches(docs: DataFrame, id_col: str, text_col: str, owner: Column, repository: Column | None) -> DataFrame:
+    """One row per row of ``docs``: row, doc_id, owner, repository (None: the row
+    is one) and the matches of every kind (null for none)."""
     text = doc_text(text_col)
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"),
+    row = F.monotonically_increasing_id()
+    repository = row if repository is None else repository
+    return docs.select(row.alias("row"), F.col(id_col).cast("long").alias("doc_id"),
                        F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
                        F.coalesce(repository.cast("string"), F.lit("")).alias("repository"),
                        *[_found(text, kind).alias(kind) for kind in KINDS])
@@ -83,20 +90,22 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner:
     """One row per row of ``docs``: doc_id and ``spans``, an array of (start, rank,
     kind, end, n_owners, n_repositories, live, example) by start, then kind.
 
-    ``owner`` is the source and ``repository`` the source's language unless
-    columns are given; a null owner is an owner of its own.  ``live``: one owner
-    holds the value; ``example``: at least EXAMPLE_OWNERS do.  Kind ``owned`` is
-    added by the corpus: a live value outside all base spans.  Null texts are
-    empty, rows without spans get an empty array, empty tables give no rows.
+    ``owner`` is the source and every row a repository of its own unless columns
+    are given; a null owner is an owner of its own, and so is a null repository
+    within its owner.  ``example``: at least EXAMPLE_OWNERS owners or
+    EXAMPLE_REPOSITORIES repositories hold the value; ``live``: one owner does and
+    it is no example; a shared value is neither.  Kind ``owned`` is added by the
+    corpus: a live value outside all base spans.  Null texts are empty, rows
+    without spans get an empty array, empty tables give no rows.
     """
     owner = F.col("source") if owner is None else owner
-    repository = F.col("lang") if repository is None else repository
     found = saved(matches(docs, id_col, text_col, owner, repository), "matches")
     rows = saved(spans(found).withColumn("value_hash", F.sha2("value", 256)).drop("value"), "candidates")
     known = saved(ownership(rows), "ownership")
+    copied = (F.col("n_owners") >= EXAMPLE_OWNERS) | (F.col("n_repositories") >= EXAMPLE_REPOSITORIES)
     told = rows.join(known, "value_hash").select(
-        "row", "start", "rank", "kind", "end", "n_owners", "n_repositories", (F.col("n_owners") == 1).alias("live"),
-        (F.col("n_owners") >= EXAMPLE_OWNERS).alias("example"))
+        "row", "start", "rank", "kind", "end", "n_owners", "n_repositories", ((F.col("n_owners") == 1) & ~copied).alias("live"),
+        copied.alias("example"))
     # a base span that begins at or before it and reaches into it, or begins inside it
     base = F.col("kind") != "owned"
     order = Window.partitionBy("row").orderBy("start", "rank")
@@ -126,4 +135,5 @@ def digests(scanned: DataFrame) -> DataFrame:
         "doc_id", *[count(of(kind)).alias(f"n_{kind}") for kind in BASE],
         F.sha2(text(F.filter("spans", lambda s: s["kind"] != "owned")).cast("binary"), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"), count(lambda s: s["live"]).alias("n_live"),
-        count(lambda s: s["example"]).alias("n_example"))
+        count(lambda s: s["example"]).alias("n_example"), count(lambda s: ~s["live"] & ~s["example"]).alias("n_shared"),
+        F.coalesce(F.array_max(F.transform("spans", lambda s: s["n_repositories"])), F.lit(0)).cast("long").alias("max_repositories"))

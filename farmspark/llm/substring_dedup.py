@@ -213,7 +213,7 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     """
     spark = docs.sparkSession
     size = (window + 1) // 2
-    chunks = X.chunk_table(docs, F.col(id_col).cast("long").alias("doc_id"), doc_text(text_col).alias("text"))
+    chunks, drop = X.chunk_table(docs, F.col(id_col).cast("long").alias("doc_id"), doc_text(text_col).alias("text"))
     # at most one window per word, and a word has two bytes or more with its space
     bytes_ = chunks.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     buckets = X.bucket_count(spark, bytes_ // 6)
@@ -225,4 +225,6 @@ def dedup_substrings(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_i
     hits = answered(X.group_arrow(chunks, "chunk", _probe(near, size), _SENT), near, "hits")
     repeats = answered(X.rejoin(chunks, hits, _extend(near, far, size, window), _SENT), far, "repeats")
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if with_text else "")
-    return X.rejoin(chunks, repeats, _remove(far, window, with_text), schema)
+    out = saved(X.rejoin(chunks, repeats, _remove(far, window, with_text), schema), "kept")
+    drop()
+    return out

@@ -198,7 +198,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5, id_col: str = "doc_id",
                text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` scored below ``threshold``, columns as they were."""
+    """The rows of ``docs`` scored below ``threshold``, columns as they were.
+
+    Null and empty texts score like a text without known terms, repeated rows are
+    judged alike and each stays or goes, an empty table stays empty.
+    """
     model = learn(docs, labels, "toxic", id_col, text_col)
     name = fresh(docs, "_score")
     return with_score(docs, model, name, text_col).where(F.col(name) < threshold).select(*same(docs))

@@ -85,5 +85,11 @@ def test_groups_cut_into_chunks_count_each_pair_once(spark, monkeypatch):
 def test_whole_table_against_brute_force(spark):
     from farmspark.llm.shared import table
     frame = table(spark, "/root/testdata/sf0.01", "embeddings")
-    rows = frame.collect()
-    assert run(frame) == brute([r.vec_id for r in rows], [list(r.embedding) for r in rows], 0.95)
+    rows = [(r.vec_id, list(r.embedding)) for r in frame.collect()]
+    # the table itself holds no link: plant some
+    rows += [(10_000 + i, [2 * x + (0.02 if k == i % 64 else 0.0) for k, x in enumerate(v)]) for i, v in rows[::3]]
+    # columns that are named like the operator's own
+    planted = frame.sparkSession.createDataFrame([(*r, 1, "x", 2) for r in rows],
+                                                 "vec_id long, embedding array<double>, n_links int, cls string, component_id int")
+    exp = brute([i for i, _ in rows], [v for _, v in rows], 0.95)
+    assert run(planted) == exp and sum(r[1] > 0 for r in exp) > 300

@@ -29,13 +29,14 @@ def brute(rows):
         runs = [(m.start(), 3, "owned", m.end(), m.group()) for m in RUN.finditer(text)
                 if re.search("[0-9]", m.group()) and re.search("[A-Za-z]", m.group())]
         found.append((doc_id, source or "", own, runs))
-    owners = {}
-    for _, source, own, runs in found:
+    owners, places = {}, {}
+    for n, (_, source, own, runs) in enumerate(found):
         for s in own + runs:
             owners.setdefault(s[4], set()).add(source)
+            places.setdefault(s[4], set()).add(n)
     out = []
     for doc_id, _, own, runs in found:
-        more = [r for r in runs if len(owners[r[4]]) == 1 and not any(s[0] < r[3] and s[3] > r[0] for s in own)]
+        more = [r for r in runs if len(owners[r[4]]) == 1 and len(places[r[4]]) < 10 and not any(s[0] < r[3] and s[3] > r[0] for s in own)]
 
         def text(spans):
             return ",".join(f"{s[2]}:{s[0]}:{s[3]}" for s in sorted(spans))
@@ -77,6 +78,23 @@ def test_owners_tell_live_from_copied(spark):
     assert got[0].example and not got[0].live and got[0].n_owners == 4 and got[9].live and not got[9].example
 
 
+def test_repositories_tell_live_from_copied(spark):
+    # one owner: a value in thousands of its documents is an example, in a few it is live
+    rows = [(i, "key 9f8eWidespread77Zz end", "hot") for i in range(3000)]
+    rows += [(5000 + i, "key 1a2bRarelySeen00Qq end", "hot") for i in range(9)]
+    rows += [(6000 + i, "token=sharedBy2owners", f"o{i % 2}") for i in range(4)]
+    docs = spark.createDataFrame([(*r, "en") for r in rows], "doc_id long, text string, source string, lang string")
+    spans = {r.doc_id: r.spans for r in secrets.scan(docs).collect()}
+    assert all(spans[i] == [] for i in range(3000))
+    assert all(spans[5000 + i][0].live and spans[5000 + i][0].n_repositories == 9 for i in range(9))
+    assert all((s.live, s.example, s.n_owners, s.n_repositories) == (False, False, 2, 4) for i in range(4) for s in spans[6000 + i])
+    told = {r.doc_id: r for r in secrets.digests(secrets.scan(docs)).collect()}
+    assert told[6000].n_shared == 1 and told[6000].max_repositories == 4 and told[0].max_repositories == 0
+    # an owner's own idea of a repository
+    few = {r.doc_id: r.spans for r in secrets.scan(docs, repository=docs.lang).collect()}
+    assert few[0][0].live and few[0][0].n_repositories == 1
+
+
 def test_table_and_plan(spark):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = [(r.doc_id, r.text, r.source) for r in docs.collect()]

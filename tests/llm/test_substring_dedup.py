@@ -3,7 +3,9 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from farmspark.llm import exchange, lm
 from farmspark.llm import substring_dedup as sd
 from farmspark.llm.shared import table
 
@@ -56,6 +58,32 @@ def test_edge_documents(edge_docs, edge_rows, no_docs):
     assert run(no_docs) == []
 
 
+def test_chunks_are_bounded_in_bytes_and_dropped(spark):
+    long = [(i, f"w{i} " * (20_000 + i)) for i in range(200)]  # long texts in a row
+    rows = long + [(1000 + i, "a b c") for i in range(3000)] + [(9000, "x" * 9_000_000), (9001, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    before = {t.name for t in spark.catalog.listTables()}
+    chunks, drop = exchange.chunk_table(docs, docs.doc_id, F.coalesce(docs.text, F.lit("")).alias("text"))
+    size = chunks.groupBy("chunk").agg(F.count("*").alias("n"), F.sum(F.octet_length("text").cast("long")).alias("b")).collect()
+    most = exchange.CHUNK_TEXT << exchange.CHUNK_BITS
+    assert all(r.n == 1 or r.n <= 1 << exchange.CHUNK_BITS and r.b <= most for r in size) and sum(r.n for r in size) == len(rows)
+    drop()
+    assert {t.name for t in spark.catalog.listTables()} == before
+    assert run(docs.where("doc_id >= 1000"), window=3) == brute([r for r in rows if r[0] >= 1000], 3)
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_no_more_buckets_than_spark_allows(spark):
+    docs = table(spark, "/root/testdata/sf0.001", "documents")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        assert run(docs) == brute(rows, 35)
+        assert lm.score_documents(docs).count() == len(rows)
+    finally:
+        spark.conf.unset("spark.sql.sources.bucketing.maxBuckets")
+
+
 def test_kept_text(spark):
     p = " ".join(f"p{i}" for i in range(40))
     docs = spark.createDataFrame([(1, f"a  b {p} c"), (2, f"{p} d")], "doc_id long, text string")

@@ -55,6 +55,20 @@ def test_hundreds_of_insults_are_known():
     assert (bad >= 0.5).mean() > 0.8 and (good < 0.5).mean() > 0.8
 
 
+def test_score_is_the_pairwise_formula():
+    texts = [b"alpha beta gamma", b"beta Delta delta", b"", b"unknownword", b"alphabet soup alpha", b"gamma " * 50] * 20
+    machine = toxicity.fit(texts, [1, 0, 0, 1, 1, 0] * 20, {0: 1.0, 1: 1.0})
+    got = machine.score(texts[:6])
+    for text, score in zip(texts[:6], got):
+        places = sorted({int(p) for p in toxicity.term_places([text])[1]}) if text else []
+        rows = [machine.row[p] for p in places if machine.row[p] >= 0]
+        z = machine.bias + sum(machine.linear[r] for r in rows)
+        for i, a in enumerate(rows):
+            for b in rows[i + 1:]:
+                z += sum(x * y for x, y in zip(machine.factors[a], machine.factors[b]))
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_scores_do_not_depend_on_the_batch(monkeypatch):
     texts = [f"bad{i % 3} word {i % 50} text".encode() for i in range(300)]
     model = toxicity.fit(texts, [int(i % 3 == 0) for i in range(300)], {0: 1.0, 1: 1.0})
