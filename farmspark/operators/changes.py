@@ -54,12 +54,14 @@ class Applied:
 
     def __init__(self, table: DataFrame | Callable[[], DataFrame], rejects: DataFrame, accepted: DataFrame,
                  keys_bounded: bool = False, inserted: DataFrame | None = None,
-                 update_keys: list[str] | None = None):
+                 update_keys: list[str] | None = None, touched: DataFrame | None = None):
         self._table = table
         # an insert only adds these rows; an update or delete only touches rows
-        # that share these columns with an accepted change
+        # that share these columns with an accepted change, or (tables without
+        # months) whose id is among ``touched``
         self.inserted = inserted
         self.update_keys = update_keys
+        self.touched = touched
         self.rejects = rejects
         self.accepted = accepted
         # the distinct keys of the batch were counted within the broadcast
@@ -292,7 +294,7 @@ def stock_changes(t: Tables, changes: DataFrame) -> Applied:
          .otherwise(F.col("quantity")).alias("quantity"),
         "threshold",
         F.when(F.col("_hit"), F.col("_date")).otherwise(F.col("date")).alias("date"))
-    return Applied(table, rejects, accepted.drop("_delta"), update_keys=["item_id"])
+    return Applied(table, rejects, accepted.drop("_delta"), touched=reduced.select("item_id"))
 
 
 def _fails_in_turn(batches):
@@ -406,7 +408,7 @@ def update_workers(t: Tables, changes: DataFrame) -> Applied:
     accepted, rejects = _split(checked)
     vals = ["name", "email", "mobile_no"]
     reduced = _last_by_seq(accepted, ["id"], vals)
-    return Applied(lambda: _update(t.worker, reduced, ["id"], vals, bounded), rejects, accepted)
+    return Applied(lambda: _update(t.worker, reduced, ["id"], vals, bounded), rejects, accepted, touched=reduced.select("id"))
 
 
 def delete_workers(t: Tables, changes: DataFrame) -> Applied:
@@ -418,8 +420,8 @@ def delete_workers(t: Tables, changes: DataFrame) -> Applied:
     checked = c.withColumn("reason", first_failing(
         (~F.col("_found") | (F.col("seq") != F.col("_first")), "Worker not found"))).drop("_found", "_first")
     accepted, rejects = _split(checked)
-    table = t.worker.join(_small(accepted.select("id").distinct(), bounded), "id", "left_anti")
-    return Applied(table, rejects, accepted)
+    gone = accepted.select("id").distinct()
+    return Applied(t.worker.join(_small(gone, bounded), "id", "left_anti"), rejects, accepted, touched=gone)
 
 
 def complete_tasks(t: Tables, changes: DataFrame) -> Applied:
@@ -427,8 +429,9 @@ def complete_tasks(t: Tables, changes: DataFrame) -> Applied:
     0 is allowed; an unknown worker and a foreign task give different reasons."""
     # the reference takes the first worker row of the e-mail; min(id) is the
     # deterministic choice
-    w = t.worker.where(F.col("email").isNotNull()).groupBy("email").agg(F.min("id").alias("worker_id"))
-    c = changes.join(w, "email", "left")
+    asked = B.restrict_to_keys(t.worker.select("email", "id"), changes, ["email"])
+    w = asked.groupBy("email").agg(F.min("id").alias("worker_id"))
+    c = changes.join(B.bounded_broadcast(w, B.KEYS_BROADCAST_BYTES)[0], "email", "left")
     c, bounded = _with_found(c, t.task, ["task_id", "worker_id"])
     checked = c.withColumn("reason", first_failing(
         (F.col("task_id").isNull(), "Task ID is required"),
@@ -439,7 +442,7 @@ def complete_tasks(t: Tables, changes: DataFrame) -> Applied:
     j = t.task.join(_small(hits, bounded), ["task_id", "worker_id"], "left")
     table = j.select(*[F.when(F.col("_hit"), F.lit("completed")).otherwise(F.col("status")).alias("status")
                        if c == "status" else F.col(c) for c in t.task.columns])
-    return Applied(table, rejects, accepted)
+    return Applied(table, rejects, accepted, touched=accepted.select("task_id"))
 
 
 # -------------------------------------------------------------- registration

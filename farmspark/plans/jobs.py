@@ -9,16 +9,23 @@ The new version of the snapshot is published in one step when all its parts
 are written (:mod:`farmspark.plans.snapshots`), so a reader never sees a table
 that is being overwritten (T-21) and the next batch starts from a whole
 snapshot.  Inserts write their own rows only, updates of tables laid out by
-month only the months they touch.
+month only the months they touch, other updates and deletes the rows they touch.
+
+A batch is known by its content.  The version that it makes lists it, so a batch
+that is applied again, after a failure or under another path, changes nothing:
+no second stock move, no second insert.  Its rejects and messages lie under the
+same digest and are written before the version is published.
 """
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from farmspark.functions.exprs import PARTITIONED
 from farmspark.operators import changes as C
@@ -37,6 +44,7 @@ class Rule:
     table: str
     notice: Callable[[Tables, DataFrame], DataFrame] | None = None
     notice_uses_bound: bool = False  # the notice takes the rule's proven key bound
+    key: str | None = None  # column of the requests that names the rows they change
 
 
 RULES: dict[str, Rule] = {
@@ -46,99 +54,147 @@ RULES: dict[str, Rule] = {
     "insert_inventory": Rule(C.insert_inventory, "inventory"),
     "insert_tasks": Rule(C.insert_tasks, "task"),
     "stock_changes": Rule(C.stock_changes, "inventory"),
-    "set_approval": Rule(C.set_approval, "customer_order", N.order_approval_notice, True),
-    "set_order_status": Rule(C.set_order_status, "customer_order", N.order_status_notice, True),
+    "set_approval": Rule(C.set_approval, "customer_order", N.order_approval_notice, True, key="order_id"),
+    "set_order_status": Rule(C.set_order_status, "customer_order", N.order_status_notice, True, key="order_id"),
     "set_order_status_worker": Rule(lambda t, ch: C.set_order_status(t, ch, worker_app=True), "customer_order",
-                                    lambda t, acc: N.worker_order_notice(acc)),
-    "set_assigned_by": Rule(C.set_assigned_by, "customer_order"),
-    "set_supply_status": Rule(C.set_supply_status, "supply_orders"),
-    "set_supply_status_owned": Rule(C.set_supply_status_owned, "supply_orders", N.supply_status_notice),
+                                    lambda t, acc: N.worker_order_notice(acc), key="order_id"),
+    "set_assigned_by": Rule(C.set_assigned_by, "customer_order", key="order_id"),
+    "set_supply_status": Rule(C.set_supply_status, "supply_orders", key="supply_order_id"),
+    "set_supply_status_owned": Rule(C.set_supply_status_owned, "supply_orders", N.supply_status_notice, key="supply_order_id"),
     "update_workers": Rule(C.update_workers, "worker"),
     "delete_workers": Rule(C.delete_workers, "worker"),
     "complete_tasks": Rule(C.complete_tasks, "task", lambda t, acc: N.worker_task_notice(acc)),
 }
 
 
-def _batch_id(changes_path: str) -> str:
-    """A batch is named by the folder it came in: applying it again replaces
-    its own messages and rejects."""
-    return changes_path.rstrip("/").rsplit("/", 1)[-1]
+def batch_digest(changes: DataFrame, rule: str) -> str:
+    """What a batch is known by: its rows in any order, and the rule.
+
+    Two sums of row hashes and the count, added up on the map side.
+    """
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(changes.columns)]), {"ignoreNullFields": "false"})
+    sums = [F.sum(F.xxhash64(row, F.lit(salt)).cast("decimal(38,0)")) for salt in (1, 2)]
+    said = changes.agg(F.count(F.lit(1)), *sums).first()
+    return hashlib.sha256(f"{rule}:{':'.join(map(str, said))}".encode()).hexdigest()[:32]
 
 
-def _new_parts(res: C.Applied, t: Tables, name: str, root: str, old: list[dict] | None) -> list[dict]:
-    """The parts of a table after a rule, given those before it (None: a plain folder)."""
-    base = getattr(t, name)
-    if old is not None and res.inserted is not None:
-        return old + [S.write_part(res.inserted, root, name)]
-    if old is not None and res.update_keys and name in PARTITIONED:
+def _edit(res: C.Applied, base: DataFrame, name: str, root: str, parts: list[dict] | None) -> S.Edit | None:
+    """What a rule does to the parts of its table; None for nothing."""
+    if parts is None:  # nothing published yet: the whole table is the part
+        return S.Edit(name, [S.write_part(res.table, root, name)])
+    if res.inserted is not None:
+        return S.Edit(name, [S.write_part(res.inserted, root, name, new_ids=True)], new_ids=True)
+    if name in PARTITIONED:
         months = S.touched_months(base, res.accepted, res.update_keys)
         if not months:
-            return old
-        return S.without_months(old, months) + [S.write_part(res.table.where(S._in_months(months)), root, name)]
-    return [S.write_part(res.table, root, name)]
-
-
-def _publish(spark: SparkSession, snapshot_in: str, out_root: str, after: int, changed: dict[str, list[dict]],
-             parts: dict[str, list[dict]]) -> None:
-    """Publish ``changed`` over the tables of ``snapshot_in`` as the version behind
-    ``after`` of ``out_root``; fails if another job has published that one."""
-    tables = dict(parts)
-    if not tables:  # plain folders become parts by reference
+            return None
+        part = S.write_part(res.table.where(S._in_months(months)), root, name)
+        return S.Edit(name, [part], S.drops(parts, months))
+    key = S.KEYS[name]
+    keys = res.touched.where(F.col(key).isNotNull()).distinct()
+    if keys.isEmpty():
+        return None
+    return S.Edit(name, [S.write_part(res.table.join(keys, key, "left_semi"), root, name, keys=keys)])
+
+
+def _base(spark: SparkSession, snapshot_in: str, out_root: str) -> S.Manifest:
+    """The version a job starts from, as if it were one of ``out_root``."""
+    m = S.manifest(spark, snapshot_in)
+    if out_root.rstrip("/") == snapshot_in.rstrip("/"):
+        return m
+    tables = dict(m.tables)
+    if not m.version:  # plain folders become parts by reference
         for name in schemas.BUSINESS:
             path = os.path.join(snapshot_in, name)
             if S.exists(spark, path):
                 tables[name] = [S.adopt(spark, path, name)]
-    S.publish(spark, out_root, after, {**tables, **changed})
+    own = S.manifest(spark, out_root)
+    # later than every part it carries
+    return S.Manifest(max(own.version, m.version), tables, {**own.batches, **m.batches}, {**own.streams, **m.streams})
+
+
+def _applied_once(spark: SparkSession, snapshot_in: str, out_root: str, batch: str,
+                  attempt: Callable[[S.Manifest], tuple[list[S.Edit], dict[str, str]]], retries: int) -> dict[str, str]:
+    """Run ``attempt`` on the newest version until its edits are published; a
+    batch that is in a version already is not run."""
+    while True:
+        base = _base(spark, snapshot_in, out_root)
+        if batch in base.batches:
+            return base.batches[batch]
+        edits, out = attempt(base)
+        try:
+            same = out_root.rstrip("/") == snapshot_in.rstrip("/")
+            return S.commit(spark, out_root, base, edits, batch=(batch, out), rebase=same).batches[batch]
+        except S.Conflict:
+            if not retries:
+                raise
+            retries -= 1
 
 
 def apply_batch(spark: SparkSession, snapshot_in: str, changes_path: str, rule: str, out_root: str,
-                outbox_path: str | None = None) -> dict[str, str]:
+                outbox_path: str | None = None, retries: int = 3) -> dict[str, str]:
     """Apply one change batch and publish the new version in ``out_root`` (which
-    may be ``snapshot_in``); returns the paths written."""
+    may be ``snapshot_in``); returns the paths written.
+
+    A batch that is in the snapshot already is not applied again.  If another
+    job publishes first, this one's changes go on top of it where they commute;
+    where not, the batch is applied to the new version, up to ``retries`` times.
+    """
     ensure_checkpoint_dir(spark)
     r = RULES[rule]
-    batch = _batch_id(changes_path)
-    after, (_, parts) = S.latest(spark, out_root)[0], S.latest(spark, snapshot_in)
-    t = Tables.from_snapshot(spark, snapshot_in)
     changes = spark.read.parquet(changes_path)
-    with C.materialized_batches():
-        res = r.apply(t, changes)
-    out = {"rejects": os.path.join(out_root, "_rejects", rule, f"batch={batch}")}
-    res.rejects.write.mode("overwrite").parquet(out["rejects"])
-    new = _new_parts(res, t, r.table, out_root, parts.get(r.table))
-    out["table"] = new[-1]["path"]
-    if r.notice is not None and outbox_path:
-        msgs = r.notice(t, res.accepted, res.keys_bounded) if r.notice_uses_bound else r.notice(t, res.accepted)
-        append_outbox(msgs, outbox_path, f"{rule}-{batch}")
-        out["outbox"] = outbox_path
-    _publish(spark, snapshot_in, out_root, after, {r.table: new}, parts)
-    return out
+    batch = batch_digest(changes, rule)
+
+    def attempt(base: S.Manifest) -> tuple[list[S.Edit], dict[str, str]]:
+        t = Tables.from_manifest(spark, base) if base.tables else Tables.from_snapshot(spark, snapshot_in)
+        parts = base.tables.get(r.table)
+        if parts is not None and r.key and r.table in PARTITIONED:
+            # months whose range of ids holds none of the requested ones are not read
+            some = S.months_of_ids(parts, changes, r.key)
+            if some is not None:
+                t = t.with_table(r.table, S.read_table(spark, r.table, parts, some))
+        with C.materialized_batches():
+            res = r.apply(t, changes)
+        out = {"rejects": os.path.join(out_root, "_rejects", rule, f"batch={batch}")}
+        res.rejects.write.mode("overwrite").parquet(out["rejects"])
+        edit = _edit(res, getattr(t, r.table), r.table, out_root, parts)
+        if edit:
+            out["table"] = edit.add[-1]["path"]
+        if r.notice is not None and outbox_path:
+            msgs = r.notice(t, res.accepted, res.keys_bounded) if r.notice_uses_bound else r.notice(t, res.accepted)
+            append_outbox(msgs, outbox_path, f"{rule}-{batch}")
+            out["outbox"] = outbox_path
+        return [edit] if edit else [], out
+
+    return _applied_once(spark, snapshot_in, out_root, batch, attempt, retries)
 
 
 def register_batch(spark: SparkSession, snapshot_in: str, changes_path: str, out_root: str,
-                   outbox_path: str | None = None) -> dict[str, str]:
+                   outbox_path: str | None = None, retries: int = 3) -> dict[str, str]:
     """C-16 sign-ups of every kind; publishes customer, supplier, worker and
-    users, the rejects and the welcome notices."""
+    users, the rejects and the welcome notices.  Applied once, like any batch."""
     ensure_checkpoint_dir(spark)
-    batch = _batch_id(changes_path)
-    after, (_, parts) = S.latest(spark, out_root)[0], S.latest(spark, snapshot_in)
-    t = Tables.from_snapshot(spark, snapshot_in)
-    with C.materialized_batches():
-        res = C.register_accounts(t, spark.read.parquet(changes_path))
+    changes = spark.read.parquet(changes_path)
+    batch = batch_digest(changes, "register_accounts")
     names = {"customer": "customer", "supplier": "supplier", "worker": "worker", "user": "users"}
-    out, changed = {}, {}
-    rejects = None
-    for kind, table in names.items():
-        changed[table] = _new_parts(res[kind], t, table, out_root, parts.get(table))
-        out[table] = changed[table][-1]["path"]
-        rejects = res[kind].rejects if rejects is None else rejects.unionByName(res[kind].rejects)
-    out["rejects"] = os.path.join(out_root, "_rejects", "register_accounts", f"batch={batch}")
-    rejects.write.mode("overwrite").parquet(out["rejects"])
-    if outbox_path:
-        append_outbox(N.welcome_notice(res["customer"].accepted, res["supplier"].accepted,
-                                       res["worker"].accepted), outbox_path, f"register_accounts-{batch}")
-    _publish(spark, snapshot_in, out_root, after, changed, parts)
-    return out
+
+    def attempt(base: S.Manifest) -> tuple[list[S.Edit], dict[str, str]]:
+        t = Tables.from_manifest(spark, base) if base.tables else Tables.from_snapshot(spark, snapshot_in)
+        with C.materialized_batches():
+            res = C.register_accounts(t, changes)
+        out, edits, rejects = {}, [], None
+        for kind, table in names.items():
+            edits.append(_edit(res[kind], getattr(t, table), table, out_root, base.tables.get(table)))
+            out[table] = edits[-1].add[-1]["path"]
+            rejects = res[kind].rejects if rejects is None else rejects.unionByName(res[kind].rejects)
+        out["rejects"] = os.path.join(out_root, "_rejects", "register_accounts", f"batch={batch}")
+        rejects.write.mode("overwrite").parquet(out["rejects"])
+        if outbox_path:
+            append_outbox(N.welcome_notice(res["customer"].accepted, res["supplier"].accepted,
+                                           res["worker"].accepted), outbox_path, f"register_accounts-{batch}")
+        return edits, out
+
+    return _applied_once(spark, snapshot_in, out_root, batch, attempt, retries)
 
 
 REPORTS = {
@@ -159,34 +215,47 @@ def report(spark: SparkSession, snapshot: str, name: str, out: str, start: str |
 def write_table(df: DataFrame, root: str, name: str) -> str:
     """Publish ``df`` as the whole of one table of the snapshot ``root``."""
     spark = df.sparkSession
-    version, parts = S.latest(spark, root)
-    part = S.write_part(df, root, name)
-    S.publish(spark, root, version, {**parts, name: [part]})
+    base = S.manifest(spark, root)
+    part = S.write_part(df, root, name, new_ids=True)
+    S.commit(spark, root, base, [S.Edit(name, [part], S.drops(base.tables.get(name, [])), new_ids=True, whole=True)])
     return part["path"]
 
 
-def append_rows(df: DataFrame, root: str, name: str, part: str) -> None:
-    """Add rows to a table of the snapshot ``root`` as the part ``part``; adding
-    the same part again (a retried batch) changes nothing."""
+def append_rows(df: DataFrame, root: str, name: str, stream: tuple[str, int] | None = None) -> None:
+    """Add rows without ids of their own to a table of the snapshot ``root``.
+
+    ``stream``: (id of the streaming query, micro-batch); a micro-batch that is
+    in the snapshot already is not added again.  Appends commute with whatever
+    other jobs publish.  Small parts are merged from time to time.
+    """
     spark = df.sparkSession
-    new = S.write_part(df, root, name, part)
-    version, parts = S.latest(spark, root)
-    old = [p for p in parts.get(name, []) if p["path"] != new["path"]]
-    S.publish(spark, root, version, {**parts, name: old + [new]})
+    base = S.manifest(spark, root)
+    if stream and base.streams.get(stream[0], -1) >= stream[1]:
+        return
+    new = S.write_part(df, root, name)
+    now = S.commit(spark, root, base, [S.Edit(name, [new] if new["months"] != [] else [])], stream=stream)
+    if S.merge_run(now.tables.get(name, []), name not in PARTITIONED):
+        try:
+            S.compact(spark, root, name)
+        except S.Conflict:
+            pass  # another job is merging the same parts
 
 
-def compact(spark: SparkSession, root: str, name: str) -> str:
-    """Rewrite a table that many batches have added parts to as one part."""
-    return write_table(getattr(Tables.from_snapshot(spark, root), name), root, name)
+def compact(spark: SparkSession, root: str, name: str, everything: bool = True) -> bool:
+    """Merge the parts that many batches have added to a table: all of them, or
+    only small ones (:func:`farmspark.plans.snapshots.compact`)."""
+    return S.compact(spark, root, name, everything)
 
 
 def write_snapshot(t: Tables, root: str, names: list[str] | None = None) -> None:
     """Write business tables (e.g. built from the driver data) as one version
     that :meth:`Tables.from_snapshot` reads back with the declared schemas."""
-    version, parts = S.latest(t.spark, root)
-    new = {name: [S.write_part(getattr(t, name), root, name)] for name in names or list(schemas.BUSINESS)
-           if name in t._thunks}
-    S.publish(t.spark, root, version, {**parts, **new})
+    base = S.manifest(t.spark, root)
+    edits = [S.Edit(name, [S.write_part(getattr(t, name), root, name, new_ids=True)],
+                    S.drops(base.tables.get(name, [])), new_ids=True, whole=True)
+             for name in names or list(schemas.BUSINESS) if name in t._thunks]
+    S.commit(t.spark, root, base, edits)
 
 
-__all__ = ["RULES", "append_rows", "apply_batch", "compact", "register_batch", "report", "write_snapshot", "write_table"]
+__all__ = ["RULES", "append_rows", "apply_batch", "batch_digest", "compact", "register_batch", "report", "write_snapshot",
+           "write_table"]

@@ -222,14 +222,27 @@ class Tables:
         """The newest version of a snapshot (:mod:`farmspark.plans.snapshots`), or
         plain table folders below ``root`` where nothing was published."""
         from farmspark.plans import snapshots as S
-        version, parts = S.latest(spark, root)
-        if version:
-            frames = {n: (lambda n=n, p=p: S.read_table(spark, n, p)) for n, p in parts.items()}
-        else:
-            frames = {n: (lambda p=os.path.join(root, n), n=n: spark.read.schema(S.table_schema(n)).parquet(p))
-                      for n in schemas.BUSINESS if S.exists(spark, os.path.join(root, n))}
+        newest = S.manifest(spark, root)
+        if newest.version:
+            return cls.from_manifest(spark, newest)
+        frames = {n: (lambda p=os.path.join(root, n), n=n: spark.read.schema(S.table_schema(n)).parquet(p))
+                  for n in schemas.BUSINESS if S.exists(spark, os.path.join(root, n))}
         return cls(spark, frames, None)
 
+    @classmethod
+    def from_manifest(cls, spark: SparkSession, version) -> "Tables":
+        """The tables of one version of a snapshot."""
+        from farmspark.plans import snapshots as S
+        return cls(spark, {n: (lambda n=n, p=p: S.read_table(spark, n, p)) for n, p in version.tables.items()}, None)
+
+    def with_ids(self, version, name: str, ids: DataFrame) -> "Tables":
+        """These tables, of ``name`` only the months of ``version`` that can hold one
+        of the ``ids`` (one column): for lookups by id."""
+        from farmspark.plans import snapshots as S
+        parts = version.tables[name]
+        months = S.months_of_ids(parts, ids, ids.columns[0])
+        return self if months is None else self.with_table(name, S.read_table(self.spark, name, parts, months))
+
     def with_table(self, name: str, df: DataFrame) -> "Tables":
         frames = dict(self._thunks)
         frames[name] = df

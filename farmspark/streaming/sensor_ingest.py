@@ -11,7 +11,7 @@ outside scheduler in place of the in-process cron.
 
 from __future__ import annotations
 
-import zlib
+import json
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,23 +88,29 @@ def kafka_docs_stream(spark: SparkSession, servers: str, topic: str) -> DataFram
                     F.col("timestamp").cast("timestamp_ntz").alias("arrived_at")))
 
 
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the streaming query, which lives as long as its checkpoint."""
+    return json.loads(spark.read.text(f"{checkpoint.rstrip('/')}/metadata", wholetext=True).first()[0])["id"]
+
+
 def start_ingest(spark: SparkSession, src_dir: str, root: str, checkpoint: str, available_now: bool = True,
                  processing_time: str = "6 hours", docs: DataFrame | None = None) -> StreamingQuery:
     """SNK-3 append readings to ``sensors_data`` of the snapshot ``root``.
 
-    Every micro-batch becomes one part of the table, named by the stream and
-    its batch id, in a new version of the snapshot; its rejected documents go
-    to ``_rejects/sensor_ingest``.  A batch that is run again after a failure
-    replaces its own part.  ``available_now`` processes what has arrived and
+    Every micro-batch becomes one part of the table in a new version of the
+    snapshot, which lists it; its rejected documents go to
+    ``_rejects/sensor_ingest``.  A micro-batch that is run again after a failure
+    is not added again; a stream with a new checkpoint is another stream, even
+    under an old path.  ``available_now`` processes what has arrived and
     stops (run by an outside scheduler every 6 h); otherwise a processing-time
     trigger keeps the query running.  ``docs``: another source than files."""
     from farmspark.plans.jobs import append_rows
-    stream = f"{zlib.crc32(checkpoint.encode()):08x}"
 
     def put(batch: DataFrame, batch_id: int) -> None:
-        part = f"stream-{stream}-{batch_id}"
-        rejected_docs(batch).write.mode("overwrite").parquet(f"{root.rstrip('/')}/_rejects/sensor_ingest/batch={part}")
-        append_rows(docs_to_readings(batch), root, "sensors_data", part)
+        stream = _query_id(spark, checkpoint)
+        rejected_docs(batch).write.mode("overwrite").parquet(
+            f"{root.rstrip('/')}/_rejects/sensor_ingest/batch={stream}-{batch_id}")
+        append_rows(docs_to_readings(batch), root, "sensors_data", (stream, batch_id))
 
     source = docs_stream(spark, src_dir) if docs is None else docs
     w = source.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).outputMode("append")

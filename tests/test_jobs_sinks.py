@@ -63,17 +63,15 @@ def test_batches_chain_and_leave_other_months_alone(spark, tmp_path):
     version, parts = S.latest(spark, root)
     assert version == 2 and set(parts) == set(S.latest(spark, root)[1])
     old, new = parts["customer_order"]
-    assert old["path"] == before[0]["path"] and new["months"] == [month]
+    assert old["path"] == before[0]["path"] and new["months"] == [month] and old["gone"] == [month]
     assert old["months"] == [m for m in before[0]["months"] if m != month]
     # an order placed on the new version; customers and messages come with it
     CF.app_orders(t).limit(40).write.parquet(str(tmp_path / "b2"))
-    for _ in range(2):  # a retried batch: its messages replace themselves
-        paths = jobs.apply_batch(spark, root, str(tmp_path / "b2"), "place_orders", str(tmp_path / "next"), ob)
+    for _ in range(2):  # a retried batch: one version, one part, its messages once
+        paths = jobs.apply_batch(spark, root, str(tmp_path / "b2"), "place_orders", root, ob)
         placed = spark.read.parquet(paths["table"]).count()
         msgs = spark.read.parquet(ob).where("kind = 'new_order'").count()
-        assert placed == msgs > 0
-        (tmp_path / "next" / "_versions" / "00000001.json").unlink()
-    jobs.apply_batch(spark, root, str(tmp_path / "b2"), "place_orders", root, ob)
+        assert placed == msgs > 0 and S.latest(spark, root)[0] == 3
     after = Tables.from_snapshot(spark, root)
     assert after.customer_order.count() == t.customer_order.count() + placed
     assert after.customer_order.where(F.col("order_id") == one.order_id).first().status == "Moved"
@@ -98,10 +96,11 @@ def test_batches_chain_and_leave_other_months_alone(spark, tmp_path):
 
 def test_a_version_is_published_once(spark, tmp_path):
     root = str(tmp_path / "snap")
-    S.publish(spark, root, 0, {})
-    with pytest.raises(RuntimeError):
-        S.publish(spark, root, 0, {})
-    assert S.latest(spark, root)[0] == 1
+    empty = S.Manifest()
+    S.commit(spark, root, empty, [])
+    with pytest.raises(S.Conflict):
+        S.commit(spark, root, empty, [], rebase=False)
+    assert S.commit(spark, root, empty, []).version == 2 and S.versions(spark, root) == [1, 2]
 
 
 def test_plain_folders_are_adopted(spark, tmp_path):
