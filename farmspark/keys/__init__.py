@@ -6,3 +6,4 @@ from farmspark.keys import changes_keys  # noqa: F401
 from farmspark.keys import notices_keys  # noqa: F401
 from farmspark.keys import lookups_keys  # noqa: F401
 from farmspark.keys import streams_keys  # noqa: F401
+from farmspark.keys import snapshot_keys  # noqa: F401

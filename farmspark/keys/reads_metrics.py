@@ -108,7 +108,7 @@ query("sensor_data_view", """
 query("available_types",
       "SELECT DISTINCT name FROM inv WHERE quantity > 10 AND type = 'prawns'")(R.available_types)
 query("available_types_array", """
-    SELECT list_sort(list(name)) AS prawnTypes
+    SELECT row_number() OVER (ORDER BY name) AS position, name AS prawn_type
     FROM (SELECT DISTINCT name FROM inv WHERE quantity > 10 AND type = 'prawns')""")(R.available_types_array)
 
 # ------------------------------------------------------------------ joins

@@ -33,11 +33,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from contextlib import contextmanager
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
 from farmspark.plans import broadcast as B
+from farmspark.plans.graph import components
 from farmspark.plans.ids import dense_ids
 from farmspark.sources import schemas
 from farmspark.sources.tables import Tables
@@ -298,20 +299,35 @@ def stock_changes(t: Tables, changes: DataFrame) -> Applied:
 
 
 def _fails_in_turn(batches):
-    """seq of the moves that leave the INT column, from moves sorted by item and
-    seq: a failed move does not count for the ones after it."""
+    """(item, seq, delta) of the moves that leave the INT column, from moves sorted
+    by item and seq: a failed move does not count for the ones after it.
+
+    A run of an item's moves whose running totals all stay inside is taken as a
+    whole; only other runs are looked at one by one.
+    """
+    import numpy as np
     import pyarrow as pa
     item = high = low = None
     for batch in batches:
+        items, seqs, deltas, highs, lows = (c.to_numpy() for c in batch.columns)
+        if not len(items):
+            continue
         failed = []
-        for i, seq, d, h, lo in zip(*(c.to_pylist() for c in batch.columns)):
-            if i != item:
-                item, high, low = i, h, lo
-            if high + d > X.INT_MAX or low + d < -X.INT_MAX - 1:
-                failed.append(seq)
-            else:
-                high, low = high + d, low + d
-        yield pa.record_batch([pa.array(failed, pa.int64())], ["seq"])
+        starts = np.flatnonzero(np.r_[True, items[1:] != items[:-1]])
+        for a, b in zip(starts, np.r_[starts[1:], len(items)]):
+            if items[a] != item:
+                item, high, low = items[a], int(highs[a]), int(lows[a])
+            total = np.cumsum(deltas[a:b])
+            if high + int(total.max()) <= X.INT_MAX and low + int(total.min()) >= -X.INT_MAX - 1:
+                high, low = high + int(total[-1]), low + int(total[-1])
+                continue
+            for at in range(a, b):
+                d = int(deltas[at])
+                if high + d > X.INT_MAX or low + d < -X.INT_MAX - 1:
+                    failed.append(at)
+                else:
+                    high, low = high + d, low + d
+        yield pa.record_batch([pa.array(x[failed]) for x in (items, seqs, deltas)], ["_item", "seq", "_delta"])
 
 
 def _could_overflow(reduced: DataFrame, inventory: DataFrame) -> DataFrame:
@@ -322,12 +338,56 @@ def _could_overflow(reduced: DataFrame, inventory: DataFrame) -> DataFrame:
             .groupBy(F.col("item_id").alias("_item")).agg(F.max("_q").alias("_high"), F.min("_q").alias("_low")))
 
 
+#: ranges of an item's moves that are stepped through one after the other before
+#: what is left of the item goes to one task
+STEPPED_RANGES = 12
+
+
 def _fail_in_turn(moves: DataFrame, risky: DataFrame) -> DataFrame:
-    """(seq, reason) of the moves of risky items that leave the INT column, each
-    item's moves looked at one by one as a stream sorted by item and seq."""
-    return (moves.join(risky, "_item").select("_item", "seq", "_delta", "_high", "_low")
-            .repartition("_item").sortWithinPartitions("_item", "seq").mapInArrow(_fails_in_turn, "seq long")
-            .withColumn("reason", F.lit(STOCK_FAILED)))
+    """(seq, reason) of the moves of risky items that leave the INT column.
+
+    Moves are dealt to ranges of (item, seq), so a hot item is spread over tasks.
+    A range has the sum and the extremes of its running total; as long as these
+    stay inside, ranges are added up.  The first one of an item that could leave
+    the column is stepped through, then the ranges behind it are added up again.
+    """
+    parts = int(moves.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt, _ = B.materialized(
+        moves.join(risky.select("_item"), "_item").select(F.col("_item").cast("long"), F.col("seq").cast("long"), "_delta")
+        .repartitionByRange(parts, "_item", "seq").withColumn("_part", F.spark_partition_id()), "moves")
+    total = F.sum("_delta").over(Window.partitionBy("_item", "_part").orderBy("seq"))
+    ranges, _ = B.materialized(dealt.withColumn("_total", total).groupBy("_item", "_part").agg(
+        F.sum("_delta").alias("_sum"), F.max("_total").alias("_most"), F.min("_total").alias("_least")), "ranges")
+    state = risky.select("_item", "_high", "_low", F.lit(-1).alias("_after"))
+    failed = None
+    for turn in range(STEPPED_RANGES + 1):
+        ahead = ranges.join(state, "_item").where(F.col("_part") > F.col("_after"))
+        before = F.sum("_sum").over(Window.partitionBy("_item").orderBy("_part")) - F.col("_sum")
+        leaves = ((F.col("_high") + F.col("_before") + F.col("_most") > X.INT_MAX)
+                  | (F.col("_low") + F.col("_before") + F.col("_least") < -X.INT_MAX - 1))
+        # one row per item: the range to step through and the totals before it
+        first, _ = B.materialized(ahead.withColumn("_before", before).where(leaves).groupBy("_item").agg(
+            F.min_by(F.struct("_part", (F.col("_high") + F.col("_before")).alias("_high"),
+                              (F.col("_low") + F.col("_before")).alias("_low"), "_sum"), "_part").alias("_f"))
+            .select("_item", "_f.*"), "stepped")
+        if first.isEmpty():
+            break
+        last = turn == STEPPED_RANGES
+        own = (F.col("_part") >= F.col("_from")) if last else (F.col("_part") == F.col("_from"))
+        step = (dealt.join(first.select("_item", F.col("_part").alias("_from"), "_high", "_low"), "_item").where(own)
+                .select("_item", "seq", "_delta", "_high", "_low")
+                .repartition("_item").sortWithinPartitions("_item", "seq"))
+        found, _ = B.materialized(step.mapInArrow(_fails_in_turn, "_item long, seq long, _delta long"), "failed")
+        failed = found if failed is None else failed.unionByName(found)
+        if last:
+            break
+        lost = found.groupBy("_item").agg(F.sum("_delta").alias("_lost"))
+        move = F.col("_sum") - F.coalesce("_lost", F.lit(0))
+        state, _ = B.materialized(first.join(lost, "_item", "left").select(
+            "_item", (F.col("_high") + move).alias("_high"), (F.col("_low") + move).alias("_low"), F.col("_part").alias("_after")), "state")
+    if failed is None:
+        failed = dealt.where("false")
+    return failed.select("seq", F.lit(STOCK_FAILED).alias("reason"))
 
 
 # ------------------------------------------------------------------- updates
@@ -454,18 +514,58 @@ def _first_writer(c: DataFrame, key: str, ok: Column) -> DataFrame:
     return c.join(B.bounded_broadcast(first, B.KEYS_BROADCAST_BYTES)[0], key, "left")
 
 
+#: requests of one component that are settled in one task
+COMPONENT_ROWS = 50_000
+
+
+def _settle_in_order(table):
+    """The requests of one component that are accepted one after the other by seq."""
+    rows = table.sort_by("seq")
+    taken: tuple[set, set] = (set(), set())
+    won = []
+    for i, own in enumerate(zip(rows.column("mobile_no").to_pylist(), rows.column("email").to_pylist())):
+        if not any(v in t for v, t in zip(own, taken)):
+            won.append(i)
+            for v, t in zip(own, taken):
+                if v is not None:
+                    t.add(v)
+    return rows.take(won).select(["seq", "mobile_no"])
+
+
 def _settle_workers(w: DataFrame) -> DataFrame:
     """Accepted worker sign-ups (seq, mobile_no), one after the other by seq.
 
     A request is accepted if neither its mobile number nor its e-mail belongs to
-    a request accepted before it.  Each round accepts every open request that is
-    the earliest open one for both, and drops those it makes duplicates of;
-    what is left waits for the next round.  The rounds end when none is open.
-    ``w``: open requests (seq, mobile_no, email); the rounds go through the
-    shared checkpoint folder.
+    a request accepted before it.  Requests that share neither with another one
+    are accepted; the others fall into components, linked by the first request
+    of each mobile number and e-mail, and every component is settled in order by
+    one task.  Only components beyond COMPONENT_ROWS go by rounds.
+    ``w``: open requests (seq, mobile_no, email).
     """
-    opened = w.select("seq", "mobile_no", "email").checkpoint(eager=True)
-    done = None
+    opened, _ = B.materialized(w.select("seq", "mobile_no", "email"), "requests")
+    links = None
+    for key in ("mobile_no", "email"):
+        first = opened.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("_first"), F.count("*").alias("_n"))
+        # written, so that a key that a third of them share can be split in the join
+        first, _ = B.materialized(first.where("_n > 1").select(F.col(key), "_first"), "first")
+        own = opened.join(first, key).select("seq", "_first")
+        links = own if links is None else links.unionByName(own)
+    of, _ = B.materialized(components(links), "components")
+    grouped = opened.join(of.withColumnRenamed("node", "seq"), "seq", "left")
+    alone = grouped.where(F.col("root").isNull()).select("seq", "mobile_no")
+    sizes = of.groupBy("root").agg(F.count("*").alias("_n"))
+    sized, _ = B.materialized(grouped.join(sizes, "root"), "sized")
+    small = (sized.where(F.col("_n") <= COMPONENT_ROWS).select("root", "seq", "mobile_no", "email")
+             .groupBy("root").applyInArrow(_settle_in_order, "seq long, mobile_no string"))
+    large = _settle_by_rounds(sized.where(F.col("_n") > COMPONENT_ROWS))
+    return B.materialized(alone.unionByName(small).unionByName(large), "settled")[0]
+
+
+def _settle_by_rounds(w: DataFrame) -> DataFrame:
+    """The same by rounds: each accepts every open request that is the earliest
+    open one for both its keys, and drops those it makes duplicates of."""
+    opened, _ = B.materialized(w.select("seq", "mobile_no", "email"), "open")
+    done = opened.where("false")
     while not opened.isEmpty():
         mine = opened
         for key in ("mobile_no", "email"):
@@ -473,13 +573,13 @@ def _settle_workers(w: DataFrame) -> DataFrame:
                      .select(F.col(key), "_first"))
             mine = (mine.join(first, key, "left")
                     .where(F.col(key).isNull() | (F.col("seq") == F.col("_first"))).drop("_first"))
-        won = mine.select("seq", "mobile_no", "email").checkpoint(eager=True)
-        done = won if done is None else done.unionByName(won)
+        won, _ = B.materialized(mine.select("seq", "mobile_no", "email"), "won")
+        done = done.unionByName(won)
         opened = opened.join(won.select("seq"), "seq", "left_anti")
         for key in ("mobile_no", "email"):
             opened = opened.join(won.where(F.col(key).isNotNull()).select(key), key, "left_anti")
-        opened = opened.select("seq", "mobile_no", "email").checkpoint(eager=True)
-    return (w if done is None else done).select("seq", "mobile_no")
+        opened, _ = B.materialized(opened.select("seq", "mobile_no", "email"), "open")
+    return done.select("seq", "mobile_no")
 
 
 ACCOUNT_KINDS = ("customer", "supplier", "user", "worker")

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
 from farmspark.plans.broadcast import KEYS_BROADCAST_BYTES, bounded_broadcast, restrict_to_keys, small_keys
+from farmspark.plans.ids import dense_ids
 from farmspark.sources.tables import Tables
 
 # The per-pond maxima are broadcast when at most this many ponds exist.
@@ -149,10 +150,11 @@ def available_types(t: Tables) -> DataFrame:
 
 
 def available_types_array(t: Tables) -> DataFrame:
-    """P-14 flattened form ``{prawnTypes: [...]}``.  The set of item names is
-    bounded by the catalogue (not by order volume) and is de-duplicated by a
-    partial aggregate before it reaches the single result row."""
-    return available_types(t).agg(F.array_sort(F.collect_list("name")).alias("prawnTypes"))
+    """P-14 flattened form ``{prawnTypes: [...]}`` as its elements in order:
+    (position, prawn_type).  The catalogue grows, so no row holds it whole; a
+    caller that knows it to be small makes the array."""
+    names = available_types(t).select(F.col("name").alias("prawn_type"))
+    return dense_ids(names, F.lit(0), "position", "prawn_type").select("position", "prawn_type")
 
 
 # --- J: joins --------------------------------------------------------------

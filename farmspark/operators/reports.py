@@ -67,10 +67,11 @@ def inventory_report(t: Tables) -> DataFrame:
 
 
 def sort_report(df: DataFrame) -> DataFrame:
-    """Newest first (the reference's ORDER BY … DESC), then drop the key."""
+    """Newest first (the reference's ORDER BY … DESC), ties by the first column, then
+    drop the key."""
     if SORT_KEY not in df.columns:
         return df
-    return df.orderBy(F.col(SORT_KEY).desc()).drop(SORT_KEY)
+    return df.orderBy(F.col(SORT_KEY).desc(), F.col(f"`{df.columns[0]}`")).drop(SORT_KEY)
 
 
 def rows(df: DataFrame) -> DataFrame:

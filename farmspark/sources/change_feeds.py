@@ -19,12 +19,12 @@ ORDERS_SQL = "(SELECT max(o_orderkey) + 1 FROM orders)"
 ITEMS_SQL = "(SELECT max(p_partkey) + 1 FROM part)"
 
 
-def _range(n):
-    return (F.col("event_id") * SPREAD) % F.floor(n * 1.1).cast("long")
+def _range(n, e=None):
+    return ((F.col("event_id") if e is None else e) * SPREAD) % F.floor(n * 1.1).cast("long")
 
 
 def _range_sql(n: str, e: str = "event_id") -> str:
-    return f"(({e} * {SPREAD}) % CAST(floor({n} * 1.1) AS BIGINT))"
+    return f"((({e}) * {SPREAD}) % CAST(floor({n} * 1.1) AS BIGINT))"
 
 
 def _orders(t):
@@ -194,9 +194,11 @@ def worker_updates(t: Tables) -> DataFrame:
 
 
 def worker_deletes(t: Tables) -> DataFrame:
-    """C-14 worker deletions (repeats and unknown ids)."""
+    """C-14 worker deletions (repeats and unknown ids), fewer than there are
+    workers, so that some stay."""
     E, U, V, TS, TY, NULL_S = _cols()
-    return _ev(t).select(E.alias("seq"), (_range(workers(t)) * 3 + 1).alias("id"))
+    who = F.when(E % 5 == 0, E - 1).otherwise(E)
+    return _ev(t).where(E <= F.floor(workers(t) * 0.7)).select(E.alias("seq"), _range(workers(t), who).alias("id"))
 
 
 def task_completions(t: Tables) -> DataFrame:
@@ -314,7 +316,9 @@ CHANGE_SQL = {
                'w' || CAST(user_id AS VARCHAR) || '@farm.example' AS email,
                '07' || lpad(CAST(user_id AS VARCHAR), 8, '0') AS mobile_no
         FROM events""",
-    "worker_deletes": f"SELECT event_id AS seq, {_range_sql(WORKERS_SQL)} * 3 + 1 AS id FROM events",
+    "worker_deletes": f"""
+        SELECT event_id AS seq, {_range_sql(WORKERS_SQL, "CASE WHEN event_id % 5 = 0 THEN event_id - 1 ELSE event_id END")} AS id
+        FROM events WHERE event_id <= floor({WORKERS_SQL} * 0.7)""",
     "task_completions": f"""
         SELECT event_id AS seq, CASE WHEN event_id % 50 = 0 THEN NULL ELSE event_id END AS task_id,
                'worker#' || lpad(CAST(CASE WHEN event_id % 10 = 0 THEN 1000000 + user_id
