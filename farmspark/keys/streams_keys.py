@@ -95,14 +95,14 @@ query("reminder_due", "SELECT tick_ts, feeding_ID, Pond_ID, feeding_sec, feeding
       feeds=("ticks",), extra={"dues": _DUES})(_dues)
 query("reminder_batch", f"SELECT {_REMINDER_COLS} FROM fired", feeds=("ticks", "feeding_acks"), extra=_EV)(
     lambda t: RM.reminder_batch(_dues(t), feeds.feeding_acks(t)))
-query("reminder_open", f"""
+_OPEN = f"""
     SELECT {_REMINDER_COLS} FROM (
       SELECT feeding_ID, arg_max(tick_ts, seq) AS tick_ts, arg_max(Pond_ID, seq) AS Pond_ID,
              arg_max(feeding_time, seq) AS feeding_time
       FROM fired GROUP BY feeding_ID)
     WHERE feeding_ID IN (SELECT feeding_ID FROM (SELECT feeding_ID, arg_max(kind, seq * 2 + k) AS lk
-                                                 FROM ev GROUP BY feeding_ID) WHERE lk = 'due')""",
-      feeds=("ticks", "feeding_acks"), extra=_EV)(
+                                                 FROM ev GROUP BY feeding_ID) WHERE lk = 'due')"""
+query("reminder_open", _OPEN, feeds=("ticks", "feeding_acks"), extra=_EV)(
     lambda t: RM.reminder_open(_dues(t), feeds.feeding_acks(t)))
 
 query("reminder_ack", """
@@ -115,11 +115,11 @@ query("reminder_ack_rejects", """
       feeds=("feeding_acks",))(lambda t: RM.reminder_ack_rejects(feeds.feeding_acks(t)))
 
 
-def _reminder_fire(t):
+def _run_reminders(t) -> str:
     """ST-2b/c through Structured Streaming, as the job runs it: dues and raw
     acks arrive in a scratch folder under ``spark.checkpoint.dir`` in three
     parts by time, and the stateful stream is run after each (availableNow), so
-    its state goes through restarts; the appended reminders are read back."""
+    its state goes through restarts.  Returns the folder of its files."""
     spark = t.spark
     base = scratch_path(spark, f"reminder_fire/{uuid.uuid4().hex}")
     RM.stream_events(_dues(t), feeds.feeding_acks(t)).write.parquet(f"{base}/all")
@@ -135,9 +135,16 @@ def _reminder_fire(t):
                                    .select("feeding_ID", X.ntz_from_millis("seq").alias("ack_ts")))
         (fired.writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt")
          .trigger(availableNow=True).start(f"{base}/out").awaitTermination())
-    return spark.read.schema(RM.REMINDER_SCHEMA).parquet(f"{base}/out")
+    return base
+
+
+def _reminder_fire(t):
+    """The reminders that the stream has appended."""
+    return t.spark.read.schema(RM.REMINDER_SCHEMA).parquet(f"{_run_reminders(t)}/out")
 
 
+query("reminder_open_state", _OPEN, feeds=("ticks", "feeding_acks"), extra=_EV)(
+    lambda t: RM.reminders_in_state(t.spark, f"{_run_reminders(t)}/ckpt"))
 query("reminder_fire", f"SELECT {_REMINDER_COLS} FROM fired", feeds=("ticks", "feeding_acks"), extra=_EV)(
     _reminder_fire)
 

@@ -18,16 +18,18 @@ key (by time) is absent or an ack.
   hot key to 2 × 1440 events per day before any window; the window runs per
   (key, day) with the previous day's last event carried in.
 * ST-2b/c :func:`reminder_state_fn` — the stream: ``applyInPandasWithState``
-  keyed by ``feeding_ID`` with one boolean of state, removed on ack.
-* ST-2d :func:`reminder_open` — keys whose last event is a due.
+  keyed by ``feeding_ID`` whose state is the open reminder, removed on ack.
+* ST-2d :func:`reminder_open` — keys whose last event is a due, over a replay;
+  :func:`reminders_in_state` — the same list from the state of the live stream.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -152,7 +154,8 @@ def reminder_ack_rejects(acks: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ streaming
-STATE_SCHEMA = "open boolean"
+#: the open reminder of a key; no state when none is open
+STATE_SCHEMA = "tick_ms long, Pond_ID int, feeding_time string"
 STREAM_EVENT_COLS = ["feeding_ID", "seq", "k", "kind", "tick_ts", "Pond_ID", "feeding_time"]
 
 
@@ -168,40 +171,46 @@ def stream_events(dues: DataFrame, acks: DataFrame) -> DataFrame:
     return d.unionByName(a)
 
 
-def _last_ack_per_minute(events: pd.DataFrame) -> pd.DataFrame:
+def _last_per_minute(seq: np.ndarray) -> np.ndarray:
     """Dues sit on whole minutes, so of the acks within one minute only the last
     can matter."""
-    acks = events[events["kind"] == ACK]
-    if len(acks) < 2:
-        return events
-    last = acks.groupby(acks["seq"] // MINUTE_MS)["seq"].idxmax()
-    return pd.concat([events[events["kind"] == DUE], acks.loc[last]])
+    seq = np.sort(seq)
+    minute = seq // MINUTE_MS
+    return seq[np.r_[minute[1:] != minute[:-1], True]] if len(seq) else seq
 
 
 def reminder_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """ST-2b/c per key: fire a due when nothing is open; an ack closes.  A
     reminder is open exactly after a due, so a due fires unless the event before
-    it is one.  The state is one boolean and is removed when closed.  Chunks of
-    a micro-batch are reduced before they are joined: at most one ack a minute
+    it is one.  The state is the open reminder and is removed when closed.
+    Chunks of a micro-batch are reduced as they come: at most one ack a minute
     is held of a key, however many arrive."""
-    is_open = bool(state.get[0]) if state.exists else False
-    batch = None
+    dues, acks = [], np.zeros(0, np.int64)
     for chunk in pdfs:
-        chunk = chunk.reset_index(drop=True)
-        batch = chunk if batch is None else pd.concat([batch, chunk], ignore_index=True)
-        batch = _last_ack_per_minute(batch).reset_index(drop=True)
-    batch = batch.sort_values(["seq", "k"], kind="stable")
-    before = batch["kind"].shift(fill_value=DUE if is_open else ACK)
-    f = batch[(batch["kind"] == DUE) & (before != DUE)].reset_index(drop=True)
-    if batch["kind"].iloc[-1] == DUE:
-        state.update((True,))
-    elif state.exists:
-        state.remove()
-    if f.empty:
+        due = (chunk["kind"] == DUE).to_numpy()
+        acks = _last_per_minute(np.r_[acks, chunk["seq"].to_numpy()[~due]])
+        if due.any():
+            dues.append(chunk.loc[due, ["seq", "tick_ts", "Pond_ID", "feeding_time"]])
+    n = sum(map(len, dues))
+    d = pd.concat(dues, ignore_index=True) if n else None
+    seq = np.r_[d["seq"].to_numpy(), acks] if n else acks
+    is_ack = np.arange(len(seq)) >= n
+    order = np.lexsort((is_ack, seq))
+    is_ack = is_ack[order]
+    after_ack = np.r_[not state.exists, is_ack[:-1]]
+    fired = order[~is_ack & after_ack]
+    if is_ack[-1]:
+        if state.exists:
+            state.remove()
+    elif len(fired):
+        last = d.iloc[fired[-1]]
+        state.update((int(last["seq"]), int(last["Pond_ID"]), last["feeding_time"]))
+    if not len(fired):
         return
+    f = d.iloc[fired].reset_index(drop=True)
     t = pd.to_datetime(f["tick_ts"])
     yield pd.DataFrame({
-        "feeding_ID": f["feeding_ID"].astype("int64"),
+        "feeding_ID": np.full(len(f), key[0], np.int64),
         "pond_ID": f["Pond_ID"].astype("int32"),
         "reminder_time": t.dt.strftime("%H:%M:00"),
         "message": "Feeding reminder: Pond " + f["Pond_ID"].astype("int64").astype(str)
@@ -211,6 +220,15 @@ def reminder_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> I
     })
 
 
+def reminders_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
+    """ST-2d the open reminder list of a stream, read from the state in its
+    checkpoint: what is open after its last finished micro-batch."""
+    state = spark.read.format("statestore").load(checkpoint)
+    return reminder_fields(state.select(
+        F.col("key.feeding_ID").alias("feeding_ID"), F.col("value.groupState.Pond_ID").alias("Pond_ID"),
+        F.col("value.groupState.feeding_time").alias("feeding_time"), X.ntz_from_millis("value.groupState.tick_ms").alias("tick_ts")))
+
+
 def reminder_stream(dues: DataFrame, acks: DataFrame) -> DataFrame:
     """ST-2b/c streaming reminders (append)."""
     return (stream_events(dues, acks).groupBy("feeding_ID")

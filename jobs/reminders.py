@@ -1,4 +1,4 @@
-"""spark-submit jobs/reminders.py --snapshot IN --acks ACK_DIR --out OUT --checkpoint DIR [--ticks TICK_DIR]
+"""spark-submit jobs/reminders.py --snapshot IN --acks ACK_DIR --out OUT --checkpoint DIR [--ticks TICK_DIR] [--open PATH]
 
 ST-2: a minute tick stream joined with the feeding schedule, unioned with
 the acknowledgement stream, through the keyed reminder state; reminders are
@@ -13,6 +13,7 @@ import argparse
 from pyspark.sql import functions as F
 
 from farmspark.functions import exprs as X
+from farmspark.plans.sinks import write_rows
 from farmspark.session import get_session
 from farmspark.sources.tables import Tables
 from farmspark.streaming import reminders as RM
@@ -26,8 +27,12 @@ def main() -> None:
     p.add_argument("--checkpoint", required=True)
     p.add_argument("--ticks", help="folder of JSON lines {tick_ts} instead of the minute clock")
     p.add_argument("--available-now", action="store_true", help="process what has arrived, then stop")
+    p.add_argument("--open", help="write the reminders that are open in the checkpoint's state there, as JSON lines, and stop")
     a = p.parse_args()
     spark = get_session()
+    if a.open:
+        write_rows(RM.reminders_in_state(spark, a.checkpoint), a.open, order=[F.col("feeding_ID")])
+        return
     t = Tables.from_snapshot(spark, a.snapshot)
     if a.ticks:
         ticks = (spark.readStream.schema("tick_ts timestamp_ntz").json(a.ticks)

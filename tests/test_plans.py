@@ -14,7 +14,7 @@ from tests.conftest import SF_SMALL
 from tests.plan_util import explain_text
 
 PY_NODES = ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas", "MapInPandas", "PythonUDF")
-STREAM_KEYS = {"reminder_fire"}  # its result is read back from the stream's sink
+STREAM_KEYS = {"reminder_fire", "reminder_open_state"}  # its result is read back from the stream's sink
 
 
 @pytest.mark.parametrize("name", sorted(spark_queries()))

@@ -89,8 +89,10 @@ def test_reminder_stream_matches_batch_across_restart(spark, tmp_path):
 
     first.coalesce(1).write.mode("append").parquet(src)
     run()
+    assert [(r.feeding_ID, r.reminder_time) for r in RM.reminders_in_state(spark, ck).collect()] == []
     second.coalesce(1).write.mode("append").parquet(src)
     run()  # restart: the open reminder survives in the state store
+    assert sorted(map(str, RM.reminders_in_state(spark, ck).collect())) == sorted(map(str, RM.reminder_open(dues, acks).collect()))
     got = sorted(r.reminder_time for r in spark.read.parquet(out).collect())
     assert got == ["00:00:00", "00:04:00"]
 
@@ -163,3 +165,28 @@ def test_state_function_reduces_chunks_and_matches_the_batch(spark, tmp_path):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     got = sorted((r.feeding_ID, r.tick_ts) for r in spark.read.parquet(out).collect())
     assert got == sorted((r.feeding_ID, r.tick_ts) for r in RM.reminder_batch(due_df, ack_df).collect())
+    now = RM.reminders_in_state(spark, str(tmp_path / "ck"))
+    assert sorted(map(str, now.collect())) == sorted(map(str, RM.reminder_open(due_df, ack_df).collect()))
+    assert now.dtypes == RM.reminder_open(due_df, ack_df).dtypes
+
+
+def test_open_reminders_equal_the_replay_after_each_restart(spark, tmp_path):
+    import random
+    rnd = random.Random(9)
+    day = dt.datetime(2024, 1, 1)
+    dues = [(day + dt.timedelta(minutes=m), k, 2 + k, 600, "00:10:00") for k in range(1, 6) for m in rnd.sample(range(600), 25)]
+    acks = [(k, day + dt.timedelta(seconds=rnd.randrange(36_000))) for k in range(1, 7) for _ in range(12)]
+    due_df = spark.createDataFrame(dues, "tick_ts timestamp_ntz, feeding_ID long, Pond_ID int, feeding_sec int, feeding_time string")
+    ack_df = spark.createDataFrame(acks, "feeding_ID long, ack_ts timestamp_ntz")
+    ev = RM.stream_events(due_df, ack_df).checkpoint()
+    src, ck = str(tmp_path / "src"), str(tmp_path / "ck")
+    for hour in range(0, 10, 2):
+        start, stop = (F.lit(day + dt.timedelta(hours=h)).cast("timestamp_ntz") for h in (hour, hour + 2))
+        (ev.where((F.col("seq") >= RM.to_ms(start)) & (F.col("seq") < RM.to_ms(stop))).coalesce(1).write.mode("append").parquet(src))
+        s = spark.readStream.schema(ev.schema).parquet(src)
+        (RM.reminder_stream(s.where(F.col("kind") == RM.DUE),
+                            s.where(F.col("kind") == RM.ACK).select("feeding_ID", X.ntz_from_millis("seq").alias("ack_ts")))
+         .writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True)
+         .start(str(tmp_path / "out")).awaitTermination())
+        want = RM.reminder_open(due_df.where(F.col("tick_ts") < stop), ack_df.where(F.col("ack_ts") < stop))
+        assert sorted(map(str, RM.reminders_in_state(spark, ck).collect())) == sorted(map(str, want.collect())), hour
