@@ -514,8 +514,9 @@ def _first_writer(c: DataFrame, key: str, ok: Column) -> DataFrame:
     return c.join(B.bounded_broadcast(first, B.KEYS_BROADCAST_BYTES)[0], key, "left")
 
 
-#: requests of one component that are settled in one task
-COMPONENT_ROWS = 50_000
+#: requests of one component that are settled in one task, and the rounds before
+#: components are looked for
+COMPONENT_ROWS, FIRST_ROUNDS = 50_000, 3
 
 
 def _settle_in_order(table):
@@ -536,13 +537,18 @@ def _settle_workers(w: DataFrame) -> DataFrame:
     """Accepted worker sign-ups (seq, mobile_no), one after the other by seq.
 
     A request is accepted if neither its mobile number nor its e-mail belongs to
-    a request accepted before it.  Requests that share neither with another one
-    are accepted; the others fall into components, linked by the first request
-    of each mobile number and e-mail, and every component is settled in order by
-    one task.  Only components beyond COMPONENT_ROWS go by rounds.
+    a request accepted before it.  A few rounds settle what does not hang on long
+    chains.  What is left falls into components, linked by the first request of
+    each mobile number and e-mail, and every component is settled in order by
+    one task.  Only components beyond COMPONENT_ROWS go by rounds to the end.
     ``w``: open requests (seq, mobile_no, email).
     """
-    opened, _ = B.materialized(w.select("seq", "mobile_no", "email"), "requests")
+    done, opened = _settle_by_rounds(w, FIRST_ROUNDS)
+    return done if opened.isEmpty() else done.unionByName(_settle_components(opened))
+
+
+def _settle_components(opened: DataFrame) -> DataFrame:
+    """The accepted of the open requests, component by component."""
     links = None
     for key in ("mobile_no", "email"):
         first = opened.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("_first"), F.count("*").alias("_n"))
@@ -557,16 +563,18 @@ def _settle_workers(w: DataFrame) -> DataFrame:
     sized, _ = B.materialized(grouped.join(sizes, "root"), "sized")
     small = (sized.where(F.col("_n") <= COMPONENT_ROWS).select("root", "seq", "mobile_no", "email")
              .groupBy("root").applyInArrow(_settle_in_order, "seq long, mobile_no string"))
-    large = _settle_by_rounds(sized.where(F.col("_n") > COMPONENT_ROWS))
+    large, _ = _settle_by_rounds(sized.where(F.col("_n") > COMPONENT_ROWS))
     return B.materialized(alone.unionByName(small).unionByName(large), "settled")[0]
 
 
-def _settle_by_rounds(w: DataFrame) -> DataFrame:
-    """The same by rounds: each accepts every open request that is the earliest
-    open one for both its keys, and drops those it makes duplicates of."""
+def _settle_by_rounds(w: DataFrame, most: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(accepted, open) after ``most`` rounds: each accepts every open request that
+    is the earliest open one for both its keys, and drops those it makes
+    duplicates of."""
     opened, _ = B.materialized(w.select("seq", "mobile_no", "email"), "open")
-    done = opened.where("false")
-    while not opened.isEmpty():
+    done, rounds = opened.where("false"), 0
+    while rounds != most and not opened.isEmpty():
+        rounds += 1
         mine = opened
         for key in ("mobile_no", "email"):
             first = (opened.where(F.col(key).isNotNull()).groupBy(key).agg(F.min("seq").alias("_first"))
@@ -579,7 +587,7 @@ def _settle_by_rounds(w: DataFrame) -> DataFrame:
         for key in ("mobile_no", "email"):
             opened = opened.join(won.where(F.col(key).isNotNull()).select(key), key, "left_anti")
         opened, _ = B.materialized(opened.select("seq", "mobile_no", "email"), "open")
-    return done.select("seq", "mobile_no")
+    return done.select("seq", "mobile_no"), opened
 
 
 ACCOUNT_KINDS = ("customer", "supplier", "user", "worker")
