@@ -45,24 +45,37 @@ def targets(sources: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> Da
     The sources share the sum of all sizes by weight; a target stops at
     ``max_rate`` times its source's size and the excess is shared again among
     the others, until none is above.  Sources without words get 0.
+
+    A growing share fills the sources up in order of limit over weight.  What
+    stands before a source in that order is full when the source is next, so
+    running sums give the share of that moment; the first one that leaves its
+    source at or below its limit holds.  The sums are taken per range partition
+    and shifted by the partitions before, whatever the number of sources.
     """
+    spark = sources.sparkSession
     w = F.element_at(F.array(*[F.lit(x) for x in weights]), (F.col("rank") % len(weights) + 1).cast("int"))
-    table = saved(ranked(sources).select("source", "source_size", w.cast("long").alias("weight"),
-                                         (F.col("source_size") * max_rate).alias("most")), "weights")
-    total = table.agg(F.sum("source_size")).first()[0] or 0
-    share, open_weight, full = 0.0, None, 0
-    while True:
-        # sums of whole numbers: the same whatever the order of the rows
-        above = F.col("weight") * F.lit(share) > F.col("most")
-        row = table.agg(F.sum(F.when(~above, F.col("weight"))).alias("w"),
-                        F.coalesce(F.sum(F.when(above, F.col("most"))), F.lit(0)).alias("m")).first()
-        if row.w is None or row.w == open_weight and row.m == full:
-            break
-        open_weight, full = row.w, row.m
-        share = (total - full) / open_weight
-    target = F.least(F.col("weight") * F.lit(share), F.col("most").cast("double"))
+    fill = [F.col("most") / F.col("weight"), F.col("source").isNull(), F.col("source")]
+    dealt = saved(ranked(sources).select("source", "source_size", w.cast("long").alias("weight"),
+                                         (F.col("source_size") * max_rate).alias("most"))
+                  .repartitionByRange(shuffle_partitions(spark), *fill).withColumn("part", F.spark_partition_id()), "weights")
+    # one row per range partition; sums of whole numbers, the same whatever the order of the rows
+    parts = dealt.groupBy("part").agg(*[F.sum(c).alias(f"{c}_sum") for c in ("source_size", "most", "weight")])
+    so_far, all_parts = Window.orderBy("part"), Window.partitionBy()
+    parts = parts.select("part", F.sum("source_size_sum").over(all_parts).alias("total"),
+                         (F.sum("most_sum").over(so_far) - F.col("most_sum")).alias("full_before"),
+                         (F.sum("weight_sum").over(all_parts) - F.sum("weight_sum").over(so_far)
+                          + F.col("weight_sum")).alias("open_from"))
+    earlier = Window.partitionBy("part").orderBy(*fill).rowsBetween(Window.unboundedPreceding, -1)
+    left = F.col("total") - F.col("full_before") - F.coalesce(F.sum("most").over(earlier), F.lit(0))
+    open_weight = F.col("open_from") - F.coalesce(F.sum("weight").over(earlier), F.lit(0))
+    shares = dealt.join(parts, "part").withColumn("share", left / open_weight)
+    holds = shares.where(F.col("weight") * F.col("share") <= F.col("most"))
+    share = holds.agg(F.min_by("share", F.struct(*fill)).alias("share")).first().share
+    # no source is below its limit where max_rate is less than 1
+    share = F.lit(float("inf") if share is None else share)
+    target = F.least(F.col("weight") * share, F.col("most").cast("double"))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    return table.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
+    return dealt.withColumn("target", target).withColumn("rate", rate).select("source", "source_size", "target", "rate")
 
 
 def chance(id_col, seed: int):

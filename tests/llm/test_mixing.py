@@ -38,6 +38,26 @@ def test_targets_fill_up(spark):
         assert all(math.isclose(got[s], float(exp[s]), rel_tol=1e-12) for s in exp)
 
 
+def test_jobs_do_not_grow_with_the_levels(spark):
+    def jobs(case):
+        group = f"levels-{len(case)}"
+        spark.sparkContext.setJobGroup(group, group)
+        frame = spark.createDataFrame(list(case.items()), "source string, source_size long")
+        got = {r.source: r.target for r in mixing.targets(frame).collect()}
+        spark.sparkContext.setJobGroup("", "")
+        exp = brute_targets(case)
+        assert all(math.isclose(got[s], float(exp[s]), rel_tol=1e-12) for s in exp)
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    # every source fills up at a level of its own
+    assert jobs({f"s{i:02d}": 4 ** i for i in range(28)}) <= jobs({"a": 1, "b": 4, "c": 16}) + 2
+
+
+def test_all_sources_full_below_rate_one(spark):
+    frame = spark.createDataFrame([("a", 10), (None, 30)], "source string, source_size long")
+    got = {r.source: (r.target, r.rate) for r in mixing.targets(frame, max_rate=0).collect()}
+    assert got == {"a": (0.0, 0.0), None: (0.0, 0.0)}
+
+
 def test_edge_documents(edge_docs, edge_rows, no_docs):
     rows = mixing.mix_counts(edge_docs).collect()
     own = sizes(edge_rows)
