@@ -8,6 +8,7 @@ from farmspark.keys.changes_keys import _ALL_SIGNUP, RULE_CTES
 from farmspark.operators import changes as C
 from farmspark.operators import notices as N
 from farmspark.plans.sinks import outbox
+from farmspark.plans.together import together
 from farmspark.registry import query
 from farmspark.sources import change_feeds as CF
 from farmspark.sources import feeds
@@ -172,9 +173,17 @@ def n6(t):
     return N.order_update_message(t, feeds.order_keys(t))
 
 
+def n7_order(t):
+    return N.worker_order_notice(C.set_order_status(t, CF.status_changes(t), worker_app=True).accepted)
+
+
+def n7_task(t):
+    return N.worker_task_notice(C.complete_tasks(t, CF.task_completions(t)).accepted)
+
+
 def n7(t):
-    return (N.worker_order_notice(C.set_order_status(t, CF.status_changes(t), worker_app=True).accepted)
-            .unionByName(N.worker_task_notice(C.complete_tasks(t, CF.task_completions(t)).accepted)))
+    order, task = together(t.spark, lambda: n7_order(t), lambda: n7_task(t))
+    return order.unionByName(task)
 
 
 def n8(t):
@@ -213,8 +222,11 @@ for _i, (_rule, _body, _more) in enumerate(_parts):
 _ob_bodies += [N6, _b7a, _b7b, N8]
 
 
+_RULES = (n8, n1, n2, n3, n4, n5, n6, n7_order, n7_task)  # the longest first
+
+
 def _outbox(t):
-    return outbox(n1(t), n2(t), n3(t), n4(t), n5(t), n6(t), n7(t), n8(t))
+    return outbox(*together(t.spark, *[lambda rule=rule: rule(t) for rule in _RULES]))
 
 
 query("outbox", " UNION ALL ".join(f"({b})" for b in _ob_bodies), extra=_ob_ctes)(_outbox)

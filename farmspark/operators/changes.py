@@ -40,6 +40,7 @@ from farmspark.functions import exprs as X
 from farmspark.plans import broadcast as B
 from farmspark.plans.graph import components
 from farmspark.plans.ids import dense_ids
+from farmspark.plans.together import together
 from farmspark.sources import schemas
 from farmspark.sources.tables import Tables
 
@@ -649,4 +650,4 @@ def register_accounts(t: Tables, changes: DataFrame, kinds: tuple[str, ...] = AC
         "user": lambda: by_email("user", t.users, None, {"serviceId": "name", "email": "email", "phone": "mobile_no"}),
         "worker": workers,
     }
-    return {kind: build[kind]() for kind in kinds}
+    return dict(zip(kinds, together(t.spark, *[build[kind] for kind in kinds])))

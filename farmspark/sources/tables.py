@@ -16,6 +16,7 @@ the consuming query down to the scan.
 from __future__ import annotations
 
 import os
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -177,6 +178,8 @@ class Tables:
         self.spark = spark
         self._thunks = dict(frames)
         self._built: dict[str, DataFrame] = {}
+        # rules built side by side share the frames
+        self._lock = threading.RLock()
         self.raw_dir = raw_dir
 
     @property
@@ -187,13 +190,14 @@ class Tables:
         if name.startswith("_") or name in ("spark", "raw_dir"):
             raise AttributeError(name)
         built = self.__dict__["_built"]
-        if name not in built:
-            thunks = self.__dict__["_thunks"]
-            if name not in thunks:
-                raise AttributeError(name)
-            f = thunks[name]
-            built[name] = f() if callable(f) else f
-        return built[name]
+        with self.__dict__["_lock"]:
+            if name not in built:
+                thunks = self.__dict__["_thunks"]
+                if name not in thunks:
+                    raise AttributeError(name)
+                f = thunks[name]
+                built[name] = f() if callable(f) else f
+            return built[name]
 
     def raw(self, name: str) -> DataFrame:
         if self.raw_dir is None:
