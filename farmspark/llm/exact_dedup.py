@@ -1,24 +1,26 @@
 """Exact dedup with a sharded cuckoo-filter index.
 
 The digest of a document is the SHA-256 of its text with every run of white
-space replaced by one space.  Digests are dealt to shards by their leading
-bits.  Each shard keeps
+space replaced by one space.  Digests are dealt to shards by other
+bits than those the filter reads.  Each shard keeps
 
 * a :class:`CuckooFilter`: 16-bit fingerprints in buckets of four slots, which
   says "surely new" or "maybe known" and supports deletion, and
-* the *content*: the digests themselves, bucketed by shard, which every filter
-  hit is verified against and from which an overfull filter is rebuilt at
-  twice its size.
+* the *content*: the digests with their counts in the same buckets, one entry
+  beside each fingerprint.  A filter hit is verified against that entry, a "no"
+  reads none, and an overfull filter is rebuilt from the entries at twice its
+  size.
 
 A map task runs the same index over its own rows before anything is shuffled
-(a bounded one: when it is full, its oldest digests are sent on and deleted
-from the filter), so a text held by a third of all rows leaves each task a few
-times, not millions of times.
+(a bounded one: when it is full, half of its digests are sent on and deleted,
+by a hand that goes round the buckets), so a text held by a third of all rows
+leaves each task a few times, not millions of times.
 """
 
 from __future__ import annotations
 
 import math
+from array import array
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame
@@ -36,13 +38,15 @@ _ENTRY = "digest binary, best_null boolean, best_id long, best_row long, n long"
 
 
 class CuckooFilter:
-    """Cuckoo filter over digests (bytes), with the keys it was built from.
+    """Cuckoo filter over digests (bytes) with its content in the same buckets.
 
-    ``maybe`` never denies a live key.  ``insert`` and ``delete`` are exact for
-    the caller that verifies hits against its own content: a key must be
-    inserted once and deleted only while live.  When an insertion finds no
+    ``table`` has the 16-bit fingerprints (0: free), ``held`` at the same places
+    the entries, lists that begin with their digest.  ``maybe`` reads fingerprints
+    only and never denies a live key; ``find`` reads the entry of a fitting
+    fingerprint and compares the whole digest, so a "no" touches no content and no
+    digest is held twice.  A key must be inserted once.  When an insertion finds no
     place after ``kicks`` moves, the table doubles and is refilled from the
-    stored keys.
+    entries.
     """
 
     slots = 4
@@ -50,12 +54,15 @@ class CuckooFilter:
 
     def __init__(self, keys: Iterable[bytes] = (), buckets: int = 256):
         self.buckets = buckets
-        self.table = [0] * (buckets * self.slots)
-        self.keys: dict[bytes, None] = {}
-        self.resizes = 0
+        self.resizes = self.live = 0
+        self._clear()
         for k in keys:
             self.insert(k)
 
+    def _clear(self) -> None:
+        n = self.buckets * self.slots
+        self.table, self.held = array("H", bytes(2 * n)), [None] * n
+
     def _place(self, key: bytes) -> tuple[int, int]:
         mark = int.from_bytes(key[8:10], "big") or 1
         return mark, int.from_bytes(key[:8], "big") % self.buckets
@@ -72,80 +79,117 @@ class CuckooFilter:
         at = self._other(at, mark)
         return mark in t[at * s:at * s + s]
 
-    def _put(self, mark: int, at: int) -> bool:
+    def _slot(self, key: bytes) -> int:
+        """Place of a live key, -1 for others."""
+        mark, at = self._place(key)
+        t, s = self.table, self.slots
+        for first in (at * s, self._other(at, mark) * s):
+            if mark in t[first:first + s]:
+                for i in range(first, first + s):
+                    if t[i] == mark and self.held[i][0] == key:
+                        return i
+        return -1
+
+    def find(self, key: bytes) -> list | None:
+        """The entry of a live key."""
+        i = self._slot(key)
+        return None if i < 0 else self.held[i]
+
+    def _put(self, mark: int, at: int, entry: list) -> bool:
         t, s = self.table, self.slots
         for i in range(at * s, at * s + s):
             if not t[i]:
-                t[i] = mark
+                t[i], self.held[i] = mark, entry
                 return True
         return False
 
-    def _add(self, key: bytes) -> bool:
-        mark, at = self._place(key)
-        if self._put(mark, at):
-            return True
+    def _add(self, entry: list) -> list | None:
+        """Place an entry; returns the one that is left without a place."""
+        mark, at = self._place(entry[0])
+        if self._put(mark, at, entry):
+            return None
         at = self._other(at, mark)
         for kick in range(self.kicks):
-            if self._put(mark, at):
-                return True
+            if self._put(mark, at, entry):
+                return None
             i = at * self.slots + kick % self.slots
             mark, self.table[i] = self.table[i], mark
+            entry, self.held[i] = self.held[i], entry
             at = self._other(at, mark)
-        return False
+        return entry
 
-    def insert(self, key: bytes) -> None:
-        self.keys[key] = None
-        if not self._add(key):
-            self._resize()
+    def insert(self, key: bytes, *values) -> None:
+        self.live += 1
+        left = self._add([key, *values])
+        if left is not None:
+            self._resize([left, *self.entries()])
 
-    def _resize(self) -> None:
+    def _resize(self, entries: list[list]) -> None:
         while True:
             self.buckets *= 2
             self.resizes += 1
-            self.table = [0] * (self.buckets * self.slots)
-            if all(self._add(k) for k in self.keys):
+            self._clear()
+            if all(self._add(e) is None for e in entries):
                 return
 
-    def delete(self, key: bytes) -> None:
-        """Remove a live key; an unknown key is left alone."""
-        if key not in self.keys:
-            return
-        del self.keys[key]
-        mark, at = self._place(key)
-        for b in (at, self._other(at, mark)):
-            for i in range(b * self.slots, b * self.slots + self.slots):
-                if self.table[i] == mark:
-                    self.table[i] = 0
-                    return
+    def entries(self) -> list[list]:
+        """The entries of all live keys."""
+        return [e for e in self.held if e is not None]
+
+    def _free(self, i: int) -> list:
+        entry, self.held[i], self.table[i] = self.held[i], None, 0
+        self.live -= 1
+        return entry
+
+    def delete(self, key: bytes) -> list | None:
+        """Remove a live key and return its entry; an unknown key is left alone."""
+        i = self._slot(key)
+        return None if i < 0 else self._free(i)
+
+    def sweep(self, n: int, hand: int = 0) -> tuple[list[list], int]:
+        """Remove ``n`` entries from place ``hand`` on, round and round; returns
+        them and the place where the next sweep goes on."""
+        out = []
+        while len(out) < n and self.live:
+            hand %= len(self.held)
+            if self.held[hand] is not None:
+                out.append(self._free(hand))
+            hand += 1
+        return out, hand
 
 
 class Shard:
-    """The live digests of one shard: filter in front, content behind."""
+    """The live digests of one shard; an entry is [digest, best, n]."""
 
     def __init__(self, limit: int | None = None):
         self.filter = CuckooFilter()
-        self.content: dict[bytes, list] = {}
         self.limit = limit
+        self.hand = 0
+
+    @property
+    def content(self) -> list[bytes]:
+        return [e[0] for e in self.filter.entries()]
 
     def insert(self, digest: bytes, best: tuple, n: int):
         """Count ``n`` more documents; returns entries evicted by the limit."""
-        known = self.content[digest] if self.filter.maybe(digest) and digest in self.content else None
+        known = self.filter.find(digest)
         if known is not None:
-            known[0] = min(known[0], best)
-            known[1] += n
+            known[1] = min(known[1], best)
+            known[2] += n
             return ()
-        self.filter.insert(digest)
-        self.content[digest] = [best, n]
-        if self.limit is None or len(self.content) <= self.limit:
+        self.filter.insert(digest, best, n)
+        if self.limit is None or self.filter.live <= self.limit:
             return ()
-        oldest = list(self.content)[:max(1, self.limit // 2)]
-        return [self.take(d) for d in oldest]
+        # the hand comes back to a digest after half a table of others
+        out, self.hand = self.filter.sweep(max(1, self.limit // 2), self.hand)
+        return out
+
+    def take(self, digest: bytes) -> list | None:
+        """Delete a digest and return its entry (None for an unknown one)."""
+        return self.filter.delete(digest)
 
-    def take(self, digest: bytes) -> tuple:
-        """Delete a live digest and return its entry."""
-        best, n = self.content.pop(digest)
-        self.filter.delete(digest)
-        return digest, best, n
+    def rows(self) -> list[list]:
+        return self.filter.entries()
 
 
 def _entries(items):
@@ -173,7 +217,7 @@ def _local(batches):
             out += index.insert(d, _best(i is None, i, r), 1)
         if out:
             yield _entries(out)
-    yield _entries(index.take(d) for d in list(index.content))
+    yield _entries(index.rows())
 
 
 def _merge(batches):
@@ -183,10 +227,10 @@ def _merge(batches):
         for shard, d, null, i, r, n in zip(*(batch.column(c).to_pylist() for c in (
                 "shard", "digest", "best_null", "best_id", "best_row", "n"))):
             if shard != current:
-                yield _entries(index.take(x) for x in list(index.content))
+                yield _entries(index.rows())
                 index, current = Shard(), shard
             index.insert(d, _best(null, i, r), n)
-    yield _entries(index.take(d) for d in list(index.content))
+    yield _entries(index.rows())
 
 
 def digest_column(text_col: str = "text"):
@@ -236,9 +280,8 @@ class DigestIndex:
                     "digest", "best_null", "best_id", "best_row", "n"))):
                 index.insert(d, _best(null, i, r), n)
             for d in right.column("digest").to_pylist():
-                if index.filter.maybe(d) and d in index.content:
-                    index.take(d)
-            return pa.Table.from_batches([_entries(index.take(d) for d in list(index.content))])
+                index.take(d)
+            return pa.Table.from_batches([_entries(index.rows())])
 
         gone = digests.where("digest is not null").select("digest").distinct().select(self._shard(), "digest")
         kept = self.content.groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(drop, _ENTRY)

@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 from collections import defaultdict
 
@@ -42,6 +43,42 @@ def test_shard_evicts_and_counts():
     assert n == {key(1): 4, **{key(i): 1 for i in range(2, 7)}} and not any(s.filter.table)
 
 
+def test_index_equals_a_dictionary_under_inserts_and_deletes():
+    rng, f, live = random.Random(2), CuckooFilter(buckets=2), {}
+    for step in range(20000):
+        k = key(rng.randrange(3000))
+        if rng.random() < 0.6 and k not in live:
+            f.insert(k, step)
+            live[k] = step
+        elif rng.random() < 0.5:
+            assert f.delete(k) == ([k, live.pop(k)] if k in live else None)
+        else:
+            assert f.find(k) == ([k, live[k]] if k in live else None)
+    assert {e[0]: e[1] for e in f.entries()} == live and f.live == len(live) and f.resizes > 5
+
+
+def test_hits_are_verified_against_whole_digests():
+    # equal buckets and fingerprints, other digests
+    keys = [key(0)[:10] + key(i)[10:] for i in range(8)]
+    f = CuckooFilter()
+    for i, k in enumerate(keys[:4]):
+        f.insert(k, i)
+    assert all(map(f.maybe, keys)) and f.find(keys[5]) is None and f.delete(keys[5]) is None
+    assert [f.find(k) for k in keys[:4]] == [[k, i] for i, k in enumerate(keys[:4])]
+    assert f.delete(keys[2]) == [keys[2], 2] and f.find(keys[2]) is None and f.find(keys[3]) == [keys[3], 3]
+
+
+def test_a_hot_digest_leaves_a_bounded_index_a_few_times():
+    s, out = Shard(limit=100), []
+    for i in range(5000):
+        out += s.insert(key(-1), _best(False, i, i), 1)
+        out += s.insert(key(i), _best(False, i, i), 1)
+    out += s.rows()
+    hot = [e for e in out if e[0] == key(-1)]
+    assert sum(e[2] for e in hot) == 5000 and len(hot) <= 5000 // 50 + 1 and min(e[1] for e in hot) == (False, 0, 0)
+    assert sorted(e[0] for e in out if e[0] != key(-1)) == sorted(key(i) for i in range(5000))
+
+
 def expected(rows):
     groups = defaultdict(list)
     for i, t, _ in rows:
