@@ -79,7 +79,7 @@ class FactorizationMachine:
 
 
 def fit(texts: list[bytes], labels: list[int], weights: dict[int, float], default: float = 0.0,
-        sparse: float = 0.5, ridge: float = 0.3, pair_ridge: float = 1.0, rare_ridge: float = 3000.0,
+        sparse: float = 0.25, ridge: float = 0.3, pair_ridge: float = 1.0, rare_ridge: float = 6000.0,
         seed: int = 3) -> FactorizationMachine:
     """Fit on the weighted log loss; the same input gives the same machine.
 
@@ -92,6 +92,9 @@ def fit(texts: list[bytes], labels: list[int], weights: dict[int, float], defaul
     than that, so that no single document makes a pair), and more for rare places.  The weights go first for a fifth of the
     time, the factors then learn from what they leave over.
 
+    The penalties are those with the least mean log loss over three folds of training
+    rows (held-out rows take no part) on two tables; one or two were moved at a time.
+
     With one class only the score is that class, without rows it is ``default``.
     """
     y = np.array(labels, np.float64)
