@@ -92,8 +92,8 @@ def fit(texts: list[bytes], labels: list[int], weights: dict[int, float], defaul
     than that, so that no single document makes a pair), and more for rare places.  The weights go first for a fifth of the
     time, the factors then learn from what they leave over.
 
-    The penalties are those with the least mean log loss over three folds of training
-    rows (held-out rows take no part) on two tables; one or two were moved at a time.
+    Of the penalties tried on all three folds of the training rows of two tables these
+    have the least mean log loss; held-out rows take no part.
 
     With one class only the score is that class, without rows it is ``default``.
     """
