@@ -70,3 +70,13 @@ def test_every_event_is_a_delete_request(t):
     named = {r.id for r in ch.join(t.worker.select("id"), "id", "left_semi").collect()}
     assert {r.id for r in res.accepted.select("id").collect()} == named
     assert 0 < res.table.count() == t.worker.count() - len(named) < t.worker.count()
+
+
+def test_every_delete_that_does_nothing_is_rejected(t):
+    ch = CF.worker_deletes(t)
+    res = C.delete_workers(t, ch)
+    n = res.rejects.count()
+    assert n == t.raw("events").count() - res.accepted.count()
+    # unknown ids and repeats both occur
+    unknown = ch.join(t.worker.select("id"), "id", "left_anti").count()
+    assert 0 < unknown < n
