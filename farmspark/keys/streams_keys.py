@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from farmspark.functions import exprs as X
+from farmspark.plans.broadcast import KEYS_BROADCAST_BYTES, materialized
 from farmspark.registry import query
 from farmspark.session import scratch_path
 from farmspark.sources import feeds, schemas
@@ -87,8 +87,22 @@ _REMINDER_COLS = """feeding_ID, CAST(Pond_ID AS INTEGER) AS pond_ID, strftime(ti
     false AS acknowledged, tick_ts"""
 
 
+def _ticks(t):
+    """The ticks of the replay, written once: one row a minute, however many
+    events there are."""
+    return materialized(RM.minute_ticks(t.raw("events")), "ticks")
+
+
+def _dues_at(t, ticks, small):
+    """The schedule is a small table with some hundred dues a row and month: it is
+    dealt to all tasks and probes the ticks, so that no task makes the dues of all."""
+    parts = 2 * t.spark.sparkContext.defaultParallelism
+    return RM.due_events(t.feeding_schedule.repartition(parts), F.broadcast(ticks) if small else ticks)
+
+
 def _dues(t):
-    return RM.due_events(t.feeding_schedule, RM.minute_ticks(t.raw("events")))
+    ticks, size = _ticks(t)
+    return _dues_at(t, ticks, size <= KEYS_BROADCAST_BYTES)
 
 
 query("reminder_due", "SELECT tick_ts, feeding_ID, Pond_ID, feeding_sec, feeding_time FROM dues",
@@ -117,22 +131,26 @@ query("reminder_ack_rejects", """
 
 def _run_reminders(t) -> str:
     """ST-2b/c through Structured Streaming, as the job runs it: dues and raw
-    acks arrive in a scratch folder under ``spark.checkpoint.dir`` in three
+    acks arrive in two scratch folders under ``spark.checkpoint.dir`` in three
     parts by time, and the stateful stream is run after each (availableNow), so
-    its state goes through restarts.  Returns the folder of its files."""
+    its state goes through restarts.  Every part is made from the ticks and the
+    events of its time alone.  Returns the folder of its files."""
     spark = t.spark
     base = scratch_path(spark, f"reminder_fire/{uuid.uuid4().hex}")
-    RM.stream_events(_dues(t), feeds.feeding_acks(t)).write.parquet(f"{base}/all")
-    ev = spark.read.parquet(f"{base}/all")
-    low, high = ev.agg(F.min("seq"), F.max("seq")).first()
+    ticks, size = _ticks(t)
+    acks = feeds.feeding_acks(t)
+    ends = ticks.select(RM.to_ms("tick_ts").alias("ms")).unionByName(acks.select(RM.to_ms("ack_ts").alias("ms")))
+    low, high = ends.agg(F.min("ms"), F.max("ms")).first()
     third = ((high or 0) - (low or 0)) // 3 + 1
     for k in range(3):
-        part = F.floor((F.col("seq") - (low or 0)) / third) == k
-        ev.where(part).write.mode("append").parquet(f"{base}/in")
-        src = spark.readStream.schema(ev.schema).parquet(f"{base}/in")
-        fired = RM.reminder_stream(src.select(*RM.STREAM_EVENT_COLS).where(F.col("kind") == RM.DUE),
-                                   src.where(F.col("kind") == RM.ACK)
-                                   .select("feeding_ID", X.ntz_from_millis("seq").alias("ack_ts")))
+        def part(ts):
+            return F.floor((RM.to_ms(ts) - (low or 0)) / third) == k  # noqa: B023
+        dues = _dues_at(t, ticks.where(part("tick_ts")), size <= KEYS_BROADCAST_BYTES).drop("feeding_sec")
+        now = acks.where(part("ack_ts"))
+        dues.write.mode("append").parquet(f"{base}/dues")
+        now.write.mode("append").parquet(f"{base}/acks")
+        fired = RM.reminder_stream(spark.readStream.schema(dues.schema).parquet(f"{base}/dues"),
+                                   spark.readStream.schema(now.schema).parquet(f"{base}/acks"))
         (fired.writeStream.format("parquet").option("checkpointLocation", f"{base}/ckpt")
          .trigger(availableNow=True).start(f"{base}/out").awaitTermination())
     return base

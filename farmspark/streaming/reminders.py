@@ -156,7 +156,9 @@ def reminder_ack_rejects(acks: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ streaming
 #: the open reminder of a key; no state when none is open
 STATE_SCHEMA = "tick_ms long, Pond_ID int, feeding_time string"
-STREAM_EVENT_COLS = ["feeding_ID", "seq", "k", "kind", "tick_ts", "Pond_ID", "feeding_time"]
+#: what the state function sees of an event, and what it gives of a fired due
+STATE_FN_COLS = ["feeding_ID", "seq", "k", "Pond_ID", "feeding_time"]
+FIRED_SCHEMA = "feeding_ID long, Pond_ID int, feeding_time string, seq long"
 
 
 def stream_events(dues: DataFrame, acks: DataFrame) -> DataFrame:
@@ -179,45 +181,48 @@ def _last_per_minute(seq: np.ndarray) -> np.ndarray:
     return seq[np.r_[minute[1:] != minute[:-1], True]] if len(seq) else seq
 
 
+def _text(value) -> str | None:
+    return None if pd.isna(value) else value
+
+
+def _int(value) -> int | None:
+    return None if pd.isna(value) else int(value)
+
+
 def reminder_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """ST-2b/c per key: fire a due when nothing is open; an ack closes.  A
     reminder is open exactly after a due, so a due fires unless the event before
     it is one.  The state is the open reminder and is removed when closed.
     Chunks of a micro-batch are reduced as they come: at most one ack a minute
-    is held of a key, however many arrive."""
+    is held of a key, however many arrive.
+
+    It is called once for every key of a micro-batch, so it works on arrays and
+    gives the bare due rows; their texts are built by :func:`reminder_stream`."""
     dues, acks = [], np.zeros(0, np.int64)
     for chunk in pdfs:
-        due = (chunk["kind"] == DUE).to_numpy()
-        acks = _last_per_minute(np.r_[acks, chunk["seq"].to_numpy()[~due]])
+        seq, due = chunk["seq"].to_numpy(), chunk["k"].to_numpy() == 0
+        acks = _last_per_minute(np.concatenate((acks, seq[~due])))
         if due.any():
-            dues.append(chunk.loc[due, ["seq", "tick_ts", "Pond_ID", "feeding_time"]])
-    n = sum(map(len, dues))
-    d = pd.concat(dues, ignore_index=True) if n else None
-    seq = np.r_[d["seq"].to_numpy(), acks] if n else acks
+            dues.append((seq[due], chunk["Pond_ID"].to_numpy()[due], chunk["feeding_time"].to_numpy()[due]))
+    due_seq, pond, at = ([np.concatenate(c) for c in zip(*dues)] if len(dues) > 1 else dues[0] if dues
+                         else (acks[:0], None, None))
+    n = len(due_seq)
+    seq = np.concatenate((due_seq, acks))
     is_ack = np.arange(len(seq)) >= n
     order = np.lexsort((is_ack, seq))
     is_ack = is_ack[order]
-    after_ack = np.r_[not state.exists, is_ack[:-1]]
+    after_ack = np.empty(len(seq), bool)
+    after_ack[0], after_ack[1:] = not state.exists, is_ack[:-1]
     fired = order[~is_ack & after_ack]
     if is_ack[-1]:
         if state.exists:
             state.remove()
     elif len(fired):
-        last = d.iloc[fired[-1]]
-        state.update((int(last["seq"]), int(last["Pond_ID"]), last["feeding_time"]))
-    if not len(fired):
-        return
-    f = d.iloc[fired].reset_index(drop=True)
-    t = pd.to_datetime(f["tick_ts"])
-    yield pd.DataFrame({
-        "feeding_ID": np.full(len(f), key[0], np.int64),
-        "pond_ID": f["Pond_ID"].astype("int32"),
-        "reminder_time": t.dt.strftime("%H:%M:00"),
-        "message": "Feeding reminder: Pond " + f["Pond_ID"].astype("int64").astype(str)
-                   + " needs feeding at " + f["feeding_time"],
-        "acknowledged": False,
-        "tick_ts": t,
-    })
+        last = fired[-1]
+        state.update((int(due_seq[last]), _int(pond[last]), _text(at[last])))
+    if len(fired):
+        yield pd.DataFrame({"feeding_ID": np.full(len(fired), key[0], np.int64), "Pond_ID": pond[fired],
+                            "feeding_time": at[fired], "seq": due_seq[fired]})
 
 
 def reminders_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
@@ -231,6 +236,6 @@ def reminders_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
 
 def reminder_stream(dues: DataFrame, acks: DataFrame) -> DataFrame:
     """ST-2b/c streaming reminders (append)."""
-    return (stream_events(dues, acks).groupBy("feeding_ID")
-            .applyInPandasWithState(reminder_state_fn, REMINDER_SCHEMA, STATE_SCHEMA, "append",
-                                    GroupStateTimeout.NoTimeout))
+    fired = (stream_events(dues, acks).select(*STATE_FN_COLS).groupBy("feeding_ID")
+             .applyInPandasWithState(reminder_state_fn, FIRED_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+    return reminder_fields(fired.withColumn("tick_ts", X.ntz_from_millis("seq")))

@@ -190,3 +190,30 @@ def test_open_reminders_equal_the_replay_after_each_restart(spark, tmp_path):
          .start(str(tmp_path / "out")).awaitTermination())
         want = RM.reminder_open(due_df.where(F.col("tick_ts") < stop), ack_df.where(F.col("ack_ts") < stop))
         assert sorted(map(str, RM.reminders_in_state(spark, ck).collect())) == sorted(map(str, want.collect())), hour
+
+
+def test_state_function_gives_bare_rows_of_arrays():
+    """Its texts are built by Spark, not row by row for every key in Python."""
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        exists, value = False, None
+
+        def update(self, value):
+            self.exists, self.value = True, value
+
+        def remove(self):
+            self.exists, self.value = False, None
+
+    # a due, another in the second chunk, an ack after it, a due that fires again
+    chunks = [pd.DataFrame({"seq": [60_000], "k": [0], "Pond_ID": [3.0], "feeding_time": ["00:10:00"]}),
+              pd.DataFrame({"seq": [120_000, 130_000, 180_000], "k": [0, 1, 0], "Pond_ID": [3.0, np.nan, 3.0],
+                            "feeding_time": ["00:10:00", None, "00:10:00"]})]
+    state = State()
+    out = pd.concat(RM.reminder_state_fn((7,), iter(chunks), state))
+    assert out.to_dict("list") == {"feeding_ID": [7, 7], "Pond_ID": [3.0, 3.0], "feeding_time": ["00:10:00"] * 2,
+                                   "seq": [60_000, 180_000]}
+    assert state.value == (180_000, 3, "00:10:00")
+    # an ack alone closes what is open and fires nothing
+    assert not list(RM.reminder_state_fn((7,), iter([chunks[1].iloc[1:2]]), state)) and not state.exists
