@@ -192,6 +192,20 @@ def test_open_reminders_equal_the_replay_after_each_restart(spark, tmp_path):
         assert sorted(map(str, RM.reminders_in_state(spark, ck).collect())) == sorted(map(str, want.collect())), hour
 
 
+def test_dues_of_the_replay_are_made_by_many_tasks(spark, tables):
+    """One schedule file and one partition of ticks made all dues in one task."""
+    from farmspark.keys import streams_keys as K
+    day = dt.datetime(2024, 1, 1)
+    t = tables(feeding_schedule=[(k, 1 + k % 5, (k * 3540) % 86_400) for k in range(200)])
+    t.raw = lambda name: spark.createDataFrame(
+        [(i, i % 200, day + dt.timedelta(minutes=7 * i)) for i in range(500)], "event_id long, user_id long, ts timestamp_ntz").coalesce(1)
+    t.spark = spark
+    made = K._dues(t).select(F.spark_partition_id().alias("p"), "feeding_ID", "tick_ts").collect()
+    want = RM.due_events(t.feeding_schedule, RM.minute_ticks(t.raw("events"))).collect()
+    assert sorted((r.feeding_ID, r.tick_ts) for r in made) == sorted((r.feeding_ID, r.tick_ts) for r in want)
+    assert len({r.p for r in made}) > spark.sparkContext.defaultParallelism // 2
+
+
 def test_state_function_gives_bare_rows_of_arrays():
     """Its texts are built by Spark, not row by row for every key in Python."""
     import numpy as np
