@@ -155,3 +155,18 @@ def test_complete_tasks_reasons(tables, spark):
     assert {r.seq: r.reason for r in res.rejects.collect()} == {
         2: "Task ID is required", 3: "Worker not found", 4: "Task not found or not assigned to this worker"}
     assert {r.task_id: r.status for r in res.table.collect()} == {0: "completed", 5: "pending"}
+
+
+def test_touched_rows_are_written_for_the_table_only(tables, spark, monkeypatch):
+    """Rejects and notices do not need the new table: nothing is written for it
+    until it is asked for."""
+    t = tables(worker=[(1, "W", "w@x", "07")], task=[(5, "a", "b", 1, "pending", dt.datetime(2024, 1, 1))])
+    ch = spark.createDataFrame([(1, 5, "w@x"), (2, 6, "w@x")], "seq long, task_id long, email string")
+    written = []
+    monkeypatch.setattr(C, "_small", lambda df, bounded=False: written.append(df.columns) or df)
+    res = C.complete_tasks(t, ch)
+    assert [r.seq for r in res.rejects.collect()] == [2] and not written
+    assert [r.status for r in res.table.collect()] == ["completed"] and len(written) == 1
+    gone = C.delete_workers(t, spark.createDataFrame([(1, 1), (2, 1)], "seq long, id long"))
+    assert [r.seq for r in gone.rejects.collect()] == [2] and len(written) == 1
+    assert gone.table.isEmpty() and len(written) == 2

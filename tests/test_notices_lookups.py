@@ -63,3 +63,33 @@ def test_account_lookup_case_insensitive_collation(tables, spark):
     assert got == [("ANN", "customer", 1), ("ANN", "customer", 2), ("ANN", "customer", 3), ("Wes@X", "worker", 1)]
     plan = explain_text(LK.account_lookup(t, h, collation="UTF8_LCASE"))
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_requests_read_by_several_joins_are_made_once(spark):
+    """The messages come from the written requests: neither the events nor the
+    owners of the supply orders are gone through again for them."""
+    from farmspark.keys import notices_keys as K
+    from farmspark.sources.tables import Tables
+    t = Tables.from_driver(spark, "/root/testdata/sf0.001")
+    for rule in (K.n1, K.n2, K.n4):
+        made = rule(t)
+        assert not any("events.parquet" in f for f in made.inputFiles()), rule.__name__
+        assert made.count() > 0
+
+
+def test_orders_beyond_the_bound_are_looked_up_once(tables, spark, monkeypatch):
+    from farmspark.plans import broadcast as B
+    monkeypatch.setattr(B, "KEYS_BROADCAST_BYTES", 0)
+    o = lambda i, c: (i, c, "Tiger", 1, Decimal("1.00"), "New", None, None, None, None,
+                      dt.datetime(2024, 1, 1), None)
+    t = tables(customer_order=[o(1, 1), o(2, 2), o(3, 2)],
+               customer=[(1, "A", "1", "a@x"), (2, "B", "2", "b@x"), (2, "B", "2", "c@x"), (3, "C", "3", None)])
+    ch = spark.createDataFrame([(1, 1, "Shipped"), (2, 2, "Shipped"), (3, 2, "Done"), (4, 9, "Done")],
+                               "seq long, order_id long, status string")
+    written = []
+    monkeypatch.setattr(N, "materialized", lambda df, name: written.append(name) or B.materialized(df, name))
+    res = C.set_order_status(t, ch)
+    assert not res.keys_bounded
+    rows = N.order_status_notice(t, res.accepted, res.keys_bounded).collect()
+    assert sorted((r.ref_id, r.recipient) for r in rows) == [(1, "a@x"), (2, "b@x"), (2, "b@x"), (2, "c@x"), (2, "c@x")]
+    assert written == ["orders"]
