@@ -17,8 +17,10 @@ key (by time) is absent or an ack.
   — dues sit on whole minutes, so nothing else can matter — which bounds a
   hot key to 2 × 1440 events per day before any window; the window runs per
   (key, day) with the previous day's last event carried in.
-* ST-2b/c :func:`reminder_state_fn` — the stream: ``applyInPandasWithState``
-  keyed by ``feeding_ID`` whose state is the open reminder, removed on ack.
+* ST-2b/c :func:`reminder_block_fn` — the stream: ``applyInPandasWithState``
+  keyed by blocks of 64 neighbouring ``feeding_ID`` whose state is their open
+  reminders, each removed on ack; :func:`reminder_state_fn` is the same for a
+  stream keyed by ``feeding_ID``.
 * ST-2d :func:`reminder_open` — keys whose last event is a due, over a replay;
   :func:`reminders_in_state` — the same list from the state of the live stream.
 """
@@ -154,10 +156,14 @@ def reminder_ack_rejects(acks: DataFrame) -> DataFrame:
 
 
 # ------------------------------------------------------------------ streaming
-#: the open reminder of a key; no state when none is open
-STATE_SCHEMA = "tick_ms long, Pond_ID int, feeding_time string"
+#: a call of the state function costs Spark some milliseconds whatever it is given,
+#: so one call takes a block of 2 ** BLOCK_BITS neighbouring ids (running numbers).
+#: A checkpoint keeps its blocks: it can be continued with the same value only
+BLOCK_BITS = 6
+#: the open reminders of a block by place in it; no state when none is open
+STATE_SCHEMA = "open array<struct<slot: int, tick_ms: long, Pond_ID: int, feeding_time: string>>"
 #: what the state function sees of an event, and what it gives of a fired due
-STATE_FN_COLS = ["feeding_ID", "seq", "k", "Pond_ID", "feeding_time"]
+STATE_FN_COLS = ["block", "slot", "seq", "k", "Pond_ID", "feeding_time"]
 FIRED_SCHEMA = "feeding_ID long, Pond_ID int, feeding_time string, seq long"
 
 
@@ -173,12 +179,15 @@ def stream_events(dues: DataFrame, acks: DataFrame) -> DataFrame:
     return d.unionByName(a)
 
 
-def _last_per_minute(seq: np.ndarray) -> np.ndarray:
-    """Dues sit on whole minutes, so of the acks within one minute only the last
+def _last_per_minute(slot: np.ndarray, seq: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Dues sit on whole minutes, so of a key's acks within one minute only the last
     can matter."""
-    seq = np.sort(seq)
+    order = np.lexsort((seq, slot))
+    slot, seq = slot[order], seq[order]
     minute = seq // MINUTE_MS
-    return seq[np.r_[minute[1:] != minute[:-1], True]] if len(seq) else seq
+    last = np.ones(len(seq), bool)
+    last[:-1] = (minute[1:] != minute[:-1]) | (slot[1:] != slot[:-1])
+    return slot[last], seq[last]
 
 
 def _text(value) -> str | None:
@@ -189,53 +198,82 @@ def _int(value) -> int | None:
     return None if pd.isna(value) else int(value)
 
 
-def reminder_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """ST-2b/c per key: fire a due when nothing is open; an ack closes.  A
-    reminder is open exactly after a due, so a due fires unless the event before
-    it is one.  The state is the open reminder and is removed when closed.
-    Chunks of a micro-batch are reduced as they come: at most one ack a minute
-    is held of a key, however many arrive.
-
-    It is called once for every key of a micro-batch, so it works on arrays and
-    gives the bare due rows; their texts are built by :func:`reminder_stream`."""
-    dues, acks = [], np.zeros(0, np.int64)
-    for chunk in pdfs:
+def _replay(chunks: Iterator[tuple[np.ndarray, pd.DataFrame]], opened: dict) -> tuple[np.ndarray, ...]:
+    """The events of some keys (``slot`` tells them apart) of a micro-batch: fire a
+    due when nothing is open; an ack closes.  A reminder is open exactly after a
+    due, so a due fires unless the event before it is one.  ``opened`` holds the open
+    reminder by slot and is brought up to date.  Gives slot, pond, time and seq of
+    what fires.  Chunks are reduced as they come: at most one ack a minute is held of
+    a key, however many arrive."""
+    dues, slots, acks = [], np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for slot, chunk in chunks:
         seq, due = chunk["seq"].to_numpy(), chunk["k"].to_numpy() == 0
-        acks = _last_per_minute(np.concatenate((acks, seq[~due])))
+        slots, acks = _last_per_minute(np.concatenate((slots, slot[~due])), np.concatenate((acks, seq[~due])))
         if due.any():
-            dues.append((seq[due], chunk["Pond_ID"].to_numpy()[due], chunk["feeding_time"].to_numpy()[due]))
-    due_seq, pond, at = ([np.concatenate(c) for c in zip(*dues)] if len(dues) > 1 else dues[0] if dues
-                         else (acks[:0], None, None))
-    n = len(due_seq)
-    seq = np.concatenate((due_seq, acks))
-    is_ack = np.arange(len(seq)) >= n
-    order = np.lexsort((is_ack, seq))
-    is_ack = is_ack[order]
-    after_ack = np.empty(len(seq), bool)
-    after_ack[0], after_ack[1:] = not state.exists, is_ack[:-1]
-    fired = order[~is_ack & after_ack]
-    if is_ack[-1]:
+            dues.append((slot[due], chunk["Pond_ID"].to_numpy()[due], chunk["feeding_time"].to_numpy()[due], seq[due]))
+    due_slot, pond, at, due_seq = ([np.concatenate(c) for c in zip(*dues)] if dues
+                                   else (slots[:0], acks[:0], acks[:0], acks[:0]))
+    slot, seq = np.concatenate((due_slot, slots)), np.concatenate((due_seq, acks))
+    is_ack = np.arange(len(seq)) >= len(due_seq)
+    order = np.lexsort((is_ack, seq, slot))
+    slot, is_ack = slot[order], is_ack[order]
+    begins = np.r_[True, slot[1:] != slot[:-1]]
+    free = np.empty(len(slot), bool)
+    free[1:] = is_ack[:-1]
+    free[begins] = ~np.isin(slot[begins], list(opened))
+    fired = order[~is_ack & free]
+    at_slot = due_slot[fired]
+    for i in fired[np.r_[at_slot[1:] != at_slot[:-1], True]] if len(fired) else ():
+        opened[int(due_slot[i])] = (int(due_seq[i]), _int(pond[i]), _text(at[i]))
+    for closed in slot[np.r_[begins[1:], True] & is_ack]:
+        opened.pop(int(closed), None)
+    return at_slot, pond[fired], at[fired], due_seq[fired]
+
+
+def reminder_state_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """ST-2b/c per key, for a stream keyed by ``feeding_ID``: the state is the open
+    reminder and is removed when closed.  It gives the bare due rows; their texts are
+    built by :func:`reminder_stream`."""
+    opened = {0: None} if state.exists else {}
+    slot, pond, at, seq = _replay(((np.zeros(len(c), np.int64), c) for c in pdfs), opened)
+    if 0 not in opened:
         if state.exists:
             state.remove()
-    elif len(fired):
-        last = fired[-1]
-        state.update((int(due_seq[last]), _int(pond[last]), _text(at[last])))
-    if len(fired):
-        yield pd.DataFrame({"feeding_ID": np.full(len(fired), key[0], np.int64), "Pond_ID": pond[fired],
-                            "feeding_time": at[fired], "seq": due_seq[fired]})
+    elif opened[0]:
+        state.update(opened[0])
+    if len(slot):
+        yield pd.DataFrame({"feeding_ID": np.full(len(slot), key[0], np.int64), "Pond_ID": pond, "feeding_time": at, "seq": seq})
+
+
+def reminder_block_fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """ST-2b/c per block of keys: :func:`reminder_state_fn` for up to 64 keys in one
+    call.  The state is the block's open reminders, at most one a key, and is removed
+    when all are closed."""
+    before = {row[0]: tuple(row[1:]) for row in state.get[0]} if state.exists else {}
+    opened = dict(before)
+    slot, pond, at, seq = _replay(((c["slot"].to_numpy().astype(np.int64), c) for c in pdfs), opened)
+    if opened:
+        if opened != before:
+            state.update(([(s, *opened[s]) for s in sorted(opened)],))
+    elif before:
+        state.remove()
+    if len(slot):
+        yield pd.DataFrame({"feeding_ID": (key[0] << BLOCK_BITS) + slot, "Pond_ID": pond, "feeding_time": at, "seq": seq})
 
 
 def reminders_in_state(spark: SparkSession, checkpoint: str) -> DataFrame:
     """ST-2d the open reminder list of a stream, read from the state in its
     checkpoint: what is open after its last finished micro-batch."""
-    state = spark.read.format("statestore").load(checkpoint)
+    state = spark.read.format("statestore").load(checkpoint).select(F.col("key.block").alias("block"), F.inline("value.groupState.open"))
     return reminder_fields(state.select(
-        F.col("key.feeding_ID").alias("feeding_ID"), F.col("value.groupState.Pond_ID").alias("Pond_ID"),
-        F.col("value.groupState.feeding_time").alias("feeding_time"), X.ntz_from_millis("value.groupState.tick_ms").alias("tick_ts")))
+        (F.shiftleft("block", BLOCK_BITS) + F.col("slot")).alias("feeding_ID"), "Pond_ID", "feeding_time",
+        X.ntz_from_millis("tick_ms").alias("tick_ts")))
 
 
 def reminder_stream(dues: DataFrame, acks: DataFrame) -> DataFrame:
     """ST-2b/c streaming reminders (append)."""
-    fired = (stream_events(dues, acks).select(*STATE_FN_COLS).groupBy("feeding_ID")
-             .applyInPandasWithState(reminder_state_fn, FIRED_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
+    events = (stream_events(dues, acks).withColumn("block", F.shiftright("feeding_ID", BLOCK_BITS))
+              .withColumn("slot", F.col("feeding_ID").bitwiseAND((1 << BLOCK_BITS) - 1).cast("int")))
+    fired = (events.select(*STATE_FN_COLS).groupBy("block")
+             .applyInPandasWithState(reminder_block_fn, FIRED_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout))
     return reminder_fields(fired.withColumn("tick_ts", X.ntz_from_millis("seq")))

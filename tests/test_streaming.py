@@ -231,3 +231,32 @@ def test_state_function_gives_bare_rows_of_arrays():
     assert state.value == (180_000, 3, "00:10:00")
     # an ack alone closes what is open and fires nothing
     assert not list(RM.reminder_state_fn((7,), iter([chunks[1].iloc[1:2]]), state)) and not state.exists
+
+
+def test_one_call_of_the_state_function_takes_many_keys(spark, tmp_path):
+    """One call a key took most of the stream's time.  Ids of both signs and beyond
+    2 ** 53, through a restart."""
+    import random
+    rnd = random.Random(3)
+    day = dt.datetime(2024, 1, 1)
+    ids = [-130, -65, -64, -1, *range(1, 150), 2 ** 60 + 1, 2 ** 60 + 63, 2 ** 60 + 64]
+    dues = [(day + dt.timedelta(minutes=m), k, 1 + abs(k) % 5, 600, f"00:{abs(k) % 60:02d}:00") for k in ids
+            for m in rnd.sample(range(600), 12)]
+    acks = [(k, day + dt.timedelta(seconds=rnd.randrange(36_000))) for k in [*ids, 777] for _ in range(6)]
+    due_df = spark.createDataFrame(dues, "tick_ts timestamp_ntz, feeding_ID long, Pond_ID int, feeding_sec int, feeding_time string")
+    ack_df = spark.createDataFrame(acks, "feeding_ID long, ack_ts timestamp_ntz")
+    ev = RM.stream_events(due_df, ack_df).checkpoint()
+    src, ck, out = (str(tmp_path / n) for n in ("src", "ck", "out"))
+    for low, high in ((0, 300), (300, 600)):
+        start, stop = (F.lit(day + dt.timedelta(minutes=m)).cast("timestamp_ntz") for m in (low, high))
+        ev.where((F.col("seq") >= RM.to_ms(start)) & (F.col("seq") < RM.to_ms(stop))).repartition(3).write.mode("append").parquet(src)
+        s = spark.readStream.schema(ev.schema).parquet(src)
+        (RM.reminder_stream(s.where(F.col("kind") == RM.DUE),
+                            s.where(F.col("kind") == RM.ACK).select("feeding_ID", X.ntz_from_millis("seq").alias("ack_ts")))
+         .writeStream.format("parquet").option("checkpointLocation", ck).trigger(availableNow=True).start(out).awaitTermination())
+        want = RM.reminder_open(due_df.where(F.col("tick_ts") < stop), ack_df.where(F.col("ack_ts") < stop))
+        assert sorted(map(str, RM.reminders_in_state(spark, ck).collect())) == sorted(map(str, want.collect()))
+    assert sorted(map(str, spark.read.schema(RM.REMINDER_SCHEMA).parquet(out).collect())) == \
+        sorted(map(str, RM.reminder_batch(due_df, ack_df).collect()))
+    groups = spark.read.format("statestore").load(ck).count()
+    assert 0 < groups <= len({k >> 6 for k in ids}) < RM.reminders_in_state(spark, ck).count()
