@@ -1,10 +1,12 @@
 """Property tests: for every change rule, accepted + rejected
 = requests, and no request is both; inserts get dense new ids."""
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from farmspark.operators import changes as C
+from farmspark.registry import oracle_queries, spark_queries
 from farmspark.sources import change_feeds as CF
 from farmspark.sources.tables import Tables
 from tests.conftest import SF_SMALL
@@ -80,3 +82,24 @@ def test_every_delete_that_does_nothing_is_rejected(t):
     # unknown ids and repeats both occur
     unknown = ch.join(t.worker.select("id"), "id", "left_anti").count()
     assert 0 < unknown < n
+
+
+def test_delete_rejects_cover_all_events_in_code_and_sql(spark, tmp_path):
+    """40 requests on 10 workers (0 to 9): 3 workers go, 37 requests are
+    rejected, late events as well as early ones."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE supplier AS SELECT i AS s_suppkey, 'Supplier#' || i AS s_name FROM range(10) r(i)")
+    con.execute("CREATE TABLE events AS SELECT i + 1 AS event_id FROM range(40) r(i)")
+    for name in ("supplier", "events"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+    gone, want = set(), []
+    for e in range(1, 41):
+        i = e * CF.SPREAD % 11 * 3 + 1
+        if i < 10 and i not in gone:
+            gone.add(i)
+        else:
+            want.append((e, "Worker not found"))
+    assert len(want) == 37
+    assert sorted(con.execute(oracle_queries()["delete_workers_rejects"]).fetchall()) == want
+    got = spark_queries()["delete_workers_rejects"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == want
